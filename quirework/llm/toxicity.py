@@ -209,7 +209,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, ba
         if epoch == 0:
             best = first + (rng.random(len(docs)) * np.diff(np.r_[first, len(owner)])).astype(np.int64)
         else:
-            y = np.concatenate([net.logits(*driven(net, vocabulary), at[:, k : k + 4096]) for k in range(0, at.shape[1], 4096)])
+            known = driven(net, vocabulary)
+            y = np.concatenate([net.logits(*known, at[:, k : k + 4096]) for k in range(0, at.shape[1], 4096)])
             top = np.maximum.reduceat(y, first)
             best = np.full(len(docs), -1)
             hit = np.flatnonzero(y == top[owner])[::-1]
