@@ -52,7 +52,7 @@ def sketches(items: DataFrame, percent: int, size: int = 5) -> DataFrame:
     sets = items.select("item_id", word_list(F.col("text")).alias("words")).select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("words"), size))).alias("hashes"))
     sized = sets.withColumn("n", F.size("hashes")).where("n > 0")
     # the largest size of the partition decides, so that all its items have sketches of one length
-    sized = sized.withColumn("partition", F.floor(F.log2("n")).cast("int")).withColumn("largest", F.shiftleft(F.lit(2), F.col("partition")) - 1)
+    sized = sized.withColumn("partition", F.floor(F.log2("n")).cast("int")).withColumn("largest", F.pow(F.lit(2), F.col("partition") + 1).cast("int") - 1)
     lacking = F.floor(F.col("largest") * (100 - percent) / 100).cast("int")
     sized = sized.withColumn("k", F.least(F.lit(SKETCH), lacking + 1)).withColumn("hits", F.when(F.col("k") < SKETCH, 1).otherwise(LEAST_HITS))
     return sized.select("item_id", "partition", "hits", F.explode(F.slice("hashes", F.lit(1), F.col("k"))).alias("hash"))
