@@ -33,7 +33,7 @@ from quirework.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Marks that the tokenizer always splits from the letters before them.
 MARKS = frozenset(".,;:!?")
 
@@ -208,8 +208,9 @@ def powers_of_two(seq: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
 def pack(rows: DataFrame, tokens: str, loss: str | None = None, ids: str | None = None, limits: tuple[int, int, int] = (2048, 512, 2048), least_cut: int | None = None, group_rows: int = 2048, id_col: str = "doc_id", n_rows: int | None = None) -> DataFrame:
     """Add start, length, sequence_id, offset and oversize; one row per piece.
 
-    loss: the column of loss-bearing token counts (all tokens, if None). ids: the column of token ids, which are cut
-    as the rows are; documents can be cut if all their tokens bear loss (least_cut is given).
+    loss: the column of loss-bearing token counts (all tokens, if None). ids: the column of token ids (unsigned
+    16-bit), which are cut as the rows are and come back as unsigned 32-bit numbers; documents can be cut if all
+    their tokens bear loss (least_cut is given).
     """
     if least_cut is not None and loss is not None:
         raise ValueError("only rows whose tokens all bear loss can be cut")
@@ -231,7 +232,7 @@ def pack(rows: DataFrame, tokens: str, loss: str | None = None, ids: str | None
         out = part.take(pa.array([f[0] for f in flat], pa.int64()))
         if ids:
             raw = part.column(ids).to_pylist()
-            cut = pa.array([raw[f[0]][2 * f[1] : 2 * (f[1] + f[2])] for f in flat], pa.binary())
+            cut = pa.array([np.frombuffer(raw[f[0]], "<u2", f[2], 2 * f[1]).astype("<u4").tobytes() for f in flat], pa.binary())
             out = out.set_column(out.column_names.index(ids), ids, cut)
         for k, (name, _, kind) in enumerate(added, start=1):
             out = out.append_column(name, pa.array([bool(f[k]) if k == 5 else int(f[k]) for f in flat], kind))
@@ -242,20 +243,9 @@ def pack(rows: DataFrame, tokens: str, loss: str | None = None, ids: str | None
     return dealt.groupBy("_group").applyInArrow(lambda key, part: run(key, part), schema)
 
 
-def widen(docs: DataFrame) -> DataFrame:
-    """`ids` as little-endian unsigned 32-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            wide = [None if x is None else np.frombuffer(x, dtype="<u2").astype("<u4").tobytes() for x in b.column("ids").to_pylist()]
-            yield b.set_column(b.schema.get_field_index("ids"), "ids", pa.array(wide, pa.binary()))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def pack_documents(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int] = (2048, 512, 2048), least_cut: int = 16) -> DataFrame:
     """Tokenise and pack; one row per piece, with its ids (binary, unsigned 32-bit), and the columns of docs but text."""
-    return widen(pack(tokenise(docs, path), "doc_tokens", ids="ids", limits=limits, least_cut=least_cut, n_rows=docs.count()))
+    return pack(tokenise(docs, path), "doc_tokens", ids="ids", limits=limits, least_cut=least_cut, n_rows=docs.count())
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
