@@ -7,9 +7,11 @@
    empty bin chooses on its own). Bands of `rows` bins are the buckets.
 3. In each bucket all members are tried with one centre, so a bucket of n gives n - 1 pairs, not n * n / 2. Pairs
    whose signatures or sizes rule the threshold out are dropped; the others are confirmed on the full sets.
-4. Confirmed links are joined to components. Buckets that still hold several components are tried again with other
-   centres; at last every pair of members of different components is tried. So no link that shares a bucket is lost,
-   and the number of pairs stays near the number of members.
+4. Confirmed links are joined to components. In buckets that still hold several, each member's own shingles, which no
+   other member of such buckets has, bound its similarity to any other: a copy with many edits of its own can be
+   linked with nobody and is tried no more. The others are tried with the member that shares most, and at last with
+   every member of another component. So no link of documents that share a bucket is lost, and a group of thousands
+   of near copies, linked or not, doesn't give all its pairs.
 
 Rules: a null or wordless text has an empty set and no link. A text with fewer words than a shingle has its word
 sequence as its one shingle. A null doc_id is linked with nothing and kept. Rows that repeat a doc_id are one
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,7 +193,30 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def find_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+def shared_shingles(docs: DataFrame, reps: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, n and shared: the size of each set, and how many of its shingles any other of the ids has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                sets = [shingle_set(t, size).view(np.int64) for t in b.column("text").to_pylist()]
+                owners = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(np.concatenate(sets) if sets else [], pa.int64())], names=["id", "shingle"])
+
+    rows = among(docs.select(F.col("doc_id").cast("long"), "text"), ids).mapInArrow(run, "id long, shingle long")
+    own = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    sizes = among(reps.select("doc_id", "n_shingles"), ids).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    return sizes.join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def may_link(n: str, shared: str, other_n: str, other_shared: str, percent: int) -> Column:
+    """Whether two sets could meet the threshold if all that either shares with anyone were shared with the other."""
+    most = F.least(shared, other_shared)
+    return most * 100 >= (F.col(n) + F.col(other_n) - most) * percent
+
+
+def find_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
     feats = written(features(docs, size), "near-features")
     n = feats.count()
@@ -204,40 +229,42 @@ def find_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, star_rou
     reps = written(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "near-reps")
     members = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = written(attach_groups(members, sizes, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner"), "near-buckets")
-    links = tried = labels = None
-    for turn in range(star_rounds + 1):
-        rows = buckets.select("id", "bucket", F.col("id").alias("label"))
-        if labels is not None:
-            rows = buckets.join(labels.toDF("id", "component"), "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("label"))
-            mixed = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "members")
-            rows = cut(attach_groups(rows, mixed, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner").drop("members"))
-        if turn < star_rounds:
-            rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-            centre = rows.groupBy("bucket").agg(F.min_by("id", rank).alias("centre"), F.min_by("label", rank).alias("centre_label"), F.count("*").alias("members"))
-            star = attach_groups(rows, centre, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner").where("label <> centre_label")
-            pairs = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    buckets = written(attach_groups(members, sizes, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner").drop("members"), "near-buckets")
+    centre = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("members"))
+    star = attach_groups(buckets, centre, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner").where("id <> centre")
+    new = cut(likely(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), reps, percent))
+    tried, links = new, cut(confirmed(new, own, size, percent))
+    labels = components(links)
+    for turn in range(2):
+        rows = buckets.join(labels.toDF("id", "component"), "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("label"))
+        mixed = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "members")
+        rows = attach_groups(rows, mixed, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner").drop("members")
+        if turn == 0:
+            rows = cut(rows)
+            shared = cut(shared_shingles(own, reps, cut(rows.select(F.col("id").alias("doc_id")).distinct()), size))
+        rows = cut(rows.join(shared, "id"))
+        if turn == 0:
+            rank = F.struct(-F.col("shared") / F.col("n"), "id")
+            best = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "id", "label", "n", "shared")).alias("c"), F.count("*").alias("members"))
+            best = best.select("bucket", "members", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "label", "n", "shared")])
+            star = attach_groups(rows, best, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner")
+            star = star.where("label <> c_label").where(may_link("n", "shared", "c_n", "c_shared", percent))
+            pairs = star.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b"))
         else:
-            other = rows.toDF("other", "bucket", "other_label")
-            pairs = rows.join(other, "bucket").where("id < other AND label <> other_label").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        new = cut(likely(cut(pairs), reps, percent))
-        tried = new if tried is None else tried.union(new)
+            other = rows.toDF("o_id", "bucket", "o_label", "o_n", "o_shared")
+            met = rows.join(other, (rows["bucket"] == other["bucket"]) & (F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")) & may_link("n", "shared", "o_n", "o_shared", percent))
+            pairs = met.select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+        new = cut(likely(pairs.distinct().join(tried, ["a", "b"], "left_anti"), reps, percent))
         if not new.limit(1).count():
-            if turn >= star_rounds or labels is None:
-                break
             continue
-        found = cut(confirmed(new, own, size, percent))
-        links = found if links is None else links.union(found)
+        tried = tried.union(new)
+        links = links.union(cut(confirmed(new, own, size, percent)))
         labels = components(links)
     # each row's class by its doc_id, then the component of the class
     of_class = attach_groups(known.select("doc_id", "words_hash"), classes, "words_hash", "copies", n, F.xxhash64("doc_id").cast("string").cast("binary"), how="inner")
-    if labels is not None:
-        linked = labels.withColumnRenamed("doc_id", "rep").join(classes.select("rep", "copies"), "rep")
-        of_class = attach_groups(of_class.drop("copies"), linked, "rep", "copies", n, -F.abs(F.xxhash64("doc_id")))
-        of_class = of_class.withColumn("rep", F.coalesce("component", "rep"))
+    linked = labels.withColumnRenamed("doc_id", "rep").join(classes.select("rep", "copies"), "rep")
+    of_class = attach_groups(of_class.drop("copies"), linked, "rep", "copies", n, -F.abs(F.xxhash64("doc_id")))
+    of_class = of_class.withColumn("rep", F.coalesce("component", "rep"))
     found = of_class.where("doc_id <> rep").select("doc_id", F.col("rep").alias("smaller"))
     return feats.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("smaller", "doc_id").alias("component_id"))
 
