@@ -45,13 +45,13 @@ def assign_cells(spans: DataFrame, rules: DataFrame) -> DataFrame:
     the table, two share a cell, one looks like a formula, a header cell is empty or a row is.
     """
     bands = grid_bands(rules)
-    cols = bands.where("axis = 'x'").select("page_id", F.col("band").alias("col"), F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"))
-    rows = bands.where("axis = 'y'").select("page_id", F.col("band").alias("row_up"), F.col("lo").alias("y_lo"), F.col("hi").alias("y_hi"))
+    cols = bands.where("axis = 'x'").select(F.col("page_id").alias("x_page"), F.col("band").alias("col"), F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"))
+    rows = bands.where("axis = 'y'").select(F.col("page_id").alias("y_page"), F.col("band").alias("row_up"), F.col("lo").alias("y_lo"), F.col("hi").alias("y_hi"))
     size = bands.groupBy("page_id").agg(F.count_if(F.col("axis") == "x").alias("n_cols"), F.count_if(F.col("axis") == "y").alias("n_rows"))
     said = spans.where(F.btrim("text") != "").select("page_id", "seq", "x", "y", F.btrim("text").alias("text"))
     held = said.join(size, "page_id")
-    held = held.join(cols, (held["page_id"] == cols["page_id"]) & F.col("x").between(F.col("x_lo") + EPS, F.col("x_hi") - EPS), "left").drop(cols["page_id"])
-    held = held.join(rows, (held["page_id"] == rows["page_id"]) & F.col("y").between(F.col("y_lo") + EPS, F.col("y_hi") - EPS), "left").drop(rows["page_id"])
+    held = held.join(cols, (F.col("page_id") == F.col("x_page")) & F.col("x").between(F.col("x_lo") + EPS, F.col("x_hi") - EPS), "left")
+    held = held.join(rows, (F.col("page_id") == F.col("y_page")) & F.col("y").between(F.col("y_lo") + EPS, F.col("y_hi") - EPS), "left")
     held = held.withColumn("row", F.col("n_rows") - 1 - F.col("row_up"))
     page = Window.partitionBy("page_id")
     bad = F.col("col").isNull() | F.col("row").isNull() | unsafe("text")

@@ -127,9 +127,9 @@ def _(objects, files, jobs):
     i AS (SELECT id, operation, requested_by, unnest(from_json(input_file_ids_json, '["VARCHAR"]')) AS file_id FROM jobs),
     k AS (SELECT i.id, CASE WHEN f.id IS NULL THEN 1 WHEN f.expires_at <= {T} THEN 2 WHEN f.source_system <> i.requested_by THEN 3
         WHEN NOT (CASE i.operation WHEN 'images-to-pdf' THEN content_type LIKE 'image/%' WHEN 'office-to-pdf' THEN content_type LIKE 'application/vnd.%' ELSE content_type = 'application/pdf' END) THEN 4 END AS rank FROM i LEFT JOIN files f ON f.id = i.file_id)
-    SELECT j.id, j.operation, CASE min(rank) WHEN 1 THEN 404 WHEN 2 THEN 410 WHEN 3 THEN 403 WHEN 4 THEN 415 END AS failed_rule FROM jobs j LEFT JOIN k ON k.id = j.id GROUP BY j.id, j.operation""")
+    SELECT j.id, j.operation, CASE min(rank) WHEN 1 THEN 404 WHEN 2 THEN 410 WHEN 3 THEN 403 WHEN 4 THEN 415 ELSE 0 END AS failed_rule FROM jobs j LEFT JOIN k ON k.id = j.id GROUP BY j.id, j.operation""")
 def _(jobs, files):
-    return c.check_inputs(jobs, files, NOW)
+    return c.check_inputs(jobs, files, NOW).withColumn("failed_rule", F.coalesce("failed_rule", F.lit(0)))
 
 
 @query("join6_manifests", "jobs artifacts files", """,
