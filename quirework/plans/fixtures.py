@@ -6,6 +6,7 @@ a DataFrame from fixture(), DuckDB a list of common table expressions from ctes(
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,7 @@ def _operation(key: str) -> str:
     return f"CASE {key} % 13 " + " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(OPERATIONS)) + " END"
 
 
+_CELLS = " UNION ALL ".join(["SELECT 0 AS cell", *(f"SELECT {i}" for i in range(1, 24))])
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 #: name: (tables it needs, SQL by dialect)
 FIXTURES: dict[str, tuple[tuple[str, ...], Callable]] = {
@@ -94,8 +96,9 @@ FIXTURES: dict[str, tuple[tuple[str, ...], Callable]] = {
     "doc_pages": (("documents",), lambda d: d.pages),
     "questions": (("conversations", "n_docs"), lambda d: """SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS question_id, CAST(conv_id % n AS STRING) AS doc_id, substr(text, 1, 60) AS question, substr(previous, 1, 60) AS previous_question
         FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user') CROSS JOIN n_docs"""),
-    "spans": (("lineitem",), lambda d: """SELECT CAST(l_orderkey AS STRING) AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS seq,
-            CAST(20 + (l_partkey % 3) * 50 + l_suppkey % 9 AS DOUBLE) AS x, CAST(700 - l_linenumber * 20 + l_partkey % 5 AS DOUBLE) AS y, concat(CASE WHEN l_partkey % 97 = 0 THEN ' =' ELSE 'v' END, CAST(l_partkey AS STRING)) AS text FROM lineitem"""),
+    "spans": (("orders",), lambda d: f"""SELECT CAST(o_orderkey AS STRING) AS page_id, CAST(cell AS INT) AS seq, CAST(20 + (cell % 3) * 50 + (o_orderkey % 7) * (cell % 2) + CASE WHEN o_orderkey % 17 = 0 AND cell = 5 THEN 200 ELSE 0 END AS DOUBLE) AS x,
+            CAST(697 - floor(cell / 3) * 20 - CASE WHEN o_orderkey % 19 = 0 AND cell = 4 THEN 20 ELSE 0 END AS DOUBLE) AS y, CASE WHEN o_orderkey % 23 = 0 AND cell = 7 THEN ' =sum' ELSE concat('v', CAST(o_orderkey AS STRING), '-', CAST(cell AS STRING)) END AS text
+        FROM orders CROSS JOIN ({_CELLS}) WHERE o_orderkey % 3 <> 1 OR (o_orderkey + cell) % 5 <> 0"""),
     "rules": (("orders",), lambda d: """SELECT CAST(o_orderkey AS STRING) AS page_id, axis, CASE WHEN axis = 'x' THEN 10.0 + k * 50 ELSE 555.0 + k * 20 END + CASE WHEN o_orderkey % 31 = 0 AND k = 2 THEN 45.0 ELSE 0.0 END AS pos,
             CASE WHEN axis = 'x' THEN 555.0 ELSE 10.0 END AS lo, CASE WHEN axis = 'x' THEN 715.0 ELSE 160.0 END + CASE WHEN o_orderkey % 37 = 0 AND k = 1 THEN 9.0 ELSE 0.0 END AS hi
         FROM orders CROSS JOIN (SELECT 'x' AS axis, 0 AS k UNION ALL SELECT 'x', 1 UNION ALL SELECT 'x', 2 UNION ALL SELECT 'x', 3 UNION ALL SELECT 'y', 0 UNION ALL SELECT 'y', 1 UNION ALL SELECT 'y', 2 UNION ALL SELECT 'y', 3
@@ -115,8 +118,6 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, seen: dict[str, DataFra
             needs, sql = FIXTURES[name]
             text = sql(SparkSQL)
             frames = {n: fixture(spark, sf_dir, n, seen) for n in needs}
-            import re
-
             for n in needs:
                 text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 «{n}»", text)
             text = text.replace("{", "{{").replace("}", "}}").replace("«", "{").replace("»", "}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("q_catalog", "q_text")
+MODULES: tuple[str, ...] = ("q_catalog", "q_text", "q_telemetry")
 
 
 def _all(what: str) -> dict:
