@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("q_catalog", "q_text", "q_telemetry")
+MODULES: tuple[str, ...] = ("q_catalog", "q_text", "q_telemetry", "q_helpers")
 
 
 def _all(what: str) -> dict:
