@@ -196,7 +196,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, ba
     windows, owner = [], []
     for i, d in enumerate(docs):
         for a in window_starts(len(d)):
-            w = np.full(WINDOW, -1, dtype=np.int64)
+            w = np.full(WINDOW, -1, dtype=np.int32)
             w[: len(d[a : a + WINDOW])] = d[a : a + WINDOW]
             windows.append(w)
             owner.append(i)
@@ -232,9 +232,13 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, ba
     return net
 
 
-def driven(net: Network, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    x = net.inputs(words)
-    return x @ net.p["Wf"] + net.p["cf"], x @ net.p["Wb"] + net.p["cb"]
+def driven(net: Network, words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """What both directions make of each word's input, some words at a time, as n-grams are many."""
+    f, b = (np.empty((len(words), 3 * HIDDEN), dtype=np.float32) for _ in "fb")
+    for k in range(0, len(words), step):
+        x = net.inputs(words[k : k + step])
+        f[k : k + step], b[k : k + step] = x @ net.p["Wf"] + net.p["cf"], x @ net.p["Wb"] + net.p["cb"]
+    return f, b
 
 
 class Scorer:
