@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What ends a line, and white space, as Unicode text functions see them.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-SPACE = "[\t-\r\x1c-\x20\x85\xa0  -     　]"
-TOKEN = "[A-Za-z0-9]{2,}|[฀-๿]{2,}"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+TOKEN = "[A-Za-z0-9]{2,}|[\u0e00-\u0e7f]{2,}"
 
 
 def col(c) -> Column:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: endings of hosts that aren't public.
 BLOCKED = (".local", ".localhost", ".internal", ".test", ".invalid", ".example", ".home.arpa", ".onion")
 LABEL = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def idna(hosts: pd.Series) -> pd.Series:
     def one(h: str | None) -> str | None:
         try:

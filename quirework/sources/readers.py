@@ -104,7 +104,7 @@ def csv_lines(cells: DataFrame) -> DataFrame:
     width = cells.groupBy("page_id").agg((F.max("col") + 1).alias("width"))
     rows = cells.groupBy("page_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", quoted))).alias("m")).join(width, "page_id")
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))), ",")
-    return rows.select("page_id", "row", F.concat(F.when(F.col("row") == 0, "﻿").otherwise(""), line, F.lit("\r")).alias("line"))
+    return rows.select("page_id", "row", F.concat(F.when(F.col("row") == 0, "\ufeff").otherwise(""), line, F.lit("\r")).alias("line"))
 
 
 def write_page_csv(cells: DataFrame, path: str) -> None:

@@ -163,7 +163,7 @@ def admit_storage(uploads: DataFrame, policies: DataFrame) -> DataFrame:
 
 def ingest_stream(spark: SparkSession, folder: str, owner: str, hours: int = 24) -> DataFrame:
     """STR10: landed files as file records, without their content."""
-    landed = spark.readStream.format("binaryFile").load(folder)
+    landed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     return landed.select(safe_filename("path").alias("original_name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.lit(owner).alias("source_system"), F.col("modificationTime").alias("created_at"), (F.col("modificationTime") + F.expr(f"INTERVAL {hours} HOURS")).alias("expires_at"))
 
 

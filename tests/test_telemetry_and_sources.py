@@ -92,7 +92,7 @@ def test_page_csv(spark, tmp_path):
     cells = spark.createDataFrame([("p", 0, 0, "Name"), ("p", 0, 1, 'Q"ty'), ("p", 1, 0, "a,b")], "page_id string, row int, col int, text string")
     readers.write_page_csv(cells, str(tmp_path / "csv"))
     out = [f.read_bytes() for f in (tmp_path / "csv").rglob("*.txt")]
-    assert out == ['﻿Name,"Q""ty"\r\n"a,b",\r\n'.encode()]
+    assert out == ['\ufeffName,"Q""ty"\r\n"a,b",\r\n'.encode()]
 
 
 def test_maintenance_batches_are_written_once(spark, tmp_path):

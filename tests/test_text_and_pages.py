@@ -34,12 +34,13 @@ def test_fragments_and_summary(spark, frags):
     assert [r.text for r in text.fragments(long).orderBy("idx").collect()] == ["a" * 340, "line with spaces here"]
 
 
-def test_summary_needs_one_shuffle(frags):
-    plan = text.extractive_summary(frags)._jdf.queryExecution().executedPlan().toString()
-    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 2  # the second is the same one, reused
+def test_summary_is_shuffled_by_document_only(frags):
+    plan = text.extractive_summary(frags)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and all("hashpartitioning(doc_id" in x and "token" not in x.split("hashpartitioning(")[1].split(")")[0] for x in exchanges)
 
 
-@pytest.mark.parametrize(("s", "want"), [("a\r\nb\n\nc\n", ["a", "b", "", "c"]), ("", []), ("x y ", ["x", "y"]), (None, [])])
+@pytest.mark.parametrize(("s", "want"), [("a\r\nb\n\nc\n", ["a", "b", "", "c"]), ("", []), ("x\u2028y\x85", ["x", "y"]), (None, [])])
 def test_lines(spark, s, want):
     assert spark.createDataFrame([(s,)], "s string").select(ft.lines("s")).first()[0] == want
 
