@@ -7,11 +7,12 @@
    empty bin chooses on its own). Bands of `rows` bins are the buckets.
 3. In each bucket all members are tried with one centre, so a bucket of n gives n - 1 pairs, not n * n / 2. Pairs
    whose signatures or sizes rule the threshold out are dropped; the others are confirmed on the full sets.
-4. Confirmed links are joined to components. In buckets that still hold several, each member's own shingles, which no
-   other member of such buckets has, bound its similarity to any other: a copy with many edits of its own can be
-   linked with nobody and is tried no more. The others are tried with the member that shares most, and at last with
-   every member of another component. So no link of documents that share a bucket is lost, and a group of thousands
-   of near copies, linked or not, doesn't give all its pairs.
+4. Confirmed links are joined to components. In buckets that still hold several, a member's similarity to any other is
+   bounded by how many of its shingles others have: a copy with many edits of its own can be linked with nobody and
+   is tried no more. In crowded buckets only shingles that many members have count; pairs that share a rare one are
+   found through it. What the bound allows is tried with the member that shares most, and at last with every member
+   of another component. So no link of documents that share a bucket is lost, and a group of thousands of near
+   copies, linked or not, doesn't give all its pairs.
 
 Rules: a null or wordless text has an empty set and no link. A text with fewer words than a shingle has its word
 sequence as its one shingle. A null doc_id is linked with nothing and kept. Rows that repeat a doc_id are one
@@ -36,7 +37,8 @@ BINS, ROWS = 150, 5
 LEAST_AGREEMENT = 0.6
 #: A set of ids below this number is broadcast (16 MB at most); larger ones are joined by shuffle.
 SMALL_IDS = 1_000_000
-MASK = (1 << 64) - 1
+#: A bucket of more members is crowded; in crowds, a shingle that at most RARE members hold is rare.
+CROWD, RARE = 64, 10
 #: Odd multipliers for the words of a shingle; those of the generators in Knuth, L'Ecuyer and Vigna.
 MULTIPLIERS = [6364136223846793005, 3935559000370003845, 2862933555777941757, 7664345821815920749, 3202034522624059733, 4768777513237032717, 1181783497276652981, 2685821657736338717]
 
@@ -193,8 +195,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def shared_shingles(docs: DataFrame, reps: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, n and shared: the size of each set, and how many of its shingles any other of the ids has too."""
+def shingle_rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id and shingle: the sets of the documents among ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -204,7 +206,12 @@ def shared_shingles(docs: DataFrame, reps: DataFrame, ids: DataFrame, size: int)
                 owners = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(np.concatenate(sets) if sets else [], pa.int64())], names=["id", "shingle"])
 
-    rows = among(docs.select(F.col("doc_id").cast("long"), "text"), ids).mapInArrow(run, "id long, shingle long")
+    return among(docs.select(F.col("doc_id").cast("long"), "text"), ids).mapInArrow(run, "id long, shingle long")
+
+
+def shared_shingles(docs: DataFrame, reps: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, n and shared: the size of each set, and how many of its shingles any other of the ids has too."""
+    rows = shingle_rows(docs, ids, size)
     own = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
     sizes = among(reps.select("doc_id", "n_shingles"), ids).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     return sizes.join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
@@ -235,31 +242,51 @@ def find_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     new = cut(likely(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), reps, percent))
     tried, links = new, cut(confirmed(new, own, size, percent))
     labels = components(links)
-    for turn in range(2):
+
+    def unsettled(labels: DataFrame) -> DataFrame:
+        """id, bucket, label and members of the buckets that hold several components."""
         rows = buckets.join(labels.toDF("id", "component"), "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("label"))
         mixed = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "members")
-        rows = attach_groups(rows, mixed, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner").drop("members")
-        if turn == 0:
-            rows = cut(rows)
-            shared = cut(shared_shingles(own, reps, cut(rows.select(F.col("id").alias("doc_id")).distinct()), size))
-        rows = cut(rows.join(shared, "id"))
-        if turn == 0:
-            rank = F.struct(-F.col("shared") / F.col("n"), "id")
-            best = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "id", "label", "n", "shared")).alias("c"), F.count("*").alias("members"))
-            best = best.select("bucket", "members", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "label", "n", "shared")])
-            star = attach_groups(rows, best, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner")
-            star = star.where("label <> c_label").where(may_link("n", "shared", "c_n", "c_shared", percent))
-            pairs = star.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b"))
-        else:
-            other = rows.toDF("o_id", "bucket", "o_label", "o_n", "o_shared")
-            met = rows.join(other, (rows["bucket"] == other["bucket"]) & (F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")) & may_link("n", "shared", "o_n", "o_shared", percent))
-            pairs = met.select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+        return cut(attach_groups(rows, mixed, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner"))
+
+    rows = unsettled(labels)
+    facts = cut(shared_shingles(own, reps, cut(rows.select(F.col("id").alias("doc_id")).distinct()), size))
+    crowd = cut(rows.where(F.col("members") > CROWD).select(F.col("id").alias("doc_id")).distinct())
+    crowded = crowd.limit(1).count() > 0
+    if crowded:
+        sets = written(shingle_rows(own, crowd, size), "near-crowd")
+        spread = cut(sets.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1"))
+        common = attach_groups(sets, spread.where(F.col("holders") > RARE), "shingle", "holders", sets.count(), F.xxhash64("id", "shingle"), how="inner")
+        facts = cut(facts.join(common.groupBy("id").agg(F.count("*").alias("common")), "id", "left"))
+    else:
+        facts = facts.withColumn("common", F.lit(0))
+    held = F.when(F.col("members") > CROWD, F.coalesce("common", F.lit(0))).otherwise(F.col("shared"))
+
+    def settle(labels: DataFrame, links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        nonlocal tried
         new = cut(likely(pairs.distinct().join(tried, ["a", "b"], "left_anti"), reps, percent))
         if not new.limit(1).count():
-            continue
+            return labels, links
         tried = tried.union(new)
         links = links.union(cut(confirmed(new, own, size, percent)))
-        labels = components(links)
+        return components(links), links
+
+    rows = rows.join(facts, "id").withColumn("held", held)
+    best = rows.groupBy("bucket").agg(F.min(F.struct((-F.col("held") / F.col("n")).alias("rank"), "id", "label", "n", "held")).alias("c"), F.first("members").alias("members"))
+    best = best.select("bucket", "members", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "label", "n", "held")])
+    star = attach_groups(rows.drop("members"), best, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner")
+    star = star.where("label <> c_label").where(may_link("n", "held", "c_n", "c_held", percent))
+    labels, links = settle(labels, links, star.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")))
+    rows = unsettled(labels).join(facts, "id").withColumn("held", held).select("bucket", "id", "label", "n", "held")
+    other = rows.toDF("bucket", "o_id", "o_label", "o_n", "o_held")
+    met = rows.join(other, (rows["bucket"] == other["bucket"]) & (F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")) & may_link("n", "held", "o_n", "o_held", percent))
+    pairs = met.select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+    if crowded:
+        few = sets.join(spread.where(F.col("holders") <= RARE).select("shingle"), "shingle").join(labels.toDF("id", "component"), "id", "left").select("shingle", "id", F.coalesce("component", "id").alias("label"))
+        twin = few.toDF("shingle", "o_id", "o_label")
+        met = few.join(twin, (few["shingle"] == twin["shingle"]) & (F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")))
+        pairs = pairs.union(met.select(F.col("id").alias("a"), F.col("o_id").alias("b")))
+    labels, links = settle(labels, links, pairs)
     # each row's class by its doc_id, then the component of the class
     of_class = attach_groups(known.select("doc_id", "words_hash"), classes, "words_hash", "copies", n, F.xxhash64("doc_id").cast("string").cast("binary"), how="inner")
     linked = labels.withColumnRenamed("doc_id", "rep").join(classes.select("rep", "copies"), "rep")

@@ -34,10 +34,12 @@ from quirework.llm.near_dedup import mix
 MOST_TOXIC, MOST_CLEAN, LONGEST = 2500, 3500, 8000
 #: Words in a window, and from one to the next.
 WINDOW, STEP = 48, 24
-WORD_BUCKETS, GRAM_BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 13, 1 << 15, 8, 8, 8
+WORD_BUCKETS, GRAM_BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 1 << 16, 8, 8, 8
 GRAMS = (3, 4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 200_000
+#: Pull of the embeddings towards nothing.
+DECAY = {"words": 1e-5, "grams": 1e-5}
 THRESHOLD = 0.7
 
 
@@ -86,7 +88,8 @@ class Network:
     def __init__(self, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
         d = 2 * WIDTH
-        self.p = {"words": r.normal(0, 0.1, (WORD_BUCKETS, WIDTH)), "grams": r.normal(0, 0.1, (GRAM_BUCKETS, WIDTH)), "A": r.normal(0, 0.4, (2 * HIDDEN, ATTENTION)), "a": np.zeros(ATTENTION), "v": r.normal(0, 0.4, ATTENTION), "o": r.normal(0, 0.4, 2 * HIDDEN), "q": np.zeros(1)}
+        # embeddings start at nothing, so that what was never learnt says nothing
+        self.p = {"words": np.zeros((WORD_BUCKETS, WIDTH)), "grams": np.zeros((GRAM_BUCKETS, WIDTH)), "A": r.normal(0, 0.4, (2 * HIDDEN, ATTENTION)), "a": np.zeros(ATTENTION), "v": r.normal(0, 0.4, ATTENTION), "o": r.normal(0, 0.4, 2 * HIDDEN), "q": np.zeros(1)}
         for s in "fb":
             self.p |= {f"W{s}": r.normal(0, d**-0.5, (d, 3 * HIDDEN)), f"U{s}": r.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)), f"c{s}": np.zeros(3 * HIDDEN)}
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
@@ -181,11 +184,13 @@ class Network:
         return loss, g
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, batch: int = 96) -> Network | None:
-    """Adam on documents' highest windows."""
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, batch: int = 96, steps: int = 240) -> Network | None:
+    """Adam on documents' highest windows, at least so many epochs and about so many steps; small samples have small batches."""
     labels = np.asarray(labels, dtype=np.float32)
     if not len(labels) or labels.min() == labels.max():
         return None
+    batch = min(batch, max(16, len(texts) // 12))
+    epochs = max(epochs, -(-steps * batch // len(texts)))
     net, rng = Network(seed), np.random.default_rng(seed)
     place: dict[str, int] = {}
     docs = [np.asarray([place.setdefault(w, len(place)) for w in words_of(t)], dtype=np.int64) for t in texts]
@@ -202,6 +207,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, ba
             owner.append(i)
     at, owner = np.asarray(windows).T, np.asarray(owner)
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    # a word or n-gram of one document alone could only be learnt by heart
+    live = common(docs, vocabulary)
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -225,13 +232,22 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, ba
             _, g = net.gradient([vocabulary[i] for i in used], inner, labels[k], weight[k] / len(k))
             step += 1
             for name, v in net.p.items():
-                x = g[name].astype(np.float32) + np.float32(1e-5) * v
+                x = g[name].astype(np.float32) * live.get(name, np.float32(1)) + np.float32(DECAY.get(name, 1e-5)) * v
                 m1[name] += np.float32(0.1) * (x - m1[name])
                 m2[name] += np.float32(0.01) * (x * x - m2[name])
                 net.p[name] = v - np.float32(rate / (1 - 0.9**step)) * m1[name] / (np.sqrt(m2[name] / np.float32(1 - 0.99**step)) + np.float32(1e-7))
     return net
 
 
+def common(docs: list[np.ndarray], vocabulary: list[str], least: int = 3) -> dict[str, np.ndarray]:
+    """Which embeddings are met in `least` documents or more, as columns of 0 and 1."""
+    n = np.bincount(np.concatenate([np.unique(d) for d in docs]) if docs else [], minlength=len(vocabulary))
+    gb, counts = gram_buckets(vocabulary)
+    words = np.bincount(word_bucket(vocabulary), weights=n, minlength=WORD_BUCKETS)
+    grams = np.bincount(gb, weights=np.repeat(n, counts), minlength=GRAM_BUCKETS)
+    return {"words": (words >= least).astype(np.float32)[:, None], "grams": (grams >= least).astype(np.float32)[:, None]}
+
+
 def driven(net: Network, words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """What both directions make of each word's input, some words at a time, as n-grams are many."""
     f, b = (np.empty((len(words), 3 * HIDDEN), dtype=np.float32) for _ in "fb")
