@@ -255,9 +255,13 @@ def find_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     crowded = crowd.limit(1).count() > 0
     if crowded:
         sets = written(shingle_rows(own, crowd, size), "near-crowd")
-        spread = cut(sets.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1"))
-        common = attach_groups(sets, spread.where(F.col("holders") > RARE), "shingle", "holders", sets.count(), F.xxhash64("id", "shingle"), how="inner")
-        facts = cut(facts.join(common.groupBy("id").agg(F.count("*").alias("common")), "id", "left"))
+        rare = cut(sets.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("id").alias("id")).where(F.col("holders") <= RARE))
+        alone = rare.where("holders = 1").groupBy("id").agg(F.count("*").alias("alone"))
+        few = cut(sets.join(rare.where("holders > 1").select("shingle"), "shingle"))
+        others = few.groupBy("id").agg(F.count("*").alias("few"))
+        counted = cut(crowd.withColumnRenamed("doc_id", "id")).join(alone, "id", "left").join(others, "id", "left").na.fill(0)
+        facts = facts.join(counted, "id", "left").withColumn("common", F.col("n") - F.col("alone") - F.col("few"))
+        facts = cut(facts.select("id", "n", "shared", "common"))
     else:
         facts = facts.withColumn("common", F.lit(0))
     held = F.when(F.col("members") > CROWD, F.coalesce("common", F.lit(0))).otherwise(F.col("shared"))
@@ -282,7 +286,7 @@ def find_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     met = rows.join(other, (rows["bucket"] == other["bucket"]) & (F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")) & may_link("n", "held", "o_n", "o_held", percent))
     pairs = met.select(F.col("id").alias("a"), F.col("o_id").alias("b"))
     if crowded:
-        few = sets.join(spread.where(F.col("holders") <= RARE).select("shingle"), "shingle").join(labels.toDF("id", "component"), "id", "left").select("shingle", "id", F.coalesce("component", "id").alias("label"))
+        few = few.join(labels.toDF("id", "component"), "id", "left").select("shingle", "id", F.coalesce("component", "id").alias("label"))
         twin = few.toDF("shingle", "o_id", "o_label")
         met = few.join(twin, (few["shingle"] == twin["shingle"]) & (F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")))
         pairs = pairs.union(met.select(F.col("id").alias("a"), F.col("o_id").alias("b")))
