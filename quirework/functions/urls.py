@@ -9,6 +9,8 @@ from pyspark.sql.types import StringType
 
 #: Fixed value: endings of hosts that aren't public.
 BLOCKED = (".local", ".localhost", ".internal", ".test", ".invalid", ".example", ".home.arpa", ".onion")
+#: Characters of a path that stay as they are.
+KEPT = "^[A-Za-z0-9/%:@!$&'()*+,;=._~-]$"
 LABEL = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 
 
@@ -56,6 +58,6 @@ def judge(rows: DataFrame, u, authority, port) -> DataFrame:
         .when(~host.rlike(rf"^{LABEL}(?:\.{LABEL})*$"), "label")
     )
     path = F.regexp_extract(u, r"^https://[^/?#]*([^?#]*)", 1)
-    safe = F.when(path == "", "/").when(path.rlike("^[\\x21-\\x7e]*$"), path).otherwise(F.url_encode(path))
-    safe = F.when(path.rlike("[^\\x00-\\x7f]"), F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/"))).otherwise(safe)
+    coded = F.transform(F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0)), lambda ch: F.when(ch.rlike(KEPT), ch).otherwise(F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", r"%$1")))
+    safe = F.when(path == "", "/").otherwise(F.array_join(coded, ""))
     return out.withColumn("reason", reason).withColumn("path", F.when(F.col("reason").isNull(), safe)).withColumn("host", F.when(F.col("reason").isNull(), F.col("host"))).drop("_raw", "_wide")

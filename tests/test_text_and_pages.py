@@ -179,6 +179,11 @@ def test_urls(spark, url, host, reason):
     assert (r.host, r.reason) == (host, reason)
 
 
+@pytest.mark.parametrize(("url", "path"), [("https://a.com", "/"), ("https://a.com//x/é<b>:@", "//x/%C3%A9%3Cb%3E:@")])
+def test_url_paths(spark, url, path):
+    assert urls.validate_urls(spark.createDataFrame([(url,)], "url string")).first().path == path
+
+
 def test_registry(spark, four_pages):
     with pytest.raises(ValueError):
         registry.apply_operation("nonsense", [four_pages])
