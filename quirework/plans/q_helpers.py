@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,3 +133,23 @@ def _(documents, plans, doc_pages):
            LEFT JOIN (SELECT doc_id, count(*) AS pages FROM {asked} a, LATERAL page_range(a.expression, a.total) GROUP BY doc_id) p ON p.doc_id = CAST(d.doc_id AS STRING)""",
         documents=documents, asked=asked,
     )
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirework-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src1_newest_audit_lines", "audit_events", "SELECT event, actor, resource_id, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM audit_events ORDER BY ts DESC, event_id DESC LIMIT 200")
+def _(audit):
+    path = folder(audit.sparkSession, "audit")
+    lines = audit.select(F.col("ts").alias("timestamp"), "event", "actor", "resource_type", "resource_id", F.lit(None).cast("map<string,string>").alias("details"))
+    readers.write_audit(lines, path)
+    return readers.read_audit(audit.sparkSession, path, 200).select("event", "actor", "resource_id", F.unix_timestamp("timestamp").alias("at_s"))
+
+
+@query("src4_declared_table", "files", "SELECT id, size, CAST(created_at AS VARCHAR) AS created_at FROM files")
+def _(files):
+    path = folder(files.sparkSession, "files")
+    files.write.parquet(path)
+    return readers.load_table(files.sparkSession, "files", path).select("id", "size", F.col("created_at").cast("string").alias("created_at"))
