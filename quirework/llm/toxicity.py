@@ -37,7 +37,7 @@ WINDOW, STEP = 48, 24
 WORD_BUCKETS, GRAM_BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 1 << 16, 8, 8, 8
 GRAMS = (3, 4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Pull of the embeddings towards nothing.
 DECAY = {"words": 1e-5, "grams": 1e-5}
 THRESHOLD = 0.7
@@ -349,6 +349,7 @@ def with_scores(docs: DataFrame, model: Model | None, text: str = "text", keep:
             for at in range(0, whole.num_rows, 400):
                 batch = whole.slice(at, 400)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scorer.score(batch.column(text).to_pylist()), pa.float64())], names=schema.names)
+        scorer.forget()  # a worker may serve other stages next
 
     return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
 
