@@ -59,6 +59,22 @@ def _(documents):
     return markup.parse_email(mails).select("doc_id", F.sha2("text", 256).alias("text"), "reason")
 
 
+@query("txt10_whole_emails", "documents", """, m AS (SELECT doc_id, text IS NULL OR lang IS NULL AS gone, doc_id % 3 <> 1 AND contains(text, chr(0)) AS nul, 'From: src@example.com' || chr(10) || 'To: ' || lang || '@example.com' || chr(10) || 'Date: ' || chr(10) || 'Subject: Report ' || doc_id || chr(10) || chr(10) AS head,
+        CASE doc_id % 3 WHEN 0 THEN text || chr(10) WHEN 1 THEN text ELSE lang || chr(10) || chr(10) || chr(10) || text || chr(10) END AS body FROM documents),
+    r AS (SELECT doc_id, head, body, CASE WHEN gone THEN 'missing' WHEN nul THEN 'too large or unsafe' WHEN regexp_full_match(body, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]*') OR length(body) > 200000 THEN 'empty or too long' END AS reason FROM m)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN reason IS NULL THEN sha256(head || body) END AS text, reason FROM r""")
+def _(documents):
+    """Every document's whole text as a message: 8bit, base64, or multipart with an attachment that is no part of the text."""
+    k, d, plain = F.col("doc_id") % 3, F.col("doc_id").cast("string"), "Content-Type: text/plain; charset=utf-8\n"
+    head = F.concat(F.lit("From: src@example.com\nTo: "), "lang", F.lit("@example.com\nSubject: Report "), d, F.lit("\nMIME-Version: 1.0\n"))
+    eight, coded, edge = F.lit(plain + "Content-Transfer-Encoding: 8bit\n\n"), F.lit(plain + "Content-Transfer-Encoding: base64\n"), F.sha2("text", 256)
+    between = F.concat(F.lit("\n--"), edge, F.lit("\n"))
+    parts = F.concat(F.lit('Content-Type: multipart/mixed; boundary="'), edge, F.lit('"\n'), between, eight, "lang", F.lit("\n"), between, eight, "text", F.lit("\n"), between, coded, F.lit("Content-Disposition: attachment\n\n"), F.base64("text"), F.lit("\n--"), edge, F.lit("--\n"))
+    body = F.when(k == 0, F.concat(eight, "text", F.lit("\n"))).when(k == 1, F.concat(coded, F.lit("\n"), F.base64("text"), F.lit("\n"))).otherwise(parts)
+    mails = documents.select(d.alias("doc_id"), F.concat(head, body).alias("content"))
+    return markup.parse_email(mails).select("doc_id", F.sha2("text", 256).alias("text"), "reason")
+
+
 @query("txt11_csv_cells", "documents", """, c AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE doc_id % 3 WHEN 0 THEN [['id', 'lang', 'note'], [CAST(doc_id AS VARCHAR), lang, 'a,"b"']] WHEN 1 THEN [['id', 'lang', ''], [CAST(doc_id AS VARCHAR), lang, source]] END AS rows FROM documents)
     SELECT doc_id, i - 1 AS row, j - 1 AS col, rows[i][j] AS value FROM (SELECT doc_id, rows, unnest([1, 1, 1, 2, 2, 2]) AS i, unnest([1, 2, 3, 1, 2, 3]) AS j FROM c WHERE rows IS NOT NULL)""")
 def _(documents):
