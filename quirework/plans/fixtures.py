@@ -24,6 +24,7 @@ class SparkSQL:
     pages = """SELECT CAST(doc_id AS STRING) AS doc_id, p + 1 AS page_no, page AS text, 595D AS width, 842D AS height, 0 AS rotation FROM (
         SELECT doc_id, posexplode(transform(sequence(0, (size(lines) - 1) div 10), i -> array_join(slice(lines, i * 10 + 1, 10), '\\n'))) AS (p, page)
         FROM (SELECT doc_id, split(text, '\\n', -1) AS lines FROM documents WHERE text IS NOT NULL))"""
+    sentences = """SELECT conv_id, turn, i, s AS question FROM (SELECT conv_id, turn, posexplode(split(regexp_replace(text, '([.!?])[ \\t]+', '$1\n'), '[\r\n]+', -1)) AS (i, s) FROM conversations WHERE role = 'user')"""
     quantile = staticmethod(lambda x, q: f"percentile({x}, {q})")
     double = "DOUBLE"
 
@@ -34,6 +35,7 @@ class DuckSQL:
     json_list = staticmethod(lambda x: f"'[\"' || string_agg(DISTINCT {x}, '\",\"' ORDER BY {x}) || '\"]'")
     pages = """SELECT CAST(doc_id AS STRING) AS doc_id, CAST(p + 1 AS INTEGER) AS page_no, array_to_string(lines[p * 10 + 1:p * 10 + 10], chr(10)) AS text, 595.0::DOUBLE AS width, 842.0::DOUBLE AS height, 0 AS rotation FROM (
         SELECT doc_id, lines, unnest(range(0, (len(lines) - 1) // 10 + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))"""
+    sentences = """SELECT conv_id, turn, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS question FROM (SELECT conv_id, turn, string_split_regex(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), '[\\r\\n]+') AS l FROM conversations WHERE role = 'user')"""
     quantile = staticmethod(lambda x, q: f"quantile_cont({x}, {q})")
     double = "DOUBLE"
 
@@ -96,6 +98,8 @@ FIXTURES: dict[str, tuple[tuple[str, ...], Callable]] = {
     "doc_pages": (("documents",), lambda d: d.pages),
     "questions": (("conversations", "n_docs"), lambda d: """SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS question_id, CAST(conv_id % n AS STRING) AS doc_id, substr(text, 1, 60) AS question, substr(previous, 1, 60) AS previous_question
         FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user') CROSS JOIN n_docs"""),
+    "whole_questions": (("conversations", "n_docs"), lambda d: f"""SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING), '-', CAST(i AS STRING)) AS question_id, CAST(conv_id % n AS STRING) AS doc_id, question, lag(question) OVER (PARTITION BY conv_id ORDER BY turn, i) AS previous_question
+        FROM ({d.sentences}) CROSS JOIN n_docs WHERE trim(question) <> ''"""),
     "spans": (("orders",), lambda d: f"""SELECT CAST(o_orderkey AS STRING) AS page_id, CAST(cell AS INT) AS seq, CAST(20 + (cell % 3) * 50 + (o_orderkey % 7) * (cell % 2) + CASE WHEN o_orderkey % 17 = 0 AND cell = 5 THEN 200 ELSE 0 END AS DOUBLE) AS x,
             CAST(697 - floor(cell / 3) * 20 - CASE WHEN o_orderkey % 19 = 0 AND cell = 4 THEN 20 ELSE 0 END AS DOUBLE) AS y, CASE WHEN o_orderkey % 23 = 0 AND cell = 7 THEN ' =sum' ELSE concat('v', CAST(o_orderkey AS STRING), '-', CAST(cell AS STRING)) END AS text
         FROM orders CROSS JOIN ({_CELLS}) WHERE o_orderkey % 3 <> 1 OR (o_orderkey + cell) % 5 <> 0"""),

@@ -84,6 +84,15 @@ def _(doc_pages, questions):
     return text.evidence(text.fragments(doc_pages), questions)
 
 
+@query("win3_whole_evidence", "doc_pages whole_questions")
+def _(doc_pages, questions):
+    """Every sentence of every user turn asks, whole, with the sentence before it; too long ones are the operator's to refuse."""
+    return text.evidence(text.fragments(doc_pages), questions)
+
+
+ORACLES["win3_whole_evidence"] = ctes("doc_pages", "whole_questions") + ", questions AS (SELECT * FROM whole_questions)" + ORACLES["win3_evidence"].removeprefix(ctes("doc_pages", "questions"))
+
+
 @query("win4_previous_question", "conversations", "SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_question FROM conversations WHERE role = 'user'")
 def _(conversations):
     return text.with_previous_question(conversations).select("conv_id", "turn", "previous_question")

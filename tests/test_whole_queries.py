@@ -28,3 +28,13 @@ def test_whole_emails(spark, odd_dir):
     want = {i: (digest(head.format(i) + b), None) for i, b in bodies.items()}
     want |= {i: (None, "empty or too long") for i in (0, 1, 2, 7)} | {6: (None, "missing"), 12: (None, "too large or unsafe")}
     assert got == want
+
+
+def test_whole_evidence(spark, tmp_path):
+    spark.createDataFrame([(0, "The irrigation controller sends alerts.\nNothing else is written here.", "en", "src1", 70)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    late = "Please be so kind and tell me after all of these idle words about irrigation"
+    turns = [(0, 0, "user", f"{late}. And zzz?\n\n{'irrigation ' * 30}"), (0, 1, "assistant", "irrigation"), (0, 2, "user", "Qqq")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.question_id, r.idx, r.fallback) for r in registry.queries()["win3_whole_evidence"](spark, str(tmp_path)).collect()}
+    assert late.index("irrigation") > 60
+    assert got == {("0-0-0", 0, False), ("0-0-1", 0, True)}
