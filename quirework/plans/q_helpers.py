@@ -84,6 +84,19 @@ def _(documents):
     return cells.where("reason IS NULL").select("doc_id", "row", "col", "value")
 
 
+@query("txt11_whole_cells", "documents", """, c AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 7 = 3 AS open, string_split(text, chr(10)) AS l FROM documents),
+    r AS (SELECT doc_id, l, CASE WHEN l IS NULL THEN 'missing' WHEN open OR len(list_filter(l, lambda x: length(x) > 131072)) > 0 THEN 'malformed' WHEN len(l) > 999 OR len(list_filter(l, lambda x: length(x) > 2000)) > 0 THEN 'too large' END AS reason FROM c),
+    g AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS row FROM r WHERE reason IS NULL UNION ALL SELECT doc_id, NULL, 0 FROM r WHERE reason IS NULL)
+    SELECT doc_id, CAST(row AS INTEGER) AS row, CAST(j - 1 AS INTEGER) AS col, CASE WHEN row = 0 THEN ['id', 'line', 'note'][j] ELSE [doc_id, line, ''][j] END AS value, NULL::VARCHAR AS reason FROM g, (SELECT unnest([1, 2, 3]) AS j)
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, reason FROM r WHERE reason IS NOT NULL""")
+def _(documents):
+    """Every document as CSV, a row for each line of its text; refused ones keep their reason."""
+    d = F.col("doc_id").cast("string")
+    rows = F.transform(F.split("text", "\n", -1), lambda x: F.concat(d, F.lit(',"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"')))
+    content = F.concat(F.lit("id,line,note\r\n"), F.array_join(rows, "\r\n"), F.when(F.col("doc_id") % 7 == 3, '\r\n"open').otherwise("\r\n"))
+    return markup.normalize_csv(documents.select(d.alias("doc_id"), content.alias("content"))).select("doc_id", "row", "col", "value", "reason")
+
+
 @query("flt11_public_urls", "pages", r"""SELECT page_id, host, reason FROM (SELECT page_id, CASE WHEN reason IS NULL THEN h END AS host, reason FROM (SELECT page_id, h, CASE WHEN NOT starts_with(u, 'https://') THEN 'not HTTPS' WHEN regexp_matches(u, '[?].') THEN 'query' WHEN regexp_matches(u, '#.') THEN 'fragment'
     WHEN ends_with(h, '.example') OR ends_with(h, '.test') OR ends_with(h, '.local') THEN 'not public' END AS reason FROM (SELECT page_id, u, lower(regexp_extract(u, '^https://([^/?#:]*)', 1)) AS h FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url || '?q=1' WHEN page_id % 7 = 0 THEN replace(url, 'https://', 'http://') ELSE url END AS u FROM pages))))""")
 def _(web):
@@ -105,6 +118,17 @@ def _(documents):
     return readers.sniff_type(files).select("doc_id", "content_type")
 
 
+@query("txt3_whole_media_types", "documents", """SELECT doc_id, CASE WHEN text IS NOT NULL THEN CASE doc_id % 8 WHEN 0 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 3 THEN CASE WHEN strlen(text) <= 2097152 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'text/plain' END WHEN 5 THEN 'image/webp' END END AS content_type FROM documents""")
+def _(documents):
+    """Every document's whole text as a file: behind a header, plain, or with one bad byte at its end."""
+    k, d, whole = F.col("doc_id") % 8, F.col("doc_id").cast("string"), F.col("text").cast("binary")
+    ending = F.when(k == 0, ".PDF").when(k.isin(1, 2), ".png").when(k == 3, ".txt").when(k == 4, "").when(k == 5, ".webp").when(k == 6, ".md").otherwise(".csv")
+    head = F.when(k.isin(0, 1), "255044462D312E370A").when(k == 2, "89504E470D0A1A0A").when(k == 5, "524946460000000057454250").otherwise("")
+    last = F.when(k == 6, "00").when(k == 7, "FF").otherwise("")
+    files = documents.select("doc_id", F.concat(F.lit("landing/f"), d, ending).alias("path"), F.concat(F.unhex(head), whole, F.unhex(last)).alias("content"))
+    return readers.sniff_type(files).select("doc_id", "content_type")
+
+
 @query("src5_ingested_files", "documents", "SELECT 'f' || doc_id || '.txt' AS original_name, strlen(text) AS size, sha256(text) AS sha256, CASE WHEN NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'text/plain' END AS content_type FROM documents")
 def _(documents):
     files = documents.select(F.concat(F.lit("file:/landing/f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
@@ -127,6 +151,18 @@ def _(documents):
     return readers.audit_manifest(manifest, files)
 
 
+@query("src7_whole_audit", "documents", """, f AS (SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 'XPDF-1.7' || chr(10) || text || chr(10) || '%%EOF' WHEN doc_id % 9 = 5 THEN '%PDF-1.7' || chr(10) || '%%EOF' || chr(10) || text ELSE '%PDF-1.7' || chr(10) || text || chr(10) || '%%EOF' END AS body FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN doc_id % 10 = 0 OR body IS NULL THEN 'missing file' WHEN strlen(body) > 67108864 THEN 'wrong size' WHEN NOT starts_with(body, '%PDF-') OR NOT contains(hex(encode(body)[-4096:]), '2525454F46') THEN 'not a PDF' WHEN doc_id % 4 = 0 THEN 'checksum mismatch' ELSE 'ok' END AS status FROM f""")
+def _(documents):
+    """A case for each document, its whole text in both files; some have the end mark before the text, or a digest of other last bytes."""
+    d, start, end = F.col("doc_id"), F.lit("%PDF-1.7\n"), F.lit("%%EOF")
+    body = F.when(d % 14 == 0, F.concat(F.lit("XPDF-1.7\n"), "text", F.lit("\n"), end)).when(d % 9 == 5, F.concat(start, end, F.lit("\n"), "text")).otherwise(F.concat(start, "text", F.lit("\n"), end))
+    both = documents.where((d % 10 != 0) & F.col("text").isNotNull()).select(F.explode(F.array(F.lit("s"), F.lit("o"))).alias("side"), d, body.alias("b"))
+    files = both.select(F.concat(F.lit("/d/"), "side", d.cast("string")).alias("path"), F.octet_length("b").alias("length"), F.col("b").cast("binary").alias("content"))
+    manifest = documents.select(d.cast("string").alias("case_id"), F.concat(F.lit("s"), d.cast("string")).alias("source"), F.concat(F.lit("o"), d.cast("string")).alias("output"), F.sha2(body, 256).alias("source_sha256"), F.sha2(F.when(d % 4 == 0, F.concat(body, F.lit("x"))).otherwise(body), 256).alias("output_sha256"))
+    return readers.audit_manifest(manifest, files)
+
+
 @query("udf1_operations", "doc_pages", "SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) || ' / ' || count(*) OVER (PARTITION BY doc_id) AS label FROM doc_pages")
 def _(doc_pages):
     return registry.apply_operation("page-numbers", [doc_pages])

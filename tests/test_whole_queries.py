@@ -38,3 +38,17 @@ def test_whole_evidence(spark, tmp_path):
     got = {(r.question_id, r.idx, r.fallback) for r in registry.queries()["win3_whole_evidence"](spark, str(tmp_path)).collect()}
     assert late.index("irrigation") > 60
     assert got == {("0-0-0", 0, False), ("0-0-1", 0, True)}
+
+
+def test_whole_files(spark, tmp_path):
+    long = "long line\n" * 900
+    rows = [(5, long), (14, long), (15, long), (3, long), (6, long), (7, long), (8, long), (11, 'a,"b"\n\nc'), (1, "x" * 2001), (17, "y\n" * 999 + "y"), (10, None)]
+    spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    audit, kinds, cells = (registry.queries()[q](spark, str(tmp_path)).collect() for q in ("src7_whole_audit", "txt3_whole_media_types", "txt11_whole_cells"))
+    status = {int(r.case_id): r.status for r in audit}
+    assert len(status) == len(rows)
+    assert status == {5: "not a PDF", 14: "not a PDF", 15: "ok", 3: "ok", 6: "ok", 7: "ok", 8: "checksum mismatch", 11: "ok", 1: "ok", 17: "ok", 10: "missing file"}
+    assert {r.doc_id: r.content_type for r in kinds} == {5: "image/webp", 14: None, 15: None, 3: "text/plain", 6: None, 7: None, 8: "application/pdf", 11: "text/plain", 1: None, 17: None, 10: None}
+    assert {int(r.doc_id): r.reason for r in cells if r.reason} == {1: "too large", 17: "malformed", 3: "malformed", 10: "missing"}
+    assert sorted((r.row, r.col, r.value) for r in cells if r.doc_id == "11") == [(0, 0, "id"), (0, 1, "line"), (0, 2, "note"), (1, 0, "11"), (1, 1, 'a,"b"'), (1, 2, ""), (2, 0, "11"), (2, 1, ""), (2, 2, ""), (3, 0, "11"), (3, 1, "c"), (3, 2, "")]
+    assert sum(r.value == "long line" for r in cells if r.doc_id == "5") == 900
