@@ -64,6 +64,8 @@ FIXTURES: dict[str, tuple[tuple[str, ...], Callable]] = {
             n_chars + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS size, {d.minutes("doc_id * 7")} AS modified_at FROM documents WHERE doc_id % 11 <> 0
         UNION ALL SELECT 'processed', concat('obj-', CAST(doc_id AS STRING)), concat('processed/obj-', CAST(doc_id AS STRING)), n_chars, {d.minutes("doc_id * 7")} FROM documents WHERE doc_id % 17 = 0
         UNION ALL SELECT 'processed', concat('part-', CAST(p_partkey AS STRING)), concat('processed/part-', CAST(p_partkey AS STRING)), CAST(1 AS BIGINT), {d.minutes("p_partkey")} FROM part WHERE p_partkey < 50"""),
+    "all_storage_objects": (("storage_objects", "part"), lambda d: f"""SELECT * FROM storage_objects
+        UNION ALL SELECT 'processed', concat('part-', CAST(p_partkey AS STRING)), concat('processed/part-', CAST(p_partkey AS STRING)), CAST(1 AS BIGINT), {d.minutes("p_partkey")} FROM part WHERE p_partkey >= 50"""),
     "job_inputs": (("lineitem", "n_docs"), lambda d: f"""SELECT l_orderkey, {d.json_list("CAST(l_partkey % n AS STRING)")} AS ids,
             CAST(min(CASE WHEN l_linenumber = 1 THEN l_partkey % n END) AS STRING) AS first_id FROM lineitem CROSS JOIN n_docs GROUP BY l_orderkey"""),
     "jobs": (("orders", "job_inputs"), lambda d: f"""SELECT {_uuid("o_orderkey")} AS id, {_operation("o_orderkey")} AS operation, status, CASE status WHEN 'completed' THEN 100 WHEN 'running' THEN 40 ELSE 0 END AS progress,

@@ -290,6 +290,25 @@ def _(files, objects):
 ORACLES["top4_issue_page"] = f"SELECT * FROM ({ORACLES['join1_reconcile']}) ORDER BY category, stored_name, coalesce(file_id, ''), coalesce(location, '') LIMIT 60"
 
 
+@query("join1_whole_reconcile", "files all_storage_objects")
+def _(files, objects):
+    return c.reconcile(files, objects)
+
+
+@query("agg5_whole_summary", "files all_storage_objects")
+def _(files, objects):
+    return c.reconcile_summary(c.reconcile(files, objects), files, objects)
+
+
+@query("top4_whole_issue_page", "files all_storage_objects")
+def _(files, objects):
+    return c.issue_page(c.reconcile(files, objects), 60)
+
+
+for _whole, _old in (("join1_whole_reconcile", "join1_reconcile"), ("agg5_whole_summary", "agg5_reconcile_summary"), ("top4_whole_issue_page", "top4_issue_page")):
+    ORACLES[_whole] = ORACLES[_old].replace(" WHERE p_partkey < 50", "")
+
+
 @query("set7_scope_audit", "customer", """,
     k AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CASE c_custkey % 3 WHEN 0 THEN ['files:read', 'jobs:read'] WHEN 1 THEN ['jobs:write', 'odd:scope'] ELSE [] END AS own, CASE c_custkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'viewer' END AS role FROM customer),
     e AS (SELECT id, list_distinct(list_concat(list_concat(own, CASE WHEN role = 'viewer' THEN ['files:read'] ELSE [] END), CASE WHEN role = 'admin' THEN ['*'] ELSE [] END)) AS s FROM k)

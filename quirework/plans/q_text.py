@@ -218,6 +218,15 @@ def _(doc_pages, n_docs):
     return pages.merge_documents(doc_pages, plan).select("plan_id", "doc_id", "input_pos", "page_no", "new_page")
 
 
+@query("set4_whole_merges", "doc_pages documents n_docs", """, i AS (SELECT 'm' || k AS plan_id, unnest(ids) AS doc_id, generate_subscripts(ids, 1) - 1 AS input_pos FROM (SELECT doc_id AS k, [CAST(doc_id AS STRING), CAST((doc_id * 7) % n AS STRING), CAST(doc_id AS STRING)] AS ids FROM documents, n_docs))
+    SELECT plan_id, doc_id, CAST(input_pos AS INTEGER) AS input_pos, page_no, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY input_pos, page_no) AS INTEGER) AS new_page FROM i JOIN doc_pages USING (doc_id)""")
+def _(doc_pages, documents, n_docs):
+    """A merge for each document, so every document is merged."""
+    k = F.col("doc_id")
+    plan = documents.join(F.broadcast(n_docs)).select(F.concat(F.lit("m"), k.cast("string")).alias("plan_id"), F.array(k.cast("string"), (k * 7 % F.col("n")).cast("string"), k.cast("string")).alias("doc_ids"))
+    return pages.merge_documents(doc_pages, plan).select("plan_id", "doc_id", "input_pos", "page_no", "new_page")
+
+
 @query("set5_rotated_pages", "page_plans doc_pages", RESOLVED + " SELECT plan_id, doc_id, page_no, CAST(CASE WHEN list_contains(pages, page_no) THEN 270 ELSE 0 END AS INTEGER) AS rotation FROM doc_pages JOIN resolved USING (doc_id) WHERE pages IS NOT NULL")
 def _(plans, doc_pages):
     plan = pages.resolve_pages(plans, pages.page_counts(doc_pages)).where("pages IS NOT NULL").withColumn("degrees", F.lit(-90))

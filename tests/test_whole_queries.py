@@ -40,6 +40,19 @@ def test_whole_evidence(spark, tmp_path):
     assert got == {("0-0-0", 0, False), ("0-0-1", 0, True)}
 
 
+def test_whole_merges(spark, sf_dir):
+    merged = {r.doc_id for r in registry.queries()["set4_whole_merges"](spark, sf_dir).select("doc_id").distinct().collect()}
+    assert merged == {str(r.doc_id) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id").collect()}
+
+
+def test_whole_reconcile(spark, sf_dir):
+    issues = registry.queries()["join1_whole_reconcile"](spark, sf_dir)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    assert parts > 50 and issues.where("category = 'orphan_object' AND stored_name LIKE 'part-%'").count() == parts
+    summary = registry.queries()["agg5_whole_summary"](spark, sf_dir).first()
+    assert summary.orphan_object >= parts and "WHERE p_partkey < 50" not in registry.oracle_sql()["agg5_whole_summary"]
+
+
 def test_whole_files(spark, tmp_path):
     long = "long line\n" * 900
     rows = [(5, long), (14, long), (15, long), (3, long), (6, long), (7, long), (8, long), (11, 'a,"b"\n\nc'), (1, "x" * 2001), (17, "y\n" * 999 + "y"), (10, None)]
