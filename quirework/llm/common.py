@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quirework-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -31,27 +33,57 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like cut(), as compressed Parquet; for tables that are read several times with different columns."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/quirework-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_written(spark: SparkSession) -> None:
+    """Delete all tables that written() has made for this application; call it when their results have been stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/quirework-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them (in any case)."""
+    taken = {c.lower() for c in columns}
+    end = ""
+    while any((n + end).lower() in taken for n in names):
+        end += "_"
+    return [n + end for n in names]
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: Column, heavy: int = 1000, how: str = "left") -> DataFrame:
-    """Add the columns of groups (one row per key) to rows, without one task per large group.
+    """Add the columns of groups (one small row per key) to rows, without one task per large group.
 
     A group with more than 1/heavy of the n_rows rows is heavy. There are fewer than `heavy` of those whatever
     the input, so they are broadcast; all others are joined by key. `spread` gives the rows of heavy groups some
     other key of the same type, so that they don't meet in one task of the second join. Null keys match nothing.
     """
     facts = [c for c in groups.columns if c != key]
-    packed = groups.select(F.col(key).alias("_k"), F.struct(*facts).alias("_f"))
-    is_heavy = F.col(f"_f.{size}") * heavy > n_rows
-    near = packed.where(is_heavy).withColumnsRenamed({"_k": "_k1", "_f": "_f1"})
-    far = packed.where(~is_heavy).withColumnsRenamed({"_k": "_k2", "_f": "_f2"})
-    out = rows.join(F.broadcast(near), F.col(key) == F.col("_k1"), "left")
-    out = out.withColumn("_k3", F.when(F.col("_f1").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread))
-    out = out.join(far, F.col("_k3") == F.col("_k2"), "left")
-    out = out.withColumn("_f", F.when(F.col(key).isNotNull(), F.coalesce("_f1", "_f2")))
+    k1, k2, k3, f1, f2, f = fresh([*rows.columns, *facts], "_k1", "_k2", "_k3", "_f1", "_f2", "_f")
+    packed = groups.select(F.col(key).alias(k1), F.struct(*facts).alias(f1))
+    is_heavy = F.col(f"{f1}.{size}") * heavy > n_rows
+    near, far = packed.where(is_heavy), packed.where(~is_heavy).withColumnsRenamed({k1: k2, f1: f2})
+    out = rows.join(F.broadcast(near), F.col(key) == F.col(k1), "left")
+    out = out.withColumn(k3, F.when(F.col(f1).isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread))
+    out = out.join(far, F.col(k3) == F.col(k2), "left")
+    out = out.withColumn(f, F.when(F.col(key).isNotNull(), F.coalesce(f1, f2)))
     if how == "inner":
-        out = out.where(F.col("_f").isNotNull())
-    return out.select(*rows.columns, "_f.*")
+        out = out.where(F.col(f).isNotNull())
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], f"{f}.*")
+
+
+def attach_large(rows: DataFrame, groups: DataFrame, key: str, size: str, salt: str, how: str = "inner", limit: int = 2000) -> DataFrame:
+    """Add the columns of groups, however large their values, to rows that hold the size of their group and a salt (a hash).
+
+    A group's row is copied once for each `limit` of its rows, and each copy is joined with its share of them, so no
+    task gets more than about `limit` rows of one group and nothing is broadcast.
+    """
+    facts = [c for c in groups.columns if c not in (key, size)]
+    share, k, s = fresh([*rows.columns, *facts], "_share", "_k", "_s")
+    copies = F.ceil(F.col(size) / limit).cast("int")
+    dealt = rows.withColumn(share, F.pmod(F.col(salt), copies).cast("int"))
+    held = groups.select(F.col(key).alias(k), *facts, F.explode(F.sequence(F.lit(0), copies - 1)).alias(s))
+    out = dealt.join(held, (F.col(key) == F.col(k)) & (F.col(share) == F.col(s)), how)
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *facts)

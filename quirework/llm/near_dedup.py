@@ -1,22 +1,33 @@
 """Near duplicates: one-permutation MinHash with optimal densification, banded buckets, star-shaped candidate edges.
 
 1. Each text becomes its set of distinct word shingles (64-bit hashes of lower-cased words). Texts of equal words are
-   one class; its smallest doc_id stands for it, so a large group of copies costs one representative.
+   one class, a node of the graph, so a large group of copies costs one node.
 2. One hash per shingle deals the set over `bins` bins; each bin keeps its minimum. An empty bin borrows from a bin
    that a hash of (bin, attempt) names, again and again until that one is not empty (optimal densification: each
    empty bin chooses on its own). Bands of `rows` bins are the buckets.
-3. In each bucket all members are tried with one centre, so a bucket of n gives n - 1 pairs, not n * n / 2. Pairs
-   whose signatures or sizes rule the threshold out are dropped; the others are confirmed on the full sets.
-4. Confirmed links are joined to components. In buckets that still hold several, a member's similarity to any other is
-   bounded by how many of its shingles others have: a copy with many edits of its own can be linked with nobody and
-   is tried no more. In crowded buckets only shingles that many members have count; pairs that share a rare one are
-   found through it. What the bound allows is tried with the member that shares most, and at last with every member
-   of another component. So no link of documents that share a bucket is lost, and a group of thousands of near
-   copies, linked or not, doesn't give all its pairs.
+3. A bucket belongs to the star of its member with the most bucket mates; as a cluster shares that member, most of its
+   buckets fall into one star. Two nodes of a bucket are in one star. A star of n nodes gives n - 1 candidate edges, all
+   to its centre.
+4. The edges a star lacks are found by what nodes differ in. Let C be the star's core (the shingles that most of a few
+   members hold); D is what a node lacks of C, A what it has beyond. For nodes u and v,
+
+       |u & v| = |C| - |Du| - |Dv| + |Du & Dv| + |Au & Av|.
+
+   With f(u) = (100 + percent) |Du| + percent |u|, nodes that share no element of A or D are linked just if
+   f(u) + f(v) <= (100 + percent) |C|. The centre is the node with the smallest f; if that sum holds for u and v, it
+   holds for u and the centre and for v and the centre. So such links never need an edge of their own. All other
+   links share a difference, and by the prefix principle one of a few: of the first (100 - percent) % of A, or, if
+   they share none of A, of the first |D| - t + 1 of D, where t is how far f(u) + f(centre) lies above the bound. D
+   counts only where sizes leave a link possible: |u & v| is then |C & u & v|, at most the smaller of |C & u| and
+   |C & v|. Nodes that share such a difference are a star of the next round, unless all are linked with the centre;
+   it is at most about half as large, as the core holds what most have. Rounds end when no star is left. So no link
+   inside a bucket is lost, without trying all its pairs.
+5. All counts are on full sets, so each link is exact. Links are joined to components.
 
 Rules: a null or wordless text has an empty set and no link. A text with fewer words than a shingle has its word
-sequence as its one shingle. A null doc_id is linked with nothing and kept. Rows that repeat a doc_id are one
-document, with the greatest of their texts. Extra columns pass through drop_near_copies(); they may not be named n_shingles, component_id or kept.
+sequence as its one shingle. A row with a null doc_id is linked with nothing and kept. Rows that repeat a doc_id are
+documents of their own; of a group, one row stays: one whose doc_id is the smallest. Extra columns of any name pass
+through drop_near_copies().
 """
 
 from __future__ import annotations
@@ -26,19 +37,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import attach_groups, cut, table, written
+from quirework.llm.common import attach_groups, attach_large, cut, fresh, table, written
 
 BINS, ROWS = 150, 5
-#: Signatures of pairs at the threshold agree in 80 % of the bins, give or take 3.3 %; none this low in 10**8.
-LEAST_AGREEMENT = 0.6
+#: Members of a star whose common shingles are its core, about. They only steer the search; links don't depend on them.
+CORE_MEMBERS = 15
 #: A set of ids below this number is broadcast (16 MB at most); larger ones are joined by shuffle.
 SMALL_IDS = 1_000_000
-#: A bucket of more members is crowded; in crowds, a shingle that at most RARE members hold is rare.
-CROWD, RARE = 64, 10
 #: Odd multipliers for the words of a shingle; those of the generators in Knuth, L'Ecuyer and Vigna.
 MULTIPLIERS = [6364136223846793005, 3935559000370003845, 2862933555777941757, 7664345821815920749, 3202034522624059733, 4768777513237032717, 1181783497276652981, 2685821657736338717]
 
@@ -55,9 +65,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of `size` words."""
-    words = words_of(text)
     if not words:
         return np.empty(0, dtype=np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
@@ -96,222 +105,271 @@ def signature(shingles: np.ndarray, bins: int, table_: np.ndarray) -> np.ndarray
     return mix(sig)
 
 
-FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("words_hash", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("words_hash", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
 
 
 def features(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """doc_id, hash of the words, size of the set, bucket ids and signature (16 bits a bin) of each text."""
+    """doc_id, hash of the words, size of the set and bucket ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borrow = donors(bins, 64 * 8)
         power = np.asarray([pow(MULTIPLIERS[0], k + 1, 1 << 64) for k in range(rows)], dtype=np.uint64)
         band_no = np.arange(bins // rows, dtype=np.uint64) * np.uint64(MULTIPLIERS[1])
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                hashes, sizes, bands, sigs = [], [], [], []
-                for text in batch.column("text").to_pylist():
-                    s = shingle_set(text, size)
-                    sizes.append(len(s))
-                    hashes.append(xxhash.xxh3_128_digest(b" ".join(words_of(text))) if len(s) else None)
-                    if len(s):
-                        sig = signature(s, bins, borrow)
-                        sigs.append(sig.astype("<u2").tobytes())
-                        bands.append(mix((sig.reshape(-1, rows) * power).sum(axis=1, dtype=np.uint64) + band_no).view(np.int64))
-                    else:
-                        sigs.append(None)
-                        bands.append(None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=FEATURES.names)
+        for batch in parts(batches, 500):
+            hashes, sizes, bands = [], [], []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                s = shingle_set(words, size)
+                sizes.append(len(s))
+                hashes.append(words_hash(words))
+                bands.append(mix((signature(s, bins, borrow).reshape(-1, rows) * power).sum(axis=1, dtype=np.uint64) + band_no).view(np.int64) if words else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=FEATURES.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
 
 
-def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and signatures don't rule out."""
-    side = reps.select("doc_id", "n_shingles", "sig")
-    both = pairs.join(side.toDF("a", "n_a", "sig_a"), "a").join(side.toDF("b", "n_b", "sig_b"), "b")
-    both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+def words_hash(words: list[bytes]) -> bytes | None:
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ids (which is stored); few ids are broadcast, many are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() < SMALL_IDS else ids, key, "left_semi")
+
+
+def class_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """id and set of each class (id, words_hash, smallest), from the texts of the classes' smallest doc_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u2").reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-            ok = (x == y).mean(axis=1) >= LEAST_AGREEMENT
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+        for batch in parts(batches, 500):
+            hashes, sets = [], []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                hashes.append(words_hash(words))
+                sets.append(shingle_set(words, size).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(sets, pa.binary())], names=["words_hash", "set"])
 
-    return both.mapInArrow(run, "a long, b long")
+    rows = among(docs.select(F.col("doc_id").cast("long"), "text"), classes.select(F.col("smallest").alias("doc_id")), "doc_id")
+    hashed = rows.mapInArrow(run, "words_hash binary, set binary").dropDuplicates(["words_hash"])
+    return written(hashed.join(classes.select("id", "words_hash"), "words_hash").select("id", "set"), "near-sets")
 
 
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is among ids (which is checkpointed); few ids are broadcast, many are shuffled."""
-    return rows.join(F.broadcast(ids) if ids.count() < SMALL_IDS else ids, "doc_id", "left_semi")
+def first_stars(buckets: DataFrame) -> DataFrame:
+    """star, id, members (of the star) for the nodes (id) of the stored buckets (id, bucket) that have two members or more."""
+    n = buckets.count()
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
+    held = written(attach_groups(buckets, sizes, "bucket", "mates", n, F.xxhash64("id", "bucket"), how="inner"), "near-buckets")
+    ranked = held.join(held.groupBy("id").agg(F.sum("mates").alias("degree")), "id")
+    best = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("size"))
+    best = best.select("bucket", "size", (-F.col("top.minus")).alias("star"))
+    rows = cut(attach_groups(held.select("id", "bucket"), best, "bucket", "size", n, F.xxhash64("id", "bucket")).select("star", "id").distinct())
+    sizes = rows.groupBy("star").agg(F.count("*").alias("members"))
+    return written(attach_groups(rows, sizes, "star", "members", rows.count(), F.xxhash64("id", "star"), how="inner"), "near-stars")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold. pairs is checkpointed."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = written(among(docs.select(F.col("doc_id").cast("long"), "text"), ids).dropDuplicates(["doc_id"]), "near-texts")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+def cores(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """star, members, core: the shingles that most of about CORE_MEMBERS members hold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        each = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in part.column("set")])
+        value, count = np.unique(each, return_counts=True)
+        core = value[2 * count > part.num_rows]
+        return pa.table({"star": pa.array([key[0].as_py()], pa.int64()), "members": part.column("members")[:1], "core": pa.array([core.tobytes()], pa.binary())})
 
-        def of(doc_id: int, text: str) -> np.ndarray:
-            if doc_id not in known:
-                if len(known) >= 64:
-                    known.pop(next(iter(known)))
-                known[doc_id] = shingle_set(text, size)
-            return known[doc_id]
+    spread = 1 << 30
+    some = stars.where(F.pmod(F.xxhash64("star", "id"), F.lit(spread)) * F.col("members") < CORE_MEMBERS * spread)
+    return written(some.join(sets, "id").groupBy("star").applyInArrow(lambda key, part: run(key, part), "star long, members long, core binary"), "near-cores")
 
-        for b in batches:
-            a_ids, b_ids, ok = b.column("a").to_pylist(), b.column("b").to_pylist(), []
-            a_texts, b_texts = b.column("text_a"), b.column("text_b")
-            for k in range(b.num_rows):
-                x, y = of(a_ids[k], a_texts[k].as_py()), of(b_ids[k], b_texts[k].as_py())
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which elements of a are in b; both sorted."""
+    if not len(b):
+        return np.zeros(len(a), dtype=bool)
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+
+
+def differences(stars: DataFrame, sets: DataFrame, core: DataFrame, percent: int) -> DataFrame:
+    """Per star and node: its set's size n, how much of the core it holds, f, its bound, and the differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, 500):
+            sizes, beyond, lacking, fs, held, bounds = [], [], [], [], [], []
+            for x, c in zip(b.column("set"), b.column("core"), strict=True):
+                s, k = (np.frombuffer(y.as_py() or b"", dtype=np.uint64) for y in (x, c))
+                d = k[~within(k, s)]
+                sizes.append(len(s))
+                beyond.append(s[~within(s, k)].tobytes())
+                lacking.append(d.tobytes())
+                fs.append((100 + percent) * len(d) + percent * len(s))
+                held.append(len(k) - len(d))
+                bounds.append((100 + percent) * len(k))
+            cols = [b.column("star"), b.column("id"), b.column("members"), *(pa.array(x, pa.int64()) for x in (sizes, held, fs, bounds)), pa.array(beyond, pa.binary()), pa.array(lacking, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["star", "id", "members", "n", "held", "f", "bound", "beyond", "lacking"])
+
+    rows = stars.join(sets, "id").withColumn("salt", F.xxhash64("id"))
+    both = attach_large(rows, core, "star", "members", "salt", how="left").select("star", "id", "members", "set", "core")
+    return written(both.mapInArrow(run, "star long, id long, members long, n long, held long, f long, bound long, beyond binary, lacking binary"), "near-differences")
+
+
+def room(sizes: list[dict], percent: int) -> tuple[np.ndarray, ...]:
+    """From the least sizes by number of core shingles held: those numbers, the least size of nodes that hold as many
+    or more, and the largest size a partner of nodes that hold as many or fewer may have; of all nodes, then of the
+    open ones (which f alone doesn't link with the centre)."""
+    none = np.iinfo(np.int64).max // 4
+    order = sorted(sizes, key=lambda x: x["held"])
+    held = np.asarray([x["held"] for x in order], dtype=np.int64)
+    out = [held]
+    for k in ("least", "least_open"):
+        n = np.asarray([none if x[k] is None else x[k] for x in order], dtype=np.int64)
+        out += [np.minimum.accumulate(n[::-1])[::-1], np.maximum.accumulate((100 + percent) * held // percent - n)]
+    return tuple(out)
+
+
+def may_share_core(held: int, n: int, open_: bool, limits: tuple[np.ndarray, ...], percent: int) -> bool:
+    """Whether a node that holds so much of the core could be linked by the core alone, one of the two being open."""
+    at, least, most = limits[0], *(limits[1:3] if open_ else limits[3:5])
+    i = int(np.searchsorted(at, held))
+    as_smaller = i < len(at) and least[i] <= (100 + percent) * held // percent - n
+    j = int(np.searchsorted(at, held, side="right")) - 1
+    return bool(as_smaller or (j >= 0 and most[j] >= n))
+
+
+def against_centre(diffs: DataFrame, percent: int) -> DataFrame:
+    """Per star and node: the centre, whether the node is linked with it, and the differences other links would share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, limits = None, None
+        for b in parts(batches, 500):
+            linked, elements = [], []
+            for row in b.to_pylist():
+                a, d, ca, cd = (np.frombuffer(row[k], dtype=np.uint64) for k in ("beyond", "lacking", "c_beyond", "c_lacking"))
+                if seen != row["star"]:
+                    seen, limits = row["star"], room(row["sizes"] or [], percent)
+                n, held = row["n"], row["held"]
+                shared = held - len(cd) + int(within(d, cd).sum()) + int(within(a, ca).sum())
+                linked.append((100 + percent) * shared >= percent * (n + row["c_n"]))
+                some = a[: n * (100 - percent) // 100 + 1]
+                above = row["f"] + row["c_f"] - (100 + percent) * (held + len(d))
+                if 100 * held >= percent * n and len(d) and may_share_core(held, n, above > 0, limits, percent):
+                    least = max(1, -(-above // (100 + percent)))
+                    some = np.concatenate([some, ~d[: max(0, len(d) - least + 1)]])
+                elements.append(some.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("star"), b.column("id"), b.column("centre"), pa.array(linked, pa.bool_()), pa.array(elements, pa.list_(pa.int64()))], names=["star", "id", "centre", "linked", "elements"])
+
+    n = diffs.count()
+    centre = diffs.groupBy("star").agg(F.min(F.struct("f", "id")).alias("c"), F.count("*").alias("size")).select("star", "size", F.col("c.f").alias("c_f"), F.col("c.id").alias("centre"))
+    centre = cut(centre)
+    plain = diffs.select("star", "id", "n", "held", "f", "bound").where(F.col("held") * 100 >= F.col("n") * percent)
+    sized = attach_groups(plain, centre, "star", "size", n, F.xxhash64("star", "id"), how="inner")
+    is_open = F.col("f") + F.col("c_f") > F.col("bound")
+    sizes = sized.groupBy("star", "held").agg(F.min("n").alias("least"), F.min(F.when(is_open, F.col("n"))).alias("least_open")).groupBy("star").agg(F.collect_list(F.struct("held", "least", "least_open")).alias("sizes"))
+    facts = diffs.join(centre.select("star", F.col("centre").alias("id")), ["star", "id"]).select("star", "members", F.col("id").alias("centre"), F.col("n").alias("c_n"), F.col("beyond").alias("c_beyond"), F.col("lacking").alias("c_lacking"), F.col("f").alias("c_f"))
+    facts = written(facts.join(sizes, "star", "left"), "near-centres")
+    both = attach_large(diffs.withColumn("salt", F.xxhash64("id")), facts, "star", "members", "salt").where("id <> centre").drop("salt", "members", "bound")
+    return written(both.mapInArrow(run, "star long, id long, centre long, linked boolean, elements array<long>"), "near-edges")
+
+
+def next_stars(edges: DataFrame) -> DataFrame:
+    """star, id, members: nodes of a star that share a difference, at least one of them not linked with the centre.
+
+    Differences that the same nodes share make one star: its name is made of theirs.
+    """
+    rows = edges.select("id", "linked", "star", F.explode("elements").alias("element")).select("id", "linked", F.xxhash64("star", "element").alias("shared"))
+    groups = rows.groupBy("shared").agg(F.count("*").alias("members"), F.min("linked").alias("settled"), F.bit_xor(F.xxhash64("id")).alias("names"))
+    groups = groups.where("members > 1 AND NOT settled").select("shared", "members", F.xxhash64("names", "members").alias("star"))
+    total = edges.agg(F.sum(F.size("elements"))).first()[0] or 0
+    found = attach_groups(rows.drop("linked"), groups, "shared", "members", total, F.xxhash64("id", "shared"), how="inner")
+    return written(found.select("star", "id", "members").distinct(), "near-stars")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc_id and component (smallest doc_id reachable) of all ends of the links (a, b).
+    """id and component (smallest id reachable) of all ends of the links (a, b).
 
     Each round every node takes the smallest label of itself and its neighbours, then the label of that label; the
     rounds needed grow with the logarithm of a component's width.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        seen = both.join(labels.toDF("b", "component"), "b").select(F.col("a").alias("doc_id"), "component")
-        near = seen.union(labels).groupBy("doc_id").agg(F.min("component").alias("component"))
-        jump = near.join(labels.toDF("component", "further"), "component", "left").select("doc_id", F.least("component", "further").alias("component"))
+        seen = both.join(labels.toDF("b", "component"), "b").select(F.col("a").alias("id"), "component")
+        near = seen.union(labels).groupBy("id").agg(F.min("component").alias("component"))
+        jump = near.join(labels.toDF("component", "further"), "component", "left").select("id", F.least("component", "further").alias("component"))
         new = cut(jump)
-        moved = new.join(labels.withColumnRenamed("component", "old"), "doc_id").where("component <> old").limit(1).count()
+        moved = new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
         labels = new
         if not moved:
             return labels
 
 
-def shingle_rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id and shingle: the sets of the documents among ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                sets = [shingle_set(t, size).view(np.int64) for t in b.column("text").to_pylist()]
-                owners = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(np.concatenate(sets) if sets else [], pa.int64())], names=["id", "shingle"])
-
-    return among(docs.select(F.col("doc_id").cast("long"), "text"), ids).mapInArrow(run, "id long, shingle long")
-
-
-def shared_shingles(docs: DataFrame, reps: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, n and shared: the size of each set, and how many of its shingles any other of the ids has too."""
-    rows = shingle_rows(docs, ids, size)
-    own = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    sizes = among(reps.select("doc_id", "n_shingles"), ids).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    return sizes.join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
-
-
-def may_link(n: str, shared: str, other_n: str, other_shared: str, percent: int) -> Column:
-    """Whether two sets could meet the threshold if all that either shares with anyone were shared with the other."""
-    most = F.least(shared, other_shared)
-    return most * 100 >= (F.col(n) + F.col(other_n) - most) * percent
+def links_of(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: edges of the classes' graph that join all linked classes of a bucket."""
+    buckets = written(classes.select("id", F.explode("bands").alias("bucket")), "near-bands")
+    stars = first_stars(buckets)
+    sets = class_sets(docs, cut(among(classes.select("id", "words_hash", "smallest"), cut(stars.select("id").distinct()), "id")), size)
+    links = []
+    while True:
+        edges = against_centre(differences(stars, sets, cores(stars, sets), percent), percent)
+        links.append(edges.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+        stars = next_stars(edges)
+        if not stars.limit(1).count():
+            break
+    out = links[0]
+    for more in links[1:]:
+        out = out.union(more)
+    return out
 
 
 def find_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
+    """doc_id, words_hash, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
     feats = written(features(docs, size), "near-features")
-    n = feats.count()
-    known, own = feats.where("doc_id IS NOT NULL"), docs.where("doc_id IS NOT NULL")
-    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        own = own.groupBy("doc_id").agg(F.max("text").alias("text"))
-        known = written(features(own, size), "near-features")
-    classes = known.where("words_hash IS NOT NULL").groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(classes, "near-classes")
-    reps = written(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "near-reps")
-    members = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = written(attach_groups(members, sizes, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner").drop("members"), "near-buckets")
-    centre = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("members"))
-    star = attach_groups(buckets, centre, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner").where("id <> centre")
-    new = cut(likely(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), reps, percent))
-    tried, links = new, cut(confirmed(new, own, size, percent))
-    labels = components(links)
-
-    def unsettled(labels: DataFrame) -> DataFrame:
-        """id, bucket, label and members of the buckets that hold several components."""
-        rows = buckets.join(labels.toDF("id", "component"), "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("label"))
-        mixed = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "members")
-        return cut(attach_groups(rows, mixed, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner"))
-
-    rows = unsettled(labels)
-    facts = cut(shared_shingles(own, reps, cut(rows.select(F.col("id").alias("doc_id")).distinct()), size))
-    crowd = cut(rows.where(F.col("members") > CROWD).select(F.col("id").alias("doc_id")).distinct())
-    crowded = crowd.limit(1).count() > 0
-    if crowded:
-        sets = written(shingle_rows(own, crowd, size), "near-crowd")
-        rare = cut(sets.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("id").alias("id")).where(F.col("holders") <= RARE))
-        alone = rare.where("holders = 1").groupBy("id").agg(F.count("*").alias("alone"))
-        few = cut(sets.join(rare.where("holders > 1").select("shingle"), "shingle"))
-        others = few.groupBy("id").agg(F.count("*").alias("few"))
-        counted = cut(crowd.withColumnRenamed("doc_id", "id")).join(alone, "id", "left").join(others, "id", "left").na.fill(0)
-        facts = facts.join(counted, "id", "left").withColumn("common", F.col("n") - F.col("alone") - F.col("few"))
-        facts = cut(facts.select("id", "n", "shared", "common"))
-    else:
-        facts = facts.withColumn("common", F.lit(0))
-    held = F.when(F.col("members") > CROWD, F.coalesce("common", F.lit(0))).otherwise(F.col("shared"))
-
-    def settle(labels: DataFrame, links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        nonlocal tried
-        new = cut(likely(pairs.distinct().join(tried, ["a", "b"], "left_anti"), reps, percent))
-        if not new.limit(1).count():
-            return labels, links
-        tried = tried.union(new)
-        links = links.union(cut(confirmed(new, own, size, percent)))
-        return components(links), links
-
-    rows = rows.join(facts, "id").withColumn("held", held)
-    best = rows.groupBy("bucket").agg(F.min(F.struct((-F.col("held") / F.col("n")).alias("rank"), "id", "label", "n", "held")).alias("c"), F.first("members").alias("members"))
-    best = best.select("bucket", "members", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "label", "n", "held")])
-    star = attach_groups(rows.drop("members"), best, "bucket", "members", 30 * n, F.xxhash64("id", "bucket"), how="inner")
-    star = star.where("label <> c_label").where(may_link("n", "held", "c_n", "c_held", percent))
-    labels, links = settle(labels, links, star.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")))
-    rows = unsettled(labels).join(facts, "id").withColumn("held", held).select("bucket", "id", "label", "n", "held")
-    other = rows.toDF("bucket", "o_id", "o_label", "o_n", "o_held")
-    met = rows.join(other, (rows["bucket"] == other["bucket"]) & (F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")) & may_link("n", "held", "o_n", "o_held", percent))
-    pairs = met.select(F.col("id").alias("a"), F.col("o_id").alias("b"))
-    if crowded:
-        few = few.join(labels.toDF("id", "component"), "id", "left").select("shingle", "id", F.coalesce("component", "id").alias("label"))
-        twin = few.toDF("shingle", "o_id", "o_label")
-        met = few.join(twin, (few["shingle"] == twin["shingle"]) & (F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")))
-        pairs = pairs.union(met.select(F.col("id").alias("a"), F.col("o_id").alias("b")))
-    labels, links = settle(labels, links, pairs)
-    # each row's class by its doc_id, then the component of the class
-    of_class = attach_groups(known.select("doc_id", "words_hash"), classes, "words_hash", "copies", n, F.xxhash64("doc_id").cast("string").cast("binary"), how="inner")
-    linked = labels.withColumnRenamed("doc_id", "rep").join(classes.select("rep", "copies"), "rep")
-    of_class = attach_groups(of_class.drop("copies"), linked, "rep", "copies", n, -F.abs(F.xxhash64("doc_id")))
-    of_class = of_class.withColumn("rep", F.coalesce("component", "rep"))
-    found = of_class.where("doc_id <> rep").select("doc_id", F.col("rep").alias("smaller"))
-    return feats.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("smaller", "doc_id").alias("component_id"))
+    known = feats.where("doc_id IS NOT NULL AND words_hash IS NOT NULL")
+    classes = known.groupBy("words_hash").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
+    labels = components(links_of(docs, classes, size, percent))
+    ends = cut(classes.select("id", "smallest").join(labels, "id"))
+    heads = ends.groupBy("component").agg(F.min(F.struct("smallest", "id")).alias("head"), F.count("*").alias("nodes"))
+    ends = attach_groups(ends, heads, "component", "nodes", ends.count(), F.xxhash64("id"))
+    facts = classes.select("id", "words_hash", "smallest", "copies").join(ends.select("id", "head"), "id", "left")
+    facts = facts.select("words_hash", "copies", F.coalesce("head.smallest", "smallest").alias("component_id"), (F.col("head").isNull() | (F.col("head.id") == F.col("id"))).alias("is_head"))
+    rows = feats.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("words_hash")).alias("words_hash"))
+    found = attach_groups(rows, facts, "words_hash", "copies", feats.count(), F.unhex(F.hex(F.xxhash64("doc_id"))))
+    head = F.coalesce("component_id", "doc_id")
+    return found.select("doc_id", "words_hash", "n_shingles", head.alias("component_id"), (F.col("doc_id").eqNullSafe(head) & F.coalesce("is_head", F.lit(True))).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id."""
-    found = find_near_copies(docs.select("doc_id", "text"), size, percent)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id"))
+    """One row of each group: one with the smallest doc_id."""
+    found = written(find_near_copies(docs.select("doc_id", "text"), size, percent), "near-found")
+    repeated = cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone = cut(found.where("NOT kept").select("doc_id").unionByName(repeated))
     few = gone.count() < SMALL_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    if not repeated.limit(1).count():
+        return out
+    # rows that repeat a doc_id are told apart by their words, and one of equal words stays
+    (mark,) = fresh(docs.columns, "_words_hash")
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [words_hash(words_of(t.as_py())) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes, pa.binary())], names=schema.names)
+
+    again = among(docs, repeated, "doc_id").select(*docs.columns).mapInArrow(run, schema)
+    stay = found.where("kept AND words_hash IS NOT NULL").join(repeated, "doc_id", "left_semi").select("doc_id", F.col("words_hash").alias(mark)).distinct()
+    worded = again.where(F.col(mark).isNotNull()).dropDuplicates(["doc_id", mark]).join(stay, ["doc_id", mark], "left_semi")
+    return out.unionByName(worded.unionByName(again.where(F.col(mark).isNull())).select(*docs.columns))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_near_copies(docs, size=4, percent=80)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return find_near_copies(docs, size=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {"op9_near_dedup": op9_near_dedup}

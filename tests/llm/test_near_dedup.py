@@ -2,8 +2,6 @@ import math
 import random
 from collections import Counter, defaultdict
 
-import pytest
-
 from quirework.llm import near_dedup
 
 
@@ -51,16 +49,6 @@ def near_copies(rng, n, edits):
     return out
 
 
-@pytest.mark.parametrize("edits", [4, 12])
-def test_large_group_of_near_copies(spark, edits):
-    rng = random.Random(edits)
-    rows = list(enumerate(near_copies(rng, 60, edits) + near_copies(rng, 25, edits) + [f"own words {i} only {i * 7} here {i * 3} now {i}" for i in range(30)]))
-    got = near_dedup.find_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
-    want, sizes = brute(rows, 4, 80)
-    assert {r.doc_id: r.component_id for r in got} == want
-    assert {r.doc_id: r.n_shingles for r in got} == sizes
-
-
 def test_odd_rows(odd_docs, odd_rows, no_docs):
     got = near_dedup.find_near_copies(odd_docs.select("doc_id", "text"), 4, 80).collect()
     assert len(got) == len(odd_rows)
@@ -73,15 +61,69 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert near_dedup.find_near_copies(no_docs.select("doc_id", "text")).count() == 0
 
 
-def test_repeated_ids_are_one_document(spark):
-    rows = [(1, "a b c d e f g h"), (1, "z y x w v u t s"), (2, "z y x w v u t s"), (3, "q w e r t y u i")]
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    rows = [(1, "a b c d e f g h"), (1, "z y x w v u t s"), (0, "z y x w v u t s"), (3, "q w e r t y u i"), (3, "Q w e r t y u i"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.find_near_copies(docs, 4, 80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(0, 0, True), (1, 0, False), (1, 1, True), (3, 3, True), (3, 3, True), (3, 3, True), (3, 3, True)]
+    kept = sorted((r.doc_id, (r.text or "").lower()) for r in near_dedup.drop_near_copies(docs).collect())
+    assert kept == [(0, "z y x w v u t s"), (1, "a b c d e f g h"), (3, ""), (3, ""), (3, "q w e r t y u i")]
+
+
+def without_a_centre(rng, members):
+    """Near copies whose base is not among them: some linked, some just not, with shingles of few and of many holders."""
+    base = [f"t{members}x{rng.randint(0, 900)}" for _ in range(150)]
+    changes = [(rng.randrange(150), f"c{k}") for k in range(30)]
+    for _ in range(members):
+        w = list(base)
+        for at, word in rng.sample(changes, rng.randint(1, 9)):
+            w[at] = word
+        yield " ".join(w[: len(w) - rng.choice([0, 0, 10, 25])])
+
+
+def with_a_passage(rng, holders):
+    """Pairs at the threshold inside groups that share a passage."""
+    for g in range(6):
+        passage = " ".join(f"p{holders}x{g}x{k}" for k in range(80))
+        for _ in range(holders):
+            yield passage + " " + " ".join(f"o{rng.randint(0, 40)}" for _ in range(rng.choice([6, 8, 9, 10, 12])))
+
+
+def test_groups_of_many_kinds(spark):
+    rng = random.Random(1)
+    texts = [t for n in (3, 63, 64, 65, 150) for t in without_a_centre(rng, n)] + [t for n in (2, 10, 11) for t in with_a_passage(rng, n)]
+    texts += near_copies(rng, 60, 4) + near_copies(rng, 60, 12) + near_copies(rng, 25, 12) + [f"own words {i} only {i * 7} here {i * 3} now {i}" for i in range(30)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
     got = near_dedup.find_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
-    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 3)]
+    want, sizes = brute(rows, 4, 80)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert {r.doc_id: r.n_shingles for r in got} == sizes
+
+
+def test_links_the_core_alone_makes():
+    """Against all pairs of (held, n): whether a node may be linked by core shingles alone."""
+    rng = random.Random(5)
+    for _ in range(300):
+        nodes = [(h := rng.randint(60, 100), h + rng.randint(0, 20), rng.random() < 0.5) for _ in range(rng.randint(1, 8))]
+        sizes = [{"held": h, "least": min(n for x, n, _ in nodes if x == h), "least_open": min((n for x, n, o in nodes if x == h and o), default=None)} for h in {x[0] for x in nodes}]
+        limits = near_dedup.room(sizes, 80)
+        for i, (h, n, o) in enumerate(nodes):
+            if any(180 * min(h, g) >= 80 * (n + m) and (o or p) for j, (g, m, p) in enumerate(nodes) if j != i):
+                assert near_dedup.may_share_core(h, n, o, limits, 80)
+
+
+def test_extra_columns_of_any_name(spark):
+    names = ["_words_hash", "kept", "component_id", "bucket", "star", "id", "words_hash", "_share", "gone"]
+    rows = [(1, "a b c d e f g h", *names), (2, "a b c d e f g h", *names), (2, "other words are here to be found", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = near_dedup.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
 
 
 def test_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(7, 9)], "a long, b long")
-    got = {r.doc_id: r.component for r in near_dedup.components(links).collect()}
+    got = {r.id: r.component for r in near_dedup.components(links).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {7: 7, 9: 7}
 
 
