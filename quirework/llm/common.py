@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +48,17 @@ def forget_written(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of so many rows and, but for single rows, so many bytes in the column at most."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        held = total[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(total, held + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, lengthened until no column has them (in any case)."""
     taken = {c.lower() for c in columns}

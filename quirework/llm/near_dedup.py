@@ -42,7 +42,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import attach_groups, attach_large, cut, fresh, table, written
+from quirework.llm.common import attach_groups, attach_large, by_bytes, cut, fresh, table, written
 
 BINS, ROWS = 150, 5
 #: Members of a star whose common shingles are its core, about. They only steer the search; links don't depend on them.
@@ -121,7 +121,7 @@ def features(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) ->
         borrow = donors(bins, 64 * 8)
         power = np.asarray([pow(MULTIPLIERS[0], k + 1, 1 << 64) for k in range(rows)], dtype=np.uint64)
         band_no = np.arange(bins // rows, dtype=np.uint64) * np.uint64(MULTIPLIERS[1])
-        for batch in parts(batches, 500):
+        for batch in (part for whole in batches for part in by_bytes(whole, "text")):
             hashes, sizes, bands = [], [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())
@@ -147,7 +147,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """id and set of each class (id, words_hash, smallest), from the texts of the classes' smallest doc_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 500):
+        for batch in (part for whole in batches for part in by_bytes(whole, "text")):
             hashes, sets = [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())

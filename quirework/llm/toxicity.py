@@ -5,21 +5,23 @@ marked), both by hash. A forward and a backward gated recurrent network read a w
 their states; a logistic unit gives the window's score. All overlapping windows of a text are scored; the highest
 counts. Training is on whole documents: the gradient goes through a document's highest window.
 
-The model is fitted on the driver from a bounded sample of labelled rows (MOST_TOXIC and MOST_CLEAN rows of at most
-LONGEST characters, those with the smallest hashes of their doc_id); its size doesn't depend on the corpus. Scoring
-is one narrow pass over all texts.
+The model is fitted in one task from a bounded sample of labelled rows: of those with at most `longest` characters,
+`most_toxic` and `most_clean` rows, the ones with the smallest hashes of their doc_id (parameters of learn()). Its
+size doesn't depend on the corpus; the driver sees its parameters (3 MB), no text. Scoring is one narrow pass over all
+texts.
 
 Rules: a null, empty or wordless text scores as one empty window, which is scored like any other. Only doc_id, text
 and toxic of labelled rows are read, and only text at scoring. Rows with a null doc_id or label aren't learnt from.
 If there are no rows of both labels, all scores are 0.5. Repeated rows get equal scores. Extra columns pass through
-drop_toxic() and with_scores(); they may not be named score.
+drop_toxic() whatever their names, and through with_scores() if none is named as its score.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import table
+from quirework.llm.common import by_bytes, cut, fresh, table
 from quirework.llm.near_dedup import mix
 
-MOST_TOXIC, MOST_CLEAN, LONGEST = 2500, 3500, 8000
 #: Words in a window, and from one to the next.
 WINDOW, STEP = 48, 24
 WORD_BUCKETS, GRAM_BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 1 << 16, 8, 8, 8
@@ -184,47 +185,56 @@ class Network:
         return loss, g
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, batch: int = 96, steps: int = 240) -> Network | None:
-    """Adam on documents' highest windows, at least so many epochs and about so many steps; small samples have small batches."""
-    labels = np.asarray(labels, dtype=np.float32)
+def fit(texts: Iterable[str | None], labels: Iterable[int], epochs: int = 8, seed: int = 7, batch: int = 96, steps: int = 240) -> Network | None:
+    """Adam on documents' highest windows, at least so many epochs and about so many steps; small samples have small batches.
+
+    Of the texts, which may come from an iterator, only the numbers of their words are kept.
+    """
+    place: dict[str, int] = {}
+    docs = [np.fromiter((place.setdefault(w, len(place)) for w in words_of(t)), dtype=np.int32) for t in texts]
+    labels = np.asarray(list(labels), dtype=np.float32)
     if not len(labels) or labels.min() == labels.max():
         return None
-    batch = min(batch, max(16, len(texts) // 12))
-    epochs = max(epochs, -(-steps * batch // len(texts)))
+    batch = min(batch, max(16, len(docs) // 12))
+    epochs = max(epochs, -(-steps * batch // len(docs)))
     net, rng = Network(seed), np.random.default_rng(seed)
-    place: dict[str, int] = {}
-    docs = [np.asarray([place.setdefault(w, len(place)) for w in words_of(t)], dtype=np.int64) for t in texts]
     vocabulary = list(place)
+    del place
     # the documents of the rarer label count as half of all, softened
     share = np.clip(labels.mean(), 0.02, 0.98)
     weight = np.where(labels > 0, (0.5 / share) ** 0.5, (0.5 / (1 - share)) ** 0.5).astype(np.float32)
-    windows, owner = [], []
-    for i, d in enumerate(docs):
-        for a in window_starts(len(d)):
-            w = np.full(WINDOW, -1, dtype=np.int32)
-            w[: len(d[a : a + WINDOW])] = d[a : a + WINDOW]
-            windows.append(w)
-            owner.append(i)
-    at, owner = np.asarray(windows).T, np.asarray(owner)
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    starts = [np.asarray(window_starts(len(d))) for d in docs]
+    first = np.cumsum([0, *[len(x) for x in starts[:-1]]])
+    owner = np.repeat(np.arange(len(docs)), [len(x) for x in starts])
+    ends = np.cumsum([len(d) for d in docs])
+    begin = np.concatenate(starts) + (ends - [len(d) for d in docs])[owner]
     # a word or n-gram of one document alone could only be learnt by heart
     live = common(docs, vocabulary)
+    flat = np.concatenate([*docs, np.full(WINDOW, -1, dtype=np.int32)])
+    del docs, starts
+
+    def windows(k: np.ndarray | slice) -> np.ndarray:
+        """The windows k as (time, batch) places in the vocabulary, -1: none."""
+        at = begin[k] + np.arange(WINDOW)[:, None]
+        return np.where(at < ends[owner[k]], flat[np.minimum(at, len(flat) - 1)], -1)
+
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
     for epoch in range(epochs):
         if epoch == 0:
-            best = first + (rng.random(len(docs)) * np.diff(np.r_[first, len(owner)])).astype(np.int64)
+            best = first + (rng.random(len(labels)) * np.diff(np.r_[first, len(owner)])).astype(np.int64)
         else:
             known = driven(net, vocabulary)
-            y = np.concatenate([net.logits(*known, at[:, k : k + 4096]) for k in range(0, at.shape[1], 4096)])
+            y = np.concatenate([net.logits(*known, windows(slice(k, k + 2048))) for k in range(0, len(owner), 2048)])
+            del known
             top = np.maximum.reduceat(y, first)
-            best = np.full(len(docs), -1)
+            best = np.full(len(labels), -1)
             hit = np.flatnonzero(y == top[owner])[::-1]
             best[owner[hit]] = hit
         rate = 0.02 * (1 - epoch / epochs) + 0.002
-        for k in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // batch)):
-            own = at[:, best[k]]
+        for k in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // batch)):
+            own = windows(best[k])
             used, inner = np.unique(own, return_inverse=True)
             inner = inner.reshape(own.shape)
             if used[0] == -1:
@@ -239,12 +249,17 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, ba
     return net
 
 
-def common(docs: list[np.ndarray], vocabulary: list[str], least: int = 3) -> dict[str, np.ndarray]:
+def common(docs: list[np.ndarray], vocabulary: list[str], least: int = 3, step: int = 20_000) -> dict[str, np.ndarray]:
     """Which embeddings are met in `least` documents or more, as columns of 0 and 1."""
-    n = np.bincount(np.concatenate([np.unique(d) for d in docs]) if docs else [], minlength=len(vocabulary))
-    gb, counts = gram_buckets(vocabulary)
-    words = np.bincount(word_bucket(vocabulary), weights=n, minlength=WORD_BUCKETS)
-    grams = np.bincount(gb, weights=np.repeat(n, counts), minlength=GRAM_BUCKETS)
+    n = np.zeros(len(vocabulary))
+    for d in docs:
+        n[np.unique(d)] += 1
+    words, grams = np.zeros(WORD_BUCKETS), np.zeros(GRAM_BUCKETS)
+    for k in range(0, len(vocabulary), step):  # some at a time, as n-grams are many
+        some, uses = vocabulary[k : k + step], n[k : k + step]
+        gb, counts = gram_buckets(some)
+        words += np.bincount(word_bucket(some), weights=uses, minlength=WORD_BUCKETS)
+        grams += np.bincount(gb, weights=np.repeat(uses, counts), minlength=GRAM_BUCKETS)
     return {"words": (words >= least).astype(np.float32)[:, None], "grams": (grams >= least).astype(np.float32)[:, None]}
 
 
@@ -285,19 +300,18 @@ class Scorer:
         if new := list(dict.fromkeys(w for d in docs for w in d if w not in self.place)):
             self.learn(new)
         get, tops = self.place.__getitem__, np.full(len(docs), -np.inf, dtype=np.float32)
-        windows, owner = [], []
-        for i, d in enumerate(docs):
-            ids = np.fromiter(map(get, d), dtype=np.int32, count=len(d))
-            if len(ids) < WINDOW:
-                ids = np.concatenate([ids, np.full(WINDOW - len(ids), -1, dtype=np.int32)])
-                starts = np.zeros(1, dtype=np.int64)
-            else:
-                starts = np.asarray(window_starts(len(ids)))
-            windows.append(np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[starts])
-            owner.append(np.full(len(starts), i))
-        at, own = np.concatenate(windows).T, np.concatenate(owner)
-        for k in range(0, at.shape[1], 2048):
-            np.maximum.at(tops, own[k : k + 2048], self.net.logits(self.f, self.b, at[:, k : k + 2048]))
+        flat = np.fromiter(map(get, chain.from_iterable(docs)), dtype=np.int32, count=sum(map(len, docs)))
+        flat = np.concatenate([flat, np.full(WINDOW, -1, dtype=np.int32)])
+        starts = [np.asarray(window_starts(len(d))) for d in docs]
+        own = np.repeat(np.arange(len(docs)), [len(x) for x in starts])
+        sizes = np.asarray([len(d) for d in docs])
+        ends = np.cumsum(sizes)
+        begin = np.concatenate(starts) + (ends - sizes)[own]
+        del docs, starts
+        for k in range(0, len(own), 2048):
+            at = begin[k : k + 2048] + np.arange(WINDOW)[:, None]
+            at = np.where(at < ends[own[k : k + 2048]], flat[np.minimum(at, len(flat) - 1)], -1)
+            np.maximum.at(tops, own[k : k + 2048], self.net.logits(self.f, self.b, at))
         return sigmoid(tops.astype(np.float64))
 
 
@@ -325,29 +339,55 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on a bounded sample of the labelled rows that aren't held out."""
-    usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    picks = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
-    sample = picks[0].union(picks[1])  # MOST_TOXIC + MOST_CLEAN rows at most
-    rows = docs.where(F.length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
-    rows = sorted({(r.doc_id, r.text, r.toxic) for r in rows})
-    net = fit([r[1] for r in rows], np.asarray([r[2] for r in rows]))
-    return None if net is None else Model(net.p)
+def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_clean: int = 3500, longest: int = 8000) -> Model | None:
+    """Fit on a bounded sample of the labelled rows that aren't held out.
+
+    Rows that repeat a doc_id give it all its texts and labels, each pair once; a sample of so many doc_ids and labels
+    holds those with the smallest hashes among the rows of at most `longest` characters.
+    """
+    usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)").distinct()
+    short = docs.where(F.length("text") <= longest).select("doc_id").distinct()
+    usable = cut(usable.join(short, "doc_id"))
+    counts = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    spread = 1 << 30
+    picks = []
+    for toxic, most in ((1, most_toxic), (0, most_clean)):
+        # about 1.3 times what is wanted, so that no task has to order many rows
+        share = min(1.0, 1.3 * (most + 100) / max(1, counts.get(toxic, 0)))
+        some = usable.where((F.col("toxic") == toxic) & (F.pmod(F.xxhash64("doc_id"), F.lit(spread)) <= int(spread * share)))
+        picks.append(some.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(spread)), "doc_id").limit(most))
+    sample = picks[0].union(picks[1])  # most_toxic + most_clean rows at most
+    rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(sample), "doc_id").distinct()
+    one = rows.repartition(1).sortWithinPartitions("doc_id", "text", "toxic").select("text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic: list[int] = []
+
+        def texts() -> Iterator[str | None]:
+            for b in batches:
+                toxic.extend(b.column("toxic").to_pylist())
+                yield from (t.as_py() for t in b.column("text"))
+
+        # fit() reads all texts before it asks for the labels
+        net = fit(texts(), toxic)
+        p = {} if net is None else net.p
+        yield pa.RecordBatch.from_arrays([pa.array(list(p), pa.string()), pa.array([list(v.shape) for v in p.values()], pa.list_(pa.int32())), pa.array([v.astype("<f4").tobytes() for v in p.values()], pa.binary())], names=["name", "shape", "data"])
+
+    found = cut(one.mapInArrow(run, "name string, shape array<int>, data binary")).collect()
+    return Model({r["name"]: np.frombuffer(r["data"], dtype="<f4").reshape(r["shape"]) for r in found}) if found else None
 
 
-def with_scores(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns in keep) with their score."""
+def with_scores(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, score: str = "score") -> DataFrame:
+    """docs (or its columns in keep) with their score, in a column of that name."""
     names = docs.columns if keep is None else keep
     if model is None:
-        return docs.select(*names, F.lit(0.5).alias("score"))
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType())])
+        return docs.select(*names, F.lit(0.5).alias(score))
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model.id, model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 400):
-                batch = whole.slice(at, 400)
+            for batch in by_bytes(whole, text, rows=400):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scorer.score(batch.column(text).to_pylist()), pa.float64())], names=schema.names)
         scorer.forget()  # a worker may serve other stages next
 
@@ -356,7 +396,8 @@ def with_scores(docs: DataFrame, model: Model | None, text: str = "text", keep:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that score below THRESHOLD."""
-    return with_scores(docs, learn(docs, labels)).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    (score,) = fresh(docs.columns, "score")
+    return with_scores(docs, learn(docs, labels), score=score).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

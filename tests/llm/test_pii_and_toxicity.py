@@ -99,3 +99,35 @@ def test_scores(spark, odd_docs, odd_rows, no_docs):
     assert toxicity.with_scores(no_docs, model).count() == 0
     none = toxicity.learn(docs.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert none is None and {r.score for r in toxicity.with_scores(odd_docs, none).collect()} == {0.5}
+
+
+def test_toxicity_query(spark, sf_dir):
+    """Every row against the same network run here, window by window."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    net = toxicity.Network()
+    net.p = model.params
+    want = {}
+    for r in docs.collect():
+        words = toxicity.words_of(r.text)
+        best = -np.inf
+        for a in toxicity.window_starts(len(words)):
+            w = words[a : a + toxicity.WINDOW]
+            x, mask = net.inputs(w), np.ones((len(w), 1), np.float32)
+            states = np.concatenate([net.run((x @ net.p[f"W{s}"] + net.p[f"c{s}"])[:, None], s, mask) for s in "fb"], axis=2) if w else np.zeros((1, 1, 2 * toxicity.HIDDEN), np.float32)
+            best = max(best, float(net.pool(states, mask if w else np.zeros((1, 1), np.float32))[0][0]))
+        want[r.doc_id] = 1 / (1 + np.exp(-best))
+    got = toxicity.op8_toxicity(spark, sf_dir)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == len(want)
+    for r in got.collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-4) and r.predicted == int(r.score >= 0.7)
+
+
+def test_sample_is_bounded_and_of_short_rows(spark):
+    rows = [(i, "x " * 5000 if i % 2 else f"word{i} and more", i % 4 // 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most_toxic=7, most_clean=9, longest=100) is not None
+    assert toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most_toxic=7, most_clean=9, longest=5) is None
+    clash = docs.withColumn("score", docs["toxic"])
+    assert toxicity.drop_toxic(clash, docs.select("doc_id", "toxic")).columns == clash.columns
