@@ -22,7 +22,9 @@
    |C & v|. Nodes that share such a difference are a star of the next round, unless all are linked with the centre;
    it is at most about half as large, as the core holds what most have. Rounds end when no star is left. So no link
    inside a bucket is lost, without trying all its pairs.
-5. All counts are on full sets, so each link is exact. Links are joined to components.
+5. A star of at most SMALL_STAR nodes (and SMALL_SIZE shingles) needs no rounds: one task holds its full sets and
+   compares them, but for nodes that sizes and signatures leave no partner. Both ways find the same links.
+6. All counts are on full sets, so each link is exact. Links are joined to components.
 
 Rules: a null or wordless text has an empty set and no link. A text with fewer words than a shingle has its word
 sequence as its one shingle. A row with a null doc_id is linked with nothing and kept. Rows that repeat a doc_id are
@@ -37,14 +39,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirework.llm.common import attach_groups, attach_large, by_bytes, cut, fresh, table, written
 
 BINS, ROWS = 150, 5
+#: Signatures of pairs at the threshold agree in 80 % of the bins, give or take 3.3 %; none this low in 10**8.
+LEAST_AGREEMENT = 0.6
+#: Nodes and shingles of a star that one task compares.
+SMALL_STAR, SMALL_SIZE = 64, 1 << 22
 #: Members of a star whose common shingles are its core, about. They only steer the search; links don't depend on them.
 CORE_MEMBERS = 15
 #: A set of ids below this number is broadcast (16 MB at most); larger ones are joined by shuffle.
@@ -105,7 +110,7 @@ def signature(shingles: np.ndarray, bins: int, table_: np.ndarray) -> np.ndarray
     return mix(sig)
 
 
-FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("words_hash", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("words_hash", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -115,21 +120,23 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
 
 
 def features(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """doc_id, hash of the words, size of the set and bucket ids of each text."""
+    """doc_id, hash of the words, size of the set, bucket ids and signature (16 bits a bin) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borrow = donors(bins, 64 * 8)
         power = np.asarray([pow(MULTIPLIERS[0], k + 1, 1 << 64) for k in range(rows)], dtype=np.uint64)
         band_no = np.arange(bins // rows, dtype=np.uint64) * np.uint64(MULTIPLIERS[1])
         for batch in (part for whole in batches for part in by_bytes(whole, "text")):
-            hashes, sizes, bands = [], [], []
+            hashes, sizes, bands, sigs = [], [], [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())
                 s = shingle_set(words, size)
                 sizes.append(len(s))
                 hashes.append(words_hash(words))
-                bands.append(mix((signature(s, bins, borrow).reshape(-1, rows) * power).sum(axis=1, dtype=np.uint64) + band_no).view(np.int64) if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=FEATURES.names)
+                sig = signature(s, bins, borrow) if words else None
+                bands.append(mix((sig.reshape(-1, rows) * power).sum(axis=1, dtype=np.uint64) + band_no).view(np.int64) if words else None)
+                sigs.append(sig.astype("<u2").tobytes() if words else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=FEATURES.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
 
@@ -160,19 +167,24 @@ def class_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return written(hashed.join(classes.select("id", "words_hash"), "words_hash").select("id", "set"), "near-sets")
 
 
-def first_stars(buckets: DataFrame) -> DataFrame:
-    """star, id, members (of the star) for the nodes (id) of the stored buckets (id, bucket) that have two members or more."""
+def first_stars(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """star, id, n, members and weight (of the star) for the nodes of the stored buckets (id, bucket) of two members or more."""
     n = buckets.count()
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
     held = written(attach_groups(buckets, sizes, "bucket", "mates", n, F.xxhash64("id", "bucket"), how="inner"), "near-buckets")
     ranked = held.join(held.groupBy("id").agg(F.sum("mates").alias("degree")), "id")
     best = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("size"))
     best = best.select("bucket", "size", (-F.col("top.minus")).alias("star"))
-    rows = cut(attach_groups(held.select("id", "bucket"), best, "bucket", "size", n, F.xxhash64("id", "bucket")).select("star", "id").distinct())
-    sizes = rows.groupBy("star").agg(F.count("*").alias("members"))
+    rows = attach_groups(held.select("id", "bucket"), best, "bucket", "size", n, F.xxhash64("id", "bucket")).select("star", "id").distinct()
+    rows = cut(rows.join(classes.select("id", "n"), "id").select("star", "id", "n"))
+    sizes = rows.groupBy("star").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
     return written(attach_groups(rows, sizes, "star", "members", rows.count(), F.xxhash64("id", "star"), how="inner"), "near-stars")
 
 
+def is_small() -> Column:
+    return (F.col("members") <= SMALL_STAR) & (F.col("weight") <= SMALL_SIZE)
+
+
 def cores(stars: DataFrame, sets: DataFrame) -> DataFrame:
     """star, members, core: the shingles that most of about CORE_MEMBERS members hold."""
 
@@ -195,26 +207,23 @@ def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def differences(stars: DataFrame, sets: DataFrame, core: DataFrame, percent: int) -> DataFrame:
-    """Per star and node: its set's size n, how much of the core it holds, f, its bound, and the differences."""
+    """Per star and node: its set's size n, how much of the core it holds, f, and the bound that f goes with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 500):
-            sizes, beyond, lacking, fs, held, bounds = [], [], [], [], [], []
+            sizes, held, fs, bounds = [], [], [], []
             for x, c in zip(b.column("set"), b.column("core"), strict=True):
                 s, k = (np.frombuffer(y.as_py() or b"", dtype=np.uint64) for y in (x, c))
-                d = k[~within(k, s)]
                 sizes.append(len(s))
-                beyond.append(s[~within(s, k)].tobytes())
-                lacking.append(d.tobytes())
-                fs.append((100 + percent) * len(d) + percent * len(s))
-                held.append(len(k) - len(d))
+                held.append(int(within(k, s).sum()))
+                fs.append((100 + percent) * (len(k) - held[-1]) + percent * len(s))
                 bounds.append((100 + percent) * len(k))
-            cols = [b.column("star"), b.column("id"), b.column("members"), *(pa.array(x, pa.int64()) for x in (sizes, held, fs, bounds)), pa.array(beyond, pa.binary()), pa.array(lacking, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["star", "id", "members", "n", "held", "f", "bound", "beyond", "lacking"])
+            cols = [b.column("star"), b.column("id"), b.column("members"), *(pa.array(x, pa.int64()) for x in (sizes, held, fs, bounds))]
+            yield pa.RecordBatch.from_arrays(cols, names=["star", "id", "members", "n", "held", "f", "bound"])
 
     rows = stars.join(sets, "id").withColumn("salt", F.xxhash64("id"))
     both = attach_large(rows, core, "star", "members", "salt", how="left").select("star", "id", "members", "set", "core")
-    return written(both.mapInArrow(run, "star long, id long, members long, n long, held long, f long, bound long, beyond binary, lacking binary"), "near-differences")
+    return written(both.mapInArrow(run, "star long, id long, members long, n long, held long, f long, bound long"), "near-differences")
 
 
 def room(sizes: list[dict], percent: int) -> tuple[np.ndarray, ...]:
@@ -240,52 +249,88 @@ def may_share_core(held: int, n: int, open_: bool, limits: tuple[np.ndarray, ...
     return bool(as_smaller or (j >= 0 and most[j] >= n))
 
 
-def against_centre(diffs: DataFrame, percent: int) -> DataFrame:
+def against_centre(diffs: DataFrame, sets: DataFrame, core: DataFrame, percent: int) -> DataFrame:
     """Per star and node: the centre, whether the node is linked with it, and the differences other links would share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, limits = None, None
-        for b in parts(batches, 500):
+        for b in parts(batches, 200):
             linked, elements = [], []
             for row in b.to_pylist():
-                a, d, ca, cd = (np.frombuffer(row[k], dtype=np.uint64) for k in ("beyond", "lacking", "c_beyond", "c_lacking"))
+                x, c, k = (np.frombuffer(row[y] or b"", dtype=np.uint64) for y in ("set", "c_set", "core"))
                 if seen != row["star"]:
                     seen, limits = row["star"], room(row["sizes"] or [], percent)
                 n, held = row["n"], row["held"]
-                shared = held - len(cd) + int(within(d, cd).sum()) + int(within(a, ca).sum())
-                linked.append((100 + percent) * shared >= percent * (n + row["c_n"]))
-                some = a[: n * (100 - percent) // 100 + 1]
-                above = row["f"] + row["c_f"] - (100 + percent) * (held + len(d))
-                if 100 * held >= percent * n and len(d) and may_share_core(held, n, above > 0, limits, percent):
+                linked.append((100 + percent) * int(within(x, c).sum()) >= percent * (n + len(c)))
+                some = x[~within(x, k)][: n * (100 - percent) // 100 + 1]
+                above = row["f"] + row["c_f"] - row["bound"]
+                if 100 * held >= percent * n and may_share_core(held, n, above > 0, limits, percent):
+                    d = k[~within(k, x)]
                     least = max(1, -(-above // (100 + percent)))
                     some = np.concatenate([some, ~d[: max(0, len(d) - least + 1)]])
                 elements.append(some.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("star"), b.column("id"), b.column("centre"), pa.array(linked, pa.bool_()), pa.array(elements, pa.list_(pa.int64()))], names=["star", "id", "centre", "linked", "elements"])
+            yield pa.RecordBatch.from_arrays([b.column("star"), b.column("id"), b.column("n"), b.column("centre"), pa.array(linked, pa.bool_()), pa.array(elements, pa.list_(pa.int64()))], names=["star", "id", "n", "centre", "linked", "elements"])
 
-    n = diffs.count()
     centre = diffs.groupBy("star").agg(F.min(F.struct("f", "id")).alias("c"), F.count("*").alias("size")).select("star", "size", F.col("c.f").alias("c_f"), F.col("c.id").alias("centre"))
     centre = cut(centre)
     plain = diffs.select("star", "id", "n", "held", "f", "bound").where(F.col("held") * 100 >= F.col("n") * percent)
-    sized = attach_groups(plain, centre, "star", "size", n, F.xxhash64("star", "id"), how="inner")
+    sized = attach_groups(plain, centre, "star", "size", diffs.count(), F.xxhash64("star", "id"), how="inner")
     is_open = F.col("f") + F.col("c_f") > F.col("bound")
     sizes = sized.groupBy("star", "held").agg(F.min("n").alias("least"), F.min(F.when(is_open, F.col("n"))).alias("least_open")).groupBy("star").agg(F.collect_list(F.struct("held", "least", "least_open")).alias("sizes"))
-    facts = diffs.join(centre.select("star", F.col("centre").alias("id")), ["star", "id"]).select("star", "members", F.col("id").alias("centre"), F.col("n").alias("c_n"), F.col("beyond").alias("c_beyond"), F.col("lacking").alias("c_lacking"), F.col("f").alias("c_f"))
-    facts = written(facts.join(sizes, "star", "left"), "near-centres")
-    both = attach_large(diffs.withColumn("salt", F.xxhash64("id")), facts, "star", "members", "salt").where("id <> centre").drop("salt", "members", "bound")
-    return written(both.mapInArrow(run, "star long, id long, centre long, linked boolean, elements array<long>"), "near-edges")
+    facts = centre.withColumnRenamed("size", "members").join(sizes, "star", "left").join(core.select("star", "core"), "star", "left")
+    facts = written(facts.join(sets.select(F.col("id").alias("centre"), F.col("set").alias("c_set")), "centre"), "near-centres")
+    rows = diffs.drop("members").join(centre.select("star", F.col("size").alias("members")), "star").join(sets, "id").withColumn("salt", F.xxhash64("id"))
+    both = attach_large(rows, facts, "star", "members", "salt").where("id <> centre").drop("salt", "members")
+    return written(both.mapInArrow(run, "star long, id long, n long, centre long, linked boolean, elements array<long>"), "near-edges")
 
 
-def next_stars(edges: DataFrame) -> DataFrame:
-    """star, id, members: nodes of a star that share a difference, at least one of them not linked with the centre.
+def next_stars(edges: DataFrame, percent: int) -> DataFrame:
+    """star, id, n, members, weight: nodes of a star that share a difference, at least one of them not linked with the centre.
 
-    Differences that the same nodes share make one star: its name is made of theirs.
+    Linked nodes are of like size, so a difference counts only among nodes of one size class; each node is in its own
+    and in the next. Differences that the same nodes share make one star: its name is made of theirs.
     """
-    rows = edges.select("id", "linked", "star", F.explode("elements").alias("element")).select("id", "linked", F.xxhash64("star", "element").alias("shared"))
-    groups = rows.groupBy("shared").agg(F.count("*").alias("members"), F.min("linked").alias("settled"), F.bit_xor(F.xxhash64("id")).alias("names"))
-    groups = groups.where("members > 1 AND NOT settled").select("shared", "members", F.xxhash64("names", "members").alias("star"))
-    total = edges.agg(F.sum(F.size("elements"))).first()[0] or 0
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent + 1e-9))).cast("int")
+    rows = edges.select("id", "n", "linked", "star", F.explode(F.array(size, size + 1)).alias("size"), "elements").select("id", "n", "linked", "star", "size", F.explode("elements").alias("element"))
+    rows = rows.select("id", "n", "linked", F.xxhash64("star", "element", "size").alias("shared"))
+    groups = rows.groupBy("shared").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.min("linked").alias("settled"), F.bit_xor(F.xxhash64("id")).alias("names"))
+    groups = groups.where("members > 1 AND NOT settled").select("shared", "members", "weight", F.xxhash64("names", "members").alias("star"))
+    total = 2 * (edges.agg(F.sum(F.size("elements"))).first()[0] or 0)
     found = attach_groups(rows.drop("linked"), groups, "shared", "members", total, F.xxhash64("id", "shared"), how="inner")
-    return written(found.select("star", "id", "members").distinct(), "near-stars")
+    return written(found.select("star", "id", "n", "members", "weight").distinct(), "near-stars")
+
+
+def links_inside(stars: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges that join the linked nodes of each small star."""
+
+    def like(n: np.ndarray) -> np.ndarray:
+        return np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent
+
+    def partners(key: tuple, part: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype="<u2").reshape(part.num_rows, -1)
+        ok = like(part.column("n").to_numpy())
+        for i in range(len(ok)):
+            ok[i] &= (sig == sig[i]).mean(axis=1) >= LEAST_AGREEMENT
+            ok[i, i] = False
+        return part.select(["star", "id"]).filter(pa.array(ok.any(axis=1)))
+
+    def compare(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("id")
+        sets_ = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in part.column("set")]
+        ids, head = part.column("id").to_pylist(), list(range(part.num_rows))
+        n = np.asarray([len(x) for x in sets_])
+        ok, edges = like(n), []
+        for i in range(len(ids)):
+            for j in range(i):
+                if ok[i, j] and head[i] != head[j] and (100 + percent) * int(within(sets_[i], sets_[j]).sum()) >= percent * int(n[i] + n[j]):
+                    edges.append((ids[j], ids[i]))
+                    old, new = head[i], head[j]
+                    head = [new if x == old else x for x in head]
+        return pa.table({"a": pa.array([x[0] for x in edges], pa.int64()), "b": pa.array([x[1] for x in edges], pa.int64())})
+
+    rows = stars.select("star", "id").join(classes.select("id", "n", "sig"), "id")
+    some = written(rows.groupBy("star").applyInArrow(lambda key, part: partners(key, part), "star long, id long"), "near-partners")
+    return written(some.join(sets, "id").groupBy("star").applyInArrow(lambda key, part: compare(key, part), "a long, b long").distinct(), "near-inside")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,15 +355,18 @@ def components(links: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: edges of the classes' graph that join all linked classes of a bucket."""
     buckets = written(classes.select("id", F.explode("bands").alias("bucket")), "near-bands")
-    stars = first_stars(buckets)
+    stars = first_stars(buckets, classes)
     sets = class_sets(docs, cut(among(classes.select("id", "words_hash", "smallest"), cut(stars.select("id").distinct()), "id")), size)
     links = []
     while True:
-        edges = against_centre(differences(stars, sets, cores(stars, sets), percent), percent)
-        links.append(edges.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
-        stars = next_stars(edges)
+        links.append(links_inside(stars.where(is_small()), classes, sets, percent))
+        stars = stars.where(~is_small()).select("star", "id", "members")
         if not stars.limit(1).count():
             break
+        core = cores(stars, sets)
+        edges = against_centre(differences(stars, sets, core, percent), sets, core, percent)
+        links.append(edges.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+        stars = next_stars(edges, percent)
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
@@ -329,7 +377,7 @@ def find_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     """doc_id, words_hash, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
     feats = written(features(docs, size), "near-features")
     known = feats.where("doc_id IS NOT NULL AND words_hash IS NOT NULL")
-    classes = known.groupBy("words_hash").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = known.groupBy("words_hash").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     labels = components(links_of(docs, classes, size, percent))
     ends = cut(classes.select("id", "smallest").join(labels, "id"))
