@@ -2,17 +2,18 @@
 
 A sequence has three limits at once: tokens, segments (pieces) and loss-bearing tokens. It is filled piece by piece:
 of all pieces that still fit, the one whose vector of needs, as shares of the limits, has the greatest dot product
-with the vector of what is left. Documents may be cut: whole sequences are cut off long ones first, and if no piece
-fits any more, the room that is left (if it is worth it) is filled with a cut off the largest. The last sequence of
-a group is laid out as powers of two, which need no padding. Instruction examples are never cut; one that is too
-large for the limits gets a sequence of its own, marked `oversize`.
+with the vector of what is left. Instruction examples (pack_examples()) are never cut; one that is too large for the
+limits gets a sequence of its own, marked `oversize`. Documents (pack_documents()) may be cut: whole sequences are cut
+off long ones first, and if no piece fits any more, the room that is left (if it is worth it) is filled with a cut off
+the largest. All tokens of a document bear loss, so there tokens and loss-bearing tokens are one need. The last
+sequence of a group is laid out as powers of two, which need no padding.
 
-Rows are dealt to groups of about group_rows by a hash of their id and length, so groups are even even if all ids
-are null, each is packed by one task, and a group that is computed again gives the same pieces. A sequence's id is
-its group's number times 2**32 plus its number in the group.
+Rows are dealt to groups of about group_rows rows and group_tokens tokens by a hash of their id and length, so groups
+are even even if all ids are null, each is packed by one task, and a group that is computed again gives the same
+pieces. A sequence's id is its group's number times 2**32 plus its number in the group.
 
 Rules: a null or empty text has the end mark alone. Repeated rows are packed each on their own. Extra columns ride
-along; they may not have the names of the added ones.
+along; they may not have the names of the added ones, but any other.
 """
 
 from __future__ import annotations
@@ -24,16 +25,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import table
+from quirework.llm.chat import format_chats, read_back
+from quirework.llm.common import by_bytes, fresh, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Marks that the tokenizer always splits from the letters before them.
 MARKS = frozenset(".,;:!?")
 
@@ -42,9 +45,10 @@ class WordEncoder:
     """Token ids of texts, word by word.
 
     The tokenizer lowers case, drops white space and never joins what white space parts, so a text's ids are those
-    of its words in order, and a word that comes again need not be encoded again. Words of letters only (with one
-    mark after them at most) are encoded many at a time; each ends with the one token that closes a word. All others
-    are encoded one by one.
+    of its words in order, and a word that comes again need not be encoded again. Texts are split and their distinct
+    words numbered by Arrow; Python sees each distinct word of a batch once. Words of letters only (with one mark
+    after them at most) are encoded many at a time; each ends with the one token that closes a word. All others are
+    encoded one by one. The ids of known words stand one after another in one array.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,58 +57,92 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab()
+        if max(vocab.values()) >= 1 << 16:
+            raise ValueError("16-bit ids can't hold this vocabulary")
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.empty(1 << 20, dtype=np.uint16), 0
+        #: Word k has the ids from ends[k - 1] to ends[k]; word 0 is the empty one.
+        self.ends = np.zeros(1 << 16, dtype=np.int32)
+        self._add([""], np.empty(0, dtype=np.uint16), np.zeros(1, dtype=np.int64))
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while n + len(words) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends[n : n + len(words)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+
+    def _of(self, word: str) -> np.ndarray:
+        k = self.known[word]
+        return self.ids[self.ends[k - 1] if k else 0 : self.ends[k]]
 
     def _one_by_one(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w.encode()] = np.asarray(e.ids, dtype="<u4").tobytes()
+        found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        self._add(words, np.fromiter(chain.from_iterable(found), dtype=np.uint16), np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
 
-    def learn(self, words: set[bytes]) -> None:
-        known, plain, odd, marked = self.known, set(), list(MARKS), []
-        for raw in words:
-            w = raw.decode()
+    def learn(self, words: list[str]) -> None:
+        plain: dict[str, None] = {}
+        odd, marked = [], []
+        for w in words:
             if w.isalpha():
-                plain.add(w)
+                plain[w] = None
             elif w[-1] in MARKS and w[:-1].isalpha():
-                marked.append(raw)
-                if raw[:-1] not in known:
-                    plain.add(w[:-1])
+                marked.append(w)
+                if w[:-1] not in self.known:
+                    plain[w[:-1]] = None
             else:
                 odd.append(w)
         many = list(plain)
         for i in range(0, len(many), 2000):
             some = many[i : i + 2000]
-            ids = np.asarray(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint16)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
                 self._one_by_one(some)
-                continue
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(some, (ends * 4).tolist(), strict=True):
-                known[w.encode()] = raw[a:b]
-                a = b
-        self._one_by_one(odd)
-        for raw in marked:
-            known[raw] = known[raw[:-1]] + known[raw[-1:]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
+            else:
+                self._add(some, ids, np.diff(ends, prepend=0))
+        if odd:
+            self._one_by_one(odd)
+        if marked:
+            if lone := [m for m in sorted({w[-1] for w in marked}) if m not in self.known]:
+                self._one_by_one(lone)
+            found = [x for w in marked for x in (self._of(w[:-1]), self._of(w[-1]))]
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            self._add(marked, np.concatenate(found), sizes.reshape(-1, 2).sum(axis=1))
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has; each with the id end after it, if given."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [(t or "").encode().lower().split() for t in texts]
-        words = list(chain.from_iterable(split))
-        found = list(map(self.known.get, words))
-        if missing := [i for i, f in enumerate(found) if f is None]:
-            self.learn({words[i] for i in missing})
-            for i in missing:
-                found[i] = self.known[words[i]]
-        out, a = [], 0
-        for ws in split:
-            out.append(b"".join(found[a : a + len(ws)]))
-            a += len(ws)
-        return out
+            self.forget()
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        split = split if isinstance(split, pa.Array) else split.combine_chunks()
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        words = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if missing := [w for w in distinct if w not in self.known]:
+            self.learn(missing)
+        number = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int32, count=len(distinct))
+        number = number[words.indices.to_numpy()] if len(distinct) else number
+        stop = self.ends[number]
+        start = np.where(number > 0, self.ends[number - 1], np.int32(0))
+        ids, first, last = self.ids, offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        if end is not None:  # one more word after each text's
+            ids = np.append(self.ids[: self.used], np.uint16(end))
+            start, stop = (np.insert(x, last, np.int32(y)) for x, y in ((start, self.used), (stop, self.used + 1)))
+            first, last = first + np.arange(len(first)), last + np.arange(1, len(last) + 1)
+        n = stop - start
+        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
+        out = ids[np.repeat(start - total[:-1], n) + np.arange(total[-1], dtype=np.int32)]
+        return out, (total[last] - total[first]).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -124,17 +162,21 @@ def tokenise(docs: DataFrame, path: str | None = None, text: str = "text", end:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        if len(encoder.closes) > 1 << 16:
-            raise ValueError("16-bit ids can't hold this vocabulary")
-        close = np.asarray([end], dtype="<u2").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() + close for x in encoder.encode(batch.column(text).to_pylist())]
+            for batch in by_bytes(whole, text, rows=10_000, size=8 << 20):
+                ids, counts = encoder.encode(batch.column(text), end)
                 cols = [batch.column(f.name) for f in others]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*cols, binary(ids, counts), pa.array(counts, pa.int64())], names=[f.name for f in schema])
+
+    return docs.select(*[F.col(f"`{f.name}`") for f in others], text).mapInArrow(run, schema)
+
 
-    return docs.select(*[f.name for f in others], text).mapInArrow(run, schema)
+def binary(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The ids as one binary value for each count."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * ids.itemsize
+    if offsets[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+    return pa.array([ids.view(np.uint8)[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
 
 
 def fill(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int], least_cut: int | None) -> list[list[tuple[int, int, int]]]:
@@ -205,7 +247,7 @@ def powers_of_two(seq: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
     return out
 
 
-def pack(rows: DataFrame, tokens: str, loss: str | None = None, ids: str | None = None, limits: tuple[int, int, int] = (2048, 512, 2048), least_cut: int | None = None, group_rows: int = 2048, id_col: str = "doc_id", n_rows: int | None = None) -> DataFrame:
+def pack(rows: DataFrame, tokens: str, loss: str | None = None, ids: str | None = None, limits: tuple[int, int, int] = (2048, 512, 2048), least_cut: int | None = None, group_rows: int = 2048, group_tokens: int = 1 << 22, id_col: str = "doc_id", groups: int | None = None) -> DataFrame:
     """Add start, length, sequence_id, offset and oversize; one row per piece.
 
     loss: the column of loss-bearing token counts (all tokens, if None). ids: the column of token ids (unsigned
@@ -214,38 +256,57 @@ def pack(rows: DataFrame, tokens: str, loss: str | None = None, ids: str | None
     """
     if least_cut is not None and loss is not None:
         raise ValueError("only rows whose tokens all bear loss can be cut")
-    n = rows.count() if n_rows is None else n_rows
-    groups = max(1, -(-n // group_rows))
+    if groups is None:
+        n, total = rows.agg(F.count("*"), F.sum(tokens)).first()
+        groups = max(1, -(-n // group_rows), -(-(total or 0) // group_tokens))
+    tie_name, group_name = fresh(rows.columns, "_tie", "_group")
     added = [("start", T.LongType(), pa.int64()), ("length", T.LongType(), pa.int64()), ("sequence_id", T.LongType(), pa.int64()), ("offset", T.LongType(), pa.int64()), ("oversize", T.BooleanType(), pa.bool_())]
     schema = T.StructType([*rows.schema.fields, *(T.StructField(a, b) for a, b, _ in added)])
     names = rows.columns
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         g = key[0].as_py()
-        part = part.select([*names, "_tie"]).sort_by([(id_col, "ascending"), (tokens, "ascending"), ("_tie", "ascending")]).select(names)
+        part = part.select([*names, tie_name]).sort_by([(id_col, "ascending"), (tokens, "ascending"), (tie_name, "ascending")]).select(names)
         t = part.column(tokens).to_numpy().astype(np.int64)
         x = part.column(loss).to_numpy().astype(np.int64) if loss else t
         seqs = [s for s in fill(t, x, limits, least_cut) if s]
         if least_cut is not None and seqs and 0 < sum(p[2] for p in seqs[-1]) < limits[0]:
             seqs[-1:] = powers_of_two(seqs[-1])
         flat = [(i, s, m, (g << 32) + q, off, m > limits[0] or (not least_cut and x[i] > limits[2])) for q, seq in enumerate(seqs) for (i, s, m), off in zip(seq, np.cumsum([0, *[p[2] for p in seq[:-1]]]).tolist(), strict=True)]
-        out = part.take(pa.array([f[0] for f in flat], pa.int64()))
-        if ids:
-            raw = part.column(ids).to_pylist()
-            cut = pa.array([np.frombuffer(raw[f[0]], "<u2", f[2], 2 * f[1]).astype("<u4").tobytes() for f in flat], pa.binary())
-            out = out.set_column(out.column_names.index(ids), ids, cut)
+        others = [c for c in names if c != ids]
+        out = part.select(others).take(pa.array([f[0] for f in flat], pa.int64()))
+        if ids:  # cut from each row as it is: no row is copied as often as it has pieces
+            raw = [np.frombuffer(x.as_buffer(), "<u2") for x in part.column(ids)]
+            lengths = np.asarray([f[2] for f in flat], dtype=np.int64)
+            pieces = [raw[f[0]][f[1] : f[1] + f[2]] for f in flat]
+            flat_ids = np.concatenate(pieces).astype("<u4") if pieces else np.empty(0, "<u4")
+            out = out.append_column(ids, binary(flat_ids, lengths)).select(names)
         for k, (name, _, kind) in enumerate(added, start=1):
             out = out.append_column(name, pa.array([bool(f[k]) if k == 5 else int(f[k]) for f in flat], kind))
         return out
 
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    dealt = rows.withColumn("_tie", tie).withColumn("_group", F.pmod(F.xxhash64(id_col, tokens, "_tie"), F.lit(groups)).cast("long"))
-    return dealt.groupBy("_group").applyInArrow(lambda key, part: run(key, part), schema)
+    dealt = rows.withColumn(tie_name, tie).withColumn(group_name, F.pmod(F.xxhash64(id_col, tokens, tie_name), F.lit(groups)).cast("long"))
+    return dealt.groupBy(group_name).applyInArrow(lambda key, part: run(key, part), schema)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int] = (2048, 512, 2048), least_cut: int = 16) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int] = (2048, 512, 2048), least_cut: int = 16, group_rows: int = 2048, group_bytes: int = 16 << 20) -> DataFrame:
     """Tokenise and pack; one row per piece, with its ids (binary, unsigned 32-bit), and the columns of docs but text."""
-    return pack(tokenise(docs, path), "doc_tokens", ids="ids", limits=limits, least_cut=least_cut, n_rows=docs.count())
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, -(-n // group_rows), -(-(size or 0) // group_bytes))
+    return pack(tokenise(docs, path), "doc_tokens", ids="ids", limits=limits, least_cut=least_cut, groups=groups)
+
+
+def pack_examples(chats: DataFrame, path: str | None = None, limits: tuple[int, int, int] = (2048, 16, 1024)) -> DataFrame:
+    """Pack formatted conversations (conv_id, formatted, loss_text) whole, under all three limits.
+
+    An example's tokens are those of its formatted text and the end mark; its loss-bearing ones are those of the text
+    under its loss mask. One row per example: conv_id, tokens, loss, sequence_id, offset, oversize.
+    """
+    tokens = tokenise(chats.select("conv_id", "loss_text", F.col("formatted").alias("text")), path).select("conv_id", "loss_text", F.col("doc_tokens").alias("tokens"))
+    loss = tokenise(tokens.withColumnRenamed("loss_text", "text"), path).select("conv_id", "tokens", (F.col("doc_tokens") - 1).alias("loss"))
+    packed = pack(written(loss, "packing-examples"), "tokens", "loss", limits=limits, id_col="conv_id")
+    return packed.select("conv_id", "tokens", "loss", "sequence_id", "offset", "oversize")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,5 +314,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op3_packing": op3_packing}
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, formatted by the chat grammar, packed under three limits."""
+    chats = read_back(format_chats(table(spark, sf_dir, "conversations")))
+    return pack_examples(chats.select("conv_id", "formatted", "loss_text"))
+
+
+QUERIES = {"op3_packing": op3_packing, "instruction_packing": instruction_packing}
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -57,7 +58,11 @@ def test_odd_texts(odd_docs, odd_rows, no_docs):
 def test_encoder_on_odd_words():
     texts = ["don't I'LL ﬁ ǆ é́ naïve İstanbul ΣΑΣ  a\tb\x0bc\x1cd e <|endoftext|> x.y.z 12,5% “q” 中文字 abc1def ....", "", "Word. word, WORD; word", "á b c"]
     e = packing.WordEncoder(public_tokenizers.path(packing.TOKENIZER))
-    assert [b"".join([x, np.asarray([1], "<u4").tobytes()]) for x in e.encode(texts)] == [x.tobytes() for x in plain_ids(texts)]
+    ids, counts = e.encode(pa.array([*texts, None, "  \t "]), end=packing.END)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.tolist() for x in plain_ids([*texts, None, "  \t "])]
+    again, counts = e.encode(pa.array([*texts, None]).slice(1, 3))
+    assert [x.tolist() for x in np.split(again, np.cumsum(counts)[:-1])] == [x.tolist()[:-1] for x in plain_ids([*texts, None])[1:4]]
+    assert [len(x) for x in e.encode(pa.array([], pa.string()))] == [0, 0]
 
 
 def test_three_limits(spark):
@@ -77,3 +82,55 @@ def test_three_limits(spark):
         assert sum(r.tokens for r in s) <= 1024 and len(s) <= 6 and sum(r.loss for r in s) <= 400
     lower = max(tokens.sum() / 1024, loss.sum() / 400, 900 / 6)
     assert len(seqs) - 2 <= 1.1 * lower + 2
+
+
+def test_examples_under_three_limits(spark, sf_dir):
+    """Each conversation once, its tokens and loss counted here, no limit passed, and each of the three met somewhere."""
+    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = defaultdict(list)
+    for r in chats.collect():
+        turns[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    want = {}
+    for c, t in turns.items():
+        t.sort()
+        whole = "".join(f"<s>[{role}]{text}</s>" for _, role, text in t)
+        said = "".join(text for _, role, text in t if role == "assistant")
+        want[c] = (len(plain_ids([whole])[0]), len(plain_ids([said])[0]) - 1)
+    got = packing.instruction_packing(spark, sf_dir).collect()
+    assert {r.conv_id: (r.tokens, r.loss) for r in got} == want and len(got) == len(want)
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append(r)
+    for s in seqs.values():
+        s.sort(key=lambda r: r.offset)
+        assert [r.offset for r in s] == [sum(x.tokens for x in s[:i]) for i in range(len(s))]
+        assert any(r.oversize for r in s) or (sum(r.tokens for r in s) <= 2048 and len(s) <= 16 and sum(r.loss for r in s) <= 1024)
+
+
+def test_heuristic_step_by_step():
+    """fill() against the heuristic written plainly."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        t = rng.integers(1, 60, 40)
+        x = (t * rng.random(40)).astype(int)
+        limits, left, want = (100, 4, 50), list(np.argsort(-t, kind="stable")), []
+        while left:
+            seq, room = [], list(limits)
+            while fits := [i for i in left if t[i] <= room[0] and 1 <= room[1] and x[i] <= room[2]]:
+                k = max(fits, key=lambda i: (t[i] * (room[0] / limits[0] ** 2) + x[i] * (room[2] / limits[2] ** 2) + room[1] / limits[1] ** 2, -left.index(i)))
+                seq.append((int(k), 0, int(t[k])))
+                left.remove(k)
+                room = [room[0] - t[k], room[1] - 1, room[2] - x[k]]
+            want.append(seq) if seq else left.pop(0)
+        got = [s for s in packing.fill(t, x, limits, None) if sum(x[p[0]] for p in s) <= 50]
+        assert got == [s for s in want if s]
+
+
+def test_very_long_text(spark):
+    docs = spark.range(1).selectExpr("7L AS doc_id", "repeat('some words, of a long text. ', 1900000) AS text")  # 53 MB
+    got = packing.pack_documents(docs).select("start", "length").collect()
+    at = 0
+    for r in sorted(got):
+        assert r.start == at
+        at += r.length
+    assert at == 1900000 * 8 + 1
