@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 
@@ -44,11 +45,28 @@ def test_contexts_discover_identifiers(spark, no_docs):
 
 
 def test_pii_query(spark, sf_dir):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # the smallest holds no secrets
+    """Base spans and their digest by plain patterns; what the method adds are the secrets of one context, all of them."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    added = 0
     for r in pii.op7_personal_data(spark, sf_dir).collect():
         want = plain_spans(docs[r.doc_id])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in want) for j in range(4)]
-        assert set(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want) <= set(r.spans.split(","))
+        base = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        secrets = [f"id:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'token = "([0-9a-f]{40})"', docs[r.doc_id])]
+        assert sorted(r.spans.split(",") if r.spans else []) == sorted(base + secrets) and r.n_id == len(secrets)
+        added += len(secrets)
+    assert added >= 3
+
+
+def test_pii_of_odd_rows(spark, odd_docs, odd_rows):
+    got = pii.find_personal_data(odd_docs).collect()
+    assert sorted((r.doc_id or -1) for r in got) == sorted((r[0] or -1) for r in odd_rows)
+    long_word = "y" * 500
+    t = f"one {long_word} two 1.2.3.4 {long_word} three"
+    assert pii.contexts(t, t.index("1.2"), t.index("1.2") + 7) == [f"b {long_word} two", f"m two {long_word}", f"a {long_word} three"]
+    assert [m["instance"] for m in pii.mentions("user = alice, plain words: bob and 1.2.3.4567")] == ["alice", "bob", "1.2.3.4567"]
 
 
 def test_gradient():
