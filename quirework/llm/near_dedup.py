@@ -49,7 +49,7 @@ BINS, ROWS = 150, 5
 #: Signatures of pairs at the threshold agree in 80 % of the bins, give or take 3.3 %; none this low in 10**8.
 LEAST_AGREEMENT = 0.6
 #: Nodes and shingles of a star that one task compares.
-SMALL_STAR, SMALL_SIZE = 64, 1 << 22
+SMALL_STAR, SMALL_SIZE = 256, 1 << 22
 #: Members of a star whose common shingles are its core, about. They only steer the search; links don't depend on them.
 CORE_MEMBERS = 15
 #: A set of ids below this number is broadcast (16 MB at most); larger ones are joined by shuffle.
@@ -110,7 +110,7 @@ def signature(shingles: np.ndarray, bins: int, table_: np.ndarray) -> np.ndarray
     return mix(sig)
 
 
-FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("words_hash", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("words_hash", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -120,23 +120,21 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
 
 
 def features(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """doc_id, hash of the words, size of the set, bucket ids and signature (16 bits a bin) of each text."""
+    """doc_id, hash of the words, size of the set and bucket ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borrow = donors(bins, 64 * 8)
         power = np.asarray([pow(MULTIPLIERS[0], k + 1, 1 << 64) for k in range(rows)], dtype=np.uint64)
         band_no = np.arange(bins // rows, dtype=np.uint64) * np.uint64(MULTIPLIERS[1])
         for batch in (part for whole in batches for part in by_bytes(whole, "text")):
-            hashes, sizes, bands, sigs = [], [], [], []
+            hashes, sizes, bands = [], [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())
                 s = shingle_set(words, size)
                 sizes.append(len(s))
                 hashes.append(words_hash(words))
-                sig = signature(s, bins, borrow) if words else None
-                bands.append(mix((sig.reshape(-1, rows) * power).sum(axis=1, dtype=np.uint64) + band_no).view(np.int64) if words else None)
-                sigs.append(sig.astype("<u2").tobytes() if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=FEATURES.names)
+                bands.append(mix((signature(s, bins, borrow).reshape(-1, rows) * power).sum(axis=1, dtype=np.uint64) + band_no).view(np.int64) if words else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=FEATURES.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
 
@@ -150,21 +148,21 @@ def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() < SMALL_IDS else ids, key, "left_semi")
 
 
-def class_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """id and set of each class (id, words_hash, smallest), from the texts of the classes' smallest doc_ids."""
+def class_sets(docs: DataFrame, classes: DataFrame, size: int, bins: int = BINS) -> DataFrame:
+    """id, size n, signature (16 bits a bin) and set of each class (id, words_hash, smallest), from the texts of the classes' smallest doc_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borrow = donors(bins, 64 * 8)
         for batch in (part for whole in batches for part in by_bytes(whole, "text")):
-            hashes, sets = [], []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                hashes.append(words_hash(words))
-                sets.append(shingle_set(words, size).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(sets, pa.binary())], names=["words_hash", "set"])
+            words = [words_of(t.as_py()) for t in batch.column("text")]
+            words = [w for w in words if w]
+            sets = [shingle_set(w, size) for w in words]
+            cols = [pa.array(map(words_hash, words), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([signature(x, bins, borrow).astype("<u2").tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["words_hash", "n", "sig", "set"])
 
     rows = among(docs.select(F.col("doc_id").cast("long"), "text"), classes.select(F.col("smallest").alias("doc_id")), "doc_id")
-    hashed = rows.mapInArrow(run, "words_hash binary, set binary").dropDuplicates(["words_hash"])
-    return written(hashed.join(classes.select("id", "words_hash"), "words_hash").select("id", "set"), "near-sets")
+    hashed = rows.mapInArrow(run, "words_hash binary, n long, sig binary, set binary").dropDuplicates(["words_hash"])
+    return written(hashed.join(classes.select("id", "words_hash"), "words_hash").select("id", "n", "sig", "set"), "near-sets")
 
 
 def first_stars(buckets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -196,7 +194,7 @@ def cores(stars: DataFrame, sets: DataFrame) -> DataFrame:
 
     spread = 1 << 30
     some = stars.where(F.pmod(F.xxhash64("star", "id"), F.lit(spread)) * F.col("members") < CORE_MEMBERS * spread)
-    return written(some.join(sets, "id").groupBy("star").applyInArrow(lambda key, part: run(key, part), "star long, members long, core binary"), "near-cores")
+    return written(some.join(sets.select("id", "set"), "id").groupBy("star").applyInArrow(lambda key, part: run(key, part), "star long, members long, core binary"), "near-cores")
 
 
 def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,7 +219,7 @@ def differences(stars: DataFrame, sets: DataFrame, core: DataFrame, percent: int
             cols = [b.column("star"), b.column("id"), b.column("members"), *(pa.array(x, pa.int64()) for x in (sizes, held, fs, bounds))]
             yield pa.RecordBatch.from_arrays(cols, names=["star", "id", "members", "n", "held", "f", "bound"])
 
-    rows = stars.join(sets, "id").withColumn("salt", F.xxhash64("id"))
+    rows = stars.join(sets.select("id", "set"), "id").withColumn("salt", F.xxhash64("id"))
     both = attach_large(rows, core, "star", "members", "salt", how="left").select("star", "id", "members", "set", "core")
     return written(both.mapInArrow(run, "star long, id long, members long, n long, held long, f long, bound long"), "near-differences")
 
@@ -279,28 +277,25 @@ def against_centre(diffs: DataFrame, sets: DataFrame, core: DataFrame, percent:
     sizes = sized.groupBy("star", "held").agg(F.min("n").alias("least"), F.min(F.when(is_open, F.col("n"))).alias("least_open")).groupBy("star").agg(F.collect_list(F.struct("held", "least", "least_open")).alias("sizes"))
     facts = centre.withColumnRenamed("size", "members").join(sizes, "star", "left").join(core.select("star", "core"), "star", "left")
     facts = written(facts.join(sets.select(F.col("id").alias("centre"), F.col("set").alias("c_set")), "centre"), "near-centres")
-    rows = diffs.drop("members").join(centre.select("star", F.col("size").alias("members")), "star").join(sets, "id").withColumn("salt", F.xxhash64("id"))
+    rows = diffs.drop("members").join(centre.select("star", F.col("size").alias("members")), "star").join(sets.select("id", "set"), "id").withColumn("salt", F.xxhash64("id"))
     both = attach_large(rows, facts, "star", "members", "salt").where("id <> centre").drop("salt", "members")
     return written(both.mapInArrow(run, "star long, id long, n long, centre long, linked boolean, elements array<long>"), "near-edges")
 
 
-def next_stars(edges: DataFrame, percent: int) -> DataFrame:
+def next_stars(edges: DataFrame) -> DataFrame:
     """star, id, n, members, weight: nodes of a star that share a difference, at least one of them not linked with the centre.
 
-    Linked nodes are of like size, so a difference counts only among nodes of one size class; each node is in its own
-    and in the next. Differences that the same nodes share make one star: its name is made of theirs.
+    Differences that the same nodes share make one star: its name is made of theirs.
     """
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent + 1e-9))).cast("int")
-    rows = edges.select("id", "n", "linked", "star", F.explode(F.array(size, size + 1)).alias("size"), "elements").select("id", "n", "linked", "star", "size", F.explode("elements").alias("element"))
-    rows = rows.select("id", "n", "linked", F.xxhash64("star", "element", "size").alias("shared"))
+    rows = edges.select("id", "n", "linked", "star", F.explode("elements").alias("element")).select("id", "n", "linked", F.xxhash64("star", "element").alias("shared"))
     groups = rows.groupBy("shared").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.min("linked").alias("settled"), F.bit_xor(F.xxhash64("id")).alias("names"))
     groups = groups.where("members > 1 AND NOT settled").select("shared", "members", "weight", F.xxhash64("names", "members").alias("star"))
-    total = 2 * (edges.agg(F.sum(F.size("elements"))).first()[0] or 0)
+    total = edges.agg(F.sum(F.size("elements"))).first()[0] or 0
     found = attach_groups(rows.drop("linked"), groups, "shared", "members", total, F.xxhash64("id", "shared"), how="inner")
     return written(found.select("star", "id", "n", "members", "weight").distinct(), "near-stars")
 
 
-def links_inside(stars: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_inside(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: edges that join the linked nodes of each small star."""
 
     def like(n: np.ndarray) -> np.ndarray:
@@ -328,9 +323,9 @@ def links_inside(stars: DataFrame, classes: DataFrame, sets: DataFrame, percent:
                     head = [new if x == old else x for x in head]
         return pa.table({"a": pa.array([x[0] for x in edges], pa.int64()), "b": pa.array([x[1] for x in edges], pa.int64())})
 
-    rows = stars.select("star", "id").join(classes.select("id", "n", "sig"), "id")
+    rows = stars.select("star", "id").join(sets.select("id", "n", "sig"), "id")
     some = written(rows.groupBy("star").applyInArrow(lambda key, part: partners(key, part), "star long, id long"), "near-partners")
-    return written(some.join(sets, "id").groupBy("star").applyInArrow(lambda key, part: compare(key, part), "a long, b long").distinct(), "near-inside")
+    return written(some.join(sets.select("id", "set"), "id").groupBy("star").applyInArrow(lambda key, part: compare(key, part), "a long, b long").distinct(), "near-inside")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -359,14 +354,14 @@ def links_of(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
     sets = class_sets(docs, cut(among(classes.select("id", "words_hash", "smallest"), cut(stars.select("id").distinct()), "id")), size)
     links = []
     while True:
-        links.append(links_inside(stars.where(is_small()), classes, sets, percent))
+        links.append(links_inside(stars.where(is_small()), sets, percent))
         stars = stars.where(~is_small()).select("star", "id", "members")
         if not stars.limit(1).count():
             break
         core = cores(stars, sets)
         edges = against_centre(differences(stars, sets, core, percent), sets, core, percent)
         links.append(edges.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
-        stars = next_stars(edges, percent)
+        stars = next_stars(edges)
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
@@ -377,7 +372,7 @@ def find_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     """doc_id, words_hash, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
     feats = written(features(docs, size), "near-features")
     known = feats.where("doc_id IS NOT NULL AND words_hash IS NOT NULL")
-    classes = known.groupBy("words_hash").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = known.groupBy("words_hash").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     labels = components(links_of(docs, classes, size, percent))
     ends = cut(classes.select("id", "smallest").join(labels, "id"))
