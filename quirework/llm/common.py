@@ -102,3 +102,18 @@ def attach_large(rows: DataFrame, groups: DataFrame, key: str, size: str, salt:
     held = groups.select(F.col(key).alias(k), *facts, F.explode(F.sequence(F.lit(0), copies - 1)).alias(s))
     out = dealt.join(held, (F.col(key) == F.col(k)) & (F.col(share) == F.col(s)), how)
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], *facts)
+
+
+def one_of_repeats(rows: DataFrame, id_col: str, same: Column) -> DataFrame:
+    """rows, but of those that repeat an id and `same` (a null id is an id like others) only one.
+
+    Ids that repeat are found first, by a shuffle of ids alone; only their rows are looked at further.
+    """
+    (key, mark) = fresh(rows.columns, "_id", "_same")
+    repeated = cut(rows.groupBy(F.col(id_col).alias(key)).count().where("count > 1").select(key))
+    if not repeated.limit(1).count():
+        return rows
+    known = F.broadcast(repeated) if repeated.count() < 1_000_000 else repeated
+    among_them = F.col(id_col).eqNullSafe(F.col(key))
+    single = rows.join(known, among_them, "left_anti")
+    return single.unionByName(rows.join(known, among_them, "left_semi").withColumn(mark, same).dropDuplicates([id_col, mark]).select(*rows.columns))

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import attach_groups, table
+from quirework.llm.common import attach_groups, fresh, one_of_repeats, table
 
 CHUNKS = r"(?s).{256,4096}?(?:(?<=\n)|(?<=[.!?] )|\z)|.{1,4096}"
 #: With a 64-bit hash, n chunks give about n * n / 2**65 ambiguous hashes: some 300 for 100 TB. More are a fault.
@@ -45,30 +45,34 @@ def ambiguous_hashes(docs: DataFrame, text: str = "text", chunk_hash: Callable[[
     return found
 
 
-def with_recipe(docs: DataFrame, text: str = "text", chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """Add `recipe`: the verified identifiers of the text's chunks, in order."""
+def with_recipe(docs: DataFrame, text: str = "text", chunk_hash: Callable[[Column], Column] = F.xxhash64, name: str = "recipe") -> DataFrame:
+    """Add, under that name, the verified identifiers of the text's chunks, in order."""
     doubtful = ambiguous_hashes(docs, text, chunk_hash)
     whole = chunks(F.col(text))
     parts = [F.transform(whole, lambda c: chunk_hash(c)).alias("ids")]
     if doubtful:
         parts.append(F.filter(whole, lambda c: chunk_hash(c).isin(doubtful)).alias("spelled_out"))
-    return docs.withColumn("recipe", F.struct(*parts))
+    return docs.withColumn(name, F.struct(*parts))
 
 
-def find_copies(docs: DataFrame, text: str = "text", carry: list[str] | None = None, chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """doc_id, the carried columns, keep_id, group_size and kept for each row."""
+def find_copies(docs: DataFrame, text: str = "text", carry: list[str] | None = None, chunk_hash: Callable[[Column], Column] = F.xxhash64, added: tuple[str, str, str] = ("keep_id", "group_size", "kept")) -> DataFrame:
+    """doc_id, the carried columns, keep_id, group_size and kept (or what they are to be named) for each row."""
     carry = carry or []
-    rows = with_recipe(docs, text, chunk_hash).select("doc_id", *carry, "recipe")
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    other = F.struct(F.array(F.xxhash64("doc_id")).alias("ids"), *([F.array().cast("array<string>").alias("spelled_out")] if "spelled_out" in rows.schema["recipe"].dataType.names else []))
-    found = attach_groups(rows, groups, "recipe", "group_size", docs.count(), other)
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("recipe")
+    keep_id, group_size, kept = added
+    (recipe,) = fresh([*docs.columns, *added], "recipe")
+    rows = with_recipe(docs, text, chunk_hash, recipe).select("doc_id", *[F.col(f"`{c}`") for c in carry], recipe)
+    groups = rows.groupBy(recipe).agg(F.max("doc_id").alias(keep_id), F.count("*").alias(group_size))
+    other = F.struct(F.array(F.xxhash64("doc_id")).alias("ids"), *([F.array().cast("array<string>").alias("spelled_out")] if "spelled_out" in rows.schema[recipe].dataType.names else []))
+    found = attach_groups(rows, groups, recipe, group_size, docs.count(), other)
+    return found.withColumn(kept, F.col("doc_id").eqNullSafe(F.col(keep_id))).drop(recipe)
 
 
 def drop_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that stay, with the columns they came with."""
+    added = tuple(fresh(docs.columns, "keep_id", "group_size", "kept"))
     names = [c for c in docs.columns if c != "doc_id"]
-    return find_copies(docs, text, names).where("kept").select(*docs.columns)
+    found = find_copies(docs, text, names, added=added).where(F.col(added[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return one_of_repeats(found, "doc_id", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

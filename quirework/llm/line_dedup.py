@@ -1,13 +1,13 @@
 """Cross-site boilerplate lines, found by the spread of their sites.
 
-Each line (trimmed, not blank) is hashed; a HyperLogLog sketch of its sites is built and merged per hash by plain
-aggregation, so a line that a third of all documents hold merges before it is shuffled. Lines that are clearly at or
-above min_sites sites are boilerplate; those whose estimate lies within the sketch's error of it get an exact
-distinct count. Boilerplate lines are removed from every document.
+Each line (trimmed, not blank) is hashed and counted per site, so a line that a third of all documents hold becomes
+one row per site before anything else. A HyperLogLog sketch of its sites is then built and merged per hash by plain
+aggregation. Lines that are clearly at or above min_sites sites are boilerplate; those whose estimate lies within the
+sketch's error of it get an exact distinct count. Boilerplate lines are removed from every document.
 
 Rules: a null text has no lines; an empty one has one blank line. Blank lines count but are never removed. A null
 site is a site of its own. Rows that repeat doc_id and text get the same result. Extra columns are passed through by
-drop_boilerplate(); they may not be named n_lines, n_removed or kept_text.
+drop_boilerplate(); they may have any name but those of the added ones (n_lines, n_removed, kept_text).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import attach_groups, table
+from quirework.llm.common import attach_groups, fresh, table, written
 
 BLANKS = " \t\r"
 
@@ -31,29 +31,35 @@ def line_rows(docs: DataFrame, text: str, site: str) -> DataFrame:
     return rows.where(trimmed != "").select("doc_id", "text_hash", "site", "pos", F.xxhash64(trimmed).alias("line_hash"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
-    """line_hash and n_rows of the lines that stand on min_sites sites or more."""
+def per_site(lines: DataFrame) -> DataFrame:
+    """line_hash, site and how many lines there are of them."""
+    return lines.groupBy("line_hash", "site").agg(F.count("*").alias("n"))
+
+
+def boilerplate(sited: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
+    """line_hash and n_rows of the lines that stand on min_sites sites or more, from rows of per_site()."""
     margin = max(1.5, 5 * 1.04 / 2 ** (lg_k / 2) * min_sites)
-    spread = lines.groupBy("line_hash").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("*").alias("n_rows"))
+    spread = sited.groupBy("line_hash").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.sum("n").alias("n_rows"))
     spread = spread.where(F.col("n_rows") >= min_sites).withColumn("sites", F.hll_sketch_estimate("sketch"))
     sure = spread.where(F.col("sites") > min_sites + margin).select("line_hash", "n_rows")
     near = spread.where(F.abs(F.col("sites") - min_sites) <= margin).select("line_hash")
-    pairs = lines.join(near, "line_hash", "left_semi").groupBy("line_hash", "site").agg(F.count("*").alias("n"))
-    exact = pairs.groupBy("line_hash").agg(F.count("*").alias("sites"), F.sum("n").alias("n_rows"))
+    exact = sited.join(near, "line_hash", "left_semi").groupBy("line_hash").agg(F.count("*").alias("sites"), F.sum("n").alias("n_rows"))
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("line_hash", "n_rows"))
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = 8, text: str = "text", site: str = "source") -> DataFrame:
     """docs with n_lines, n_removed and kept_text."""
     lines = line_rows(docs, text, site)
-    marks = attach_groups(lines.drop("site"), boilerplate(lines, min_sites), "line_hash", "n_rows", 10 * docs.count(), F.xxhash64("doc_id", "pos"), how="inner")
-    gone = marks.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    held = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left")
-    numbered = F.transform(lines_of(F.col(text)), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), x["i"])), lambda x: x["line"])
-    held = held.withColumn("n_lines", F.coalesce(F.size(lines_of(F.col(text))), F.lit(0)).cast("long")).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    held = held.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    return held.withColumn("kept_text", F.when(F.col("gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n"))).select(*docs.columns, "n_lines", "n_removed", "kept_text")
+    sited = written(per_site(lines), "lines-per-site")
+    total = sited.agg(F.sum("n")).first()[0] or 0
+    marks = attach_groups(lines.drop("site"), boilerplate(sited, min_sites), "line_hash", "n_rows", total, F.xxhash64("doc_id", "text_hash", "pos"), how="inner")
+    gone, key, mark, all_ = fresh([*docs.columns, "n_lines", "n_removed", "kept_text"], "gone", "key", "mark", "lines")
+    found = marks.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias(gone)).withColumnsRenamed({"doc_id": key, "text_hash": mark})
+    held = docs.join(found, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs[text]) == F.col(mark)), "left").withColumn(all_, lines_of(F.col(text)))
+    places = F.sequence(F.lit(0), F.size(all_) - 1)
+    kept = F.transform(F.array_except(places, F.col(gone)), lambda i: F.get(F.col(all_), i))
+    counts = [F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long").alias(n) for c, n in ((all_, "n_lines"), (gone, "n_removed"))]
+    return held.select(*[F.col(f"`{c}`") for c in docs.columns], *counts, F.when(F.col(gone).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"))
 
 
 def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

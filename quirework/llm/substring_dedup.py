@@ -11,17 +11,19 @@ blocks of (window + 1) / 2 words that follow one another without overlap from a
 Documents are dealt by a hash into chunks of about the same size. What a chunk sends is, for each range of hash
 values, the sorted list of its distinct hashes (one that it holds twice is sent twice), as differences; that takes
 two to three bytes a word for 40-bit probes. What it gets back are those of its hashes that are repeated. So a
-passage that a third of all documents share costs each chunk two entries, and no pairs are ever made. Hashes of 40
-bits may make an anchor too many, which costs a few tries; extension uses 64 bits within a range of hash values
-that other bits choose.
+passage that a third of all documents share costs each chunk two entries, and no pairs are ever made. Probes have 20
+bits more than the number of words has (40 at least), so one block in a million is an anchor by chance, which costs a
+few tries. Extension compares 64 bits among the windows of one range, and a second, independent hash chooses the
+range: at 100 TB (1.5e13 words, 7e6 ranges) that is 86 bits, and about one window is taken for a repeat by chance.
 
 Rules: words are runs of anything but space and the control characters 9 to 13, unchanged. A null text has none.
 Texts shorter than a window are kept. Rows that repeat a text repeat all its windows. Extra columns pass through;
-they may not be named n_words, n_removed or kept_text.
+they may have any name but those of the added ones (n_words, n_removed, kept_text).
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -32,21 +34,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import table
+from quirework.llm.common import fresh, table
 from quirework.llm.near_dedup import MULTIPLIERS, mix
 
 #: Bytes of text in a chunk, and of hashes in a range, about.
 CHUNK_BYTES, RANGE_HASHES = 8 << 20, 2 << 20
-PROBE_BITS = 40
+LEAST_PROBE_BITS = 40
 
 SENT = T.StructType([T.StructField("range", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("asks", T.BinaryType()), T.StructField("seen", T.BinaryType())])
 ANSWERED = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("range", T.LongType()), T.StructField("hashes", T.BinaryType())])
 
 
-@lru_cache(maxsize=2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd multiplier and of its inverse, modulo 2**64."""
-    m = MULTIPLIERS[0]
+    m = MULTIPLIERS[which]
     up, down = np.full(n, m, dtype=np.uint64), np.full(n, pow(m, -1, 1 << 64), dtype=np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -56,11 +58,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def rolling(h: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each run of `length` words."""
+def rolling(h: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of `length` words; `which` chooses one of several."""
     if len(h) < length:
         return np.empty(0, dtype=np.uint64)
-    up, down = powers(1 << max(16, (len(h) - 1).bit_length()))
+    up, down = powers(1 << max(16, (len(h) - 1).bit_length()), which)
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
     return mix((total[length:] - total[:-length]) * down[: len(h) - length + 1])
 
@@ -81,15 +83,15 @@ def unsqueeze(b: bytes) -> np.ndarray:
 
 
 def twice_at_most(a: np.ndarray) -> np.ndarray:
-    """Sorted, with each value once or, if there are more, twice."""
-    a = np.sort(a)
-    return a if len(a) < 3 else a[np.r_[True, True, a[2:] != a[:-2]]]
+    """The places of the sorted values, each once or, if there are more, twice."""
+    at = np.argsort(a, kind="stable")
+    return at if len(a) < 3 else at[np.r_[True, True, a[at[2:]] != a[at[:-2]]]]
 
 
-def by_range(chunk: int, asks: np.ndarray, seen: np.ndarray, ranges: int) -> pa.Table:
-    """Rows of SENT. Ranges are dealt by the low bits, so that each keeps the spread of all high bits."""
+def by_range(chunk: int, asks: np.ndarray, seen: np.ndarray, a_of: np.ndarray, s_of: np.ndarray, ranges: int) -> pa.Table:
+    """Rows of SENT, from sorted hashes and what chooses the range of each."""
     rows = []
-    a_of, s_of = asks % np.uint64(ranges), seen % np.uint64(ranges)
+    a_of, s_of = a_of % np.uint64(ranges), s_of % np.uint64(ranges)
     a_at, s_at = np.argsort(a_of, kind="stable"), np.argsort(s_of, kind="stable")
     a_ends, s_ends = np.searchsorted(a_of[a_at], np.arange(ranges + 1)), np.searchsorted(s_of[s_at], np.arange(ranges + 1))
     for r in range(ranges):
@@ -136,8 +138,10 @@ def drop_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, round(size / CHUNK_BYTES))
     ranges = max(1, round(size / 6 / RANGE_HASHES))
-    shift = np.uint64(64 - PROBE_BITS)
-    dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64(F.lit("chunk"), text, *[c for c in ("doc_id",) if c in docs.columns]), F.lit(chunks)).cast("long"))
+    shift = np.uint64(64 - min(64, max(LEAST_PROBE_BITS, math.ceil(math.log2(size / 6 + 1)) + 20)))
+    (chunk,) = fresh([*docs.columns, "chunk", "n_words", "n_removed", "kept_text"], "_chunk")
+    # all columns of a row choose its chunk, so copies of one text without ids are spread as far as anything tells them apart
+    dealt = docs.withColumn(chunk, F.pmod(F.xxhash64(F.lit("chunk"), *[F.col(f"`{c}`") for c in docs.columns]), F.lit(chunks)).cast("long"))
     names = docs.columns
 
     def anchors(probes: np.ndarray) -> np.ndarray:
@@ -152,10 +156,12 @@ def drop_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
                 probes = rolling(word_hashes(words), block) >> shift
                 asks.append(anchors(probes))
                 seen.append(probes)
-        return by_range(key[0].as_py(), np.unique(np.concatenate(asks)), twice_at_most(np.concatenate(seen)), ranges)
+        a, s = np.unique(np.concatenate(asks)), np.concatenate(seen)
+        s = s[twice_at_most(s)]
+        return by_range(key[0].as_py(), a, s, a, s, ranges)
 
     def extend(key: tuple, part: pa.Table, found: pa.Table) -> pa.Table:
-        hit, tries = answers(found), [np.empty(0, dtype=np.uint64)]
+        hit, tries, others = answers(found), [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.uint64)]
         for t in texts(part, text) if len(hit) else []:
             words = (t or b"").split()
             if len(words) < window:
@@ -166,8 +172,12 @@ def drop_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
                 w = rolling(h, window)
                 first = -(-np.arange(len(w)) // block)  # the first block that starts in the window
                 tries.append(w[is_anchor[first]])
-        seen = twice_at_most(np.concatenate(tries))
-        return by_range(key[0].as_py(), np.unique(seen), seen, ranges)
+                others.append(rolling(h, window, 1)[is_anchor[first]])
+        seen, other = np.concatenate(tries), np.concatenate(others)
+        at = twice_at_most(seen)
+        seen, other = seen[at], other[at]
+        once = np.r_[True, seen[1:] != seen[:-1]] if len(seen) else np.zeros(0, dtype=bool)
+        return by_range(key[0].as_py(), seen[once], seen, other[once], other, ranges)
 
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     schema = T.StructType([*docs.schema.fields, *added])
@@ -192,7 +202,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
             out = out.append_column(name, a)
         return out
 
-    grouped = dealt.groupBy("_chunk")
+    grouped = dealt.groupBy(chunk)
     sent = grouped.applyInArrow(lambda key, part: index_and_probe(key, part), SENT)
     found = sent.groupBy("range").applyInArrow(lambda key, part: answer(key, part), ANSWERED)
     tried = grouped.cogroup(found.groupBy("chunk")).applyInArrow(lambda key, part, more: extend(key, part, more), SENT)

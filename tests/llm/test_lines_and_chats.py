@@ -24,7 +24,7 @@ def test_lines_by_brute_force(odd_docs, odd_rows, no_docs):
 
 def test_estimates_near_the_threshold_are_counted(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common to many\nown line "), F.col("id").cast("string")).alias("text"), (F.col("id") % 300).cast("string").alias("source"))
-    lines = line_dedup.line_rows(rows, "text", "source")
+    lines = line_dedup.per_site(line_dedup.line_rows(rows, "text", "source"))
     assert line_dedup.boilerplate(lines, 300, lg_k=6).count() == 1
     assert line_dedup.boilerplate(lines, 301, lg_k=6).count() == 0
 

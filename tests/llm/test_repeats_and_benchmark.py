@@ -3,7 +3,9 @@ from collections import Counter
 
 import pytest
 
-from quirework.llm import decontamination, substring_dedup
+from pyspark.sql import functions as F
+
+from quirework.llm import decontamination, line_dedup, packing, substring_dedup
 
 
 def brute(rows, window):
@@ -68,3 +70,26 @@ def test_contained_items(spark, odd_docs, odd_rows, no_docs):
     assert clean.columns == odd_docs.columns and not {r.doc_id for r in clean.collect()} & {x[0] for x in want}
     assert decontamination.drop_contaminated(no_docs, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontamination.drop_contaminated(odd_docs, spark.createDataFrame([], "item_id long, text string")).count() == len(odd_rows)
+
+
+def test_any_column_names(spark):
+    names = ["row_key", "row", "item", "gone", "lines", "key", "mark", "_chunk", "chunk", "words", "hash"]
+    rows = [(1, "the item is here: one two three four five six", *names), (2, "nothing of it", *names), (None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).withColumn("source", F.lit("a"))
+    items = spark.createDataFrame([(None, "one two three four five six"), (4, "quite another one it is")], "item_id long, text string")
+    clean = decontamination.drop_contaminated(docs, items)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {2, None} and {r.row_key for r in clean.collect()} == {"row_key"}
+    assert [(r.doc_id, r.item_id) for r in decontamination.find_contaminated(docs, items).collect()] == [(1, None)]
+    assert substring_dedup.drop_repeats(docs).columns == [*docs.columns, "n_words", "n_removed", "kept_text"]
+    lines = line_dedup.drop_boilerplate(docs, min_sites=1)
+    assert lines.columns == [*docs.columns, "n_lines", "n_removed", "kept_text"] and {r.kept_text for r in lines.collect()} == {""}
+    packed = packing.pack_documents(docs.drop("source").withColumn("_tie", F.lit(1)).withColumn("_group", F.lit(1)))
+    assert {*names, "_tie", "_group"} <= set(packed.columns) and packed.count() == 3
+
+
+def test_second_hash_tells_windows_apart():
+    h = substring_dedup.word_hashes([b"a", b"b", b"c", b"a", b"b", b"d"])
+    for which in (0, 1):
+        r = substring_dedup.rolling(h, 2, which)
+        assert r[0] == r[3] and len(set(r.tolist())) == 4
+    assert not set(substring_dedup.rolling(h, 2, 0).tolist()) & set(substring_dedup.rolling(h, 2, 1).tolist())
