@@ -194,7 +194,7 @@ def cores(stars: DataFrame, sets: DataFrame) -> DataFrame:
 
     spread = 1 << 30
     some = stars.where(F.pmod(F.xxhash64("star", "id"), F.lit(spread)) * F.col("members") < CORE_MEMBERS * spread)
-    return written(some.join(sets.select("id", "set"), "id").groupBy("star").applyInArrow(lambda key, part: run(key, part), "star long, members long, core binary"), "near-cores")
+    return written(some.join(sets, "id").groupBy("star").applyInArrow(lambda key, part: run(key, part), "star long, members long, core binary"), "near-cores")
 
 
 def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,7 +219,7 @@ def differences(stars: DataFrame, sets: DataFrame, core: DataFrame, percent: int
             cols = [b.column("star"), b.column("id"), b.column("members"), *(pa.array(x, pa.int64()) for x in (sizes, held, fs, bounds))]
             yield pa.RecordBatch.from_arrays(cols, names=["star", "id", "members", "n", "held", "f", "bound"])
 
-    rows = stars.join(sets.select("id", "set"), "id").withColumn("salt", F.xxhash64("id"))
+    rows = stars.join(sets, "id").withColumn("salt", F.xxhash64("id"))
     both = attach_large(rows, core, "star", "members", "salt", how="left").select("star", "id", "members", "set", "core")
     return written(both.mapInArrow(run, "star long, id long, members long, n long, held long, f long, bound long"), "near-differences")
 
@@ -277,7 +277,7 @@ def against_centre(diffs: DataFrame, sets: DataFrame, core: DataFrame, percent:
     sizes = sized.groupBy("star", "held").agg(F.min("n").alias("least"), F.min(F.when(is_open, F.col("n"))).alias("least_open")).groupBy("star").agg(F.collect_list(F.struct("held", "least", "least_open")).alias("sizes"))
     facts = centre.withColumnRenamed("size", "members").join(sizes, "star", "left").join(core.select("star", "core"), "star", "left")
     facts = written(facts.join(sets.select(F.col("id").alias("centre"), F.col("set").alias("c_set")), "centre"), "near-centres")
-    rows = diffs.drop("members").join(centre.select("star", F.col("size").alias("members")), "star").join(sets.select("id", "set"), "id").withColumn("salt", F.xxhash64("id"))
+    rows = diffs.drop("members").join(centre.select("star", F.col("size").alias("members")), "star").join(sets, "id").withColumn("salt", F.xxhash64("id"))
     both = attach_large(rows, facts, "star", "members", "salt").where("id <> centre").drop("salt", "members")
     return written(both.mapInArrow(run, "star long, id long, n long, centre long, linked boolean, elements array<long>"), "near-edges")
 
@@ -323,9 +323,11 @@ def links_inside(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     head = [new if x == old else x for x in head]
         return pa.table({"a": pa.array([x[0] for x in edges], pa.int64()), "b": pa.array([x[1] for x in edges], pa.int64())})
 
-    rows = stars.select("star", "id").join(sets.select("id", "n", "sig"), "id")
+    ids = cut(stars.select("id").distinct())
+    rows = stars.select("star", "id").join(among(sets.select("id", "n", "sig"), ids, "id"), "id")
     some = written(rows.groupBy("star").applyInArrow(lambda key, part: partners(key, part), "star long, id long"), "near-partners")
-    return written(some.join(sets.select("id", "set"), "id").groupBy("star").applyInArrow(lambda key, part: compare(key, part), "a long, b long").distinct(), "near-inside")
+    held = among(sets.select("id", "set"), cut(some.select("id").distinct()), "id")
+    return written(some.join(held, "id").groupBy("star").applyInArrow(lambda key, part: compare(key, part), "a long, b long").distinct(), "near-inside")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -358,8 +360,9 @@ def links_of(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
         stars = stars.where(~is_small()).select("star", "id", "members")
         if not stars.limit(1).count():
             break
-        core = cores(stars, sets)
-        edges = against_centre(differences(stars, sets, core, percent), sets, core, percent)
+        held = written(among(sets.select("id", "set"), cut(stars.select("id").distinct()), "id"), "near-held")
+        core = cores(stars, held)
+        edges = against_centre(differences(stars, held, core, percent), held, core, percent)
         links.append(edges.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
         stars = next_stars(edges)
     out = links[0]
