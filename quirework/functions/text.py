@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +78,10 @@ def retry_delay(attempt, initial: int = 5, most: int = 900) -> Column:
 def owner_pseudonym(issuer, subject) -> Column:
     """TXT15: an owner's name that doesn't tell the subject."""
     return F.concat(F.lit("user:oidc:"), F.sha2(F.concat(col(issuer), F.lit("\0"), col(subject)), 256))
+
+
+def hmac_hex(c, key: bytes) -> Column:
+    """TXT15: the keyed SHA-256 digest (HMAC) of a text: two digests over the padded key."""
+    block = (key if len(key) <= 64 else hashlib.sha256(key).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, col(c).cast("binary")), 256))), 256)

@@ -25,7 +25,42 @@ MAX_ARTIFACTS = 201
 ZIP = "application/zip"
 BUNDLING = ("pdf-to-images", "split-to-zip", "extract-pages-zip", "extract-images")
 #: What may be put in, by operation; all others take PDF alone.
-INPUT_TYPES = {"images-to-pdf": "image/", "office-to-pdf": "application/vnd."}
+INPUT_TYPES = {
+    "images-to-pdf": ["image/bmp", "image/jpeg", "image/png", "image/tiff", "image/webp"],
+    "office-to-pdf": [
+        "application/msword",
+        "application/rtf",
+        "application/vnd.ms-excel",
+        "application/vnd.ms-powerpoint",
+        "application/vnd.oasis.opendocument.presentation",
+        "application/vnd.oasis.opendocument.spreadsheet",
+        "application/vnd.oasis.opendocument.text",
+        "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+        "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+        "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ],
+}
+#: Rules of parameters by operation. Numbers: least, most, whole; choices; lengths.
+_MARGIN, _DPI, _PAGE = (0, 240, False), (72, 600, True), (1, 100_000, True)
+NUMBERS = {
+    "images-to-pdf": {"margin": _MARGIN, "dpi": _DPI},
+    "pdf-to-images": {"dpi": _DPI, "first_page": _PAGE, "last_page": _PAGE},
+    "watermark": {"font_size": (8, 160, False), "opacity": (0.02, 1, False), "rotation": (-180, 180, False), "margin": _MARGIN},
+    "page-numbers": {"start_number": (0, 1_000_000, True), "font_size": (6, 36, False), "margin": _MARGIN},
+    "stamp": {"scale": (0.03, 0.8, False), "margin": _MARGIN},
+}
+POSITIONS = ["center", "top-left", "top-center", "top-right", "bottom-left", "bottom-center", "bottom-right"]
+CHOICES = {
+    "images-to-pdf": {"page_size": ["auto", "a4", "letter"], "fit": ["contain", "cover"]},
+    "pdf-to-images": {"format": ["png", "jpeg"]},
+    "rotate": {"degrees": ["-90", "90", "180", "270"]},
+    "ocr": {"deskew": ["true", "false"], "rotate_pages": ["true", "false"]},
+    "watermark": {"position": POSITIONS},
+    "page-numbers": {"position": POSITIONS},
+    "stamp": {"position": POSITIONS},
+}
+LENGTHS = {"watermark": {"text": (1, 240)}, "page-numbers": {"format": (1, 120)}}
+REQUIRED = {"split": ["pages"], "watermark": ["text"]}
 UNARCHIVED = ("unlock", "protect", "grayscale", "header-footer")
 UNREPEATABLE = ("unlock", "protect")
 
@@ -102,25 +137,34 @@ def route_operations(jobs: DataFrame, routes: DataFrame | None = None) -> DataFr
 
 
 def validate_params(jobs: DataFrame) -> DataFrame:
-    """FLT9: violations of the parameter rules of page-range, rotation and raster operations."""
-    p = F.from_json("params_json", "pages string, degrees int, dpi int, text string, margin double, opacity double, start_number long")
-    v = {n: p[n] for n in ("pages", "degrees", "dpi", "text", "margin", "opacity", "start_number")}
-    # a page expression: numbers from 1 or z, alone or as ranges, comma-separated
-    item = r"(?:[1-9][0-9]*|z)"
-    pages_ok = v["pages"].rlike(rf"^{item}(?:-{item})?(?:,{item}(?:-{item})?)*$") & F.length(v["pages"]).between(1, 256)
+    """FLT9: violations of the rules of an operation's parameters, sorted; parameters that aren't given are fine unless required."""
+    given = F.from_json("params_json", "map<string,string>")
     broken = F.get_json_object("params_json", "$").isNull()
     op = F.col("operation")
-    rules = [
-        (broken, "params: not JSON"),
-        ((op == "split") & v["pages"].isNull() & ~broken, "pages: required"),
-        (op.isin("split", "rotate") & v["pages"].isNotNull() & ~pages_ok, "pages: malformed"),
-        ((op == "rotate") & ~F.coalesce(v["degrees"], F.lit(90)).isin(-90, 90, 180, 270), "degrees: not a quarter turn"),
-        (op.isin("images-to-pdf", "pdf-to-images") & ~F.coalesce(v["dpi"], F.lit(150)).between(72, 600), "dpi: out of range"),
-        ((op == "watermark") & ~broken & ~F.coalesce(F.length(v["text"]).between(1, 240), F.lit(False)), "text: required, 240 characters at most"),
-        (op.isin("watermark", "page-numbers", "stamp", "images-to-pdf") & ~F.coalesce(v["margin"], F.lit(18.0)).between(0, 240), "margin: out of range"),
-        ((op == "page-numbers") & ~F.coalesce(v["start_number"], F.lit(1)).between(0, 1_000_000), "start_number: out of range"),
+
+    def rules(table: dict, wrong, message: str) -> list[Column]:
+        found = [(o, name, rule) for o, names in table.items() for name, rule in names.items()]
+        return [F.when((op == o) & F.coalesce(wrong(F.try_element_at(given, F.lit(name)), rule), F.lit(False)), f"{name}: {message}") for o, name, rule in found]
+
+    def bad_number(x: Column, rule: tuple) -> Column:
+        n = x.try_cast("double")
+        fine = n.between(rule[0], rule[1]) & (F.lit(not rule[2]) | (n == F.floor(n)))
+        return x.isNotNull() & ~F.coalesce(fine, F.lit(False))
+
+    # a page expression: numbers from 1 or z, alone or as ranges, comma-separated
+    item = r"(?:[1-9][0-9]*|z)"
+    pages = F.try_element_at(given, F.lit("pages"))
+    pages_ok = pages.rlike(rf"^{item}(?:-{item})?(?:,{item}(?:-{item})?)*$") & F.length(pages).between(1, 256)
+    found = [
+        F.when(broken, "params: not JSON"),
+        F.when(op.isin("split", "rotate") & ~pages_ok, "pages: malformed"),
+        F.when((op == "ocr") & ~F.try_element_at(given, F.lit("languages")).rlike("^[a-z0-9+_-]+$"), "languages: not allowed"),
+        *[F.when((op == o) & ~broken & F.try_element_at(given, F.lit(name)).isNull(), f"{name}: required") for o, names in REQUIRED.items() for name in names],
+        *rules(NUMBERS, bad_number, "out of range"),
+        *rules(CHOICES, lambda x, allowed: ~x.isin(allowed), "not allowed"),
+        *rules(LENGTHS, lambda x, size: ~F.length(x).between(*size), "not allowed"),
     ]
-    return jobs.withColumn("violations", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), m) for c, m in rules])))
+    return jobs.withColumn("violations", F.array_sort(F.array_compact(F.array(*found))))
 
 
 # joins
@@ -196,7 +240,7 @@ def orphan_outputs(objects: DataFrame, files: DataFrame, jobs: DataFrame, now, m
 def check_inputs(jobs: DataFrame, files: DataFrame, now) -> DataFrame:
     """JOIN5: the first failing rule of each job: 404 missing, 410 expired, 403 foreign, 415 wrong type; NULL if none."""
     rows = input_ids(jobs, "id", "operation", "requested_by").join(files.select(F.col("id").alias("fid"), "source_system", "content_type", "expires_at"), F.col("file_id") == F.col("fid"), "left")
-    wanted = reduce(lambda c, kv: c.when(F.col("operation") == kv[0], F.col("content_type").startswith(kv[1])), INPUT_TYPES.items(), F).otherwise(F.col("content_type") == "application/pdf")
+    wanted = reduce(lambda c, kv: c.when(F.col("operation") == kv[0], F.col("content_type").isin(kv[1])), INPUT_TYPES.items(), F).otherwise(F.col("content_type") == "application/pdf")
     rank = F.when(F.col("fid").isNull(), 1).when(F.col("expires_at") <= at(now), 2).when(F.col("source_system") != F.col("requested_by"), 3).when(~wanted, 4)
     worst = rows.groupBy("id").agg(F.min(rank).alias("rank"))
     code = F.when(F.col("rank") == 1, 404).when(F.col("rank") == 2, 410).when(F.col("rank") == 3, 403).when(F.col("rank") == 4, 415)
@@ -421,8 +465,13 @@ def library_page(files: DataFrame, now, sort: str = "created_at", order: str = "
     """
     rows, key = library(files, now, **filters), SORTS[sort](sort)
     if after is not None:
-        value, last = F.lit(after[0]), F.lit(after[1])
-        rows = rows.where(((key > value) | ((key == value) & (F.col("id") > last))) if order == "asc" else ((key < value) | ((key == value) & (F.col("id") < last))))
+        last, same = F.col("id") > after[1] if order == "asc" else F.col("id") < after[1], key.eqNullSafe(F.lit(after[0]))
+        # nulls come last ascending and first descending
+        if after[0] is None:
+            further = F.lit(False) if order == "asc" else key.isNotNull()
+        else:
+            further = (key > F.lit(after[0])) | key.isNull() if order == "asc" else key < F.lit(after[0])
+        rows = rows.where(further | (same & last))
     by = [key.asc_nulls_last(), F.col("id").asc()] if order == "asc" else [key.desc_nulls_first(), F.col("id").desc()]
     return rows.orderBy(*by).offset(offset).limit(limit)
 

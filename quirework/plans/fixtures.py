@@ -52,6 +52,23 @@ def _operation(key: str) -> str:
 _CELLS = " UNION ALL ".join(["SELECT 0 AS cell", *(f"SELECT {i}" for i in range(1, 24))])
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 #: name: (tables it needs, SQL by dialect)
+#: Parameters that break or just keep the rules of some operation.
+_PARAMS = [
+    '{"text":"x","font_size":200,"opacity":0.01,"rotation":181,"position":"left"}',
+    '{"text":"","margin":241,"opacity":1.0,"position":"top-left","rotation":-180}',
+    '{"format":"gif","first_page":0,"last_page":"x"}',
+    '{"format":"","start_number":-1,"font_size":6}',
+    '{"scale":0.9,"position":"center","margin":0}',
+    '{"page_size":"a3","fit":"fill","dpi":72.5,"scale":0.03}',
+    '{"languages":"TH!","deskew":"maybe","rotate_pages":true,"start_number":1000000}',
+    '{"pages":"1-z","degrees":-90,"format":"jpeg","last_page":100001,"page_size":"letter"}',
+]
+
+
+def _params(n: str) -> str:
+    return f"CASE {n} % {len(_PARAMS)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_PARAMS)) + " END"
+
+
 FIXTURES: dict[str, tuple[tuple[str, ...], Callable]] = {
     "n_docs": (("documents",), lambda d: "SELECT count(*) AS n FROM documents"),
     "files": (("documents",), lambda d: f"""SELECT CAST(doc_id AS STRING) AS id,
@@ -63,14 +80,12 @@ FIXTURES: dict[str, tuple[tuple[str, ...], Callable]] = {
     "storage_objects": (("documents", "part"), lambda d: f"""SELECT 'originals' AS area, concat('obj-', CAST(doc_id AS STRING)) AS stored_name, concat('originals/obj-', CAST(doc_id AS STRING)) AS location,
             n_chars + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS size, {d.minutes("doc_id * 7")} AS modified_at FROM documents WHERE doc_id % 11 <> 0
         UNION ALL SELECT 'processed', concat('obj-', CAST(doc_id AS STRING)), concat('processed/obj-', CAST(doc_id AS STRING)), n_chars, {d.minutes("doc_id * 7")} FROM documents WHERE doc_id % 17 = 0
-        UNION ALL SELECT 'processed', concat('part-', CAST(p_partkey AS STRING)), concat('processed/part-', CAST(p_partkey AS STRING)), CAST(1 AS BIGINT), {d.minutes("p_partkey")} FROM part WHERE p_partkey < 50"""),
-    "all_storage_objects": (("storage_objects", "part"), lambda d: f"""SELECT * FROM storage_objects
-        UNION ALL SELECT 'processed', concat('part-', CAST(p_partkey AS STRING)), concat('processed/part-', CAST(p_partkey AS STRING)), CAST(1 AS BIGINT), {d.minutes("p_partkey")} FROM part WHERE p_partkey >= 50"""),
+        UNION ALL SELECT 'processed', concat('part-', CAST(p_partkey AS STRING)), concat('processed/part-', CAST(p_partkey AS STRING)), CAST(1 AS BIGINT), {d.minutes("p_partkey")} FROM part"""),
     "job_inputs": (("lineitem", "n_docs"), lambda d: f"""SELECT l_orderkey, {d.json_list("CAST(l_partkey % n AS STRING)")} AS ids,
             CAST(min(CASE WHEN l_linenumber = 1 THEN l_partkey % n END) AS STRING) AS first_id FROM lineitem CROSS JOIN n_docs GROUP BY l_orderkey"""),
     "jobs": (("orders", "job_inputs"), lambda d: f"""SELECT {_uuid("o_orderkey")} AS id, {_operation("o_orderkey")} AS operation, status, CASE status WHEN 'completed' THEN 100 WHEN 'running' THEN 40 ELSE 0 END AS progress,
             coalesce(ids, '[]') AS input_file_ids_json, CASE WHEN status = 'completed' AND o_orderkey % 4 <> 0 THEN first_id END AS output_file_id,
-            CASE WHEN o_orderkey % 6 = 0 THEN '{{"pages":"0,1"}}' WHEN o_orderkey % 6 = 1 THEN '{{"pages":"1-3,z","dpi":300}}' WHEN o_orderkey % 6 = 2 THEN '{{"degrees":45,"dpi":20}}' WHEN o_orderkey % 6 = 3 THEN '{{bad' ELSE '{{}}' END AS params_json,
+            CASE WHEN o_orderkey % 6 = 0 THEN '{{"pages":"0,1"}}' WHEN o_orderkey % 6 = 1 THEN '{{"pages":"1-3,z","dpi":300}}' WHEN o_orderkey % 6 = 2 THEN '{{"degrees":45,"dpi":20}}' WHEN o_orderkey % 6 = 3 THEN '{{bad' WHEN o_orderkey % 6 = 4 THEN {_params("CAST(floor(o_orderkey / 6) AS BIGINT)")} ELSE '{{}}' END AS params_json,
             CASE WHEN status = 'failed' THEN 'engine error' END AS error, concat('src', CAST(o_custkey % 20 AS STRING)) AS requested_by, concat('rq-', CAST(o_orderkey AS STRING)) AS rq_job_id,
             CAST(o_orderkey % 3 + 1 AS INT) AS lease_epoch, CASE WHEN status = 'running' THEN concat('tok-', CAST(o_orderkey AS STRING)) END AS lease_token,
             CASE WHEN status = 'running' THEN {d.minutes("o_orderkey % 5000")} END AS lease_expires_at,
@@ -98,9 +113,7 @@ FIXTURES: dict[str, tuple[tuple[str, ...], Callable]] = {
     "audit_events": (("events",), lambda d: "SELECT CAST(ts AS TIMESTAMP) AS ts, CASE event_id % 4 WHEN 0 THEN 'job.queued' WHEN 1 THEN 'job.started' WHEN 2 THEN 'job.completed' ELSE 'job.failed' END AS event, concat('src', CAST(user_id % 20 AS STRING)) AS actor, 'job' AS resource_type, CAST(user_id % 997 AS STRING) AS resource_id, event_id FROM events"),
     "metric_samples": (("events",), lambda d: "SELECT 'jobs_failed_total' AS metric, CASE event_id % 3 WHEN 0 THEN 'interactive' WHEN 1 THEN 'pdf' ELSE 'heavy' END AS queue_class, CAST(ts AS TIMESTAMP) AS ts, CAST(event_id % 50 AS DOUBLE) AS value, event_id FROM events"),
     "doc_pages": (("documents",), lambda d: d.pages),
-    "questions": (("conversations", "n_docs"), lambda d: """SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS question_id, CAST(conv_id % n AS STRING) AS doc_id, substr(text, 1, 60) AS question, substr(previous, 1, 60) AS previous_question
-        FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user') CROSS JOIN n_docs"""),
-    "whole_questions": (("conversations", "n_docs"), lambda d: f"""SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING), '-', CAST(i AS STRING)) AS question_id, CAST(conv_id % n AS STRING) AS doc_id, question, lag(question) OVER (PARTITION BY conv_id ORDER BY turn, i) AS previous_question
+    "questions": (("conversations", "n_docs"), lambda d: f"""SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING), '-', CAST(i AS STRING)) AS question_id, CAST(conv_id % n AS STRING) AS doc_id, question, lag(question) OVER (PARTITION BY conv_id ORDER BY turn, i) AS previous_question
         FROM ({d.sentences}) CROSS JOIN n_docs WHERE trim(question) <> ''"""),
     "spans": (("orders",), lambda d: f"""SELECT CAST(o_orderkey AS STRING) AS page_id, CAST(cell AS INT) AS seq, CAST(20 + (cell % 3) * 50 + (o_orderkey % 7) * (cell % 2) + CASE WHEN o_orderkey % 17 = 0 AND cell = 5 THEN 200 ELSE 0 END AS DOUBLE) AS x,
             CAST(697 - floor(cell / 3) * 20 - CASE WHEN o_orderkey % 19 = 0 AND cell = 4 THEN 20 ELSE 0 END AS DOUBLE) AS y, CASE WHEN o_orderkey % 23 = 0 AND cell = 7 THEN ' =sum' ELSE concat('v', CAST(o_orderkey AS STRING), '-', CAST(cell AS STRING)) END AS text

@@ -81,12 +81,19 @@ def _(jobs):
     return c.route_operations(jobs).select("id", "operation", "queue_class", "time_limit_s", "suffix")
 
 
-@query("flt9_param_violations", "jobs", r""", p AS (SELECT id, operation AS op, json_valid(params_json) AS ok, CASE WHEN json_valid(params_json) THEN params_json ->> 'pages' END AS pages, CASE WHEN json_valid(params_json) THEN CAST(params_json ->> 'degrees' AS INT) END AS degrees, CASE WHEN json_valid(params_json) THEN CAST(params_json ->> 'dpi' AS INT) END AS dpi FROM jobs)
-    SELECT id, concat_ws('; ', CASE WHEN NOT ok THEN 'params: not JSON' END, CASE WHEN op = 'split' AND ok AND pages IS NULL THEN 'pages: required' END,
-        CASE WHEN op IN ('split', 'rotate') AND pages IS NOT NULL AND NOT regexp_full_match(pages, '(?:[1-9][0-9]*|z)(?:-(?:[1-9][0-9]*|z))?(?:,(?:[1-9][0-9]*|z)(?:-(?:[1-9][0-9]*|z))?)*') THEN 'pages: malformed' END,
-        CASE WHEN op = 'rotate' AND coalesce(degrees, 90) NOT IN (-90, 90, 180, 270) THEN 'degrees: not a quarter turn' END,
-        CASE WHEN op IN ('images-to-pdf', 'pdf-to-images') AND coalesce(dpi, 150) NOT BETWEEN 72 AND 600 THEN 'dpi: out of range' END,
-        CASE WHEN op = 'watermark' AND ok THEN 'text: required, 240 characters at most' END) AS violations FROM p""")
+@query("flt9_param_violations", "jobs", r""", p AS (SELECT id, operation AS op, json_valid(params_json) AS ok, CASE WHEN json_valid(params_json) THEN params_json ELSE '{}' END AS j FROM jobs),
+    bounds(op, k, lo, hi, whole) AS (VALUES ('images-to-pdf', 'margin', 0, 240, false), ('images-to-pdf', 'dpi', 72, 600, true), ('pdf-to-images', 'dpi', 72, 600, true), ('pdf-to-images', 'first_page', 1, 100000, true), ('pdf-to-images', 'last_page', 1, 100000, true),
+        ('watermark', 'font_size', 8, 160, false), ('watermark', 'opacity', 0.02, 1, false), ('watermark', 'rotation', -180, 180, false), ('watermark', 'margin', 0, 240, false), ('page-numbers', 'start_number', 0, 1000000, true), ('page-numbers', 'font_size', 6, 36, false), ('page-numbers', 'margin', 0, 240, false),
+        ('stamp', 'scale', 0.03, 0.8, false), ('stamp', 'margin', 0, 240, false)),
+    allowed(op, k, pattern) AS (SELECT op, 'position', '(center|(top|bottom)-(left|center|right))' FROM (VALUES ('watermark'), ('page-numbers'), ('stamp')) t(op) UNION ALL VALUES ('images-to-pdf', 'page_size', 'auto|a4|letter'), ('images-to-pdf', 'fit', 'contain|cover'), ('pdf-to-images', 'format', 'png|jpeg'),
+        ('rotate', 'degrees', '-90|90|180|270'), ('ocr', 'languages', '[a-z0-9+_-]+'), ('ocr', 'deskew', 'true|false'), ('ocr', 'rotate_pages', 'true|false'), ('page-numbers', 'format', '(?s).{1,120}'), ('watermark', 'text', '(?s).{1,240}')),
+    m AS (SELECT id, 'params: not JSON' AS v FROM p WHERE NOT ok
+        UNION ALL SELECT id, 'pages: required' FROM p WHERE ok AND op = 'split' AND json_extract_string(j, '$.pages') IS NULL
+        UNION ALL SELECT id, 'text: required' FROM p WHERE ok AND op = 'watermark' AND json_extract_string(j, '$.text') IS NULL
+        UNION ALL SELECT id, 'pages: malformed' FROM p WHERE op IN ('split', 'rotate') AND NOT (length(json_extract_string(j, '$.pages')) <= 256 AND regexp_full_match(json_extract_string(j, '$.pages'), '(?:[1-9][0-9]*|z)(?:-(?:[1-9][0-9]*|z))?(?:,(?:[1-9][0-9]*|z)(?:-(?:[1-9][0-9]*|z))?)*'))
+        UNION ALL SELECT id, k || ': out of range' FROM (SELECT id, k, lo, hi, whole, json_extract_string(j, '$.' || k) AS x FROM p JOIN bounds USING (op)) WHERE x IS NOT NULL AND NOT coalesce(try_cast(x AS DOUBLE) BETWEEN lo AND hi AND (NOT whole OR try_cast(x AS DOUBLE) = floor(try_cast(x AS DOUBLE))), false)
+        UNION ALL SELECT id, k || ': not allowed' FROM (SELECT id, k, pattern, json_extract_string(j, '$.' || k) AS x FROM p JOIN allowed USING (op)) WHERE NOT regexp_full_match(x, pattern))
+    SELECT p.id, coalesce(string_agg(v, '; ' ORDER BY v), '') AS violations FROM p LEFT JOIN m ON m.id = p.id GROUP BY p.id""")
 def _(jobs):
     return c.validate_params(jobs).select("id", F.array_join("violations", "; ").alias("violations"))
 
@@ -126,7 +133,7 @@ def _(objects, files, jobs):
 @query("join5_input_checks", "jobs files", f""",
     i AS (SELECT id, operation, requested_by, unnest(from_json(input_file_ids_json, '["VARCHAR"]')) AS file_id FROM jobs),
     k AS (SELECT i.id, CASE WHEN f.id IS NULL THEN 1 WHEN f.expires_at <= {T} THEN 2 WHEN f.source_system <> i.requested_by THEN 3
-        WHEN NOT (CASE i.operation WHEN 'images-to-pdf' THEN content_type LIKE 'image/%' WHEN 'office-to-pdf' THEN content_type LIKE 'application/vnd.%' ELSE content_type = 'application/pdf' END) THEN 4 END AS rank FROM i LEFT JOIN files f ON f.id = i.file_id)
+        WHEN NOT (CASE i.operation WHEN 'images-to-pdf' THEN regexp_full_match(content_type, 'image/(jpeg|png|webp|tiff|bmp)') WHEN 'office-to-pdf' THEN regexp_full_match(content_type, 'application/(msword|rtf|vnd[.](ms-excel|ms-powerpoint|oasis[.]opendocument[.](text|spreadsheet|presentation)|openxmlformats-officedocument[.](wordprocessingml[.]document|spreadsheetml[.]sheet|presentationml[.]presentation)))') ELSE content_type = 'application/pdf' END) THEN 4 END AS rank FROM i LEFT JOIN files f ON f.id = i.file_id)
     SELECT j.id, j.operation, CASE min(rank) WHEN 1 THEN 404 WHEN 2 THEN 410 WHEN 3 THEN 403 WHEN 4 THEN 415 ELSE 0 END AS failed_rule FROM jobs j LEFT JOIN k ON k.id = j.id GROUP BY j.id, j.operation""")
 def _(jobs, files):
     return c.check_inputs(jobs, files, NOW).withColumn("failed_rule", F.coalesce("failed_rule", F.lit(0)))
@@ -267,6 +274,19 @@ def _(files):
     return c.library_page(files, NOW, sort="expires_at", order="asc", limit=40, offset=10, q="report").select("id", "original_name", "size")
 
 
+@query("top1_next_pages", "files", f""", l AS (SELECT id, expires_at FROM files WHERE expires_at IS NULL OR expires_at > {T})
+    SELECT 'asc' AS way, id FROM (SELECT id FROM l ORDER BY expires_at ASC NULLS LAST, id ASC LIMIT 40 OFFSET (SELECT greatest(count(*) - 29, 0) FROM l)) UNION ALL SELECT 'desc', id FROM (SELECT id FROM l ORDER BY expires_at DESC NULLS FIRST, id DESC LIMIT 40 OFFSET 11)""")
+def _(files):
+    """The pages that follow a row by its key: ascending among files that never expire, descending over from them."""
+    total = c.library(files, NOW).count()
+    out = []
+    for way, place in (("asc", max(total - 30, 0)), ("desc", 10)):
+        last = c.library_page(files, NOW, sort="expires_at", order=way, limit=1, offset=place).first()
+        page = c.library_page(files, NOW, sort="expires_at", order=way, limit=40, after=(last["expires_at"], last["id"]))
+        out.append(page.select(F.lit(way).alias("way"), "id"))
+    return out[0].union(out[1])
+
+
 @query("top1_library_count", "files", f"SELECT count(*) AS total, count(*) > 50 AS has_more FROM files WHERE (expires_at IS NULL OR expires_at > {T}) AND content_type LIKE 'image/%'")
 def _(files):
     return c.library_count(files, NOW, limit=40, offset=10, file_kind="image")
@@ -290,25 +310,6 @@ def _(files, objects):
 ORACLES["top4_issue_page"] = f"SELECT * FROM ({ORACLES['join1_reconcile']}) ORDER BY category, stored_name, coalesce(file_id, ''), coalesce(location, '') LIMIT 60"
 
 
-@query("join1_whole_reconcile", "files all_storage_objects")
-def _(files, objects):
-    return c.reconcile(files, objects)
-
-
-@query("agg5_whole_summary", "files all_storage_objects")
-def _(files, objects):
-    return c.reconcile_summary(c.reconcile(files, objects), files, objects)
-
-
-@query("top4_whole_issue_page", "files all_storage_objects")
-def _(files, objects):
-    return c.issue_page(c.reconcile(files, objects), 60)
-
-
-for _whole, _old in (("join1_whole_reconcile", "join1_reconcile"), ("agg5_whole_summary", "agg5_reconcile_summary"), ("top4_whole_issue_page", "top4_issue_page")):
-    ORACLES[_whole] = ORACLES[_old].replace(" WHERE p_partkey < 50", "")
-
-
 @query("set7_scope_audit", "customer", """,
     k AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CASE c_custkey % 3 WHEN 0 THEN ['files:read', 'jobs:read'] WHEN 1 THEN ['jobs:write', 'odd:scope'] ELSE [] END AS own, CASE c_custkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'viewer' END AS role FROM customer),
     e AS (SELECT id, list_distinct(list_concat(list_concat(own, CASE WHEN role = 'viewer' THEN ['files:read'] ELSE [] END), CASE WHEN role = 'admin' THEN ['*'] ELSE [] END)) AS s FROM k)

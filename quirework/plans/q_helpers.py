@@ -1,4 +1,4 @@
-"""Queries over the helpers: markup, e-mail, CSV, addresses, digests, media types, manifests, translation."""
+"""Queries over the helpers: addresses, digests, media types, manifests, translation, SQL functions, audit lines."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.functions import markup, registry, urls
+from quirework.functions import registry, urls
+from quirework.functions import text as ft
 from quirework.operators import layout
 from quirework.plans.fixtures import ctes, fixture
 from quirework.sources import readers
@@ -35,68 +36,6 @@ def query(name: str, needs: str, sql: str | None = None):
     return keep
 
 
-@query("txt7_safe_html", "pages")
-def _(web):
-    return markup.sanitize_html(web).select("page_id", F.sha2("fragment", 256).alias("fragment"), F.length("text").alias("chars"), "reason")
-
-
-@query("txt8_verified_html", "pages", "SELECT page_id, NULL::VARCHAR AS reason, true AS same FROM pages")
-def _(web):
-    safe = markup.sanitize_html(web).where("fragment IS NOT NULL").select("page_id", "fragment", F.col("fragment").alias("was"))
-    return markup.verify_html(safe).select("page_id", "reason", (F.col("verified") == F.col("was")).alias("same"))
-
-
-@query("txt9_html_documents", "pages")
-def _(web):
-    return markup.html_document(web).select("page_id", F.sha2("document", 256).alias("document"), "reason")
-
-
-@query("txt10_emails", "documents", r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256('From: src@example.com' || chr(10) || 'To: ' || lang || '@example.com' || chr(10) || 'Date: ' || chr(10) || 'Subject: Report ' || doc_id || chr(10) || chr(10) || t || chr(10)) AS text, NULL::VARCHAR AS reason
-    FROM (SELECT doc_id, lang, regexp_replace(substr(text, 1, 400), '[^A-Za-z .,\n]', '', 'g') AS t FROM documents) WHERE trim(t, ' ' || chr(10)) <> ''""")
-def _(documents):
-    body = F.regexp_replace(F.substring("text", 1, 400), "[^A-Za-z .,\n]", "")
-    mails = documents.where(F.btrim(body, F.lit(" \n")) != "").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("From: src@example.com\nTo: "), "lang", F.lit("@example.com\nSubject: Report "), F.col("doc_id").cast("string"), F.lit("\n\n"), body, F.lit("\n")).alias("content"))
-    return markup.parse_email(mails).select("doc_id", F.sha2("text", 256).alias("text"), "reason")
-
-
-@query("txt10_whole_emails", "documents", """, m AS (SELECT doc_id, text IS NULL OR lang IS NULL AS gone, doc_id % 3 <> 1 AND contains(text, chr(0)) AS nul, 'From: src@example.com' || chr(10) || 'To: ' || lang || '@example.com' || chr(10) || 'Date: ' || chr(10) || 'Subject: Report ' || doc_id || chr(10) || chr(10) AS head,
-        CASE doc_id % 3 WHEN 0 THEN text || chr(10) WHEN 1 THEN text ELSE lang || chr(10) || chr(10) || chr(10) || text || chr(10) END AS body FROM documents),
-    r AS (SELECT doc_id, head, body, CASE WHEN gone THEN 'missing' WHEN nul THEN 'too large or unsafe' WHEN regexp_full_match(body, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]*') OR length(body) > 200000 THEN 'empty or too long' END AS reason FROM m)
-    SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN reason IS NULL THEN sha256(head || body) END AS text, reason FROM r""")
-def _(documents):
-    """Every document's whole text as a message: 8bit, base64, or multipart with an attachment that is no part of the text."""
-    k, d, plain = F.col("doc_id") % 3, F.col("doc_id").cast("string"), "Content-Type: text/plain; charset=utf-8\n"
-    head = F.concat(F.lit("From: src@example.com\nTo: "), "lang", F.lit("@example.com\nSubject: Report "), d, F.lit("\nMIME-Version: 1.0\n"))
-    eight, coded, edge = F.lit(plain + "Content-Transfer-Encoding: 8bit\n\n"), F.lit(plain + "Content-Transfer-Encoding: base64\n"), F.sha2("text", 256)
-    between = F.concat(F.lit("\n--"), edge, F.lit("\n"))
-    parts = F.concat(F.lit('Content-Type: multipart/mixed; boundary="'), edge, F.lit('"\n'), between, eight, "lang", F.lit("\n"), between, eight, "text", F.lit("\n"), between, coded, F.lit("Content-Disposition: attachment\n\n"), F.base64("text"), F.lit("\n--"), edge, F.lit("--\n"))
-    body = F.when(k == 0, F.concat(eight, "text", F.lit("\n"))).when(k == 1, F.concat(coded, F.lit("\n"), F.base64("text"), F.lit("\n"))).otherwise(parts)
-    mails = documents.select(d.alias("doc_id"), F.concat(head, body).alias("content"))
-    return markup.parse_email(mails).select("doc_id", F.sha2("text", 256).alias("text"), "reason")
-
-
-@query("txt11_csv_cells", "documents", """, c AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE doc_id % 3 WHEN 0 THEN [['id', 'lang', 'note'], [CAST(doc_id AS VARCHAR), lang, 'a,"b"']] WHEN 1 THEN [['id', 'lang', ''], [CAST(doc_id AS VARCHAR), lang, source]] END AS rows FROM documents)
-    SELECT doc_id, i - 1 AS row, j - 1 AS col, rows[i][j] AS value FROM (SELECT doc_id, rows, unnest([1, 1, 1, 2, 2, 2]) AS i, unnest([1, 2, 3, 1, 2, 3]) AS j FROM c WHERE rows IS NOT NULL)""")
-def _(documents):
-    k, d = F.col("doc_id") % 3, F.col("doc_id").cast("string")
-    content = F.when(k == 0, F.concat(F.lit("id,lang,note\r\n"), d, F.lit(","), "lang", F.lit(',"a,""b"""\r\n'))).when(k == 1, F.concat(F.lit("id,lang\n"), d, F.lit(","), "lang", F.lit(","), "source")).otherwise(F.lit('"open'))
-    cells = markup.normalize_csv(documents.select(d.alias("doc_id"), content.alias("content")))
-    return cells.where("reason IS NULL").select("doc_id", "row", "col", "value")
-
-
-@query("txt11_whole_cells", "documents", """, c AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 7 = 3 AS open, string_split(text, chr(10)) AS l FROM documents),
-    r AS (SELECT doc_id, l, CASE WHEN l IS NULL THEN 'missing' WHEN open OR len(list_filter(l, lambda x: length(x) > 131072)) > 0 THEN 'malformed' WHEN len(l) > 999 OR len(list_filter(l, lambda x: length(x) > 2000)) > 0 THEN 'too large' END AS reason FROM c),
-    g AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS row FROM r WHERE reason IS NULL UNION ALL SELECT doc_id, NULL, 0 FROM r WHERE reason IS NULL)
-    SELECT doc_id, CAST(row AS INTEGER) AS row, CAST(j - 1 AS INTEGER) AS col, CASE WHEN row = 0 THEN ['id', 'line', 'note'][j] ELSE [doc_id, line, ''][j] END AS value, NULL::VARCHAR AS reason FROM g, (SELECT unnest([1, 2, 3]) AS j)
-    UNION ALL SELECT doc_id, NULL, NULL, NULL, reason FROM r WHERE reason IS NOT NULL""")
-def _(documents):
-    """Every document as CSV, a row for each line of its text; refused ones keep their reason."""
-    d = F.col("doc_id").cast("string")
-    rows = F.transform(F.split("text", "\n", -1), lambda x: F.concat(d, F.lit(',"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"')))
-    content = F.concat(F.lit("id,line,note\r\n"), F.array_join(rows, "\r\n"), F.when(F.col("doc_id") % 7 == 3, '\r\n"open').otherwise("\r\n"))
-    return markup.normalize_csv(documents.select(d.alias("doc_id"), content.alias("content"))).select("doc_id", "row", "col", "value", "reason")
-
-
 @query("flt11_public_urls", "pages", r"""SELECT page_id, host, reason FROM (SELECT page_id, CASE WHEN reason IS NULL THEN h END AS host, reason FROM (SELECT page_id, h, CASE WHEN NOT starts_with(u, 'https://') THEN 'not HTTPS' WHEN regexp_matches(u, '[?].') THEN 'query' WHEN regexp_matches(u, '#.') THEN 'fragment'
     WHEN ends_with(h, '.example') OR ends_with(h, '.test') OR ends_with(h, '.local') THEN 'not public' END AS reason FROM (SELECT page_id, u, lower(regexp_extract(u, '^https://([^/?#:]*)', 1)) AS h FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url || '?q=1' WHEN page_id % 7 = 0 THEN replace(url, 'https://', 'http://') ELSE url END AS u FROM pages))))""")
 def _(web):
@@ -104,21 +43,16 @@ def _(web):
     return urls.validate_urls(web.select("page_id", url.alias("url"))).select("page_id", "host", "reason")
 
 
-@query("txt15_keyed_digests", "customer")
-def _(customer):
-    return customer.select("c_custkey", markup.hmac_hex(F.concat(F.col("c_custkey").cast("string"), F.lit("."), "c_name"), b"key").alias("digest"))
+def _pad(key: bytes, x: int) -> str:
+    return "'" + "".join(f"\\x{b ^ x:02X}" for b in key.ljust(64, b"\0")) + "'::BLOB"
 
 
-@query("txt3_media_types", "documents", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN NULL WHEN 2 THEN 'image/png' WHEN 3 THEN 'text/plain' WHEN 4 THEN NULL ELSE 'image/webp' END AS content_type FROM documents""")
-def _(documents):
-    k = F.col("doc_id") % 6
-    name = F.when(k == 0, "a/x.PDF").when(k == 1, "x.png").when(k == 2, "x.png").when(k == 3, "x.txt").when(k == 4, "x").otherwise("x.webp")
-    head = F.when(k.isin(0, 1), F.lit("255044462D312E37")).when(k == 2, F.lit("89504E470D0A1A0A0000")).when(k == 5, F.lit("52494646000000005745425056")).otherwise(F.hex("lang"))
-    files = documents.select("doc_id", name.alias("path"), F.unhex(head).alias("content"))
-    return readers.sniff_type(files).select("doc_id", "content_type")
+@query("txt15_keyed_digests", "customer", f"SELECT c_custkey, sha256({_pad(b'key', 0x5C)} || unhex(sha256({_pad(b'key', 0x36)} || encode(c_custkey || '.' || c_name)))) AS digest FROM customer")
+def _(customer):
+    return customer.select("c_custkey", ft.hmac_hex(F.concat(F.col("c_custkey").cast("string"), F.lit("."), "c_name"), b"key").alias("digest"))
 
 
-@query("txt3_whole_media_types", "documents", """SELECT doc_id, CASE WHEN text IS NOT NULL THEN CASE doc_id % 8 WHEN 0 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 3 THEN CASE WHEN strlen(text) <= 2097152 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'text/plain' END WHEN 5 THEN 'image/webp' END END AS content_type FROM documents""")
+@query("txt3_media_types", "documents", """SELECT doc_id, CASE WHEN text IS NOT NULL THEN CASE doc_id % 8 WHEN 0 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 3 THEN CASE WHEN strlen(text) <= 2097152 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'text/plain' END WHEN 5 THEN 'image/webp' END END AS content_type FROM documents""")
 def _(documents):
     """Every document's whole text as a file: behind a header, plain, or with one bad byte at its end."""
     k, d, whole = F.col("doc_id") % 8, F.col("doc_id").cast("string"), F.col("text").cast("binary")
@@ -141,17 +75,7 @@ def _(spans, rules):
     return readers.csv_lines(cells)
 
 
-@query("src7_manifest_audit", "documents", """SELECT CAST(doc_id // 2 * 2 AS VARCHAR) AS case_id, CASE WHEN doc_id % 10 = 0 THEN 'missing file' WHEN doc_id % 4 = 0 THEN 'checksum mismatch' WHEN doc_id % 14 = 0 THEN 'not a PDF' ELSE 'ok' END AS status FROM documents WHERE doc_id % 2 = 0""")
-def _(documents):
-    d = F.col("doc_id")
-    body = F.concat(F.when((d % 14 == 0) & (d % 4 != 0), "XPDF-").otherwise("%PDF-"), F.col("lang"), d.cast("string"), F.lit("%%EOF"))
-    some = documents.where("doc_id % 2 = 0")
-    files = some.where("doc_id % 10 <> 0").select(F.explode(F.array(F.struct(F.concat(F.lit("/d/s"), d.cast("string")).alias("path"), body.alias("b")), F.struct(F.concat(F.lit("/d/o"), d.cast("string")).alias("path"), body.alias("b")))).alias("f")).select("f.path", F.octet_length("f.b").alias("length"), F.col("f.b").cast("binary").alias("content"))
-    manifest = some.select(d.cast("string").alias("case_id"), F.concat(F.lit("s"), d.cast("string")).alias("source"), F.concat(F.lit("o"), d.cast("string")).alias("output"), F.sha2(body, 256).alias("source_sha256"), F.when(d % 4 == 0, "0").otherwise(F.sha2(body, 256)).alias("output_sha256"))
-    return readers.audit_manifest(manifest, files)
-
-
-@query("src7_whole_audit", "documents", """, f AS (SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 'XPDF-1.7' || chr(10) || text || chr(10) || '%%EOF' WHEN doc_id % 9 = 5 THEN '%PDF-1.7' || chr(10) || '%%EOF' || chr(10) || text ELSE '%PDF-1.7' || chr(10) || text || chr(10) || '%%EOF' END AS body FROM documents)
+@query("src7_manifest_audit", "documents", """, f AS (SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 'XPDF-1.7' || chr(10) || text || chr(10) || '%%EOF' WHEN doc_id % 9 = 5 THEN '%PDF-1.7' || chr(10) || '%%EOF' || chr(10) || text ELSE '%PDF-1.7' || chr(10) || text || chr(10) || '%%EOF' END AS body FROM documents)
     SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN doc_id % 10 = 0 OR body IS NULL THEN 'missing file' WHEN strlen(body) > 67108864 THEN 'wrong size' WHEN NOT starts_with(body, '%PDF-') OR NOT contains(hex(encode(body)[-4096:]), '2525454F46') THEN 'not a PDF' WHEN doc_id % 4 = 0 THEN 'checksum mismatch' ELSE 'ok' END AS status FROM f""")
 def _(documents):
     """A case for each document, its whole text in both files; some have the end mark before the text, or a digest of other last bytes."""
@@ -177,7 +101,7 @@ def _(doc_pages):
 @query("udf3_sql_functions", "documents page_plans doc_pages", r""", n AS (SELECT doc_id, count(*) AS total FROM doc_pages GROUP BY doc_id)
     SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]{2,}|[\x{0e00}-\x{0e7f}]{2,}')) AS tokens, coalesce(CASE d.doc_id % 10 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN total >= 2 THEN 2 END WHEN 2 THEN CASE WHEN total >= 2 THEN 2 END WHEN 3 THEN CASE WHEN total <= 80 THEN total END WHEN 4 THEN CASE WHEN total <= 80 THEN total END WHEN 9 THEN 1 END, 0) AS pages FROM documents d LEFT JOIN n ON n.doc_id = CAST(d.doc_id AS VARCHAR)""")
 def _(documents, plans, doc_pages):
-    markup.register(documents.sparkSession)
+    registry.register(documents.sparkSession)
     counts = doc_pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total"))
     asked = plans.join(counts, "doc_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
     return documents.sparkSession.sql(
@@ -188,18 +112,37 @@ def _(documents, plans, doc_pages):
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirework-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="quirework-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("src1_newest_audit_lines", "audit_events", "SELECT event, actor, resource_id, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM audit_events ORDER BY ts DESC, event_id DESC LIMIT 200")
+@query("src1_newest_audit_lines", "audit_events", """, l AS (SELECT *, 0 AS bad FROM audit_events UNION ALL SELECT *, 1 FROM audit_events WHERE event_id % 10 = 3)
+    SELECT event, actor, resource_id, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM (SELECT * FROM l ORDER BY ts DESC, event_id DESC, bad DESC LIMIT 200) WHERE bad = 0""")
 def _(audit):
+    """The last 200 lines of a log in which every tenth event is followed by a blank and a broken line, which uses up the limit."""
     path = folder(audit.sparkSession, "audit")
-    lines = audit.select(F.col("ts").alias("timestamp"), "event", "actor", "resource_type", "resource_id", F.lit(None).cast("map<string,string>").alias("details"))
-    readers.write_audit(lines, path)
+    good = F.to_json(F.struct(F.col("ts").alias("timestamp"), "event", "actor", "resource_type", "resource_id"))
+    broken = F.when(F.col("event_id") % 10 == 3, F.array(F.lit(" "), F.concat(F.lit('{"event": "'), F.col("event_id").cast("string"))))
+    rows = audit.orderBy("ts", "event_id").select(F.explode(F.concat(F.array(good), F.coalesce(broken, F.array().cast("array<string>")))).alias("value"))
+    rows.write.text(path)
     return readers.read_audit(audit.sparkSession, path, 200).select("event", "actor", "resource_id", F.unix_timestamp("timestamp").alias("at_s"))
 
 
+@query("src2_written_audit_lines", "audit_events", "SELECT event, actor, resource_type, resource_id, CAST(epoch_us(ts) AS BIGINT) AS at_us, 0 AS details FROM audit_events")
+def _(audit):
+    """All events written as JSON Lines in two batches and read back."""
+    path = folder(audit.sparkSession, "audit")
+    lines = audit.select(F.col("ts").alias("timestamp"), "event", "actor", "resource_type", "resource_id", F.lit(None).cast("map<string,string>").alias("details"), "event_id")
+    for batch in ("1", "2"):
+        readers.write_audit(lines.where(F.col("event_id") % 2 == int(batch) % 2), path, batch)
+    back = audit.sparkSession.read.schema(readers.AUDIT).option("recursiveFileLookup", "true").json(path)
+    return back.select("event", "actor", "resource_type", "resource_id", F.unix_micros("timestamp").alias("at_us"), F.size("details").alias("details"))
+
+
 @query("src4_declared_table", "files", "SELECT id, size, CAST(created_at AS VARCHAR) AS created_at FROM files")
 def _(files):
     path = folder(files.sparkSession, "files")

@@ -80,19 +80,11 @@ def _(doc_pages):
     b AS (SELECT question_id, f.doc_id, idx, page_no, text, 4 * len(list_intersect(list_distinct({toks("q")}), {toks("text")})) + CASE WHEN contains(lower(text), lower(q)) THEN 4 + len(list_distinct({toks("q")})) ELSE 0 END AS direct, len(list_intersect(list_distinct({toks("p")}), {toks("text")})) AS context FROM fragments f JOIN ok USING (doc_id)),
     m AS (SELECT *, max(direct) OVER (PARTITION BY doc_id, question_id) AS top FROM b WHERE direct > 0 OR context > 0)
     SELECT question_id, doc_id, idx, page_no, text, top = 0 AS fallback, CAST(row_number() OVER (PARTITION BY doc_id, question_id ORDER BY direct DESC, context DESC, idx) AS INTEGER) AS rank FROM m WHERE direct > 0 OR top = 0 QUALIFY rank <= 8""")
-def _(doc_pages, questions):
-    return text.evidence(text.fragments(doc_pages), questions)
-
-
-@query("win3_whole_evidence", "doc_pages whole_questions")
 def _(doc_pages, questions):
     """Every sentence of every user turn asks, whole, with the sentence before it; too long ones are the operator's to refuse."""
     return text.evidence(text.fragments(doc_pages), questions)
 
 
-ORACLES["win3_whole_evidence"] = ctes("doc_pages", "whole_questions") + ", questions AS (SELECT * FROM whole_questions)" + ORACLES["win3_evidence"].removeprefix(ctes("doc_pages", "questions"))
-
-
 @query("win4_previous_question", "conversations", "SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_question FROM conversations WHERE role = 'user'")
 def _(conversations):
     return text.with_previous_question(conversations).select("conv_id", "turn", "previous_question")
@@ -209,16 +201,7 @@ def _(plans, doc_pages):
     return pages.organize_pages(doc_pages, plan)
 
 
-@query("set4_merged_documents", "doc_pages n_docs", """, plan AS (SELECT CAST(n AS STRING) AS plan_id, [CAST(k AS STRING), CAST((k * 7) % n AS STRING), CAST(k AS STRING)] AS ids, k FROM n_docs, (SELECT unnest(range(0, 50)) AS k)),
-    i AS (SELECT 'm' || k AS plan_id, unnest(ids) AS doc_id, generate_subscripts(ids, 1) - 1 AS input_pos FROM plan)
-    SELECT plan_id, doc_id, CAST(input_pos AS INTEGER) AS input_pos, page_no, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY input_pos, page_no) AS INTEGER) AS new_page FROM i JOIN doc_pages USING (doc_id)""")
-def _(doc_pages, n_docs):
-    k = F.col("id")
-    plan = doc_pages.sparkSession.range(50).join(F.broadcast(n_docs)).select(F.concat(F.lit("m"), k.cast("string")).alias("plan_id"), F.array(k.cast("string"), (k * 7 % F.col("n")).cast("string"), k.cast("string")).alias("doc_ids"))
-    return pages.merge_documents(doc_pages, plan).select("plan_id", "doc_id", "input_pos", "page_no", "new_page")
-
-
-@query("set4_whole_merges", "doc_pages documents n_docs", """, i AS (SELECT 'm' || k AS plan_id, unnest(ids) AS doc_id, generate_subscripts(ids, 1) - 1 AS input_pos FROM (SELECT doc_id AS k, [CAST(doc_id AS STRING), CAST((doc_id * 7) % n AS STRING), CAST(doc_id AS STRING)] AS ids FROM documents, n_docs))
+@query("set4_merged_documents", "doc_pages documents n_docs", """, i AS (SELECT 'm' || k AS plan_id, unnest(ids) AS doc_id, generate_subscripts(ids, 1) - 1 AS input_pos FROM (SELECT doc_id AS k, [CAST(doc_id AS STRING), CAST((doc_id * 7) % n AS STRING), CAST(doc_id AS STRING)] AS ids FROM documents, n_docs))
     SELECT plan_id, doc_id, CAST(input_pos AS INTEGER) AS input_pos, page_no, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY input_pos, page_no) AS INTEGER) AS new_page FROM i JOIN doc_pages USING (doc_id)""")
 def _(doc_pages, documents, n_docs):
     """A merge for each document, so every document is merged."""

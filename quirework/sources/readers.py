@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +15,22 @@ MOST_BYTES = 100 * 1024 * 1024
 
 
 def read_audit(spark: SparkSession, path: str, limit: int = 200) -> DataFrame:
-    """SRC1: the newest lines of an audit log; the limit counts lines before malformed ones are dropped."""
-    lines = spark.read.text(path).where(F.btrim("value") != "")
-    rows = lines.withColumn("e", F.from_json("value", AUDIT))
-    newest = rows.orderBy(F.col("e.timestamp").desc_nulls_last(), F.col("value").desc()).limit(limit)
-    return newest.where(F.col("e.event").isNotNull()).select("e.*")
+    """SRC1: the last lines of an audit log that aren't blank; the limit counts lines before malformed ones are dropped.
+
+    Lines stand in the order of their files' names, then of their place in the file, as write_audit() leaves them.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    rows = lines.where(F.btrim("value") != "")
+    last = rows.orderBy(F.desc("file_path"), F.desc("file_block_start"), F.desc("n")).limit(limit)
+    return last.select(F.from_json("value", AUDIT).alias("e")).where(F.col("e.event").isNotNull()).select("e.*")
 
 
-def write_audit(df: DataFrame, path: str) -> None:
-    """SRC2: append events as JSON Lines; details are never null."""
+def write_audit(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """SRC2: append events as JSON Lines, in their order; details are never null. Batches are folders whose names ascend."""
     iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     out = df.select(iso.alias("timestamp"), "event", "actor", "resource_type", "resource_id", F.coalesce("details", F.create_map().cast("map<string,string>")).alias("details"))
-    out.write.mode("append").option("ignoreNullFields", "false").json(path)
+    name = batch or f"{time.time_ns():020d}"
+    out.write.mode("append").option("ignoreNullFields", "false").json(f"{path.rstrip('/')}/batch-{name}")
 
 
 def list_storage(spark: SparkSession, root: str) -> DataFrame:

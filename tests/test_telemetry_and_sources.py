@@ -64,12 +64,16 @@ def test_storage_admission(spark):
 
 def test_audit_lines(spark, tmp_path):
     path = str(tmp_path / "log")
-    df = spark.createDataFrame([(NOW + timedelta(seconds=i), "job.é", f"a{i}", None, None, {"k": "v"} if i else None) for i in range(3)], readers.AUDIT)
+    df = spark.createDataFrame([(NOW + timedelta(seconds=i), "job.é", f"a{i}", None, None, {"k": "v"} if i else None) for i in range(3)], readers.AUDIT).coalesce(1)
     readers.write_audit(df, path)
-    (tmp_path / "log" / "more.json").write_text('\n  \n{"broken\n')
-    got = readers.read_audit(spark, path, limit=3).collect()
-    assert [r.actor for r in got] == ["a2", "a1", "a0"] and got[2].details == {} and got[0].event == "job.é"
-    assert readers.read_audit(spark, path, limit=10).count() == 3
+    readers.write_audit(df.limit(1).withColumn("actor", F.lit("later")), path)
+    (tmp_path / "log" / "batch-9").mkdir()
+    (tmp_path / "log" / "batch-9" / "more.json").write_text('\n  \n{"broken\n{"event"\n')
+    actors = lambda n: [r.actor for r in readers.read_audit(spark, path, limit=n).collect()]
+    # two broken lines stand last and use up the limit
+    assert actors(2) == [] and actors(3) == ["later"] and actors(5) == ["later", "a2", "a1"]
+    got = readers.read_audit(spark, path, limit=10).collect()
+    assert [r.actor for r in got] == ["later", "a2", "a1", "a0"] and got[3].details == {} and got[0].event == "job.é"
 
 
 def test_storage_and_landing(spark, tmp_path):

@@ -1,7 +1,9 @@
+import hmac
+
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.functions import markup, registry, text as ft, urls
+from quirework.functions import registry, text as ft, urls
 from quirework.operators import layout, pages, text
 
 GUIDE = [(1, "The irrigation controller monitors water temperature and dissolved oxygen.\nThe controller sends alerts when dissolved oxygen falls below the limit."), (2, "Students use the dashboard to inspect water temperature history.\nAccess controls prevent unauthorized downloads of school reports.")]
@@ -143,36 +145,6 @@ def test_archives(spark):
     assert [r.name for r in layout.natural_order(members).where("archive_id = 'a'").orderBy("ordinal").collect()] == ["P2.png", "p10.png"]
 
 
-@pytest.mark.parametrize(("html", "fragment", "reason"), [("<p>hi<br><b>there", "<p>hi<br><b>there</b></p>", None), ("<head><title>t</title></head><p onclick=x>a & b</p>", "<p>a &amp; b</p>", None), ("<script>x</script><p>ok</p>", "<p>ok</p>", None), ("<script>x<p>no</p>", None, "unclosed active element"), ("<p>x</p></style>", None, "unbalanced active element"), ("<svg/><p>x</p>", None, "self-closing active element"), ("<p> </p>", None, "no text"), ("<meta charset=x><p>y</p>", "<p>y</p>", None), (None, None, "missing")])
-def test_safe_html(spark, html, fragment, reason):
-    df = spark.createDataFrame([(1, html)], "page_id int, html string")
-    r = markup.sanitize_html(df).first()
-    assert (r.fragment, r.reason) == (fragment, reason)
-
-
-def test_strict_and_document_html():
-    strict, doc = markup._markup(markup.Strict), markup._markup(markup.Document)
-    assert strict("<p>a<br>b</p>") == "<p>a<br>b</p>"
-    for bad in ("<p class=x>a</p>", "<p>a", "a</p>", "<a>b</a>", "<!-- c -->a", "<!doctype html>a", "<p></p>", "<p/>"):
-        with pytest.raises(markup.Refused):
-            strict(bad)
-    assert doc("<head>x</head><p>a</p><section>b</section>") == "<p>a</p>b"
-    with pytest.raises(markup.Refused):
-        doc("<script/>a")
-
-
-def test_mail_and_csv(spark):
-    mail = "From: a@b.c\nSubject: Hi\nContent-Type: multipart/mixed; boundary=X\n\n--X\nContent-Type: text/plain\n\none\n--X\nContent-Type: text/plain\nContent-Disposition: attachment\n\nno\n--X--\n"
-    assert markup.email_text(mail) == "From: a@b.c\nTo: \nDate: \nSubject: Hi\n\none"
-    for bad in ("Subject: x\n\n \n", "Subject: x\nContent-Type: text/html\n\n<p>x</p>", "a\0b"):
-        with pytest.raises(markup.Refused):
-            markup.email_text(bad)
-    docs = spark.createDataFrame([("a", 'x,"y,z"\n1'), ("b", '"open'), ("c", " ,\n"), ("d", None)], "doc_id string, content string")
-    rows = markup.normalize_csv(docs).collect()
-    assert [(r.row, r.col, r.value, r.is_header) for r in rows if r.doc_id == "a"] == [(0, 0, "x", True), (0, 1, "y,z", True), (1, 0, "1", False), (1, 1, "", False)]
-    assert {r.doc_id: r.reason for r in rows if r.doc_id != "a"} == {"b": "malformed", "c": "empty", "d": "missing"}
-
-
 @pytest.mark.parametrize(("url", "host", "reason"), [("https://Example.com/a b", None, "length or characters"), ("https://Example.com:443/a", "example.com", None), ("http://example.com/", None, "not HTTPS"), ("https://u@example.com/", None, "credentials"), ("https://example.com/?q", None, "query"), ("https://10.0.0.1/", None, "IP address"), ("https://localhost/x", None, "not public"), ("https://a.internal/x", None, "not public"), ("https://bücher.de/x", "xn--bcher-kva.de", None), ("https://-a.com/", None, "label"), ("https://example.com:8443/", None, "port"), ("https://a.com/%41", None, "encoded or bracketed"), (None, None, "length or characters")])
 def test_urls(spark, url, host, reason):
     r = urls.validate_urls(spark.createDataFrame([(url,)], "url string")).first()
@@ -191,6 +163,20 @@ def test_registry(spark, four_pages):
         registry.apply_operation("merge", [four_pages])
     out = registry.translate_pages(four_pages.union(four_pages.withColumn("doc_id", F.lit("e")).withColumn("text", F.when(F.col("page_no") == 3, "").otherwise("x"))), lambda t, a, b: t.upper(), "en", "th")
     assert {(r.doc_id, r.target_text) for r in out.collect()} == {("d", f"T{n}") for n in range(1, 5)}
-    markup.register(spark)
+    registry.register(spark)
     assert [tuple(r) for r in spark.sql("SELECT * FROM page_range('3-1', 4)").collect()] == [(1, 3), (2, 2), (3, 1)]
-    assert spark.sql("SELECT hmac_hex('a', 'k') h").first().h == spark.createDataFrame([("a",)], "s string").select(markup.hmac_hex("s", b"k")).first()[0]
+    assert spark.sql("SELECT * FROM page_range('1', CAST(NULL AS INT))").count() == spark.sql("SELECT * FROM page_range('1', 201)").count() == 0
+    assert spark.sql("SELECT doc_tokens('A bc, de1 é') t").first().t == ["bc", "de1"]
+
+
+def test_sql_functions_say_what_the_columns_say(spark):
+    registry.register(spark)
+    cases = [(e, n) for e in ("1", "1-3,z", "z-1", "0", "1,,2", "2,2", "4", "1-81", "1-80", "100001", "1,z,5", "", None, ",".join(["1"] * 200), "-1", "z") for n in (3, 5, 200, 201, 0, None)]
+    df = spark.createDataFrame(cases, "expression string, total int")
+    same = df.select(pages.range_pages(F.col("expression"), F.col("total"))[0].alias("a"), F.expr("page_list(expression, total)").alias("b"))
+    assert all(r.a == r.b for r in same.collect()) and same.where("a IS NOT NULL").count() >= 8
+    texts = spark.createDataFrame([("a",), ("",), ("é ไทย",), (None,)], "s string")
+    for key in ("k", "", "é" * 40, "x" * 64):
+        want = [None if r.s is None else hmac.new(key.encode(), r.s.encode(), "sha256").hexdigest() for r in texts.collect()]
+        assert [r[0] for r in texts.select(ft.hmac_hex("s", key.encode())).collect()] == want
+        assert [r[0] for r in texts.select(F.call_function("hmac_hex", "s", F.lit(key))).collect()] == want

@@ -1,67 +1,36 @@
 """Queries that read whole texts and whole tables, against brute force on tables with long and odd rows."""
 
-import hashlib
-
-import pytest
-
 from quirework.plans import registry
 
-LONG = {0: "a" * 200_001, 1: "b" * 200_001, 2: "c" * 200_001, 3: "Ünïcödé ไทย " * 2000 + "end", 4: "ไทย\r\nzwei\n" * 900 + "end", 5: "-- x\nпривет\r" * 700 + "end", 6: None, 7: " \n ", 9: "﻿\n", 12: "a\0b", 13: "a\0b"}
-
-
-def digest(s):
-    return hashlib.sha256(s.encode()).hexdigest()
-
-
-@pytest.fixture(scope="module")
-def odd_dir(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("odd")
-    rows = [(i, t, "th", "src1", len(t or "")) for i, t in LONG.items()]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/documents.parquet")
-    return str(path)
-
-
-def test_whole_emails(spark, odd_dir):
-    got = {int(r.doc_id): (r.text, r.reason) for r in registry.queries()["txt10_whole_emails"](spark, odd_dir).collect()}
-    head = "From: src@example.com\nTo: th@example.com\nDate: \nSubject: Report {}\n\n"
-    bodies = {3: LONG[3] + "\n", 4: LONG[4], 5: "th\n\n\n" + LONG[5] + "\n", 9: LONG[9] + "\n", 13: LONG[13]}
-    want = {i: (digest(head.format(i) + b), None) for i, b in bodies.items()}
-    want |= {i: (None, "empty or too long") for i in (0, 1, 2, 7)} | {6: (None, "missing"), 12: (None, "too large or unsafe")}
-    assert got == want
-
-
 def test_whole_evidence(spark, tmp_path):
     spark.createDataFrame([(0, "The irrigation controller sends alerts.\nNothing else is written here.", "en", "src1", 70)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     late = "Please be so kind and tell me after all of these idle words about irrigation"
     turns = [(0, 0, "user", f"{late}. And zzz?\n\n{'irrigation ' * 30}"), (0, 1, "assistant", "irrigation"), (0, 2, "user", "Qqq")]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(r.question_id, r.idx, r.fallback) for r in registry.queries()["win3_whole_evidence"](spark, str(tmp_path)).collect()}
+    got = {(r.question_id, r.idx, r.fallback) for r in registry.queries()["win3_evidence"](spark, str(tmp_path)).collect()}
     assert late.index("irrigation") > 60
     assert got == {("0-0-0", 0, False), ("0-0-1", 0, True)}
 
 
 def test_whole_merges(spark, sf_dir):
-    merged = {r.doc_id for r in registry.queries()["set4_whole_merges"](spark, sf_dir).select("doc_id").distinct().collect()}
+    merged = {r.doc_id for r in registry.queries()["set4_merged_documents"](spark, sf_dir).select("doc_id").distinct().collect()}
     assert merged == {str(r.doc_id) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id").collect()}
 
 
 def test_whole_reconcile(spark, sf_dir):
-    issues = registry.queries()["join1_whole_reconcile"](spark, sf_dir)
+    issues = registry.queries()["join1_reconcile"](spark, sf_dir)
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").count()
     assert parts > 50 and issues.where("category = 'orphan_object' AND stored_name LIKE 'part-%'").count() == parts
-    summary = registry.queries()["agg5_whole_summary"](spark, sf_dir).first()
-    assert summary.orphan_object >= parts and "WHERE p_partkey < 50" not in registry.oracle_sql()["agg5_whole_summary"]
+    summary = registry.queries()["agg5_reconcile_summary"](spark, sf_dir).first()
+    assert summary.orphan_object >= parts and "WHERE p_partkey < 50" not in registry.oracle_sql()["agg5_reconcile_summary"]
 
 
 def test_whole_files(spark, tmp_path):
     long = "long line\n" * 900
     rows = [(5, long), (14, long), (15, long), (3, long), (6, long), (7, long), (8, long), (11, 'a,"b"\n\nc'), (1, "x" * 2001), (17, "y\n" * 999 + "y"), (10, None)]
     spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    audit, kinds, cells = (registry.queries()[q](spark, str(tmp_path)).collect() for q in ("src7_whole_audit", "txt3_whole_media_types", "txt11_whole_cells"))
+    audit, kinds = (registry.queries()[q](spark, str(tmp_path)).collect() for q in ("src7_manifest_audit", "txt3_media_types"))
     status = {int(r.case_id): r.status for r in audit}
     assert len(status) == len(rows)
     assert status == {5: "not a PDF", 14: "not a PDF", 15: "ok", 3: "ok", 6: "ok", 7: "ok", 8: "checksum mismatch", 11: "ok", 1: "ok", 17: "ok", 10: "missing file"}
     assert {r.doc_id: r.content_type for r in kinds} == {5: "image/webp", 14: None, 15: None, 3: "text/plain", 6: None, 7: None, 8: "application/pdf", 11: "text/plain", 1: None, 17: None, 10: None}
-    assert {int(r.doc_id): r.reason for r in cells if r.reason} == {1: "too large", 17: "malformed", 3: "malformed", 10: "missing"}
-    assert sorted((r.row, r.col, r.value) for r in cells if r.doc_id == "11") == [(0, 0, "id"), (0, 1, "line"), (0, 2, "note"), (1, 0, "11"), (1, 1, 'a,"b"'), (1, 2, ""), (2, 0, "11"), (2, 1, ""), (2, 2, ""), (3, 0, "11"), (3, 1, "c"), (3, 2, "")]
-    assert sum(r.value == "long line" for r in cells if r.doc_id == "5") == 900
