@@ -56,8 +56,12 @@ def latency_class(c: str | Column) -> Column:
 
 def histogram(requests: DataFrame, *by: str) -> DataFrame:
     """Cumulative counts per upper bound `le`, missing classes included."""
+    return cumulative(requests.where("duration_s IS NOT NULL").groupBy(*by, latency_class("duration_s").alias("le")).agg(F.count("*").alias("own")), *by)
+
+
+def cumulative(own: DataFrame, *by: str) -> DataFrame:
+    """Counts of classes (le, own) as counts of all classes up to each bound."""
     les = F.array(*[F.lit(b) for b in (*BOUNDS, float("inf"))])
-    own = requests.where("duration_s IS NOT NULL").groupBy(*by, latency_class("duration_s").alias("le")).agg(F.count("*").alias("own"))
     packed = own.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("le", "own"))).alias("own"))
     rows = packed.select(*by, "own", F.explode(les).alias("le"))
     rows = rows.withColumn("n", F.coalesce(F.try_element_at("own", F.col("le")), F.lit(0)))
@@ -102,6 +106,13 @@ def http_health(requests: DataFrame) -> DataFrame:
     return out.withColumn("ratio", (F.col("errors") / 300) / F.greatest(F.col("requests") / 300, F.lit(0.001)))
 
 
+def http_latency(requests: DataFrame, q: float = 0.95, max_s: float = 2.0) -> DataFrame:
+    """STR2: a quantile of latency over five minutes, every 15 s, from counts per class and 15 s, and whether it is too high."""
+    steps = requests.where("duration_s IS NOT NULL").groupBy(latency_class("duration_s").alias("le"), step().alias("step")).agg(F.count("*").alias("own"))
+    counts = cumulative(sliding(steps, 300, "le", sums=("own",)), "window_end")
+    return histogram_quantile(counts, q, "window_end").withColumn("alert", F.col("value") > max_s)
+
+
 def failure_alerts(job_events: DataFrame, overall: int = 5, per_class: int = 3) -> DataFrame:
     """STR3: failures in 15 minutes, every 15 s, per class and in all ('all')."""
     failed = job_events.where("state = 'failed'")
@@ -112,13 +123,32 @@ def failure_alerts(job_events: DataFrame, overall: int = 5, per_class: int = 3)
 
 
 def counter_increase(samples: DataFrame, window_s: int = 900, *by: str) -> DataFrame:
-    """WIN8: increase of a counter per window; a value below the one before is a restart from 0."""
-    series = Window.partitionBy("metric", *by).orderBy("ts", "seq")
-    before = F.lag("value").over(series)
-    grown = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    rows = samples.withColumn("grown", grown)
-    start = (F.floor(F.unix_timestamp("ts") / window_s) * window_s).cast("long")
-    return rows.groupBy("metric", *by, start.alias("window_start")).agg(F.sum("grown").alias("increase"))
+    """WIN8: increase of a counter per window; a value below the one before is a restart from 0.
+
+    Values are compared inside a window by one task each; only first and last values of the windows meet by series.
+    """
+    series = ["metric", *by]
+    rows = samples.withColumn("window_start", (F.floor(F.unix_timestamp("ts") / window_s) * window_s).cast("long"))
+    before = F.lag("value").over(Window.partitionBy(*series, "window_start").orderBy("ts", "seq"))
+
+    def grown(value: Column, old: Column) -> Column:
+        return F.when(old.isNull(), 0.0).when(value < old, value).otherwise(value - old)
+
+    place = F.struct("ts", "seq")
+    inner = rows.withColumn("grown", grown(F.col("value"), before)).groupBy(*series, "window_start").agg(F.sum("grown").alias("inside"), F.min_by("value", place).alias("first"), F.max_by("value", place).alias("last"))
+    old = F.lag("last").over(Window.partitionBy(*series).orderBy("window_start"))
+    return inner.select(*series, "window_start", (F.col("inside") + grown(F.col("first"), old)).alias("increase"))
+
+
+def alert_states(evals: DataFrame, *by: str) -> DataFrame:
+    """STR6: the phase of an alert at each evaluation (at, condition, for_s): pending from the first true one, firing
+    after for_s seconds, resolved at the first false one after that."""
+    order = Window.partitionBy(*by).orderBy("at")
+    runs = evals.withColumn("run", F.sum(F.when(F.col("condition"), 0).otherwise(1)).over(order))
+    since = F.when(F.col("condition"), F.min(F.when(F.col("condition"), F.col("at"))).over(Window.partitionBy(*by, "run")))
+    fired = runs.withColumn("since", since).withColumn("fires", F.col("condition") & (F.col("at") - F.col("since") >= F.col("for_s")))
+    phase = F.when(F.col("fires"), "firing").when(F.col("condition"), "pending").when(F.lag("fires").over(order), "resolved").otherwise("inactive")
+    return fired.withColumn("phase", phase).select(*by, "at", "phase", F.coalesce("since", F.lit(0)).alias("since"))
 
 
 def sustained(evals: DataFrame, for_s: int, *by: str, step_s: int = STEP_S) -> DataFrame:

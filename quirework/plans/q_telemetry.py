@@ -35,7 +35,11 @@ def query(name: str, needs: str, sql: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirework-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="quirework-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -134,11 +138,29 @@ def _(audit):
     return t.job_lifecycle(audit, "2024-02-01 00:00:00").withColumns({"wait_s": F.coalesce("wait_s", none), "run_s": F.coalesce("run_s", none)})
 
 
-@query("str6_alert_states", "http_requests")
+@query("str2_http_latency", "http_requests", f""", st AS (SELECT CAST(floor(epoch(ts) / 15) * 15 AS BIGINT) AS step, {CLASS} AS le, count(*) AS n FROM http_requests WHERE duration_s IS NOT NULL GROUP BY ALL),
+    sl AS (SELECT le, n, unnest(generate_series(step + 15, step + 300, 15)) AS window_end FROM st), o AS (SELECT window_end, le, sum(n) AS own FROM sl GROUP BY ALL),
+    g AS (SELECT window_end, le FROM (SELECT DISTINCT window_end FROM o) CROSS JOIN (SELECT unnest([{", ".join(map(str, t.BOUNDS))}, 'Infinity'::DOUBLE]) AS le)),
+    h AS (SELECT window_end, le, sum(coalesce(own, 0)) OVER (PARTITION BY window_end ORDER BY le) AS cnt FROM g LEFT JOIN o USING (window_end, le)),
+    w AS (SELECT *, coalesce(lag(cnt) OVER v, 0) AS below, coalesce(lag(le) OVER v, 0) AS lower, max(cnt) OVER (PARTITION BY window_end) * 0.95::DOUBLE AS rank FROM h WINDOW v AS (PARTITION BY window_end ORDER BY le))
+    SELECT window_end, round(value, 9) AS value, value > 2 AS alert FROM (SELECT window_end, CASE WHEN le = 'Infinity'::DOUBLE THEN lower ELSE lower + (le - lower) * (rank - below) / greatest(cnt - below, 1) END AS value FROM w WHERE cnt >= rank AND below < rank)""")
 def _(requests):
-    evals = t.http_health(requests).select(F.lit("http").alias("name"), F.col("window_end").alias("at"), F.lit(0).alias("seq"), (F.col("errors") > 0).alias("condition"), F.lit(120).alias("for_s"))
-    day = evals.withColumn("name", F.concat("name", F.floor(F.col("at") / 86400).cast("string")))
-    return s.fold(day, "name", {"phase": "inactive", "since": 0}, s.alert_step, "name string, at long, phase string, since long", every=True)
+    return t.http_latency(requests).withColumn("value", F.round("value", 9))
+
+
+ALERTS = HEALTH.replace("SELECT window_end, CAST(sum(requests)", ", h AS (SELECT window_end, CAST(sum(requests)", 1) + """), e AS (SELECT window_end AS moment, errors > 0 AS hot FROM h),
+    r AS (SELECT *, sum(CASE WHEN hot THEN 0 ELSE 1 END) OVER (ORDER BY moment) AS run FROM e), b AS (SELECT run, min(moment) AS since FROM r WHERE hot GROUP BY run),
+    f AS (SELECT moment, hot, CASE WHEN hot THEN since END AS since, hot AND moment - since >= 120 AS fires FROM r LEFT JOIN b USING (run))
+    SELECT 'http' AS name, moment AS at, CASE WHEN fires THEN 'firing' WHEN hot THEN 'pending' WHEN lag(fires) OVER (ORDER BY moment) THEN 'resolved' ELSE 'inactive' END AS phase, coalesce(since, 0) AS since FROM f"""
+
+
+def _evaluations(health: DataFrame) -> DataFrame:
+    return health.select(F.lit("http").alias("name"), F.col("window_end").alias("at"), F.lit(0).alias("seq"), (F.col("errors") > 0).alias("condition"), F.lit(120).alias("for_s"))
+
+
+@query("str6_alert_states", "http_requests", ALERTS)
+def _(requests):
+    return t.alert_states(_evaluations(t.http_health(requests)), "name")
 
 
 @query("str7_delivery_states", "events", """, o AS (SELECT user_id AS delivery_id, CAST(floor(epoch(ts)) AS BIGINT) AS moment, event_id AS seq, event_type = 'purchase' AS ok FROM events),
@@ -223,3 +245,33 @@ def _(spark, sf_dir):
 
 
 ORACLES["str7_delivery_states_stream"] = ORACLES["str7_delivery_states"]
+
+
+@stream("str6_alert_states_stream", ALERTS)
+def _(spark, sf_dir):
+    """The evaluations as a stream of their own, their state kept from batch to batch; every state comes out."""
+    where = folder(spark)
+    _evaluations(t.http_health(fixture(spark, sf_dir, "http_requests"))).write.parquet(f"{where}/evaluations")
+    evals = spark.readStream.schema("name string, at long, seq int, condition boolean, for_s int").parquet(f"{where}/evaluations")
+    folded = s.fold_stream(evals, "name", {"phase": "inactive", "since": 0}, s.alert_step, "name string, at long, phase string, since long", "phase string, since long", every=True)
+    return s.run_once(folded, where)
+
+
+@stream("str8_lease_states_stream")
+def _(spark, sf_dir):
+    e = event_stream(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, ("claim", "renew", "renew", "finish"))), (F.col("event_id") % 4 + 1).cast("int"))
+    beats = e.select(F.col("user_id").alias("job_id"), F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("t"), (F.col("event_id") % 2).cast("string")).alias("token"), F.lit(1).alias("epoch"))
+    folded = s.fold_stream(beats, "job_id", {"status": "queued", "token": "", "epoch": 0, "expires": 0}, s.lease_step, "job_id long, at long, status string, token string, epoch int, expires long", "status string, token string, epoch int, expires long")
+    return s.run_once(folded, folder(spark))
+
+
+@stream("str9_storage_admission_stream")
+def _(spark, sf_dir):
+    """Uploads as a stream; what a service has used is its state."""
+    where = folder(spark)
+    files = fixture(spark, sf_dir, "files")
+    files.select("id", F.col("source_system").alias("service_name"), F.unix_micros("created_at").alias("at"), (F.col("size") * 40).alias("size")).write.parquet(f"{where}/uploads")
+    uploads = spark.readStream.schema("id string, service_name string, at long, size long").parquet(f"{where}/uploads").withColumn("seq", F.col("id"))
+    folded = s.fold_stream(s.with_limits(uploads, fixture(spark, sf_dir, "service_policies")), "service_name", {"id": "", "accepted": False, "used": 0}, s.storage_step, "service_name string, at long, id string, accepted boolean, used long", "id string, accepted boolean, used long", every=True)
+    return s.run_once(folded, where).select("id", "service_name", "accepted")

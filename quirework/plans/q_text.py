@@ -82,7 +82,8 @@ def _(doc_pages):
     SELECT question_id, doc_id, idx, page_no, text, top = 0 AS fallback, CAST(row_number() OVER (PARTITION BY doc_id, question_id ORDER BY direct DESC, context DESC, idx) AS INTEGER) AS rank FROM m WHERE direct > 0 OR top = 0 QUALIFY rank <= 8""")
 def _(doc_pages, questions):
     """Every sentence of every user turn asks, whole, with the sentence before it; too long ones are the operator's to refuse."""
-    return text.evidence(text.fragments(doc_pages), questions)
+    asked = questions.select("doc_id").distinct()
+    return text.evidence(text.fragments(doc_pages.join(asked, "doc_id", "left_semi")), questions)
 
 
 @query("win4_previous_question", "conversations", "SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_question FROM conversations WHERE role = 'user'")

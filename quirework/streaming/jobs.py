@@ -101,6 +101,12 @@ def lease_step(state: dict, row, ttl: int = 180) -> dict:
     return state
 
 
+def storage_step(state: dict, row) -> dict:
+    """STR9: an upload is accepted if it fits beside what was accepted before; no limit: always."""
+    fits = row.limit_bytes <= 0 or state["used"] + row.size <= row.limit_bytes
+    return {"id": row.id, "accepted": bool(fits), "used": state["used"] + (row.size if fits else 0)}
+
+
 def fold(events: DataFrame, key: str, start: dict, step: Callable[[dict, object], dict], schema: str, every: bool = False) -> DataFrame:
     """Fold each key's events, in order of (at, seq), to its last state, or to all its states.
 
@@ -118,7 +124,7 @@ def fold(events: DataFrame, key: str, start: dict, step: Callable[[dict, object]
     return events.groupBy(key).applyInPandas(run, schema)
 
 
-def fold_stream(events: DataFrame, key: str, start: dict, step: Callable[[dict, object], dict], schema: str, state_schema: str) -> DataFrame:
+def fold_stream(events: DataFrame, key: str, start: dict, step: Callable[[dict, object], dict], schema: str, state_schema: str, every: bool = False) -> DataFrame:
     """The same on a stream: state lives from batch to batch, events of a batch are put in order first."""
     columns, names = [c.split()[0] for c in schema.split(",")], [c.split()[0] for c in state_schema.split(",")]
 
@@ -130,18 +136,23 @@ def fold_stream(events: DataFrame, key: str, start: dict, step: Callable[[dict,
             state = step(state, row)
             out.append({key: k[0], "at": row.at, **state})
         held.update(tuple(state[n] for n in names))
-        yield pd.DataFrame(out[-1:], columns=columns)
+        yield pd.DataFrame(out if every else out[-1:], columns=columns)
 
     return events.groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", "NoTimeout")
 
 
+def with_limits(uploads: DataFrame, policies: DataFrame) -> DataFrame:
+    """uploads with limit_bytes, that of the service or the usual one; policies are a static table."""
+    limits = policies.select("service_name", (F.col("max_storage_mb").cast("long") * 1024 * 1024).alias("limit_bytes"))
+    return uploads.join(limits, "service_name", "left").withColumn("limit_bytes", F.coalesce("limit_bytes", F.lit(DEFAULT_POLICY["max_storage_mb"] * 1024 * 1024)))
+
+
 def admit_storage(uploads: DataFrame, policies: DataFrame) -> DataFrame:
     """STR9: uploads accepted in order while they fit; one that doesn't fit doesn't block a later, smaller one.
 
     Sequential by nature inside a service, whose uploads stream through one task in order, in batches.
     """
-    limits = policies.select("service_name", (F.col("max_storage_mb").cast("long") * 1024 * 1024).alias("limit_bytes"))
-    rows = uploads.join(limits, "service_name", "left").withColumn("limit_bytes", F.coalesce("limit_bytes", F.lit(DEFAULT_POLICY["max_storage_mb"] * 1024 * 1024)))
+    rows = with_limits(uploads, policies)
     # services without a limit, or whose uploads all fit, need no order
     total = rows.groupBy("service_name").agg(F.sum("size").alias("total"))
     rows = rows.join(total, "service_name")

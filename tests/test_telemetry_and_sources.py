@@ -104,3 +104,24 @@ def test_maintenance_batches_are_written_once(spark, tmp_path):
     for _ in range(2):
         run(spark.range(10), 0)
     assert spark.read.parquet(str(tmp_path / "plan")).count() == 5
+
+
+def test_streams_say_what_batches_say(spark, sf_dir):
+    from quirework.plans import registry
+
+    q = registry.queries()
+    for name in ("str8_lease_states", "str9_storage_admission", "str6_alert_states"):
+        batch, stream = q[name](spark, sf_dir), q[f"{name}_stream"](spark, sf_dir)
+        assert sorted(batch.columns) == sorted(stream.columns)
+        assert sorted(map(tuple, batch.select(*sorted(batch.columns)).collect())) == sorted(map(tuple, stream.select(*sorted(batch.columns)).collect())), name
+
+
+def test_alert_states_over_midnight(spark):
+    rows = [("a", 86400 + 15 * k, not -8 <= k < -6, 60) for k in range(-12, 12)]
+    evals = spark.createDataFrame(rows, "name string, at long, condition boolean, for_s int")
+    state, want = {"phase": "inactive", "since": 0}, []
+    for r in sorted(evals.collect(), key=lambda r: r["at"]):
+        state = s.alert_step(state, r)
+        want.append((r["at"], state["phase"], state["since"]))
+    got = sorted((r["at"], r.phase, r.since) for r in t.alert_states(evals, "name").collect())
+    assert got == want and any(p == "firing" and a > 86400 > b for a, p, b in got)
