@@ -3,6 +3,11 @@
 Each stage gets what the stage before it kept, reads it whole, and its decisions take effect. All but the last
 return the columns of documents. run() writes each stage's result as Parquet to the folder of spark.checkpoint.dir
 and reads it again, so a lost executor never costs more than the running stage.
+
+Rules, of every stage: a null text is an empty one; empty and very long texts are rows like others; extra columns of any
+name pass through all stages but the last; an empty table gives an empty one. Rows that repeat doc_id and text become
+one in exact_dedup; rows that repeat a doc_id with different texts are documents of their own. A null doc_id is kept by
+near_dedup whatever its text, and treated like any other elsewhere.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-#: A network's scores and a tokenizer's ids are beyond SQL; tests hold the stages against brute force.
+#: A network's scores and a tokenizer's ids are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
