@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import attach_groups, attach_large, by_bytes, cut, fresh, table, written
+from quirework.llm.common import attach_groups, attach_large, by_bytes, cut, fresh, release, table, written
 
 BINS, ROWS = 150, 5
 #: Signatures of pairs at the threshold agree in 80 % of the bins, give or take 3.3 %; none this low in 10**8.
@@ -135,6 +135,7 @@ def features(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) ->
                 hashes.append(words_hash(words))
                 bands.append(mix((signature(s, bins, borrow).reshape(-1, rows) * power).sum(axis=1, dtype=np.uint64) + band_no).view(np.int64) if words else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=FEATURES.names)
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
 
@@ -159,6 +160,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, size: int, bins: int = BINS)
             sets = [shingle_set(w, size) for w in words]
             cols = [pa.array(map(words_hash, words), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([signature(x, bins, borrow).astype("<u2").tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["words_hash", "n", "sig", "set"])
+        release()
 
     rows = among(docs.select(F.col("doc_id").cast("long"), "text"), classes.select(F.col("smallest").alias("doc_id")), "doc_id")
     hashed = rows.mapInArrow(run, "words_hash binary, n long, sig binary, set binary").dropDuplicates(["words_hash"])

@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirework.llm.chat import format_chats, read_back
-from quirework.llm.common import by_bytes, fresh, table, written
+from quirework.llm.common import by_bytes, fresh, release, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Marks that the tokenizer always splits from the letters before them.
 MARKS = frozenset(".,;:!?")
 
@@ -167,6 +167,8 @@ def tokenise(docs: DataFrame, path: str | None = None, text: str = "text", end:
                 ids, counts = encoder.encode(batch.column(text), end)
                 cols = [batch.column(f.name) for f in others]
                 yield pa.RecordBatch.from_arrays([*cols, binary(ids, counts), pa.array(counts, pa.int64())], names=[f.name for f in schema])
+                del ids, counts
+        release()
 
     return docs.select(*[F.col(f"`{f.name}`") for f in others], text).mapInArrow(run, schema)
 

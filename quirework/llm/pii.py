@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import attach_groups, by_bytes, cut, table, written
+from quirework.llm.common import attach_groups, by_bytes, cut, release, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
@@ -155,6 +155,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         for whole in batches:
             for b in by_bytes(whole, text, rows=1000):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array([mentions(t or "") for t in b.column(text).to_pylist()], kind)], names=SCANNED.names)
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("row_key"), text).mapInArrow(run, SCANNED)
 

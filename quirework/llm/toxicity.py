@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import by_bytes, cut, fresh, table
+from quirework.llm.common import by_bytes, cut, fresh, release, table
 from quirework.llm.near_dedup import mix
 
 #: Words in a window, and from one to the next.
@@ -371,6 +371,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_clean
         # fit() reads all texts before it asks for the labels
         net = fit(texts(), toxic)
         p = {} if net is None else net.p
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(list(p), pa.string()), pa.array([list(v.shape) for v in p.values()], pa.list_(pa.int32())), pa.array([v.astype("<f4").tobytes() for v in p.values()], pa.binary())], names=["name", "shape", "data"])
 
     found = cut(one.mapInArrow(run, "name string, shape array<int>, data binary")).collect()
@@ -390,6 +391,7 @@ def with_scores(docs: DataFrame, model: Model | None, text: str = "text", keep:
             for batch in by_bytes(whole, text, rows=400):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scorer.score(batch.column(text).to_pylist()), pa.float64())], names=schema.names)
         scorer.forget()  # a worker may serve other stages next
+        release()
 
     return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
 
