@@ -253,14 +253,16 @@ def artifact_manifest(jobs: DataFrame, artifacts: DataFrame, files: DataFrame) -
     A job without links has its primary file alone, as bundle for operations that make ZIP files, else as result.
     """
     done = jobs.select(F.col("id").alias("job_id"), "operation", "status", F.col("output_file_id").alias("primary_id"), "requested_by")
-    legacy = done.join(artifacts.select("job_id"), "job_id", "left_anti").where("status = 'completed' AND primary_id IS NOT NULL")
-    legacy = legacy.select("job_id", F.col("primary_id").alias("file_id"), F.when(F.col("operation").isin(*BUNDLING), "bundle").otherwise("result").alias("role"), F.lit(None).cast("int").alias("ordinal"))
-    links = artifacts.select("job_id", "file_id", "role", "ordinal").union(legacy)
-    held = links.join(files.select(F.col("id").alias("file_id"), F.col("source_system").alias("owner"), "content_type"), "file_id", "left")
+    linked = artifacts.select("job_id", F.col("file_id").alias("linked_id"), F.col("role").alias("linked_role"), "ordinal", F.lit(True).alias("linked"))
+    rows = done.join(linked, "job_id", "left")
+    legacy = F.col("linked").isNull() & (F.col("status") == "completed") & F.col("primary_id").isNotNull()
+    alone = F.when(F.col("operation").isin(*BUNDLING), "bundle").otherwise("result")
+    rows = rows.withColumns({"file_id": F.when(legacy, F.col("primary_id")).otherwise(F.col("linked_id")), "role": F.when(legacy, alone).otherwise(F.col("linked_role")), "there": legacy | F.col("linked").isNotNull()})
+    held = rows.join(files.select(F.col("id").alias("file_id"), F.col("source_system").alias("owner"), "content_type"), "file_id", "left")
     root = F.col("role").isin("result", "bundle")
-    facts = held.join(done.select("job_id", "primary_id", "requested_by"), "job_id").groupBy("job_id").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("owner").isNull() | (F.col("owner") != F.col("requested_by"))).alias("foreign"),
+    facts = held.groupBy("job_id", "status", "primary_id").agg(
+        F.count_if("there").alias("n"),
+        F.count_if(F.col("there") & (F.col("owner").isNull() | (F.col("owner") != F.col("requested_by")))).alias("foreign"),
         F.count_if(F.col("file_id") == F.col("primary_id")).alias("primaries"),
         F.count_if(root).alias("roots"),
         F.count_if(root & (F.col("file_id") == F.col("primary_id"))).alias("primary_roots"),
@@ -279,7 +281,7 @@ def artifact_manifest(jobs: DataFrame, artifacts: DataFrame, files: DataFrame) -
         .when(bad_roles, "409")
         .otherwise("ok")
     )
-    return done.join(facts, "job_id", "left").select("job_id", code.alias("manifest"), F.coalesce("n", F.lit(0)).alias("artifacts"))
+    return facts.select("job_id", code.alias("manifest"), F.col("n").alias("artifacts"))
 
 
 def effective_policy(services: DataFrame, policies: DataFrame, defaults: dict | None = None) -> DataFrame:
@@ -339,18 +341,17 @@ def archive_upserts(jobs: DataFrame, files: DataFrame, archives: DataFrame, inte
 def file_delete_plan(ids: DataFrame, files: DataFrame, artifacts: DataFrame, jobs: DataFrame, archives: DataFrame) -> DataFrame:
     """JOIN13: what goes with the chosen files; a file in use is blocked and nothing of it is touched."""
     chosen = files.join(ids.select(F.col("file_id").alias("id")).distinct(), "id", "left_semi")
-    blocked = in_use(chosen, jobs).select(F.col("id").alias("file_id"))
-    free = chosen.select(F.col("id").alias("file_id"), "size").join(blocked, "file_id", "left_anti")
-    key = free.select("file_id")
-    null = F.lit(None).cast("string")
-    rows = [
-        blocked.select(F.lit("blocked").alias("action"), "file_id", null.alias("target"), F.lit(0).cast("long").alias("bytes")),
-        free.select(F.lit("delete_file"), "file_id", F.col("file_id"), "size"),
-        artifacts.join(key, "file_id", "left_semi").select(F.lit("drop_artifact"), "file_id", "job_id", F.lit(0).cast("long")),
-        jobs.select("id", F.col("output_file_id").alias("file_id")).join(key, "file_id", "left_semi").select(F.lit("clear_output"), "file_id", "id", F.lit(0).cast("long")),
-        archives.select("id", "file_id").join(key, "file_id", "left_semi").select(F.lit("drop_archive"), "file_id", "id", F.lit(0).cast("long")),
+    used = in_use(chosen, jobs).select(F.col("id").alias("file_id"), F.lit(True).alias("used"))
+    verdict = chosen.select(F.col("id").alias("file_id"), "size").join(used, "file_id", "left")
+    free, none = F.col("used").isNull(), F.lit(0).cast("long")
+    own = verdict.select(F.when(free, "delete_file").otherwise("blocked").alias("action"), "file_id", F.when(free, F.col("file_id")).alias("target"), F.when(free, F.col("size")).otherwise(none).alias("bytes"))
+    related = [
+        artifacts.select(F.lit("drop_artifact").alias("action"), "file_id", F.col("job_id").alias("target")),
+        jobs.select(F.lit("clear_output"), F.col("output_file_id"), "id"),
+        archives.select(F.lit("drop_archive"), "file_id", "id"),
     ]
-    return reduce(DataFrame.union, rows)
+    more = reduce(DataFrame.union, related).join(verdict.where(free).select("file_id"), "file_id", "left_semi")
+    return own.union(more.select("action", "file_id", "target", none.alias("bytes")))
 
 
 def history_clear_plan(jobs: DataFrame, known: DataFrame, artifacts: DataFrame, owner: str) -> DataFrame:

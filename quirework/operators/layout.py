@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS, LEAST_STROKE, LEAST_GAP = 1.0, 10.0, 12.0
@@ -12,14 +12,14 @@ ENTRIES, ENTRY_BYTES, TOTAL_BYTES, EXPANSION = 2048, 64 * 1024 * 1024, 256 * 102
 STORED, DEFLATED = 0, 8
 
 
-def grid_bands(rules: DataFrame) -> DataFrame:
-    """WIN9: page_id, axis, band, lo, hi of the cells' columns and rows, for pages whose rules make a whole grid."""
+def grids(rules: DataFrame) -> DataFrame:
+    """page_id and the ascending places xs and ys of the lines, for pages whose rules make a whole grid."""
     strokes = rules.where(F.col("hi") - F.col("lo") >= LEAST_STROKE).withColumn("pos", F.round("pos", 2))
     lines = strokes.groupBy("page_id", "axis", "pos").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     axis = lines.groupBy("page_id", "axis").agg(F.sort_array(F.collect_list("pos")).alias("at"), F.flatten(F.collect_list(F.transform("parts", lambda p: p))).alias("all"), F.collect_list("parts").alias("lines"))
-    x = axis.where("axis = 'x'").select("page_id", F.col("at").alias("xs"), F.col("all").alias("x_all"), F.col("lines").alias("x_lines"))
-    y = axis.where("axis = 'y'").select("page_id", F.col("at").alias("ys"), F.col("all").alias("y_all"), F.col("lines").alias("y_lines"))
-    both = x.join(y, "page_id")
+    of = lambda name: F.first(F.when(F.col("axis") == name, F.struct("at", "all", "lines")), ignorenulls=True).alias(name)
+    both = axis.groupBy("page_id").agg(of("x"), of("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    both = both.select("page_id", *[F.col(f"{n}.{f}").alias(c) for n in "xy" for f, c in (("at", f"{n}s"), ("all", f"{n}_all"), ("lines", f"{n}_lines"))])
 
     def gaps(a: str):
         return ~F.exists(F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.get(F.col(a), i) - F.get(F.col(a), i - 1)), lambda g: g < LEAST_GAP)
@@ -30,7 +30,12 @@ def grid_bands(rules: DataFrame) -> DataFrame:
         return whole & ~F.exists(F.col(all_), lambda p: (p["lo"] < lo - EPS) | (p["hi"] > hi + EPS))
 
     sized = F.size("xs").between(3, MOST_COLUMNS + 1) & F.size("ys").between(3, MOST_ROWS + 1)
-    good = both.where(sized).where(gaps("xs") & gaps("ys") & spans("x_lines", "x_all", "ys") & spans("y_lines", "y_all", "xs"))
+    return both.where(sized).where(gaps("xs") & gaps("ys") & spans("x_lines", "x_all", "ys") & spans("y_lines", "y_all", "xs")).select("page_id", "xs", "ys")
+
+
+def grid_bands(rules: DataFrame) -> DataFrame:
+    """WIN9: page_id, axis, band, lo, hi of the cells' columns and rows, for pages whose rules make a whole grid."""
+    good = grids(rules)
 
     def bands(name: str, at: str):
         return good.select("page_id", F.lit(name).alias("axis"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.struct(F.get(F.col(at), i).alias("lo"), F.get(F.col(at), i + 1).alias("hi")))).alias("band", "b")).select("page_id", "axis", "band", "b.lo", "b.hi")
@@ -41,17 +46,16 @@ def grid_bands(rules: DataFrame) -> DataFrame:
 def assign_cells(spans: DataFrame, rules: DataFrame) -> DataFrame:
     """JOIN18: page_id, row, col, text of whole tables; rows count from the top.
 
-    A range join inside each page: equality on the page, then the bands. A page is refused if a span lies outside
+    One join by page, whose lines come as arrays; a span's band is found in them. A page is refused if a span lies outside
     the table, two share a cell, one looks like a formula, a header cell is empty or a row is.
     """
-    bands = grid_bands(rules)
-    cols = bands.where("axis = 'x'").select(F.col("page_id").alias("x_page"), F.col("band").alias("col"), F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"))
-    rows = bands.where("axis = 'y'").select(F.col("page_id").alias("y_page"), F.col("band").alias("row_up"), F.col("lo").alias("y_lo"), F.col("hi").alias("y_hi"))
-    size = bands.groupBy("page_id").agg(F.count_if(F.col("axis") == "x").alias("n_cols"), F.count_if(F.col("axis") == "y").alias("n_rows"))
+    def band(v: str, at: str) -> Column:
+        """The band of the ascending lines `at` that a value lies inside."""
+        i = F.size(F.filter(at, lambda line: line + EPS <= F.col(v))) - 1
+        return F.when(i.between(0, F.size(at) - 2) & (F.col(v) <= F.get(F.col(at), i + 1) - EPS), i)
+
     said = spans.where(F.btrim("text") != "").select("page_id", "seq", "x", "y", F.btrim("text").alias("text"))
-    held = said.join(size, "page_id")
-    held = held.join(cols, (F.col("page_id") == F.col("x_page")) & F.col("x").between(F.col("x_lo") + EPS, F.col("x_hi") - EPS), "left")
-    held = held.join(rows, (F.col("page_id") == F.col("y_page")) & F.col("y").between(F.col("y_lo") + EPS, F.col("y_hi") - EPS), "left")
+    held = said.join(grids(rules), "page_id").withColumns({"n_cols": F.size("xs") - 1, "n_rows": F.size("ys") - 1, "col": band("x", "xs"), "row_up": band("y", "ys")}).drop("xs", "ys")
     held = held.withColumn("row", F.col("n_rows") - 1 - F.col("row_up"))
     page = Window.partitionBy("page_id")
     bad = F.col("col").isNull() | F.col("row").isNull() | unsafe("text")
