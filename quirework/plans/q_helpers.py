@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from quirework.functions import registry, urls
 from quirework.functions import text as ft
 from quirework.operators import layout
+from quirework.operators import text as ot
 from quirework.plans.fixtures import ctes, fixture
+from quirework.plans.q_text import ORACLES as TEXT_ORACLES
 from quirework.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,12 +71,19 @@ def _(documents):
     return readers.ingest_files(files, "src1", "2024-01-04 00:00:00").select("original_name", "size", "sha256", "content_type")
 
 
-@query("src6_csv_lines", "spans rules")
+@query("src6_csv_lines", "spans rules", "")
 def _(spans, rules):
     cells = layout.assign_cells(spans, rules.select("page_id", "axis", *[F.col(c).cast("double").alias(c) for c in ("pos", "lo", "hi")]))
     return readers.csv_lines(cells)
 
 
+ORACLES["src6_csv_lines"] = f"""WITH cells AS ({TEXT_ORACLES["join18_table_cells"]}), w AS (SELECT page_id, max(col) AS most FROM cells GROUP BY page_id),
+    g AS (SELECT page_id, row, unnest(range(0, most + 1)) AS col FROM (SELECT DISTINCT page_id, row, most FROM cells JOIN w USING (page_id))),
+    q AS (SELECT page_id, row, col, CASE WHEN regexp_matches(text, '[",\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS cell FROM cells)
+    SELECT g.page_id, g.row, CASE WHEN g.row = 0 THEN chr(65279) ELSE '' END || string_agg(coalesce(cell, ''), ',' ORDER BY g.col) || chr(13) AS line
+    FROM g LEFT JOIN q ON q.page_id = g.page_id AND q.row = g.row AND q.col = g.col GROUP BY g.page_id, g.row"""
+
+
 @query("src7_manifest_audit", "documents", """, f AS (SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 'XPDF-1.7' || chr(10) || text || chr(10) || '%%EOF' WHEN doc_id % 9 = 5 THEN '%PDF-1.7' || chr(10) || '%%EOF' || chr(10) || text ELSE '%PDF-1.7' || chr(10) || text || chr(10) || '%%EOF' END AS body FROM documents)
     SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN doc_id % 10 = 0 OR body IS NULL THEN 'missing file' WHEN strlen(body) > 67108864 THEN 'wrong size' WHEN NOT starts_with(body, '%PDF-') OR NOT contains(hex(encode(body)[-4096:]), '2525454F46') THEN 'not a PDF' WHEN doc_id % 4 = 0 THEN 'checksum mismatch' ELSE 'ok' END AS status FROM f""")
 def _(documents):
@@ -87,6 +96,18 @@ def _(documents):
     return readers.audit_manifest(manifest, files)
 
 
+@query("txt13_filled_forms", "customer", """SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE c_custkey % 5 WHEN 0 THEN 'N' || c_custkey WHEN 4 THEN 'A' ELSE c_name END AS name, CASE c_custkey % 5 WHEN 4 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS nation,
+    CASE c_custkey % 5 WHEN 1 THEN 'unknown field' WHEN 2 THEN '1 to 64 updates' WHEN 3 THEN 'value too long' END AS reason FROM customer""")
+def _(customer):
+    """A form for each customer; updates of one field, an unknown one, none, a long value, and all fields."""
+    k, d = F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
+    forms = customer.select(d.alias("doc_id"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("nation"), F.col("c_nationkey").cast("string")).alias("fields"))
+    made = F.when(k == 0, F.create_map(F.lit("name"), F.concat(F.lit("N"), d))).when(k == 1, F.create_map(F.lit("other"), F.lit("x"))).when(k == 2, F.create_map().cast("map<string,string>"))
+    made = made.when(k == 3, F.create_map(F.lit("name"), F.repeat(F.lit("x"), F.lit(1025)))).otherwise(F.create_map(F.lit("name"), F.lit("A"), F.lit("nation"), F.lit("")))
+    out = ot.fill_form(forms, customer.select(d.alias("doc_id"), made.alias("updates")))
+    return out.select("doc_id", F.col("fields")["name"].alias("name"), F.col("fields")["nation"].alias("nation"), "reason")
+
+
 @query("udf1_operations", "doc_pages", "SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) || ' / ' || count(*) OVER (PARTITION BY doc_id) AS label FROM doc_pages")
 def _(doc_pages):
     return registry.apply_operation("page-numbers", [doc_pages])
