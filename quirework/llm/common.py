@@ -62,6 +62,18 @@ def by_bytes(batch: pa.RecordBatch, column: str, rows: int = 500, size: int = 4
         at = end
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches bounded to 2000 rows and 16 MB, unless they are set smaller or by the user.
+
+    A batch is held by the executor's JVM and by its Python worker at once, beside the heap.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker outlives its task and its stage, and shares its executor's memory."""
     gc.collect()

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import attach_groups, attach_large, by_bytes, cut, fresh, release, table, written
+from quirework.llm.common import attach_groups, attach_large, by_bytes, cut, fresh, release, small_batches, table, written
 
 BINS, ROWS = 150, 5
 #: Signatures of pairs at the threshold agree in 80 % of the bins, give or take 3.3 %; none this low in 10**8.
@@ -137,7 +137,7 @@ def features(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=FEATURES.names)
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
 
 
 def words_hash(words: list[bytes]) -> bytes | None:

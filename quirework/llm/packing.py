@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirework.llm.chat import format_chats, read_back
-from quirework.llm.common import by_bytes, fresh, release, table, written
+from quirework.llm.common import by_bytes, fresh, release, small_batches, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Marks that the tokenizer always splits from the letters before them.
 MARKS = frozenset(".,;:!?")
 
@@ -163,14 +163,14 @@ def tokenise(docs: DataFrame, path: str | None = None, text: str = "text", end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for whole in batches:
-            for batch in by_bytes(whole, text, rows=10_000, size=8 << 20):
+            for batch in by_bytes(whole, text, rows=10_000, size=2 << 20):
                 ids, counts = encoder.encode(batch.column(text), end)
                 cols = [batch.column(f.name) for f in others]
                 yield pa.RecordBatch.from_arrays([*cols, binary(ids, counts), pa.array(counts, pa.int64())], names=[f.name for f in schema])
                 del ids, counts
         release()
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in others], text).mapInArrow(run, schema)
+    return small_batches(docs).select(*[F.col(f"`{f.name}`") for f in others], text).mapInArrow(run, schema)
 
 
 def binary(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -292,7 +292,7 @@ def pack(rows: DataFrame, tokens: str, loss: str | None = None, ids: str | None
     return dealt.groupBy(group_name).applyInArrow(lambda key, part: run(key, part), schema)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int] = (2048, 512, 2048), least_cut: int = 16, group_rows: int = 2048, group_bytes: int = 16 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int] = (2048, 512, 2048), least_cut: int = 16, group_rows: int = 2048, group_bytes: int = 8 << 20) -> DataFrame:
     """Tokenise and pack; one row per piece, with its ids (binary, unsigned 32-bit), and the columns of docs but text."""
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     groups = max(1, -(-n // group_rows), -(-(size or 0) // group_bytes))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import by_bytes, cut, fresh, release, table
+from quirework.llm.common import by_bytes, cut, fresh, release, small_batches, table
 from quirework.llm.near_dedup import mix
 
 #: Words in a window, and from one to the next.
@@ -226,7 +226,7 @@ def fit(texts: Iterable[str | None], labels: Iterable[int], epochs: int = 8, see
             best = first + (rng.random(len(labels)) * np.diff(np.r_[first, len(owner)])).astype(np.int64)
         else:
             known = driven(net, vocabulary)
-            y = np.concatenate([net.logits(*known, windows(slice(k, k + 2048))) for k in range(0, len(owner), 2048)])
+            y = np.concatenate([net.logits(*known, windows(slice(k, k + 1024))) for k in range(0, len(owner), 1024)])
             del known
             top = np.maximum.reduceat(y, first)
             best = np.full(len(labels), -1)
@@ -249,7 +249,7 @@ def fit(texts: Iterable[str | None], labels: Iterable[int], epochs: int = 8, see
     return net
 
 
-def common(docs: list[np.ndarray], vocabulary: list[str], least: int = 3, step: int = 20_000) -> dict[str, np.ndarray]:
+def common(docs: list[np.ndarray], vocabulary: list[str], least: int = 3, step: int = 5_000) -> dict[str, np.ndarray]:
     """Which embeddings are met in `least` documents or more, as columns of 0 and 1."""
     n = np.zeros(len(vocabulary))
     for d in docs:
@@ -263,7 +263,7 @@ def common(docs: list[np.ndarray], vocabulary: list[str], least: int = 3, step:
     return {"words": (words >= least).astype(np.float32)[:, None], "grams": (grams >= least).astype(np.float32)[:, None]}
 
 
-def driven(net: Network, words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def driven(net: Network, words: list[str], step: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
     """What both directions make of each word's input, some words at a time, as n-grams are many."""
     f, b = (np.empty((len(words), 3 * HIDDEN), dtype=np.float32) for _ in "fb")
     for k in range(0, len(words), step):
@@ -374,7 +374,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_clean
         release()
         yield pa.RecordBatch.from_arrays([pa.array(list(p), pa.string()), pa.array([list(v.shape) for v in p.values()], pa.list_(pa.int32())), pa.array([v.astype("<f4").tobytes() for v in p.values()], pa.binary())], names=["name", "shape", "data"])
 
-    found = cut(one.mapInArrow(run, "name string, shape array<int>, data binary")).collect()
+    found = cut(small_batches(one).mapInArrow(run, "name string, shape array<int>, data binary")).collect()
     return Model({r["name"]: np.frombuffer(r["data"], dtype="<f4").reshape(r["shape"]) for r in found}) if found else None
 
 
@@ -393,7 +393,7 @@ def with_scores(docs: DataFrame, model: Model | None, text: str = "text", keep:
         scorer.forget()  # a worker may serve other stages next
         release()
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
+    return small_batches(docs).select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
