@@ -163,7 +163,7 @@ def tokenise(docs: DataFrame, path: str | None = None, text: str = "text", end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for whole in batches:
-            for batch in by_bytes(whole, text, rows=10_000, size=2 << 20):
+            for batch in by_bytes(whole, text, rows=10_000, size=4 << 20):
                 ids, counts = encoder.encode(batch.column(text), end)
                 cols = [batch.column(f.name) for f in others]
                 yield pa.RecordBatch.from_arrays([*cols, binary(ids, counts), pa.array(counts, pa.int64())], names=[f.name for f in schema])
