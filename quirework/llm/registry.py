@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "line_dedup", "packing", "chat", "decontamination", "substring_dedup", "pii", "toxicity", "near_dedup", "exact_dedup")
+MODULES = ("sharding", "line_dedup", "packing", "chat", "decontamination", "substring_dedup", "pii", "toxicity", "near_dedup", "exact_dedup", "whitening")
 
 
 def _all(what: str) -> dict:
