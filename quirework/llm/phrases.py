@@ -234,7 +234,7 @@ ORACLES = {
              k AS (SELECT c.* FROM c LEFT JOIN x ON x.lang = c.lang AND x.g = c.g WHERE x.f IS NULL OR 100 * x.f < 50 * c.f),
              u AS (SELECT lang, g, k, f, unnest(range(1, k)) AS place FROM k),
              j AS (SELECT u.*, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * u.f * u.f) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
-                   FROM u JOIN g l ON l.lang = u.lang AND l.g = u.g[1:place] JOIN g r ON r.lang = u.lang AND r.g = u.g[place + 1:k]),
+                   FROM u JOIN g l ON l.lang = u.lang AND l.g = u.g[1:place] JOIN g r ON r.lang = u.lang AND r.g = u.g[place + 1:u.k]),
              b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, place) = 1),
              z AS (SELECT *, array_to_string(g, ' ') AS phrase FROM b)
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, encode(phrase)) AS rank, phrase, f AS a, l, r, n, score
