@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "line_dedup", "packing", "chat", "decontamination", "substring_dedup", "pii", "toxicity", "near_dedup", "exact_dedup", "phrases", "whitening")
+MODULES = ("sharding", "line_dedup", "packing", "chat", "decontamination", "substring_dedup", "pii", "toxicity", "near_dedup", "exact_dedup", "phrases", "whitening", "html_text")
 
 
 def _all(what: str) -> dict:
