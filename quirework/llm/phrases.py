@@ -1,162 +1,230 @@
 """Phrase collocations by vertical partitioning of truncated suffix trees.
 
 Texts are split into pieces and words. The tree of a language holds the suffixes of all pieces, cut after three words
-(the longest phrase); nobody builds it whole. Its first words are counted, and a word whose suffixes pass the memory
-budget is lengthened to prefixes of two words, such a one to three. Prefixes are dealt to groups so that a group has
-about the budget of suffixes; each group's subtree is built by one task on its own: its suffixes arrive as leaves with
-their numbers (tasks add up equal ones before sending), are ordered, and each inner node's frequency is read as the total
-of the leaves below it. Nodes above a lengthened prefix have their frequency from the counts that made it so.
+(the longest phrase). Nobody builds it whole: it grows by a level a round, and a round deepens only what can still
+become a candidate. In a round the suffixes, cut at its depth, are grouped by their first word. A word whose suffixes
+would pass the memory budget is lengthened to prefixes of two words, such a pair to three; prefixes are dealt to as many
+groups as there are budgets of suffixes. A group's subtree is built by one task on its own: the suffixes arrive as
+leaves with their numbers (tasks add up equal ones before sending), in order, and a phrase's frequency is the total of
+its leaf. The next round leaves out suffixes whose words, or whose first or last two words, were too rare; tasks know
+these from a bit filter of the frequent ones, of a bounded size. It may let rare ones pass, never drop a frequent one.
 
-What is left are nodes of two and three words that are frequent enough; they get the frequency of the rest of each
-cut by joins, in which a rest that many candidates share doesn't meet in one task. The first of each language are
-found per part, then among those.
+Nodes of two and three words that are frequent enough get the frequency of the parts of each cut by joins, in which a
+part that many candidates share doesn't meet in one task. The first of each language are found per part, then among
+those.
 
-At most MOST_LENGTHENED prefixes of a level are lengthened; the budget grows with the corpus beyond that. They are all
-that the driver and every task hold (some MB).
+What the driver and every task hold: at most MOST_LENGTHENED prefixes a level (beyond that the budget grows with the
+corpus), and filters of 2**FILTER_BITS bits at most (16 MB).
 
 Rules: a null text is an empty one, a null lang is `und`. Texts without words, empty tables and languages without
-candidates give no row. A long text is read whole, its counts handed on when they are many. Repeated rows and
-repeated ids count each; only text and lang are read, other columns play no part. Ties in rank go by score, then a,
-then phrase.
+candidates give no row. A long text is read whole. Repeated rows and repeated ids count each; only text and lang are
+read, other columns play no part. Ties in rank go by score, then a, then phrase.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.common import attach_groups, by_bytes, cut, table, written
 
-PIECE_ENDS = re.compile(r"[.,;:!?\x0a-\x0d]")
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: A-Z in lower case; what ends a piece becomes a byte that UTF-8 doesn't have; a tab is a blank.
+CODES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * 10 + b" ")
 MOST_LENGTHENED = 20_000
-#: Distinct leaves that a task adds up before it hands them on.
-HELD = 300_000
-
-
-def pieces_of(text: str) -> Iterator[list[str]]:
-    """The words of each piece."""
-    for piece in PIECE_ENDS.split(text.translate(LOWER)):
-        words = piece.replace("\t", " ").split(" ")
-        yield [w for w in words if w]
+FILTER_BITS = 27
+#: Words that a task codes before it hands their numbers on.
+HELD = 4_000_000
+Coded = tuple[str, list[bytes], np.ndarray]
 
 
 def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def count_words(docs: DataFrame, after: set[tuple[str, str]] | None = None) -> DataFrame:
-    """lang, w1 and their frequency; with `after`, lang, w1, w2 for these (lang, w1) alone."""
+def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[Coded]:
+    """Per language (several times, if there is much text) its words and the texts as their numbers, -1 where a piece ends."""
+    numbers: dict[str, defaultdict] = {}
+    held: dict[str, list[np.ndarray]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+    def out() -> Iterator[Coded]:
+        for lang, parts in held.items():
+            yield lang, list(numbers[lang])[1:], np.concatenate(parts) - 1
+        held.clear()
+        numbers.clear()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                if counts:
-                    words = [list(x) for x in zip(*counts, strict=True)] if after is not None else [list(counts)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), *[pa.array(w, pa.string()) for w in words], pa.array(list(counts.values()), pa.int64())], names)
-            held.clear()
+    for whole in batches:
+        for b in by_bytes(whole, "text", rows=5000, size=8 << 20):
+            for lang in b.column("lang").unique().to_pylist():
+                some = b.column("text").filter(pc.equal(b.column("lang"), lang)).cast(pa.binary())
+                if lang not in numbers:
+                    numbers[lang] = defaultdict()
+                    numbers[lang].default_factory = numbers[lang].__len__
+                    numbers[lang][b"\xff"]
+                words = b"\n".join([*some.to_pylist(), b""]).translate(CODES).replace(b"\xff", b" \xff ").split()
+                held.setdefault(lang, []).append(np.fromiter(map(numbers[lang].__getitem__, words), np.int64, len(words)))
+            if sum(len(x) for parts in held.values() for x in parts) > HELD:
+                yield from out()
+    yield from out()
 
-        for whole in batches:
-            for b in by_bytes(whole, "text"):
-                for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    counts = held.setdefault(lang, Counter())
-                    for w in pieces_of(text):
-                        counts.update(w if after is None else (x for x in zip(w, w[1:]) if (lang, x[0]) in after))
-                if sum(map(len, held.values())) > HELD:
-                    yield from out()
-        yield from out()
 
-    names = ["lang", "w1", "f"] if after is None else ["lang", "w1", "w2", "f"]
-    schema = ", ".join(f"{n} {'long' if n == 'f' else 'string'}" for n in names)
-    return docs.mapInArrow(run, schema).groupBy(*names[:-1]).agg(F.sum("f").alias("f"))
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
 
 
-def count_leaves(docs: DataFrame, long1: dict, long2: dict) -> DataFrame:
-    """Leaves with their numbers so far: lang, w1, w2, w3 (null where a piece ends) and the words that are the prefix."""
+def joined_hashes(*parts: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of their words."""
+    out = np.zeros(len(parts[0]), np.uint64)
+    for h in parts:
+        out = (out ^ h) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                leaves = list(counts.items())
-                counts.clear()
-                for at in range(0, len(leaves), 20_000):
-                    some = leaves[at : at + 20_000]
-                    w1, w2, w3 = zip(*(x for x, _ in some), strict=True)
-                    deep = [(lang, a) in long1 for a in w1]
-                    p2 = [b if d else None for d, b in zip(deep, w2, strict=True)]
-                    p3 = [c or "" if d and (lang, a, b) in long2 else None for d, a, b, c in zip(deep, w1, w2, w3, strict=True)]
-                    arrays = [pa.array(x, pa.string()) for x in ([lang] * len(some), w1, w2, w3, p2, p3)]
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array([n for _, n in some], pa.int64())], ["lang", "w1", "w2", "w3", "p2", "p3", "f"])
-            held.clear()
-
-        for whole in batches:
-            for b in by_bytes(whole, "text"):
-                for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    counts = held.setdefault(lang, Counter())
-                    for w in pieces_of(text):
-                        # suffixes of one word hold no phrase
-                        if len(w) > 1:
-                            counts.update(zip(w, w[1:], [*w[2:], None]))
-                if sum(map(len, held.values())) > HELD:
-                    yield from out()
-        yield from out()
-
-    return docs.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, p2 string, p3 string, f long")
 
+class Filter:
+    """A Bloom filter of word or phrase hashes."""
 
-def subtrees(leaves: DataFrame, groups: int, least: int) -> DataFrame:
-    """lang, w1, w2, w3 (null for two words), a: the nodes of two and three words, each group's from its own leaves.
+    def __init__(self, bits: int, data: np.ndarray) -> None:
+        self.bits, self.data = bits, data
 
-    A node of two words under which a prefix has been lengthened lies in several groups and comes out in none.
-    """
+    @staticmethod
+    def places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+        return [(hashes >> np.uint64(k)) & np.uint64((1 << bits) - 1) for k in (0, 13, 27)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, leaf, inner, own = None, None, 0, 0
-        split = False
-        found: list[tuple] = []
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self.places(hashes, self.bits):
+            out &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
 
-        def close_leaf() -> None:
-            if leaf is not None and own >= least:
-                found.append((*node, leaf, own))
 
-        def close_node() -> None:
-            close_leaf()
-            if node is not None and inner >= least and not split:
-                found.append((*node, None, inner))
+def known_filter(keys: DataFrame, most_bits: int = FILTER_BITS) -> Filter:
+    """A filter of phrases (column key: lang, a line end, words with blanks between), built block by block in tasks."""
+    bits = min(most_bits, max(13, (keys.count() * 16).bit_length()))
+    n_blocks = 1 << max(0, bits - 20)
+    size = (1 << bits) // n_blocks // 8
 
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [()] * 5
-            found.clear()
-            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:4]], pa.array(columns[4], pa.int64())], ["lang", "w1", "w2", "w3", "a"])
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = np.array([key_hash(k) for k in b.column(0).to_pylist()], dtype=np.uint64)
+            at = np.concatenate(Filter.places(hashes, bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // (size * 8)), pa.array(at % (size * 8))], ["block", "place"])
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for b in batches:
-            for lang, w1, w2, w3, p3, f in zip(*(b.column(c).to_pylist() for c in ("lang", "w1", "w2", "w3", "p3", "f")), strict=True):
-                at = (lang, w1, w2)
-                if at != node:
-                    close_node()
-                    node, leaf, inner, own, split = at, w3, 0, 0, False
-                elif w3 != leaf:
-                    close_leaf()
-                    leaf, own = w3, 0
-                inner += f
-                own += f
-                split = split or p3 is not None
-            if found:
-                yield out()
-        close_node()
-        yield out()
-
-    dealt = leaves.repartition(groups, "lang", "w1", "p2", "p3").sortWithinPartitions("lang", "w1", "w2", "w3")
-    return dealt.select("lang", "w1", "w2", "w3", "p3", "f").mapInArrow(run, "lang string, w1 string, w2 string, w3 string, a long")
+            of, at = (b.column(c).to_numpy() for c in ("block", "place"))
+            for k in np.unique(of):
+                data = held.setdefault(int(k), np.zeros(size, np.uint8))
+                mine = at[of == k]
+                np.bitwise_or.at(data, mine >> 3, np.left_shift(1, mine & 7).astype(np.uint8))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([d.tobytes() for d in held.values()])], ["block", "data"])
+
+    data = np.zeros((1 << bits) // 8, np.uint8)
+    for r in keys.select("key").mapInArrow(places, "block long, place long").repartition(n_blocks, "block").mapInArrow(blocks, "block long, data binary").collect():
+        data[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["data"], np.uint8)
+    return Filter(bits, data)
+
+
+def key_hash(key: str) -> int:
+    lang, _, words = key.rpartition("\n")
+    h = word_hashes(lang, words.encode().split(b" "))
+    return int(h[0] if len(h) == 1 else joined_hashes(*h[:, None])[0])
+
+
+def leaves_of(depth: int, rare: Filter | None, long: list[set[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's suffixes cut at the depth: key, dealt (a hash of the prefix) and their number, without those that hold too rare a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, ids in coded(batches):
+            n, spelled = len(words), pa.array(words, pa.binary())
+            if not n:
+                continue
+            at = [ids[k : len(ids) - depth + 1 + k] for k in range(depth)]
+            whole = np.logical_and.reduce([x >= 0 for x in at])
+            if depth > 1:
+                h = word_hashes(lang, words)
+            if depth == 2 and rare is not None:
+                frequent = rare.has(h)
+                whole &= frequent[at[0]] & frequent[at[1]]
+            if depth == 3 and rare is not None:
+                pairs = rare.has(joined_hashes(h[ids[:-1]], h[ids[1:]]))
+                whole &= pairs[:-1] & pairs[1:]
+            # the first two words are numbered anew where three of them would pass 63 bits
+            code = at[0][whole]
+            back = None
+            if depth > 1:
+                code = code * n + at[1][whole]
+            if depth > 2:
+                back, code = np.unique(code, return_inverse=True)
+                code = code * n + at[2][whole]
+            found, f = np.unique(code, return_counts=True)
+            split = [found]
+            if depth > 1:
+                split = [found // n, found % n]
+            if depth > 2:
+                first = back[split[0]]
+                split = [first // n, first % n, split[1]]
+            for k in range(0, len(found), 50_000):
+                some = [x[k : k + 50_000] for x in split]
+                spell = [spelled.take(pa.array(x)) for x in some]
+                prefixes = [pc.binary_join_element_wise(lang.encode() + b"\n", spell[0], b"")]
+                for word in spell[1:]:
+                    prefixes.append(pc.binary_join_element_wise(prefixes[-1], word, b" "))
+                if depth == 1:
+                    dealt = np.zeros(len(some[0]), np.int64)
+                else:
+                    dealt = h[some[0]]
+                    for level in range(1, depth):
+                        if long[level - 1]:
+                            deeper = pc.is_in(prefixes[level - 1], pa.array([x.encode() for x in long[level - 1]], pa.binary())).to_numpy(zero_copy_only=False)
+                            dealt = np.where(deeper, joined_hashes(*[h[x] for x in some[: level + 1]]), dealt)
+                    dealt = dealt.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([prefixes[-1].cast(pa.string()), pa.array(dealt), pa.array(f[k : k + 50_000], pa.int64())], ["key", "dealt", "f"])
+
+    return run
+
+
+def subtrees(leaves: DataFrame, groups: int, least: int) -> DataFrame:
+    """key, a: the leaf totals of each group's subtree, where they reach the least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, so_far = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, f = b.column("key"), b.column("f").to_numpy()
+            changes = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], changes]))
+            totals = np.add.reduceat(f, starts)
+            names = key.take(pa.array(starts))
+            if names[0].as_py() == last:
+                totals[0] += so_far
+            elif so_far >= least:
+                yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([so_far], pa.int64())], ["key", "a"])
+            last, so_far = names[-1].as_py(), int(totals[-1])
+            done = pa.array(np.flatnonzero(totals[:-1] >= least))
+            yield pa.RecordBatch.from_arrays([names.take(done), pa.array(totals).take(done)], ["key", "a"])
+        if so_far >= least:
+            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([so_far], pa.int64())], ["key", "a"])
+
+    dealt = leaves.repartition(groups, "dealt").select("key", "f").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key string, a long")
+
+
+def spelled(nodes: DataFrame, depth: int) -> DataFrame:
+    """lang, w1, ..., a from keys."""
+    words = F.split(F.substring_index("key", "\n", -1), " ")
+    lang = F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)")
+    return nodes.select(lang.alias("lang"), *[F.get(words, k).alias(f"w{k + 1}") for k in range(depth)], "a")
 
 
 def with_frequency(rows: DataFrame, known: DataFrame, words: list[str], known_words: list[str], name: str) -> DataFrame:
@@ -174,6 +242,9 @@ def with_frequency(rows: DataFrame, known: DataFrame, words: list[str], known_wo
     return attach_groups(keyed, groups, "key", "asked", keyed.count(), other).drop("key", "asked")
 
 
+LEAF = "key string, dealt long, f long"
+
+
 def score(a: str, left: str, right: str) -> Column:
     """floor(1000000 * a * a / (left * right)), exact up to 38 digits."""
     return F.expr(f"CAST((CAST(1000000 AS DECIMAL(7,0)) * CAST({a} AS DECIMAL(15,0)) * CAST({a} AS DECIMAL(15,0))) DIV (CAST({left} AS DECIMAL(15,0)) * CAST({right} AS DECIMAL(15,0))) AS LONG)")
@@ -182,20 +253,22 @@ def score(a: str, left: str, right: str) -> Column:
 def collocations(docs: DataFrame, least: int = 10, share: int = 50, first: int = 2000, budget: int = 500_000, groups: int | None = None) -> DataFrame:
     """Each language's first phrases of two and three words: lang, rank, phrase, a, l, r, n, score."""
     docs = texts(docs)
-    words = written(count_words(docs), "phrases-words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    total = words.agg(F.sum("f")).first()[0] or 0
+    words = written(docs.mapInArrow(leaves_of(1, None, []), LEAF).groupBy("key").agg(F.sum("f").alias("a")), "phrases-words")
+    totals = spelled(words, 1).groupBy("lang").agg(F.sum("a").alias("n"))
+    total = words.agg(F.sum("a")).first()[0] or 0
     # a prefix above the limit is lengthened: fewer than MOST_LENGTHENED can be
     limit = max(budget, total // MOST_LENGTHENED)
-    long1 = {(r.lang, r.w1): r.f for r in words.where(F.col("f") > limit).collect()}
-    long2 = {(r.lang, r.w1, r.w2): r.f for r in count_words(docs, set(long1)).where(F.col("f") > limit).collect()} if long1 else {}
-    leaves = count_leaves(docs, dict.fromkeys(long1), dict.fromkeys(long2))
     groups = groups or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // limit))
-    above = docs.sparkSession.createDataFrame([(*k, None, f) for k, f in long2.items() if f >= least], "lang string, w1 string, w2 string, w3 string, a long")
-    nodes = written(subtrees(leaves, groups, least).unionByName(above), "phrases-nodes")
-
-    unigrams = words.where(F.col("f") >= least).select("lang", "w1", F.col("f").alias("a"))
-    pairs, triples = nodes.where("w3 IS NULL"), nodes.where("w3 IS NOT NULL")
+    frequent, long = words.where(F.col("a") >= least), []
+    nodes = []
+    for depth in (2, 3):
+        long.append({r["key"] for r in frequent.where(F.col("a") > limit).select("key").collect()})
+        leaves = docs.mapInArrow(leaves_of(depth, known_filter(frequent), long), LEAF)
+        frequent = written(subtrees(leaves, groups, least), f"phrases-{depth}")
+        nodes.append(spelled(frequent, depth))
+
+    unigrams = spelled(words.where(F.col("a") >= least), 1)
+    pairs, triples = nodes[0].withColumn("w3", F.lit(None).cast("string")), nodes[1]
     # a candidate that a longer one mostly stands for
     longer = triples.select("lang", "w1", "w2", F.col("a").alias("longer")).union(triples.select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), F.col("a").alias("longer")))
     longer = longer.groupBy("lang", "w1", "w2").agg(F.max("longer").alias("longer"))
