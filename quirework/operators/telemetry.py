@@ -80,6 +80,25 @@ def histogram_quantile(buckets: DataFrame, q: float, *by: str) -> DataFrame:
     return hit.select(*by, F.when(F.col("le") == float("inf"), F.col("lower")).otherwise(inner).alias("value"))
 
 
+def quantile_of_counts(counts: list[Column], q: float) -> Column:
+    """AGG9 on one row: counts holds the cumulative counts up to each of BOUNDS, and of all."""
+    rank, zero = counts[-1] * q, F.lit(0)
+    out = F.when(F.lit(False), F.lit(0.0))
+    for i, bound in enumerate(BOUNDS):
+        below, lower = (counts[i - 1], BOUNDS[i - 1]) if i else (zero, 0.0)
+        inside = F.lit(lower) + F.lit(bound - lower) * (rank - below) / F.greatest(counts[i] - below, F.lit(1))
+        out = out.when(counts[i] >= rank, inside)
+    return F.when(counts[-1] > 0, out.otherwise(F.lit(BOUNDS[-1])))
+
+
+def class_limit(queue_class: str) -> Column:
+    """The time limit of a class in seconds; an unknown class has the longest."""
+    out = F.when(F.lit(False), F.lit(0))
+    for name, seconds in TIME_LIMITS.items():
+        out = out.when(F.col(queue_class) == name, F.lit(seconds))
+    return out.otherwise(F.lit(max(TIME_LIMITS.values())))
+
+
 def step(ts: str = "ts", seconds: int = STEP_S) -> Column:
     """The start of an event's step, in seconds since 1970."""
     return (F.floor(F.unix_timestamp(ts) / seconds) * seconds).cast("long")
@@ -180,3 +199,58 @@ def job_lifecycle(audit: DataFrame, now, limit_s: int = TIME_LIMITS["heavy"]) ->
     late = F.unix_timestamp(at(now)) - F.col("started") > limit_s
     state = F.when(F.col("ended").isNotNull(), F.substring("ended.event", 5, 20)).when(late, "timed out").when(F.col("started").isNotNull(), "running").otherwise("queued")
     return jobs.select("resource_id", (F.col("started") - F.col("queued")).alias("wait_s"), (F.col("ended.s") - F.col("started")).alias("run_s"), state.alias("state"))
+
+
+def lifecycles(events: DataFrame, until: int) -> DataFrame:
+    """STR4: jobs that ended, or whose class's time limit passed, before `until` (ms): job_id, queue_class, wait_ms, run_ms, state.
+
+    events: at (ms), seq, job_id, queue_class, event. A job that ends before it starts has no run time; what happens
+    after its end or its limit is too late.
+    """
+    def first(*names: str) -> Column:
+        return F.min(F.when(F.col("event").isin(*names), F.struct("at", "seq", "event")))
+
+    jobs = events.where(F.col("at") < until).groupBy("job_id", "queue_class").agg(first("job.queued").alias("queued"), first("job.started").alias("started"), first("job.completed", "job.failed", "job.cancelled").alias("ended"))
+    started = F.when(F.col("ended").isNull() | (F.col("started") < F.col("ended")), F.col("started"))
+    jobs = jobs.withColumn("started", started).withColumn("limit", F.col("started.at") + class_limit("queue_class") * 1000)
+    in_time = F.col("ended").isNotNull() & (F.col("limit").isNull() | (F.col("ended.at") < F.col("limit")))
+    end = F.when(in_time, F.col("ended.at")).when(F.col("limit") < until, F.col("limit"))
+    known = F.when(F.col("queued") < F.coalesce("started", "ended"), F.col("queued.at"))
+    out = jobs.select("job_id", "queue_class", (F.col("started.at") - known).alias("wait_ms"), (end - F.col("started.at")).alias("run_ms"), F.when(in_time, F.substring("ended.event", 5, 20)).otherwise("timed out").alias("state"), end.alias("end"))
+    return out.where("end IS NOT NULL").drop("end")
+
+
+def lease_history(events: DataFrame, until: int, ttl_s: int = 180) -> DataFrame:
+    """STR8: every change of each job's lease before `until` (ms): job_id, at, status, token, epoch, expires.
+
+    events: at (ms), seq, job_id, kind (claim, renew, finish, cancel), token, epoch. Only the first claim counts, as a job
+    is never queued again; its token's beats count while each comes within ttl_s of the one before; a lease without such
+    a beat expires; a job that hasn't finished can be cancelled.
+    """
+    ttl = F.lit(ttl_s * 1000)
+    rows = events.where(F.col("at") < until)
+    place = F.struct("at", "seq")
+
+    def first(kind: str) -> Column:
+        return F.min(F.when(F.col("kind") == kind, F.struct("at", "seq", "token")))
+
+    heads = rows.groupBy("job_id").agg(first("claim").alias("claim"), first("cancel").alias("cancel"))
+    heads = heads.withColumn("claim", F.when(F.col("cancel").isNull() | (F.col("claim") < F.col("cancel")), F.col("claim")))
+    held = (F.col("token") == F.col("claim.token")) & (F.col("epoch") == 1) & (place > F.struct("claim.at", "claim.seq")) & (F.col("cancel").isNull() | (place < F.struct("cancel.at", "cancel.seq")))
+    beats = rows.where("kind IN ('renew', 'finish')").join(heads, "job_id").where(held)
+    order = Window.partitionBy("job_id").orderBy("at", "seq")
+    beats = beats.withColumn("before", F.coalesce(F.lag("at").over(order), F.col("claim.at"))).withColumn("ended", F.coalesce(F.lag(F.col("kind") == "finish").over(order), F.lit(False)))
+    beats = beats.withColumn("lost", F.max((F.col("at") - F.col("before") >= ttl) | F.col("ended")).over(order)).where("NOT lost")
+    last = beats.groupBy("job_id").agg(F.max(F.when(F.col("kind") == "renew", F.col("at"))).alias("renewed"), F.max(F.col("kind") == "finish").alias("finished"))
+    jobs = heads.join(last, "job_id", "left").withColumn("expires", F.coalesce("renewed", "claim.at") + ttl)
+    open_ = ~F.coalesce("finished", F.lit(False))
+
+    def change(df: DataFrame, at_: Column, status: Column | str, expires: Column, token: Column, epoch: Column) -> DataFrame:
+        return df.select("job_id", at_.alias("at"), (F.lit(status) if isinstance(status, str) else status).alias("status"), token.alias("token"), epoch.cast("int").alias("epoch"), expires.cast("long").alias("expires"))
+
+    token, one, has = F.col("claim.token"), F.lit(1), F.col("claim").isNotNull()
+    claimed = change(jobs.where(has), F.col("claim.at"), "running", F.col("claim.at") + ttl, token, one)
+    seen = change(beats.where("kind = 'finish' OR at > before"), F.col("at"), F.when(F.col("kind") == "finish", "completed").otherwise("running"), F.when(F.col("kind") == "finish", F.col("before")).otherwise(F.col("at")) + ttl, token, one)
+    lapsed = change(jobs.where(has & open_ & (F.col("expires") < until) & (F.col("cancel").isNull() | (F.col("cancel.at") >= F.col("expires")))), F.col("expires"), "expired", F.col("expires"), token, one)
+    ended = change(jobs.where(F.col("cancel").isNotNull() & open_), F.col("cancel.at"), "cancelled", F.when(has, F.col("expires")).otherwise(0), F.when(has, token).otherwise(""), F.when(has, 1).otherwise(0))
+    return claimed.union(seen).union(lapsed).union(ended)

@@ -26,6 +26,9 @@ class SparkSQL:
         FROM (SELECT doc_id, split(text, '\\n', -1) AS lines FROM documents WHERE text IS NOT NULL))"""
     sentences = """SELECT conv_id, turn, i, s AS question FROM (SELECT conv_id, turn, posexplode(split(regexp_replace(text, '([.!?])[ \\t]+', '$1\n'), '[\r\n]+', -1)) AS (i, s) FROM conversations WHERE role = 'user')"""
     quantile = staticmethod(lambda x, q: f"percentile({x}, {q})")
+    millis = staticmethod(lambda x: f"unix_millis({x})")
+    #: Times from 2024 on, so many times as dense.
+    squeezed = staticmethod(lambda x, n: f"timestamp_micros(1704067200000000 + (unix_micros(CAST({x} AS TIMESTAMP)) - 1704067200000000) DIV {n})")
     double = "DOUBLE"
 
 
@@ -37,6 +40,8 @@ class DuckSQL:
         SELECT doc_id, lines, unnest(range(0, (len(lines) - 1) // 10 + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))"""
     sentences = """SELECT conv_id, turn, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS question FROM (SELECT conv_id, turn, string_split_regex(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), '[\\r\\n]+') AS l FROM conversations WHERE role = 'user')"""
     quantile = staticmethod(lambda x, q: f"quantile_cont({x}, {q})")
+    millis = staticmethod(lambda x: f"epoch_us({x}) // 1000")
+    squeezed = staticmethod(lambda x, n: f"make_timestamp(1704067200000000 + (epoch_us({x}) - 1704067200000000) // {n})")
     double = "DOUBLE"
 
 
@@ -111,6 +116,13 @@ FIXTURES: dict[str, tuple[tuple[str, ...], Callable]] = {
     "http_requests": (("events",), lambda d: "SELECT CAST(ts AS TIMESTAMP) AS ts, 'GET' AS method, event_type AS route, CAST(CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 17 = 0 THEN 404 ELSE 200 END AS INT) AS status, value / 1000 AS duration_s, event_id, concat('src', CAST(user_id % 20 AS STRING)) AS service_name FROM events"),
     "job_events": (("events",), lambda d: f"SELECT CAST(ts AS TIMESTAMP) AS ts, CAST(event_id % 3000 AS STRING) AS job_id, CASE event_id % 3 WHEN 0 THEN 'interactive' WHEN 1 THEN 'pdf' ELSE 'heavy' END AS queue_class, {_operation('event_id')} AS operation, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS state, CASE WHEN event_id % 7 <> 0 THEN (value - 20) / 10 END AS duration_s, event_id FROM events"),
     "audit_events": (("events",), lambda d: "SELECT CAST(ts AS TIMESTAMP) AS ts, CASE event_id % 4 WHEN 0 THEN 'job.queued' WHEN 1 THEN 'job.started' WHEN 2 THEN 'job.completed' ELSE 'job.failed' END AS event, concat('src', CAST(user_id % 20 AS STRING)) AS actor, 'job' AS resource_type, CAST(user_id % 997 AS STRING) AS resource_id, event_id FROM events"),
+    "lease_events": (("events",), lambda d: f"""SELECT ts, {d.millis("ts")} AS ms, seq, job_id, kind, token, epoch FROM (SELECT {d.squeezed("ts", 200)} AS ts, event_id AS seq, CAST(user_id AS STRING) AS job_id,
+            CASE WHEN event_id % 4 = 0 THEN 'claim' WHEN event_id % 40 = 7 THEN 'cancel' WHEN event_id % 8 = 3 THEN 'finish' ELSE 'renew' END AS kind, concat('t', CAST(CAST(floor(event_id / 4) AS BIGINT) % 2 AS STRING)) AS token, CAST(CASE WHEN event_id % 11 = 0 THEN 2 ELSE 1 END AS INT) AS epoch FROM events)"""),
+    "delivery_outcomes": (("events",), lambda d: f"""SELECT ts, {d.millis("ts")} AS ms, seq, delivery_id, kind, max_attempts FROM (SELECT CAST(ts AS TIMESTAMP) AS ts, event_id AS seq, user_id AS delivery_id,
+            CASE WHEN event_id % 13 = 0 AND user_id % 3 <> 0 THEN 'requeue' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'ok' ELSE 'fail' END AS kind, CAST(4 AS INT) AS max_attempts FROM events)"""),
+    "lifecycle_events": (("events",), lambda d: f"""SELECT ts, {d.millis("ts")} AS ms, seq, job_id, CASE WHEN job % 3 = 0 THEN 'interactive' WHEN job % 3 = 1 THEN 'pdf' ELSE 'heavy' END AS queue_class, event FROM (
+            SELECT CAST(ts AS TIMESTAMP) AS ts, event_id AS seq, CAST(CAST(floor(event_id / 4) AS BIGINT) AS STRING) AS job_id, CAST(floor(event_id / 4) AS BIGINT) AS job,
+            CASE WHEN event_id % 4 = 0 THEN 'job.queued' WHEN event_id % 4 = 1 THEN 'job.started' WHEN event_id % 4 = 2 AND event_type <> 'click' THEN 'job.progress' WHEN event_type = 'error' THEN 'job.failed' WHEN event_type = 'view' THEN 'job.cancelled' ELSE 'job.completed' END AS event FROM events)"""),
     "metric_samples": (("events",), lambda d: "SELECT 'jobs_failed_total' AS metric, CASE event_id % 3 WHEN 0 THEN 'interactive' WHEN 1 THEN 'pdf' ELSE 'heavy' END AS queue_class, CAST(ts AS TIMESTAMP) AS ts, CAST(event_id % 50 AS DOUBLE) AS value, event_id FROM events"),
     "doc_pages": (("documents",), lambda d: d.pages),
     "questions": (("conversations", "n_docs"), lambda d: f"""SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING), '-', CAST(i AS STRING)) AS question_id, CAST(conv_id % n AS STRING) AS doc_id, question, lag(question) OVER (PARTITION BY conv_id ORDER BY turn, i) AS previous_question

@@ -174,11 +174,72 @@ def _(events):
     return out.drop("at")
 
 
-@query("str8_lease_states", "events")
+LEASES = """, w AS (SELECT epoch_us(max(ts)) // 1000 - 120000 AS until FROM lease_events), e AS (SELECT l.* FROM lease_events l, w WHERE ms < until),
+    c AS (SELECT job_id, min((ms, seq)) FILTER (kind = 'cancel') AS cancel, min((ms, seq, token)) FILTER (kind = 'claim') AS claim FROM e GROUP BY job_id),
+    h AS (SELECT job_id, cancel, CASE WHEN cancel IS NULL OR (claim[1], claim[2]) < cancel THEN claim END AS claim FROM c),
+    b AS (SELECT e.*, claim, lag(ms) OVER v AS prior, sum(CASE WHEN kind = 'finish' THEN 1 ELSE 0 END) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS finished
+          FROM e JOIN h USING (job_id) WHERE kind IN ('renew', 'finish') AND token = claim[3] AND epoch = 1 AND (ms, seq) > (claim[1], claim[2]) AND (cancel IS NULL OR (ms, seq) < cancel) WINDOW v AS (PARTITION BY job_id ORDER BY ms, seq)),
+    g AS (SELECT *, coalesce(prior, claim[1]) AS base, sum(CASE WHEN ms - coalesce(prior, claim[1]) >= 180000 OR finished > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ms, seq) AS lost FROM b),
+    k AS (SELECT * FROM g WHERE lost = 0),
+    j AS (SELECT h.job_id, h.claim, h.cancel, coalesce(max(k.ms) FILTER (kind = 'renew'), any_value(h.claim[1])) + 180000 AS expires, count(*) FILTER (kind = 'finish') AS done FROM h LEFT JOIN k ON k.job_id = h.job_id GROUP BY 1, 2, 3)
+    SELECT job_id, claim[1] AS at, 'running' AS status, claim[3] AS token, 1 AS epoch, claim[1] + 180000 AS expires FROM h WHERE claim IS NOT NULL
+    UNION ALL SELECT job_id, ms, CASE kind WHEN 'finish' THEN 'completed' ELSE 'running' END, claim[3], 1, 180000 + CASE kind WHEN 'finish' THEN base ELSE ms END FROM k WHERE kind = 'finish' OR ms > base
+    UNION ALL SELECT job_id, expires, 'expired', claim[3], 1, expires FROM j, w WHERE claim IS NOT NULL AND done = 0 AND expires < until AND (cancel IS NULL OR cancel[1] >= expires)
+    UNION ALL SELECT job_id, cancel[1], 'cancelled', coalesce(claim[3], ''), CASE WHEN claim IS NULL THEN 0 ELSE 1 END, CASE WHEN claim IS NULL THEN 0 ELSE expires END FROM j WHERE cancel IS NOT NULL AND done = 0"""
+
+
+def last_ms(events: DataFrame, lateness_s: int = 120) -> int:
+    """How far a stream of these events has come when it has read all: its watermark."""
+    return events.agg(F.unix_millis(F.max("ts")) - lateness_s * 1000).first()[0] or 0
+
+
+@query("str8_lease_states", "lease_events", LEASES)
 def _(events):
-    kind = F.element_at(F.array(*map(F.lit, ("claim", "renew", "renew", "finish"))), (F.col("event_id") % 4 + 1).cast("int"))
-    beats = events.select((F.col("user_id")).alias("job_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("t"), (F.col("event_id") % 2).cast("string")).alias("token"), F.lit(1).alias("epoch"))
-    return s.fold(beats, "job_id", {"status": "queued", "token": "", "epoch": 0, "expires": 0}, s.lease_step, "job_id long, at long, status string, token string, epoch int, expires long")
+    return t.lease_history(events.withColumnRenamed("ms", "at"), last_ms(events))
+
+
+LIFECYCLES = """, w AS (SELECT epoch_us(max(ts)) // 1000 - 120000 AS until FROM lifecycle_events),
+    j AS (SELECT job_id, queue_class, min(ms) FILTER (event = 'job.queued') AS q, min(ms) FILTER (event = 'job.started') AS s, min((ms, event)) FILTER (event IN ('job.completed', 'job.failed', 'job.cancelled')) AS e FROM lifecycle_events, w WHERE ms < until GROUP BY ALL),
+    k AS (SELECT *, CASE WHEN e IS NULL OR s < e[1] THEN s END AS st FROM j),
+    l AS (SELECT *, st + CASE queue_class WHEN 'interactive' THEN 600000 WHEN 'pdf' THEN 1800000 ELSE 3600000 END AS lim FROM k),
+    z AS (SELECT *, e IS NOT NULL AND (lim IS NULL OR e[1] < lim) AS ok FROM l)
+    SELECT job_id, queue_class, st - CASE WHEN q < coalesce(st, e[1]) THEN q END AS wait_ms, CASE WHEN ok THEN e[1] ELSE lim END - st AS run_ms, CASE WHEN ok THEN substr(e[2], 5) ELSE 'timed out' END AS state FROM z, w WHERE ok OR lim < until"""
+
+
+@query("str4_class_lifecycles", "lifecycle_events", LIFECYCLES)
+def _(events):
+    return t.lifecycles(events.withColumnRenamed("ms", "at"), last_ms(events))
+
+
+OUTCOMES = """, w AS (SELECT epoch_us(max(ts)) // 1000 - 120000 AS until FROM delivery_outcomes),
+    o AS (SELECT d.*, row_number() OVER (PARTITION BY delivery_id ORDER BY ms, seq) AS k FROM delivery_outcomes d, w WHERE ms < until),
+    r AS (SELECT DISTINCT delivery_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS ms, 'queued' AS status, 0 AS attempts, CAST(0 AS BIGINT) AS next_at, false AS changed FROM o
+      UNION ALL SELECT r.delivery_id, o.k, o.ms, CASE WHEN kind = 'requeue' THEN CASE status WHEN 'dead' THEN 'queued' ELSE status END WHEN status NOT IN ('queued', 'retrying') THEN status WHEN kind = 'ok' THEN 'delivered' WHEN attempts + 1 >= max_attempts THEN 'dead' ELSE 'retrying' END,
+        CASE WHEN kind = 'requeue' THEN CASE status WHEN 'dead' THEN 0 ELSE attempts END WHEN status NOT IN ('queued', 'retrying') THEN attempts ELSE attempts + 1 END,
+        CASE WHEN kind = 'requeue' THEN CASE status WHEN 'dead' THEN o.ms ELSE next_at END WHEN status NOT IN ('queued', 'retrying') THEN next_at WHEN kind = 'ok' OR attempts + 1 >= max_attempts THEN o.ms ELSE o.ms + CAST(least(5 * pow(2, attempts), 900) AS BIGINT) * 1000 END,
+        CASE WHEN kind = 'requeue' THEN status = 'dead' ELSE status IN ('queued', 'retrying') END
+      FROM r JOIN o ON o.delivery_id = r.delivery_id AND o.k = r.k + 1)
+    SELECT delivery_id, ms AS at, status, attempts, next_at FROM r WHERE changed"""
+
+
+@query("str7_delivery_history", "delivery_outcomes", OUTCOMES)
+def _(outcomes):
+    return s.delivery_history(outcomes.withColumnRenamed("ms", "at").where(F.col("at") < last_ms(outcomes)))
+
+
+ORACLES["str7_delivery_history"] = ORACLES["str7_delivery_history"].replace("WITH", "WITH RECURSIVE", 1)
+ROUTES = """, st AS (SELECT route, CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS step, count(*) AS n, count(*) FILTER (status >= 400) AS bad FROM http_requests GROUP BY ALL),
+    sl AS (SELECT route, n, bad, unnest(generate_series(step + 60, step + 300, 60)) AS moment FROM st), e AS (SELECT route, moment, sum(bad) > sum(n) * 0.05::DOUBLE AS hot FROM sl GROUP BY ALL HAVING moment * 1000 < (SELECT epoch_us(max(ts)) // 1000 - 120000 FROM http_requests)),
+    r AS (SELECT *, sum(CASE WHEN hot THEN 0 ELSE 1 END) OVER (PARTITION BY route ORDER BY moment) AS run FROM e), b AS (SELECT route, run, min(moment) AS since FROM r WHERE hot GROUP BY ALL),
+    f AS (SELECT route, moment, hot, CASE WHEN hot THEN since END AS since, hot AND moment - since >= 120 AS fires FROM r LEFT JOIN b USING (route, run))
+    SELECT route, moment AS at, CASE WHEN fires THEN 'firing' WHEN hot THEN 'pending' WHEN lag(fires) OVER (PARTITION BY route ORDER BY moment) THEN 'resolved' ELSE 'inactive' END AS phase, coalesce(since, 0) AS since FROM f"""
+
+
+@query("str6_route_alerts", "http_requests", ROUTES)
+def _(requests):
+    steps = requests.groupBy("route", t.step(seconds=60).alias("step")).agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 400).alias("bad"))
+    slid = t.sliding(steps, 300, "route", sums=("n", "bad"), step_s=60).where(F.col("window_end") * 1000 < last_ms(requests))
+    return t.alert_states(slid.select("route", F.col("window_end").alias("at"), (F.col("bad") > F.col("n") * 0.05).alias("condition"), F.lit(120).alias("for_s")), "route")
 
 
 @query("str9_storage_admission", "files service_policies")
@@ -227,7 +288,7 @@ def _(spark, sf_dir):
     e = event_stream(spark, sf_dir)
     k = F.col("event_id") % 3
     rows = e.select("ts", F.when(k == 0, "interactive").when(k == 1, "pdf").otherwise("heavy").alias("queue_class"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("state"))
-    return s.run_once(s.failure_alerts_stream(rows), folder(spark))
+    return s.run_once(s.failure_alerts_stream(rows, overall=None), folder(spark))
 
 
 @stream("str4_lifecycle_stream")
@@ -257,13 +318,49 @@ def _(spark, sf_dir):
     return s.run_once(folded, where)
 
 
+def domain_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A domain table that is derived from the events alone, as a stream."""
+    return fixture(spark, sf_dir, name, {"events": event_stream(spark, sf_dir)})
+
+
 @stream("str8_lease_states_stream")
 def _(spark, sf_dir):
-    e = event_stream(spark, sf_dir)
-    kind = F.element_at(F.array(*map(F.lit, ("claim", "renew", "renew", "finish"))), (F.col("event_id") % 4 + 1).cast("int"))
-    beats = e.select(F.col("user_id").alias("job_id"), F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("t"), (F.col("event_id") % 2).cast("string")).alias("token"), F.lit(1).alias("epoch"))
-    folded = s.fold_stream(beats, "job_id", {"status": "queued", "token": "", "epoch": 0, "expires": 0}, s.lease_step, "job_id long, at long, status string, token string, epoch int, expires long", "status string, token string, epoch int, expires long")
-    return s.run_once(folded, folder(spark))
+    return s.run_once(s.lease_history_stream(domain_stream(spark, sf_dir, "lease_events").drop("ms")), folder(spark))
+
+
+@stream("str4_class_lifecycles_stream")
+def _(spark, sf_dir):
+    return s.run_once(s.lifecycles_stream(domain_stream(spark, sf_dir, "lifecycle_events").drop("ms")), folder(spark))
+
+
+@stream("str7_delivery_history_stream")
+def _(spark, sf_dir):
+    return s.run_once(s.delivery_history_stream(domain_stream(spark, sf_dir, "delivery_outcomes").drop("ms")), folder(spark))
+
+
+@stream("str6_route_alerts_stream")
+def _(spark, sf_dir):
+    return s.run_once(s.alert_history_stream(s.route_evaluations_stream(domain_stream(spark, sf_dir, "http_requests")), ["route"]), folder(spark))
+
+
+for of in ("str8_lease_states", "str4_class_lifecycles", "str7_delivery_history", "str6_route_alerts"):
+    ORACLES[f"{of}_stream"] = ORACLES[of]
+
+
+@stream("str1_rate_verdicts_stream", RATE.replace("date_trunc('minute', ts) ORDER BY ts, event_id", "date_trunc('minute', ts) ORDER BY epoch_us(ts) // 1000, event_id").replace("FROM http_requests)", "FROM http_requests WHERE epoch_us(ts) // 1000 < (SELECT epoch_us(max(ts)) // 1000 - 120000 FROM http_requests))") + """ SELECT event_id, r.service_name, CAST(number AS INTEGER) AS number, coalesce(rate_limit_per_minute, 120) > 0 AND number > coalesce(rate_limit_per_minute, 120) AS refused FROM r LEFT JOIN service_policies p ON p.service_name = r.service_name""", "http_requests service_policies")
+def _(spark, sf_dir):
+    return s.run_once(s.rate_verdicts_stream(domain_stream(spark, sf_dir, "http_requests"), fixture(spark, sf_dir, "service_policies")), folder(spark))
+
+
+@stream("str2_http_latency_stream", ORACLES["str2_http_latency"].removeprefix(ctes("http_requests")).replace("WHERE cnt >= rank AND below < rank)", "WHERE cnt >= rank AND below < rank) WHERE window_end <= (SELECT epoch(max(ts)) - 120 FROM http_requests)"))
+def _(spark, sf_dir):
+    out = s.run_once(s.http_latency_stream(domain_stream(spark, sf_dir, "http_requests")), folder(spark))
+    return out.withColumn("value", F.round("value", 9))
+
+
+@stream("str3_all_failure_alerts_stream", ORACLES["str3_failure_alerts"].removeprefix(ctes("job_events")) + " HAVING window_end <= (SELECT epoch(max(ts)) - 120 FROM job_events WHERE state = 'failed')", "job_events")
+def _(spark, sf_dir):
+    return s.run_once(s.failure_alerts_stream(domain_stream(spark, sf_dir, "job_events")), folder(spark))
 
 
 @stream("str9_storage_admission_stream")

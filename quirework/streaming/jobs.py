@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.functions.text import safe_filename
 from quirework.operators.catalog import DEFAULT_POLICY
+from quirework.operators.telemetry import BOUNDS, class_limit, quantile_of_counts
+from quirework.streaming.ordered import ordered_fold, rocksdb
 
 LATENESS = "120 seconds"
+# the steps go to the process that sets up a stateful stream, see ordered.py
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Process what there is, to Parquet in folder, and read it back."""
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with rocksdb(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -35,6 +43,25 @@ def refused_counts(counts: DataFrame, policies: DataFrame) -> DataFrame:
     return out.select("minute", "service_name", "requests", F.when(limit > 0, F.greatest(F.lit(0), F.col("requests") - limit)).otherwise(0).cast("long").alias("refused"))
 
 
+def rate_step(state: dict, row) -> dict:
+    """STR1: a request's number in its minute, and whether it is refused."""
+    n = state["number"] + 1
+    return {"number": n, "event_id": row.seq, "refused": bool(0 < row.limit < n), "ends": row.ends}
+
+
+def rate_verdicts_stream(requests: DataFrame, policies: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """STR1: a verdict per request in the order of their times; a service's minute is forgotten when the watermark passes it.
+
+    requests: ts, service_name, event_id; policies are a static table.
+    """
+    own = policies.select("service_name", "rate_limit_per_minute", F.lit(True).alias("own"))
+    limit = F.when(F.col("own"), F.coalesce("rate_limit_per_minute", F.lit(0))).otherwise(DEFAULT_POLICY["rate_limit_per_minute"]).cast("long")
+    minute = F.floor(F.unix_millis("ts") / 60_000)
+    rows = requests.select("ts", "service_name", F.col("event_id").alias("seq"), minute.alias("minute"), ((minute + 1) * 60_000).alias("ends")).join(own, "service_name", "left").withColumn("limit", limit)
+    out = ordered_fold(rows, ["service_name", "minute"], "at long, seq long, limit long, ends long", {"number": 0, "event_id": 0, "refused": False, "ends": 0}, "number long, event_id long, refused boolean, ends long", rate_step, lateness, over=lambda state, mark: state["ends"] <= mark)
+    return out.select("event_id", "service_name", F.col("number").cast("int").alias("number"), "refused")
+
+
 def http_health_stream(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """STR2: sums of 15 s first, then five-minute windows over those sums."""
     steps = requests.withWatermark("ts", lateness).groupBy(F.window("ts", "15 seconds").alias("w")).agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"))
@@ -42,11 +69,25 @@ def http_health_stream(requests: DataFrame, lateness: str = LATENESS) -> DataFra
     return slid.select(F.unix_timestamp("v.end").alias("window_end"), "requests", "errors", ((F.col("errors") / 300) / F.greatest(F.col("requests") / 300, F.lit(0.001))).alias("ratio"))
 
 
-def failure_alerts_stream(job_events: DataFrame, lateness: str = LATENESS, per_class: int = 3) -> DataFrame:
-    """STR3: failures per class in 15 minutes, every 15 s."""
-    steps = job_events.where("state = 'failed'").withWatermark("ts", lateness).groupBy(F.window("ts", "15 seconds").alias("w"), "queue_class").agg(F.count("*").alias("failures"))
+def http_latency_stream(requests: DataFrame, q: float = 0.95, max_s: float = 2.0, lateness: str = LATENESS) -> DataFrame:
+    """STR2: a quantile of latency in five minutes, every 15 s: histograms of 15 s are added up, and read when a window ends."""
+    names = [f"le{i}" for i in range(len(BOUNDS) + 1)]
+    counts = [F.count_if(F.col("duration_s") <= b).alias(n) for b, n in zip(BOUNDS, names, strict=False)] + [F.count("duration_s").alias(names[-1])]
+    steps = requests.where("duration_s IS NOT NULL").withWatermark("ts", lateness).groupBy(F.window("ts", "15 seconds").alias("w")).agg(*counts)
+    slid = steps.select(F.window_time("w").alias("t"), *names).groupBy(F.window("t", "5 minutes", "15 seconds").alias("v")).agg(*[F.sum(n).alias(n) for n in names])
+    value = quantile_of_counts([F.col(n) for n in names], q)
+    return slid.select(F.unix_timestamp("v.end").alias("window_end"), value.alias("value"), (value > max_s).alias("alert"))
+
+
+def failure_alerts_stream(job_events: DataFrame, lateness: str = LATENESS, per_class: int = 3, overall: int | None = 5) -> DataFrame:
+    """STR3: failures per class, and (unless None) in all, in 15 minutes, every 15 s."""
+    failed = job_events.where("state = 'failed'").withWatermark("ts", lateness)
+    if overall is not None:
+        failed = failed.withColumn("queue_class", F.explode(F.array("queue_class", F.lit("all"))))
+    steps = failed.groupBy(F.window("ts", "15 seconds").alias("w"), "queue_class").agg(F.count("*").alias("failures"))
     slid = steps.select(F.window_time("w").alias("t"), "queue_class", "failures").groupBy(F.window("t", "15 minutes", "15 seconds").alias("v"), "queue_class").agg(F.sum("failures").alias("failures"))
-    return slid.select("queue_class", F.unix_timestamp("v.end").alias("window_end"), "failures", (F.col("failures") > per_class).alias("alert"))
+    most = F.when(F.col("queue_class") == "all", F.lit(overall)).otherwise(per_class) if overall is not None else F.lit(per_class)
+    return slid.select("queue_class", F.unix_timestamp("v.end").alias("window_end"), "failures", (F.col("failures") > most).alias("alert"))
 
 
 def lifecycle_stream(started: DataFrame, ended: DataFrame, limit: str = "3600 seconds", lateness: str = LATENESS) -> DataFrame:
@@ -57,6 +98,33 @@ def lifecycle_stream(started: DataFrame, ended: DataFrame, limit: str = "3600 se
     return both.select("job_id", "started_at", "ended_at", F.coalesce("state", F.lit("timed out")).alias("state"))
 
 
+def lifecycle_step(state: dict, row) -> dict:
+    """STR4: queued, started and ended, each once; the limit is that of the class, from the start."""
+    if state["state"] in ("", "queued", "running"):
+        if row.event == "job.queued" and not state["state"]:
+            return state | {"queued": row.at, "state": "queued"}
+        if row.event == "job.started" and state["started"] < 0:
+            return state | {"started": row.at, "ends": row.at + row.limit_ms, "state": "running"}
+        if row.event in ("job.completed", "job.failed", "job.cancelled"):
+            return state | {"ended": row.at, "state": row.event[4:]}
+    return state
+
+
+def lifecycles_stream(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """STR4: one row per job when it ends or, by a timer, when its class's time limit passes: job_id, queue_class, wait_ms, run_ms, state.
+
+    events: ts, seq, job_id, queue_class, event.
+    """
+    rows = events.withColumn("limit_ms", (class_limit("queue_class") * 1000).cast("long"))
+    start = {"queued": -1, "started": -1, "ended": -1, "ends": -1, "state": ""}
+    out = ordered_fold(
+        rows, ["job_id", "queue_class"], "at long, seq long, event string, limit_ms long", start, "queued long, started long, ended long, ends long, state string", lifecycle_step, lateness,
+        deadline=lambda state: state["ends"] if state["state"] == "running" else None, expire=lambda state: state | {"ended": state["ends"], "state": "timed out"}, changes=True,
+    )
+    known = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    return out.where("state NOT IN ('queued', 'running')").select("job_id", "queue_class", (known("started") - known("queued")).alias("wait_ms"), (known("ended") - known("started")).alias("run_ms"), "state")
+
+
 def dedupe_notifications(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """STR5: one notification per job and event."""
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["job_id", "event"])
@@ -74,9 +142,9 @@ def alert_step(state: dict, row) -> dict:
 
 
 def delivery_step(state: dict, row) -> dict:
-    """STR7: an attempt delivers, retries later or dies; a requeue starts anew; ended ones ignore outcomes."""
+    """STR7: an attempt delivers, retries later or dies; a dead one may be queued anew; ended ones ignore outcomes."""
     if row.kind == "requeue":
-        return {"status": "queued", "attempts": 0, "next_at": row.at}
+        return {"status": "queued", "attempts": 0, "next_at": row.at} if state["status"] == "dead" else state
     if state["status"] not in ("queued", "retrying"):
         return state
     n = state["attempts"] + 1
@@ -96,7 +164,7 @@ def lease_step(state: dict, row, ttl: int = 180) -> dict:
         return state | {"expires": row.at + ttl}
     if row.kind == "finish" and live:
         return state | {"status": "completed"}
-    if row.kind == "cancel" and state["status"] in ("queued", "running"):
+    if row.kind == "cancel" and state["status"] in ("queued", "running", "expired"):
         return state | {"status": "cancelled"}
     return state
 
@@ -107,8 +175,8 @@ def storage_step(state: dict, row) -> dict:
     return {"id": row.id, "accepted": bool(fits), "used": state["used"] + (row.size if fits else 0)}
 
 
-def fold(events: DataFrame, key: str, start: dict, step: Callable[[dict, object], dict], schema: str, every: bool = False) -> DataFrame:
-    """Fold each key's events, in order of (at, seq), to its last state, or to all its states.
+def fold(events: DataFrame, key: str, start: dict, step: Callable[[dict, object], dict], schema: str, every: bool = False, changes: bool = False) -> DataFrame:
+    """Fold each key's events, in order of (at, seq), to its last state, or to all its states (or those that are new).
 
     A key's events are one group: they are bounded by what can happen to one job or delivery.
     """
@@ -117,8 +185,9 @@ def fold(events: DataFrame, key: str, start: dict, step: Callable[[dict, object]
     def run(part: pd.DataFrame) -> pd.DataFrame:
         state, out = dict(start), []
         for row in part.sort_values(["at", "seq"]).itertuples(index=False):
-            state = step(state, row)
-            out.append({key: getattr(row, key), "at": row.at, **state})
+            before, state = state, step(state, row)
+            if not changes or state != before:
+                out.append({key: getattr(row, key), "at": row.at, **state})
         return pd.DataFrame(out if every else out[-1:], columns=columns)
 
     return events.groupBy(key).applyInPandas(run, schema)
@@ -141,6 +210,62 @@ def fold_stream(events: DataFrame, key: str, start: dict, step: Callable[[dict,
     return events.groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", "NoTimeout")
 
 
+def lease_history_stream(events: DataFrame, ttl_s: int = 180, lateness: str = LATENESS) -> DataFrame:
+    """STR8: every change of each job's lease in event order; one that isn't renewed expires by a timer, without a further event.
+
+    events: ts, seq, job_id, kind, token, epoch; times are in milliseconds. The same rows as telemetry.lease_history().
+    """
+    return ordered_fold(
+        events, ["job_id"], "at long, seq long, kind string, token string, epoch int", {"status": "queued", "token": "", "epoch": 0, "expires": 0}, "status string, token string, epoch int, expires long",
+        partial(lease_step, ttl=ttl_s * 1000), lateness, deadline=lambda state: state["expires"] if state["status"] == "running" else None, expire=lambda state: state | {"status": "expired"}, changes=True,
+    )
+
+
+def delivery_step_ms(state: dict, row) -> dict:
+    """delivery_step() for times in milliseconds."""
+    new = delivery_step(state, row)
+    return new if new is state else new | {"next_at": row.at + (new["next_at"] - row.at) * 1000}
+
+
+NEW_DELIVERY = {"status": "queued", "attempts": 0, "next_at": 0}
+
+
+def delivery_history(outcomes: DataFrame) -> DataFrame:
+    """STR7: every change of each delivery; outcomes: at (ms), seq, delivery_id, kind (ok, fail, requeue), max_attempts.
+
+    A delivery that was never queued anew is settled after its first attempts, so only these are folded.
+    """
+    order = Window.partitionBy("delivery_id").orderBy("at", "seq")
+    again = F.max(F.col("kind") == "requeue").over(Window.partitionBy("delivery_id"))
+    rows = outcomes.withColumn("n", F.row_number().over(order)).withColumn("again", again).where(F.col("again") | (F.col("n") <= F.col("max_attempts"))).drop("n", "again")
+    kind = rows.schema["delivery_id"].dataType.simpleString()
+    return fold(rows, "delivery_id", NEW_DELIVERY, delivery_step_ms, f"delivery_id {kind}, at long, status string, attempts int, next_at long", every=True, changes=True)
+
+
+def delivery_history_stream(outcomes: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """STR7: every change of each delivery in event order; outcomes: ts, seq, delivery_id, kind, max_attempts."""
+    return ordered_fold(outcomes, ["delivery_id"], "at long, seq long, kind string, max_attempts int", NEW_DELIVERY, "status string, attempts int, next_at long", delivery_step_ms, lateness, changes=True)
+
+
+def route_evaluations_stream(requests: DataFrame, ratio: float = 0.05, for_s: int = 120, lateness: str = LATENESS) -> DataFrame:
+    """STR6: per route and minute, whether more than that share of five minutes' requests failed."""
+    bad = F.count_if(F.col("status") >= 400).alias("bad")
+    steps = requests.withWatermark("ts", lateness).groupBy("route", F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n"), bad)
+    slid = steps.select("route", F.window_time("w").alias("t"), "n", "bad").groupBy("route", F.window("t", "5 minutes", "1 minute").alias("v")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return slid.select("route", F.window_time("v").alias("ts"), F.unix_millis("v.end").alias("at"), F.lit(0).cast("long").alias("seq"), (F.col("bad") > F.col("n") * ratio).alias("condition"), F.lit(for_s).alias("for_s"))
+
+
+def alert_step_ms(state: dict, row) -> dict:
+    """alert_step() for times in milliseconds."""
+    return alert_step(state, row._replace(at=row.at // 1000))
+
+
+def alert_history_stream(evaluations: DataFrame, keys: list[str], lateness: str | None = None) -> DataFrame:
+    """STR6: the phase of each alert at each evaluation, in event order; evaluations: ts, at, seq, keys, condition, for_s."""
+    out = ordered_fold(evaluations, keys, "at long, seq long, condition boolean, for_s int", {"phase": "inactive", "since": 0}, "phase string, since long", alert_step_ms, lateness)
+    return out.withColumn("at", F.floor(F.col("at") / 1000))
+
+
 def with_limits(uploads: DataFrame, policies: DataFrame) -> DataFrame:
     """uploads with limit_bytes, that of the service or the usual one; policies are a static table."""
     limits = policies.select("service_name", (F.col("max_storage_mb").cast("long") * 1024 * 1024).alias("limit_bytes"))
