@@ -25,6 +25,10 @@ def idna(hosts: pd.Series) -> pd.Series:
     return hosts.map(one)
 
 
+#: A part of an IPv4 address; a host of larger numbers is a name.
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
 def validate_urls(pages: DataFrame, column: str = "url") -> DataFrame:
     """pages with host, path and reason. ASCII hosts stay in Spark's own functions; only others meet Python."""
     u = F.col(column)
@@ -53,7 +57,7 @@ def judge(rows: DataFrame, u, authority, port) -> DataFrame:
         .when((port != "") & (port != "443"), "port")
         .when(host.endswith("."), "trailing dot")
         .when(u.contains("%") | authority.rlike("[\\[\\]]"), "encoded or bracketed")
-        .when(host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "IP address")
+        .when(host.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), "IP address")
         .when((F.length(host) > 253) | ~host.contains(".") | blocked, "not public")
         .when(~host.rlike(rf"^{LABEL}(?:\.{LABEL})*$"), "label")
     )

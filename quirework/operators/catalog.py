@@ -247,18 +247,19 @@ def check_inputs(jobs: DataFrame, files: DataFrame, now) -> DataFrame:
     return jobs.select("id", "operation").join(worst, "id", "left").select("id", "operation", code.alias("failed_rule"))
 
 
-def artifact_manifest(jobs: DataFrame, artifacts: DataFrame, files: DataFrame) -> DataFrame:
-    """JOIN6: per completed job, its artifacts in order and whether they are consistent (ok, 409 or 410).
-
-    A job without links has its primary file alone, as bundle for operations that make ZIP files, else as result.
-    """
+def _output_rows(jobs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Each job with its links; a completed job without links has its primary file alone, as bundle for operations that make
+    ZIP files, else as result."""
     done = jobs.select(F.col("id").alias("job_id"), "operation", "status", F.col("output_file_id").alias("primary_id"), "requested_by")
     linked = artifacts.select("job_id", F.col("file_id").alias("linked_id"), F.col("role").alias("linked_role"), "ordinal", F.lit(True).alias("linked"))
     rows = done.join(linked, "job_id", "left")
     legacy = F.col("linked").isNull() & (F.col("status") == "completed") & F.col("primary_id").isNotNull()
     alone = F.when(F.col("operation").isin(*BUNDLING), "bundle").otherwise("result")
-    rows = rows.withColumns({"file_id": F.when(legacy, F.col("primary_id")).otherwise(F.col("linked_id")), "role": F.when(legacy, alone).otherwise(F.col("linked_role")), "there": legacy | F.col("linked").isNotNull()})
-    held = rows.join(files.select(F.col("id").alias("file_id"), F.col("source_system").alias("owner"), "content_type"), "file_id", "left")
+    return rows.withColumns({"file_id": F.when(legacy, F.col("primary_id")).otherwise(F.col("linked_id")), "role": F.when(legacy, alone).otherwise(F.col("linked_role")), "there": legacy | F.col("linked").isNotNull()})
+
+
+def _manifest_code(held: DataFrame) -> DataFrame:
+    """job_id, manifest and artifacts from _output_rows() with the files' owner and content_type."""
     root = F.col("role").isin("result", "bundle")
     facts = held.groupBy("job_id", "status", "primary_id").agg(
         F.count_if("there").alias("n"),
@@ -268,11 +269,13 @@ def artifact_manifest(jobs: DataFrame, artifacts: DataFrame, files: DataFrame) -
         F.count_if(root & (F.col("file_id") == F.col("primary_id"))).alias("primary_roots"),
         F.count_if(F.col("role") == "result").alias("results"),
         F.count_if((F.col("role") == "bundle") & (F.col("content_type") != ZIP)).alias("unzipped"),
+        F.count_if(F.col("there") & ~F.coalesce(F.col("role").isin("result", "bundle", "part"), F.lit(False))).alias("strange"),
+        F.count_if((F.col("role") != "part") & F.col("ordinal").isNotNull()).alias("misnumbered"),
         F.sort_array(F.collect_list(F.when(F.col("role") == "part", F.coalesce("ordinal", F.lit(0))))).alias("ordinals"),
     )
     parts = F.size("ordinals")
     numbered = (parts == 0) | (F.col("ordinals") == F.sequence(F.lit(1), F.greatest(parts, F.lit(1))))
-    bad_roles = (F.col("roots") != 1) | (F.col("primary_roots") != 1) | ~numbered | ((F.col("results") > 0) & (F.col("n") > 1)) | (F.col("unzipped") > 0)
+    bad_roles = (F.col("roots") != 1) | (F.col("primary_roots") != 1) | ~numbered | ((F.col("results") > 0) & (F.col("n") > 1)) | (F.col("unzipped") > 0) | (F.col("strange") > 0) | (F.col("misnumbered") > 0)
     code = (
         F.when(F.col("status") != "completed", "409")
         .when(F.col("primary_id").isNull(), "410")
@@ -284,6 +287,24 @@ def artifact_manifest(jobs: DataFrame, artifacts: DataFrame, files: DataFrame) -
     return facts.select("job_id", code.alias("manifest"), F.col("n").alias("artifacts"))
 
 
+def artifact_manifest(jobs: DataFrame, artifacts: DataFrame, files: DataFrame) -> DataFrame:
+    """JOIN6: per job, how many artifacts it has and whether they are complete and consistent (ok, 409 or 410)."""
+    held = _output_rows(jobs, artifacts).join(files.select(F.col("id").alias("file_id"), F.col("source_system").alias("owner"), "content_type"), "file_id", "left")
+    return _manifest_code(held)
+
+
+def manifest_rows(jobs: DataFrame, artifacts: DataFrame, files: DataFrame) -> DataFrame:
+    """JOIN6: the artifacts of each consistent manifest, the primary one first, then by ordinal; position counts from 1.
+
+    A job has 201 artifacts at most, so all of this is partitioned by job after one join with the files.
+    """
+    facts = files.select(F.col("id").alias("file_id"), F.col("source_system").alias("owner"), F.col("original_name").alias("file_name"), "content_type", "size", "sha256", "expires_at")
+    held = _output_rows(jobs, artifacts).join(facts, "file_id", "left")
+    good = held.join(_manifest_code(held).where("manifest = 'ok'").select("job_id"), "job_id", "left_semi")
+    order = Window.partitionBy("job_id").orderBy((F.col("file_id") != F.col("primary_id")).cast("int"), F.coalesce("ordinal", F.lit(0)), "file_id")
+    return good.select("job_id", F.row_number().over(order).alias("position"), "file_id", "role", "ordinal", "file_name", "content_type", "size", "sha256", F.col("owner").alias("source_system"), "expires_at")
+
+
 def effective_policy(services: DataFrame, policies: DataFrame, defaults: dict | None = None) -> DataFrame:
     """JOIN7: the service's own policy (a stored 0 stays: unlimited), else the defaults and no webhook."""
     own = policies.withColumn("own", F.lit(True))
@@ -383,11 +404,15 @@ def stalled_leases(jobs: DataFrame, queue_status: DataFrame, journal: DataFrame,
 
 
 def settle_journal(journal: DataFrame, committed: DataFrame, cleanup: DataFrame) -> DataFrame:
-    """JOIN17: planned writes become committed, compensated or needs_review.
+    """JOIN17: a job's planned writes become committed, compensated or needs_review.
 
-    committed: stored_name of existing files; cleanup: stored_name and succeeded. No result counts as failure.
+    committed: job_id, lease_token, stored_name of the writes that have a file; cleanup: the same and succeeded. No
+    result counts as failure, as does one failure among several results for a name.
     """
-    rows = journal.where("state = 'planned'").join(committed.select("stored_name").distinct().withColumn("kept", F.lit(True)), "stored_name", "left").join(cleanup.select("stored_name", "succeeded"), "stored_name", "left")
+    key = ["job_id", "lease_token", "stored_name"]
+    kept = committed.select(*key).distinct().withColumn("kept", F.lit(True))
+    results = cleanup.groupBy(*key).agg(F.bool_and(F.coalesce("succeeded", F.lit(False))).alias("succeeded"))
+    rows = journal.where("state = 'planned'").join(kept, key, "left").join(results, key, "left")
     state = F.when(F.col("kept"), "committed").when(F.coalesce("succeeded", F.lit(False)), "compensated").otherwise("needs_review")
     return rows.select("id", "job_id", "stored_name", state.alias("state"))
 

@@ -100,6 +100,14 @@ FIXTURES: dict[str, tuple[tuple[str, ...], Callable]] = {
         LEFT JOIN job_inputs i ON o.o_orderkey = i.l_orderkey"""),
     "artifacts": (("lineitem", "n_docs"), lambda d: f"""SELECT {_uuid("l_orderkey")} AS job_id, CAST(l_partkey % n AS STRING) AS file_id, CASE WHEN l_linenumber = 1 THEN 'bundle' ELSE 'part' END AS role,
             CASE WHEN l_linenumber > 1 THEN CAST(l_linenumber - 1 AS INT) END AS ordinal FROM lineitem CROSS JOIN n_docs"""),
+    "outputs": (("lineitem",), lambda d: "SELECT l_orderkey AS o, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS n, l_partkey AS p FROM lineitem"),
+    "made_files": (("outputs",), lambda d: f"""SELECT concat('f-', CAST(o AS STRING), '-', CAST(n AS STRING)) AS id, concat('out-', CAST(n AS STRING), '.bin') AS original_name, CASE WHEN n = 1 AND o % 17 <> 0 THEN 'application/zip' ELSE 'image/png' END AS content_type,
+            CAST(p AS BIGINT) AS size, {d.sha("concat(CAST(o AS STRING), '-', CAST(n AS STRING))")} AS sha256, CASE WHEN o % 41 = 0 AND n = 2 THEN 'stranger' ELSE concat('src', CAST(o % 20 AS STRING)) END AS source_system, CASE WHEN o % 3 = 0 THEN {d.minutes("o % 5000")} END AS expires_at FROM outputs WHERE o % 37 <> 0 OR n <> 3"""),
+    "made_jobs": (("outputs",), lambda d: f"""SELECT concat('job-', CAST(o AS STRING)) AS id, {_operation("o")} AS operation, CASE WHEN o % 53 = 0 THEN 'running' ELSE 'completed' END AS status,
+            CASE WHEN o % 59 = 0 THEN NULL WHEN o % 43 = 0 THEN 'f-other' ELSE concat('f-', CAST(o AS STRING), '-1') END AS output_file_id, concat('src', CAST(o % 20 AS STRING)) AS requested_by FROM (SELECT DISTINCT o FROM outputs)"""),
+    "made_artifacts": (("outputs",), lambda d: """SELECT concat('job-', CAST(o AS STRING)) AS job_id, concat('f-', CAST(o AS STRING), '-', CAST(n AS STRING)) AS file_id, CASE WHEN o % 29 = 0 AND n = 2 THEN 'thumbnail' WHEN n = 1 AND o % 5 = 0 THEN 'result' WHEN n = 1 THEN 'bundle' ELSE 'part' END AS role,
+            CASE WHEN n = 1 AND o % 31 = 0 THEN 1 WHEN n = 1 THEN NULL WHEN o % 23 = 0 THEN n ELSE n - 1 END AS ordinal FROM outputs WHERE o % 47 <> 0"""),
+    "write_journal": (("outputs",), lambda d: """SELECT concat('w-', CAST(o AS STRING), '-', CAST(n AS STRING)) AS id, concat('job-', CAST(o AS STRING)) AS job_id, concat('tok-', CAST(o % 7 AS STRING)) AS lease_token, concat('name-', CAST(n AS STRING)) AS stored_name, CASE WHEN (o + n) % 9 = 0 THEN 'committed' ELSE 'planned' END AS state, o, n FROM outputs"""),
     "output_objects": (("orders",), lambda d: f"""SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'originals' ELSE 'processed' END AS area, name AS stored_name, concat(CASE WHEN o_orderkey % 10 = 0 THEN 'originals/' ELSE 'processed/' END, name) AS location, CAST(100 + o_orderkey % 7 AS BIGINT) AS size,
             CASE WHEN o_orderkey % 12 <> 5 THEN {d.minutes("o_orderkey * 2 % 4320")} END AS modified_at
         FROM (SELECT *, concat(CASE WHEN o_orderkey % 3 = 0 THEN upper({_uuid("o_orderkey")}) ELSE {_uuid("o_orderkey")} END, CASE o_orderkey % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.zip' WHEN 2 THEN '-page-0001.png' WHEN 3 THEN '-page-1.jpg' ELSE '.txt' END) AS name FROM orders)"""),

@@ -153,6 +153,52 @@ def _(jobs, artifacts, files):
     return c.artifact_manifest(jobs, artifacts, files)
 
 
+#: What the manifest must be, rule by rule: links or, without any, the primary file; the first rule that is broken gives the code.
+MANIFESTS = """,
+    li AS (SELECT job_id, file_id, role, ordinal FROM made_artifacts),
+    it AS (SELECT * FROM li UNION ALL SELECT id, output_file_id, CASE WHEN operation IN ('pdf-to-images', 'split-to-zip', 'extract-pages-zip', 'extract-images') THEN 'bundle' ELSE 'result' END, NULL FROM made_jobs
+           WHERE status = 'completed' AND output_file_id IS NOT NULL AND id NOT IN (SELECT job_id FROM li)),
+    x AS (SELECT j.id AS job_id, j.status, j.output_file_id, j.requested_by, i.file_id, i.role, i.ordinal, f.id AS found, f.source_system, f.content_type, f.original_name, f.size, f.sha256, f.expires_at
+          FROM made_jobs j LEFT JOIN it i ON i.job_id = j.id LEFT JOIN made_files f ON f.id = i.file_id),
+    p AS (SELECT job_id, count(*) FILTER (role = 'part') AS n, list_sort(list(ordinal) FILTER (role = 'part')) AS have FROM x GROUP BY job_id),
+    v AS (SELECT job_id, count(file_id) AS artifacts, CASE
+            WHEN any_value(status) <> 'completed' THEN '409'
+            WHEN any_value(output_file_id) IS NULL THEN '410'
+            WHEN count(file_id) > 201 THEN '409'
+            WHEN bool_or(found IS NULL OR source_system <> requested_by) THEN '410'
+            WHEN NOT bool_or(file_id = output_file_id) THEN '410'
+            WHEN count(*) FILTER (role = 'result' OR role = 'bundle') <> 1 THEN '409'
+            WHEN bool_or(role IN ('result', 'bundle') AND file_id <> output_file_id) THEN '409'
+            WHEN bool_or(role NOT IN ('result', 'part', 'bundle')) THEN '409'
+            WHEN bool_or(role <> 'part' AND ordinal IS NOT NULL) THEN '409'
+            WHEN any_value(p.n) > 0 AND any_value(have) <> range(1, any_value(p.n) + 1) THEN '409'
+            WHEN bool_or(role = 'result') AND count(file_id) <> 1 THEN '409'
+            WHEN bool_or(role = 'bundle' AND content_type <> 'application/zip') THEN '409'
+            ELSE 'ok' END AS manifest FROM x JOIN p USING (job_id) GROUP BY job_id)"""
+
+
+@query("join6_checked_manifests", "made_jobs made_artifacts made_files", MANIFESTS + " SELECT job_id, artifacts, manifest FROM v")
+def _(jobs, artifacts, files):
+    return c.artifact_manifest(jobs, artifacts, files)
+
+
+@query("join6_manifest_rows", "made_jobs made_artifacts made_files", MANIFESTS + """ SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN file_id = output_file_id THEN 0 ELSE 1 END, coalesce(ordinal, 0)) AS INTEGER) AS position, file_id, role, CAST(ordinal AS INTEGER) AS ordinal, original_name AS file_name, content_type, size, sha256, source_system, CAST(epoch(expires_at) AS BIGINT) AS expires_at
+    FROM x WHERE job_id IN (SELECT job_id FROM v WHERE manifest = 'ok')""")
+def _(jobs, artifacts, files):
+    return c.manifest_rows(jobs, artifacts, files).withColumn("expires_at", F.unix_timestamp("expires_at"))
+
+
+@query("join17_job_journal", "write_journal", """, f AS (SELECT job_id, lease_token, stored_name FROM write_journal WHERE o % 2 = 0 AND n % 3 <> 0),
+    r AS (SELECT job_id, lease_token, stored_name, n % 4 <> 0 AS ok FROM write_journal WHERE n % 5 <> 0 UNION ALL SELECT job_id, lease_token, stored_name, o % 11 <> 0 FROM write_journal WHERE n % 2 = 0),
+    b AS (SELECT job_id, lease_token, stored_name FROM r GROUP BY ALL HAVING bool_and(ok))
+    SELECT id, job_id, stored_name, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.job_id = w.job_id AND f.lease_token = w.lease_token AND f.stored_name = w.stored_name) THEN 'committed'
+        WHEN EXISTS (SELECT 1 FROM b WHERE b.job_id = w.job_id AND b.lease_token = w.lease_token AND b.stored_name = w.stored_name) THEN 'compensated' ELSE 'needs_review' END AS state FROM write_journal w WHERE state = 'planned'""")
+def _(journal):
+    """Names repeat over jobs; some clean-ups have several results."""
+    results = journal.where("n % 5 <> 0").withColumn("succeeded", F.col("n") % 4 != 0).union(journal.where("n % 2 = 0").withColumn("succeeded", F.col("o") % 11 != 0))
+    return c.settle_journal(journal, journal.where("o % 2 = 0 AND n % 3 <> 0"), results)
+
+
 POLICY = """, eff AS (SELECT s.service_name, CAST(coalesce(rate_limit_per_minute, 120) AS INTEGER) AS rate_limit_per_minute, CAST(coalesce(daily_job_limit, 1000) AS INTEGER) AS daily_job_limit, CAST(coalesce(max_storage_mb, 2048) AS INTEGER) AS max_storage_mb, webhook_url
     FROM (SELECT DISTINCT source_system AS service_name FROM files) s LEFT JOIN service_policies p ON p.service_name = s.service_name)"""
 
@@ -220,8 +266,9 @@ def _(jobs, journal):
 
 @query("join17_settled_journal", "journal files", """SELECT id, job_id, stored_name, CASE WHEN stored_name IN (SELECT stored_name FROM files) THEN 'committed' WHEN length(stored_name) = 6 THEN 'compensated' ELSE 'needs_review' END AS state FROM journal WHERE state = 'planned'""")
 def _(journal, files):
-    cleanup = journal.select("stored_name").distinct().where("length(stored_name) <> 5").withColumn("succeeded", F.length("stored_name") == 6)
-    return c.settle_journal(journal, files, cleanup)
+    kept = journal.join(files.select("stored_name").distinct(), "stored_name", "left_semi")
+    cleanup = journal.where("length(stored_name) <> 5").withColumn("succeeded", F.length("stored_name") == 6)
+    return c.settle_journal(journal, kept, cleanup)
 
 
 @query("agg1_job_counts", "jobs", "SELECT s AS status, count(j.id) AS n FROM (SELECT unnest(['queued', 'running', 'completed', 'failed', 'cancelled']) AS s) LEFT JOIN jobs j ON j.status = s GROUP BY s")

@@ -242,12 +242,21 @@ def _(requests):
     return t.alert_states(slid.select("route", F.col("window_end").alias("at"), (F.col("bad") > F.col("n") * 0.05).alias("condition"), F.lit(120).alias("for_s")), "route")
 
 
-@query("str9_storage_admission", "files service_policies")
+ADMISSION = """, u AS (SELECT f.id, f.source_system AS service_name, f.size * 40 AS size, coalesce(CAST(max_storage_mb AS BIGINT), 2048) * 1048576 AS room, row_number() OVER (PARTITION BY f.source_system ORDER BY created_at, f.id) AS k FROM files f LEFT JOIN service_policies p ON p.service_name = f.source_system),
+    r AS (SELECT id, service_name, k, room <= 0 OR size <= room AS accepted, CASE WHEN size <= room THEN size ELSE 0 END AS used FROM u WHERE k = 1
+      UNION ALL SELECT u.id, u.service_name, u.k, u.room <= 0 OR r.used + u.size <= u.room, r.used + CASE WHEN r.used + u.size <= u.room THEN u.size ELSE 0 END FROM r JOIN u ON u.service_name IS NOT DISTINCT FROM r.service_name AND u.k = r.k + 1)
+    SELECT id, service_name, accepted FROM r"""
+
+
+@query("str9_storage_admission", "files service_policies", ADMISSION)
 def _(files, policies):
     uploads = files.select("id", F.col("source_system").alias("service_name"), F.col("created_at").alias("ts"), (F.col("size") * 40).alias("size"))
     return s.admit_storage(uploads, policies)
 
 
+ORACLES["str9_storage_admission"] = ORACLES["str9_storage_admission"].replace("WITH", "WITH RECURSIVE", 1)
+
+
 def stream(name: str, sql: str | None = None, needs: str = "http_requests"):
     def keep(f):
         QUERIES[name] = f
@@ -372,3 +381,6 @@ def _(spark, sf_dir):
     uploads = spark.readStream.schema("id string, service_name string, at long, size long").parquet(f"{where}/uploads").withColumn("seq", F.col("id"))
     folded = s.fold_stream(s.with_limits(uploads, fixture(spark, sf_dir, "service_policies")), "service_name", {"id": "", "accepted": False, "used": 0}, s.storage_step, "service_name string, at long, id string, accepted boolean, used long", "id string, accepted boolean, used long", every=True)
     return s.run_once(folded, where).select("id", "service_name", "accepted")
+
+
+ORACLES["str9_storage_admission_stream"] = ORACLES["str9_storage_admission"]

@@ -160,7 +160,8 @@ def _(documents):
     return out.select("doc_id", F.try_element_at("info", F.lit("author")).alias("author"), F.try_element_at("info", F.lit("title")).alias("title"), "reason")
 
 
-@query("txt14_payloads", "deliveries jobs", """SELECT d.id, '{"error":' || coalesce('"' || error || '"', 'null') || ',"event":"' || event || '","finished_at":"' || strftime(finished_at, '%Y-%m-%dT%H:%M:%S+00:00') || '","job_id":"' || j.id || '","operation":"' || operation || '","output_file_id":' || coalesce('"' || output_file_id || '"', 'null') || ',"status":"' || j.status || '"}' AS body FROM deliveries d JOIN jobs j ON j.id = d.job_id""")
+@query("txt14_payloads", "deliveries jobs", """SELECT d.id, '{"delivery":{"attempt":' || attempt_count || ',"id":"' || d.id || '"},"event":"' || event || '","job":{"error":' || coalesce('"' || error || '"', 'null') || ',"finished_at":' || coalesce('"' || strftime(finished_at, '%Y-%m-%dT%H:%M:%S+00:00') || '"', 'null') || ',"id":"' || j.id || '","operation":"' || operation
+    || '","output_file_id":' || coalesce('"' || output_file_id || '"', 'null') || ',"progress":' || progress || ',"requested_by":"' || requested_by || '","status":"' || j.status || '"}}' AS body FROM deliveries d JOIN jobs j ON j.id = d.job_id""")
 def _(deliveries, jobs):
     return text.webhook_payload(deliveries, jobs)
 

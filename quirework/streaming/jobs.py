@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.text import safe_filename
 from quirework.operators.catalog import DEFAULT_POLICY
+from quirework.operators.ranked import admit_greedily
 from quirework.operators.telemetry import BOUNDS, class_limit, quantile_of_counts
 from quirework.streaming.ordered import ordered_fold, rocksdb
 
@@ -275,26 +276,10 @@ def with_limits(uploads: DataFrame, policies: DataFrame) -> DataFrame:
 def admit_storage(uploads: DataFrame, policies: DataFrame) -> DataFrame:
     """STR9: uploads accepted in order while they fit; one that doesn't fit doesn't block a later, smaller one.
 
-    Sequential by nature inside a service, whose uploads stream through one task in order, in batches.
+    A service's uploads are settled by rounds of running sums over slices of them, see admit_greedily().
     """
-    rows = with_limits(uploads, policies)
-    # services without a limit, or whose uploads all fit, need no order
-    total = rows.groupBy("service_name").agg(F.sum("size").alias("total"))
-    rows = rows.join(total, "service_name")
-    free = rows.where("limit_bytes <= 0 OR total <= limit_bytes").select("id", "service_name", F.lit(True).alias("accepted"))
-    tight = rows.where("limit_bytes > 0 AND total > limit_bytes").select("id", "service_name", "ts", "size", "limit_bytes").repartition("service_name").sortWithinPartitions("service_name", "ts", "id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used: dict[str, int] = {}
-        for b in batches:
-            ok = []
-            for r in b.itertuples(index=False):
-                fits = used.get(r.service_name, 0) + r.size <= r.limit_bytes
-                used[r.service_name] = used.get(r.service_name, 0) + (r.size if fits else 0)
-                ok.append(fits)
-            yield pd.DataFrame({"id": b["id"], "service_name": b["service_name"], "accepted": ok})
-
-    return free.union(tight.mapInPandas(run, "id string, service_name string, accepted boolean"))
+    rows = with_limits(uploads, policies).select("id", "service_name", "ts", "size", "limit_bytes")
+    return admit_greedily(rows, "service_name", ["ts", "id"], "size", "limit_bytes").select("id", "service_name", "accepted")
 
 
 def ingest_stream(spark: SparkSession, folder: str, owner: str, hours: int = 24) -> DataFrame:

@@ -102,6 +102,17 @@ def test_manifests(spark):
     assert manifest(spark, [("a", "bundle", None), ("p", "part", 1)]) == "409"
     assert manifest(spark, [("p", "result", None), ("a", "part", 1)]) == "409"
     assert manifest(spark, [("gone", "bundle", None), ("p", "part", 1)]) == "410"
+    assert manifest(spark, [("p", "bundle", None), ("a", "thumbnail", None)]) == "409"
+    assert manifest(spark, [("p", "bundle", 1), ("a", "part", 1)]) == "409"
+    assert manifest(spark, [("p", "bundle", None), ("a", "part", None)]) == "409"
+
+
+def test_manifest_rows(spark):
+    jobs = table(spark, "jobs", [{"id": i, "operation": "split-to-zip", "status": "completed", "output_file_id": f"p{i}", "requested_by": "o"} for i in "xyz"])
+    files = table(spark, "files", [{"id": f"{k}{i}", "original_name": f"{k}.bin", "source_system": "o", "content_type": "application/zip", "size": 5, "sha256": "s"} for k in "pab" for i in "xyz"])
+    artifacts = table(spark, "job_output_artifacts", [{"job_id": j, "file_id": f + j, "role": r, "ordinal": n} for j, f, r, n in [("x", "b", "part", 1), ("x", "a", "part", 2), ("x", "p", "bundle", None), ("y", "p", "bundle", None), ("y", "a", "part", 2)]])
+    got = sorted((r.job_id, r.position, r.file_id, r.role, r.ordinal, r.file_name, r.size) for r in c.manifest_rows(jobs, artifacts, files).collect())
+    assert got == [("x", 1, "px", "bundle", None, "p.bin", 5), ("x", 2, "bx", "part", 1, "b.bin", 5), ("x", 3, "ax", "part", 2, "a.bin", 5), ("z", 1, "pz", "bundle", None, "p.bin", 5)]
 
 
 def test_policies_and_quotas(spark):
@@ -146,10 +157,12 @@ def test_leases_and_journal(spark):
     queue = spark.createDataFrame([("q0", "failed"), ("q1", "failed"), ("q2", "started"), ("q3", "stopped")], "rq_job_id string, status string")
     journal = table(spark, "artifact_write_journal", [{"id": "x", "job_id": "3", "lease_epoch": 1, "state": "committed", "stored_name": "n"}])
     assert names(c.stalled_leases(jobs, queue, journal, NOW)) == ["0"]
-    planned = table(spark, "artifact_write_journal", [{"id": n, "stored_name": n, "state": "planned"} for n in "abc"] + [{"id": "d", "stored_name": "d", "state": "committed"}])
-    cleanup = spark.createDataFrame([("b", True), ("c", False)], "stored_name string, succeeded boolean")
-    got = c.settle_journal(planned, spark.createDataFrame([("a",)], "stored_name string"), cleanup)
-    assert {r.id: r.state for r in got.collect()} == {"a": "committed", "b": "compensated", "c": "needs_review"}
+    rows = [("a", "j", "t", "n1"), ("b", "j", "t", "n2"), ("c", "j", "t", "n3"), ("e", "k", "t", "n1"), ("f", "j", "u", "n2"), ("g", "j", "t", "n4")]
+    planned = table(spark, "artifact_write_journal", [{"id": i, "job_id": j, "lease_token": t, "stored_name": n, "state": "planned"} for i, j, t, n in rows] + [{"id": "d", "stored_name": "d", "state": "committed"}])
+    key = "job_id string, lease_token string, stored_name string"
+    cleanup = spark.createDataFrame([("j", "t", "n2", True), ("j", "t", "n2", True), ("j", "t", "n3", False), ("j", "t", "n4", True), ("j", "t", "n4", None)], f"{key}, succeeded boolean")
+    got = c.settle_journal(planned, spark.createDataFrame([("j", "t", "n1"), ("j", "t", "n1")], key), cleanup)
+    assert sorted((r.id, r.state) for r in got.collect()) == [("a", "committed"), ("b", "compensated"), ("c", "needs_review"), ("e", "needs_review"), ("f", "needs_review"), ("g", "needs_review")]
 
 
 def test_scopes(spark):

@@ -145,7 +145,7 @@ def test_archives(spark):
     assert [r.name for r in layout.natural_order(members).where("archive_id = 'a'").orderBy("ordinal").collect()] == ["P2.png", "p10.png"]
 
 
-@pytest.mark.parametrize(("url", "host", "reason"), [("https://Example.com/a b", None, "length or characters"), ("https://Example.com:443/a", "example.com", None), ("http://example.com/", None, "not HTTPS"), ("https://u@example.com/", None, "credentials"), ("https://example.com/?q", None, "query"), ("https://10.0.0.1/", None, "IP address"), ("https://localhost/x", None, "not public"), ("https://a.internal/x", None, "not public"), ("https://bücher.de/x", "xn--bcher-kva.de", None), ("https://-a.com/", None, "label"), ("https://example.com:8443/", None, "port"), ("https://a.com/%41", None, "encoded or bracketed"), (None, None, "length or characters")])
+@pytest.mark.parametrize(("url", "host", "reason"), [("https://Example.com/a b", None, "length or characters"), ("https://Example.com:443/a", "example.com", None), ("http://example.com/", None, "not HTTPS"), ("https://u@example.com/", None, "credentials"), ("https://example.com/?q", None, "query"), ("https://10.0.0.1/", None, "IP address"), ("https://999.1.1.1/", "999.1.1.1", None), ("https://255.0.1.9/", None, "IP address"), ("https://localhost/x", None, "not public"), ("https://a.internal/x", None, "not public"), ("https://bücher.de/x", "xn--bcher-kva.de", None), ("https://-a.com/", None, "label"), ("https://example.com:8443/", None, "port"), ("https://a.com/%41", None, "encoded or bracketed"), (None, None, "length or characters")])
 def test_urls(spark, url, host, reason):
     r = urls.validate_urls(spark.createDataFrame([(url,)], "url string")).first()
     assert (r.host, r.reason) == (host, reason)
