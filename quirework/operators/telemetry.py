@@ -161,6 +161,23 @@ def counter_increase(samples: DataFrame, window_s: int = 900, *by: str) -> DataF
     return inner.select(*series, "window_start", (F.col("inside") + grown(F.col("first"), old)).alias("increase"))
 
 
+def increase_alerts(samples: DataFrame, by: str = "queue_class", window_s: int = 900, overall: int = 5, single: int = 3) -> DataFrame:
+    """WIN8: increases of counters over the last window_s, every 15 s, per class and in all ('all'), and whether they are too large.
+
+    Increments between samples count in the step of the later sample, resets as restarts from 0.
+    """
+    steps = counter_increase(samples, STEP_S, by).groupBy(by, F.col("window_start").alias("step")).agg(F.sum("increase").alias("increase"))
+    every = steps.union(steps.groupBy(F.lit("all").alias(by), "step").agg(F.sum("increase").alias("increase")))
+    out = sliding(every.where("increase > 0"), window_s, by, sums=("increase",))
+    return out.withColumn("alert", F.col("increase") > F.when(F.col(by) == "all", overall).otherwise(single))
+
+
+def sustained_increases(samples: DataFrame, by: str = "queue_class", for_s: int = 300) -> DataFrame:
+    """WIN8 with WIN10: the intervals in which such an alert has held for for_s seconds, by class and in all."""
+    evals = increase_alerts(samples, by).select(by, F.col("window_end").alias("at"), F.col("alert").alias("condition"))
+    return sustained(evals, for_s, by)
+
+
 def alert_states(evals: DataFrame, *by: str) -> DataFrame:
     """STR6: the phase of an alert at each evaluation (at, condition, for_s): pending from the first true one, firing
     after for_s seconds, resolved at the first false one after that."""

@@ -115,6 +115,32 @@ def _(samples):
     return t.counter_increase(samples.withColumnRenamed("event_id", "seq"), 900, "queue_class")
 
 
+INCREASES = """, g AS (SELECT *, lag(value) OVER (PARTITION BY metric, queue_class ORDER BY ts, event_id) AS before FROM metric_samples),
+    st AS (SELECT queue_class, CAST(floor(epoch(ts) / 15) * 15 AS BIGINT) AS step, sum(CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END) AS inc FROM g GROUP BY ALL),
+    e AS (SELECT queue_class, step, inc FROM st WHERE inc > 0 UNION ALL SELECT 'all', step, sum(inc) FROM st GROUP BY step HAVING sum(inc) > 0), sl AS (SELECT queue_class, inc, unnest(generate_series(step + 15, step + 900, 15)) AS window_end FROM e),
+    a AS (SELECT queue_class, window_end, sum(inc) AS increase, sum(inc) > CASE queue_class WHEN 'all' THEN 5 ELSE 3 END AS alert FROM sl GROUP BY queue_class, window_end)"""
+
+
+@query("win8_increase_alerts", "metric_samples", INCREASES + " SELECT queue_class, window_end, increase, alert FROM a")
+def _(samples):
+    return t.increase_alerts(samples.withColumnRenamed("event_id", "seq"))
+
+
+@query("win8_sustained_increases", "metric_samples", INCREASES + """, i AS (SELECT queue_class, window_end AS moment, window_end - row_number() OVER (PARTITION BY queue_class ORDER BY window_end) * 15 AS island FROM a WHERE alert)
+    SELECT queue_class, min(moment) AS since, min(moment) + 300 AS firing_from, max(moment) AS until FROM i GROUP BY queue_class, island HAVING max(moment) - min(moment) >= 300""")
+def _(samples):
+    return t.sustained_increases(samples.withColumnRenamed("event_id", "seq"))
+
+
+@query("win10_route_alerts", "http_requests", """, st AS (SELECT route, CAST(floor(epoch(ts) / 15) * 15 AS BIGINT) AS step, count(*) FILTER (status >= 400) AS bad FROM http_requests GROUP BY ALL),
+    sl AS (SELECT route, bad, unnest(generate_series(step + 15, step + 300, 15)) AS moment FROM st), e AS (SELECT route, moment FROM sl GROUP BY ALL HAVING sum(bad) > 0),
+    i AS (SELECT route, moment, moment - row_number() OVER (PARTITION BY route ORDER BY moment) * 15 AS island FROM e) SELECT route, min(moment) AS since, min(moment) + 120 AS firing_from, max(moment) AS until FROM i GROUP BY route, island HAVING max(moment) - min(moment) >= 120""")
+def _(requests):
+    steps = requests.groupBy("route", t.step().alias("step")).agg(F.count_if(F.col("status") >= 400).alias("bad"))
+    evals = t.sliding(steps, 300, "route", sums=("bad",)).select("route", F.col("window_end").alias("at"), (F.col("bad") > 0).alias("condition"))
+    return t.sustained(evals, 120, "route")
+
+
 @query("win10_sustained_alerts", "http_requests", """, st AS (SELECT CAST(floor(epoch(ts) / 15) * 15 AS BIGINT) AS step, count(*) FILTER (status >= 500) AS errors FROM http_requests GROUP BY 1),
     sl AS (SELECT errors, unnest(generate_series(step + 15, step + 300, 15)) AS moment FROM st), e AS (SELECT moment FROM sl GROUP BY moment HAVING sum(errors) > 0),
     i AS (SELECT moment, moment - row_number() OVER (ORDER BY moment) * 15 AS island FROM e) SELECT 'http' AS name, min(moment) AS since, min(moment) + 120 AS firing_from, max(moment) AS until FROM i GROUP BY island HAVING max(moment) - min(moment) >= 120""")
