@@ -9,9 +9,13 @@ blocks of (window + 1) / 2 words that follow one another without overlap from a
    anywhere else is repeated; runs of repeated windows are the maximal exact repeats. Their words are removed.
 
 Documents are dealt by a hash into chunks of about the same size. What a chunk sends is, for each range of hash
-values, the sorted list of its distinct hashes (one that it holds twice is sent twice), as differences; that takes
-two to three bytes a word for 40-bit probes. What it gets back are those of its hashes that are repeated. So a
-passage that a third of all documents share costs each chunk two entries, and no pairs are ever made. Probes have 20
+values, the sorted list of its distinct hashes (one that it holds twice is sent twice), as differences. What it gets back
+are those of its hashes that are repeated. So a passage that a third of all documents share costs each chunk two
+entries, and no pairs are ever made. Chunks and ranges keep their sizes, so both grow in number with the corpus; a chunk
+doesn't send to every range, though, but to FAN groups of ranges, where what FAN chunks sent is put together and sent on, as
+FAN rows again, until a row is of one range: one hop up to 3 GB of text, two up to 800 GB, three up to 200 TB. Lists
+take two to three bytes a word in the first hop, for 40-bit probes (five for 64-bit ones at 100 TB), and eight more
+for whose they are in later ones. Probes have 20
 bits more than the number of words has (40 at least), so one block in a million is an anchor by chance, which costs a
 few tries. Extension compares 64 bits among the windows of one range, and a second, independent hash chooses the
 range: at 100 TB (1.5e13 words, 7e6 ranges) that is 86 bits, and about one window is taken for a repeat by chance.
@@ -24,6 +28,7 @@ they may have any name but those of the added ones (n_words, n_removed, kept_tex
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,7 +46,10 @@ from quirework.llm.near_dedup import MULTIPLIERS, mix
 CHUNK_BYTES, RANGE_HASHES = 8 << 20, 2 << 20
 LEAST_PROBE_BITS = 40
 
-SENT = T.StructType([T.StructField("range", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("asks", T.BinaryType()), T.StructField("seen", T.BinaryType())])
+#: How many ways a hop divides hash values, at most.
+FAN = 256
+
+SENT = T.StructType([*[T.StructField(n, T.LongType()) for n in ("range", "batch", "chunk")], *[T.StructField(n, T.BinaryType()) for n in ("asks", "whose", "seen", "asks_of", "seen_of")]])
 ANSWERED = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("range", T.LongType()), T.StructField("hashes", T.BinaryType())])
 
 
@@ -88,18 +96,71 @@ def twice_at_most(a: np.ndarray) -> np.ndarray:
     return at if len(a) < 3 else at[np.r_[True, True, a[at[2:]] != a[at[:-2]]]]
 
 
-def by_range(chunk: int, asks: np.ndarray, seen: np.ndarray, a_of: np.ndarray, s_of: np.ndarray, ranges: int) -> pa.Table:
-    """Rows of SENT, from sorted hashes and what chooses the range of each."""
+def levels(needed: int) -> list[int]:
+    """How many ways each hop divides the hash values, FAN at most, for at least so many ranges."""
+    n = max(1, math.ceil(math.log(max(needed, 1), FAN) - 1e-9))
+    return [max(1, math.ceil(needed ** (1 / n) - 1e-9))] * n
+
+
+def table_of(rows: list[tuple], schema: T.StructType) -> pa.Table:
+    kinds = [pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.int64() for f in schema.fields]
+    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
+
+
+def slices(digit: np.ndarray) -> dict[int, np.ndarray]:
+    """The places of each digit, in order."""
+    at = np.argsort(digit, kind="stable")
+    found, starts = np.unique(digit[at], return_index=True)
+    return dict(zip(found.tolist(), np.split(at, starts[1:]), strict=True)) if len(at) else {}
+
+
+def by_range(chunk: int, asks: np.ndarray, seen: np.ndarray, a_of: np.ndarray, s_of: np.ndarray, ways: list[int]) -> pa.Table:
+    """Rows of SENT, from sorted hashes and what chooses the range of each; a row per way of the first hop at most."""
+    ranges, more = math.prod(ways), len(ways) > 1 and a_of is not asks
+    width = np.uint64(ranges // ways[0])
+    a_at, none = slices(a_of % np.uint64(ranges) // width), np.empty(0, dtype=np.int64)
     rows = []
-    a_of, s_of = a_of % np.uint64(ranges), s_of % np.uint64(ranges)
-    a_at, s_at = np.argsort(a_of, kind="stable"), np.argsort(s_of, kind="stable")
-    a_ends, s_ends = np.searchsorted(a_of[a_at], np.arange(ranges + 1)), np.searchsorted(s_of[s_at], np.arange(ranges + 1))
-    for r in range(ranges):
-        a, s = asks[a_at[a_ends[r] : a_ends[r + 1]]], seen[s_at[s_ends[r] : s_ends[r + 1]]]
-        if len(s):
-            rows.append((r, chunk, squeeze(a), squeeze(s)))
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=SENT.names)
+    for r, at in slices(s_of % np.uint64(ranges) // width).items():
+        a = a_at.get(r, none)
+        rows.append((r, chunk, chunk, squeeze(asks[a]), None, squeeze(seen[at]), a_of[a].tobytes() if more else None, s_of[at].tobytes() if more else None))
+    return table_of(rows, SENT)
+
+
+def held(part: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """asks, whose they are, seen, and what chooses the ranges of both, of each row."""
+    for r in part.to_pylist():
+        a, s = unsqueeze(r["asks"]), unsqueeze(r["seen"])
+        whose = np.full(len(a), r["chunk"], dtype=np.int64) if r["whose"] is None else np.frombuffer(r["whose"], dtype=np.int64)
+        yield a, whose, s, a if r["asks_of"] is None else np.frombuffer(r["asks_of"], dtype=np.uint64), s if r["seen_of"] is None else np.frombuffer(r["seen_of"], dtype=np.uint64)
+
+
+def next_hop(key: tuple, part: pa.Table, level: int, ways: list[int]) -> pa.Table:
+    """What FAN senders have for a range, together, divided further: as many rows as there are ways, whatever the corpus."""
+    a, whose, s, a_of, s_of = (np.concatenate(x) for x in zip(*held(part), strict=True))
+    at = np.argsort(a, kind="stable")
+    a, whose, a_of = a[at], whose[at], a_of[at]
+    at = twice_at_most(s)
+    s, s_of = s[at], s_of[at]
+    more = part.column("asks_of").null_count < part.num_rows
+    ranges, width, n = math.prod(ways), np.uint64(math.prod(ways[level + 1 :])), np.uint64(ways[level])
+    a_at, none = slices(a_of % np.uint64(ranges) // width % n), np.empty(0, dtype=np.int64)
+    rows = []
+    for r, places in slices(s_of % np.uint64(ranges) // width % n).items():
+        k = a_at.get(r, none)
+        rows.append((key[0].as_py() * ways[level] + r, key[1].as_py(), -1, squeeze(a[k]), whose[k].tobytes(), squeeze(s[places]), a_of[k].tobytes() if more else None, s_of[places].tobytes() if more else None))
+    return table_of(rows, SENT)
+
+
+def routed(sent: DataFrame, ways: list[int]) -> DataFrame:
+    """Rows of SENT of whole ranges. Each hop moves every hash once; there is one hop more for each FAN-fold corpus."""
+
+    def hop(level: int):
+        return lambda key, part: next_hop(key, part, level, ways)
+
+    for level in range(1, len(ways)):
+        sent = sent.withColumn("batch", F.floor(F.col("batch") / FAN)).groupBy("range", "batch").applyInArrow(hop(level), SENT)
+    return sent
 
 
 def answer(key: tuple, part: pa.Table) -> pa.Table:
@@ -107,14 +168,11 @@ def answer(key: tuple, part: pa.Table) -> pa.Table:
     seen = np.sort(np.concatenate([unsqueeze(x) for x in part.column("seen").to_pylist()]))
     again = np.unique(seen[1:][seen[1:] == seen[:-1]])
     rows = []
-    for chunk, asks in zip(part.column("chunk").to_pylist(), part.column("asks").to_pylist(), strict=True):
-        a = unsqueeze(asks)
-        if len(again) and len(a):
-            at = np.minimum(np.searchsorted(again, a), len(again) - 1)
-            if len(hit := a[again[at] == a]):
-                rows.append((chunk, key[0].as_py(), squeeze(hit)))
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=ANSWERED.names)
+    for a, whose, *_ in held(part.set_column(part.schema.get_field_index("seen"), "seen", pa.array([b""] * part.num_rows, pa.binary()))) if len(again) else []:
+        hit = within(a, again)
+        for chunk, at in slices(whose[hit]).items():
+            rows.append((chunk, key[0].as_py(), squeeze(np.sort(a[hit][at]))))
+    return table_of(rows, ANSWERED)
 
 
 def answers(part: pa.Table) -> np.ndarray:
@@ -137,7 +195,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
     block = (window + 1) // 2
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, round(size / CHUNK_BYTES))
-    ranges = max(1, round(size / 6 / RANGE_HASHES))
+    ways = levels(max(1, round(size / 6 / RANGE_HASHES)))
     shift = np.uint64(64 - min(64, max(LEAST_PROBE_BITS, math.ceil(math.log2(size / 6 + 1)) + 20)))
     (chunk,) = fresh([*docs.columns, "chunk", "n_words", "n_removed", "kept_text"], "_chunk")
     # all columns of a row choose its chunk, so copies of one text without ids are spread as far as anything tells them apart
@@ -158,7 +216,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
                 seen.append(probes)
         a, s = np.unique(np.concatenate(asks)), np.concatenate(seen)
         s = s[twice_at_most(s)]
-        return by_range(key[0].as_py(), a, s, a, s, ranges)
+        return by_range(key[0].as_py(), a, s, a, s, ways)
 
     def extend(key: tuple, part: pa.Table, found: pa.Table) -> pa.Table:
         hit, tries, others = answers(found), [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.uint64)]
@@ -177,7 +235,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
         at = twice_at_most(seen)
         seen, other = seen[at], other[at]
         once = np.r_[True, seen[1:] != seen[:-1]] if len(seen) else np.zeros(0, dtype=bool)
-        return by_range(key[0].as_py(), seen[once], seen, other[once], other, ranges)
+        return by_range(key[0].as_py(), seen[once], seen, other[once], other, ways)
 
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     schema = T.StructType([*docs.schema.fields, *added])
@@ -204,9 +262,9 @@ def drop_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
 
     grouped = dealt.groupBy(chunk)
     sent = grouped.applyInArrow(lambda key, part: index_and_probe(key, part), SENT)
-    found = sent.groupBy("range").applyInArrow(lambda key, part: answer(key, part), ANSWERED)
+    found = routed(sent, ways).groupBy("range").applyInArrow(lambda key, part: answer(key, part), ANSWERED)
     tried = grouped.cogroup(found.groupBy("chunk")).applyInArrow(lambda key, part, more: extend(key, part, more), SENT)
-    again = tried.groupBy("range").applyInArrow(lambda key, part: answer(key, part), ANSWERED)
+    again = routed(tried, ways).groupBy("range").applyInArrow(lambda key, part: answer(key, part), ANSWERED)
     return grouped.cogroup(again.groupBy("chunk")).applyInArrow(lambda key, part, more: remove(key, part, more), schema)
 
 

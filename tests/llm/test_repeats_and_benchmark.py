@@ -1,6 +1,9 @@
 import hashlib
+import math
 from collections import Counter
 
+import numpy as np
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -21,16 +24,27 @@ def brute(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window", [5, 8, 35])
-def test_repeats_by_brute_force(odd_docs, odd_rows, window, monkeypatch):
+@pytest.mark.parametrize(("window", "fan"), [(5, 256), (8, 256), (35, 256), (5, 3), (35, 3)])
+def test_repeats_by_brute_force(odd_docs, odd_rows, window, fan, monkeypatch):
+    """A fan of 3 makes three hops to the ranges."""
     monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 1 << 14)
     monkeypatch.setattr(substring_dedup, "RANGE_HASHES", 1 << 11)
+    monkeypatch.setattr(substring_dedup, "FAN", fan)
     got = substring_dedup.drop_repeats(odd_docs, window)
     assert got.columns == [*odd_docs.columns, "n_words", "n_removed", "kept_text"]
     want = Counter((r[0], *x) for r, x in zip(odd_rows, brute([r[1] for r in odd_rows], window), strict=True))
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()) == want
 
 
+def test_rows_of_a_chunk_do_not_grow_with_the_corpus():
+    rng = np.random.default_rng(0)
+    s = np.sort(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    for needed in (1, 200, 2500, 80_000, 800_000, 8_000_000):
+        ways = substring_dedup.levels(needed)
+        assert needed <= math.prod(ways) <= 2 * needed + 1 and max(ways) <= substring_dedup.FAN and len(ways) <= 3
+        assert substring_dedup.by_range(0, s[::5], s, s[::5], s, ways).num_rows == ways[0]
+
+
 def test_repeat_in_one_text(spark, no_docs):
     once = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, f"{once} x {once}"), (2, "a " * 40), (3, "b " * 35)], "doc_id long, text string")
