@@ -7,11 +7,13 @@ cell, if cells are too large to fit anywhere), and only what overflows moves. La
 
 What the driver sees is the histogram over the cells: at most `cells` rows, plus parts of heavy cells, whatever the
 input; the rows are placed by a join with that table. Rows of equal keys stay together, but for a key that outweighs
-half a shard: its rows are split by their ids, so that balance holds even if one key has a third of all rows. Slots
-are numbered from per-part counts and a rank inside a part, so no task orders a whole shard or a hot key.
+half a shard (fewer than two a shard can): it leaves its cell for one of its own, whose rows are split by their ids, so
+that balance holds even if one key has a third of all rows. Slots are numbered from per-part counts and a rank inside
+a part, so no task orders a whole shard or a hot key.
 
-Rules: a null or empty text is one key of its own; its load is 1. A null id is an id of its own. Repeated rows get
-a slot each. Extra columns are passed through by shard(); they may not be named shard or slot.
+Rules: a null or empty text is one key of its own; its load is 1. A very long text is one load like others. A null id is
+an id of its own. Repeated rows get a slot each. An empty table gives an empty one. Extra columns of any name but shard
+and slot are passed through by shard().
 """
 
 from __future__ import annotations
@@ -21,12 +23,8 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from quirework.llm.common import table
-
-PLACED = T.StructType([T.StructField("_cell", T.LongType()), T.StructField("_part", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("_base", T.LongType())])
 
+from quirework.llm.common import fresh, table
 
 def point(*what: object) -> int:
     """A place on the ring of 2**64 points."""
@@ -58,33 +56,46 @@ def place(units: list[tuple[int, int, int]], shards: int, virtual_nodes: int, sl
 
 def shard(rows: DataFrame, key: Column, load: Column, row_id: Column, shards: int = 8, virtual_nodes: int = 128, slack: float = 0.001, cells: int = 1 << 16) -> DataFrame:
     """Add shard and slot (gapless in the shard)."""
-    light = rows.withColumn("_cell", F.pmod(F.xxhash64(F.lit("cell"), key), F.lit(cells))).withColumn("_load", load).withColumn("_id", F.xxhash64(row_id))
+    cell, key_, load_, id_, part, parts_, base = fresh([*rows.columns, "shard", "slot"], "_cell", "_key", "_load", "_id", "_part", "_parts", "_base")
+    light = rows.withColumns({cell: F.pmod(F.xxhash64(F.lit("cell"), key), F.lit(cells)), key_: F.xxhash64(F.lit("key"), key), load_: load, id_: F.xxhash64(row_id)})
     spark = rows.sparkSession
-    by_cell = light.groupBy("_cell").agg(F.sum("_load").alias("load"), F.count("*").alias("n")).collect()
-    total, count = sum(r.load for r in by_cell), sum(r.n for r in by_cell)
+
+    def sizes(of: DataFrame, *by: str) -> dict[tuple, tuple[int, int]]:
+        found = of.groupBy(*by).agg(F.sum(load_).alias("load"), F.count("*").alias("n")).collect()
+        return {tuple(r[: len(by)]): (r["load"], r["n"]) for r in found}
+
+    whole: dict[int, tuple[int, int]] = {c: x for (c,), x in sizes(light, cell).items()}
+    total, count = sum(x for x, _ in whole.values()), sum(n for _, n in whole.values())
     mean = max(total / shards, 1)
-    #: A cell with far more rows or load than the usual is numbered, and if need be placed, in parts.
-    parts = {r["_cell"]: n for r in by_cell if (n := int(max(r.n * cells / 64 / max(count, 1), r.load * cells / 64 / max(total, 1)))) > 1}
-    light = light.withColumn("_part", F.lit(0).cast("long"))
-    fine: dict[tuple[int, int], tuple[int, int]] = {(r["_cell"], 0): (r.load, r.n) for r in by_cell}
+    torn = set()
+    if full := [c for c, (x, _) in whole.items() if x > mean / 2]:
+        heavy = light.where(F.col(cell).isin(full)).groupBy(cell, key_).agg(F.sum(load_).alias("load"), F.count("*").alias("n")).where(F.col("load") > mean / 2).orderBy(cell, key_).collect()
+        own = F.col(cell)
+        for i, (c, k, x, n) in enumerate(heavy):
+            own = F.when((F.col(cell) == c) & (F.col(key_) == k), F.lit(cells + i)).otherwise(own)
+            torn.add(cells + i)
+            whole[cells + i], whole[c] = (x, n), (whole[c][0] - x, whole[c][1] - n)
+        light = light.withColumn(cell, own.cast("long"))
+        whole = {c: x for c, x in whole.items() if x[1]}
+    #: A cell with far more rows or load than the usual is numbered, and if it is a heavy key's placed, in parts.
+    parts = {c: k for c, (x, n) in whole.items() if (k := int(max(n * cells / 64 / max(count, 1), x * cells / 64 / max(total, 1), 64 * x / mean if c in torn else 0))) > 1}
+    light = light.withColumn(part, F.lit(0).cast("long"))
+    fine = {(c, 0): x for c, x in whole.items() if c not in parts}
     if parts:
-        heavy = spark.createDataFrame(list(parts.items()), "_cell long, _parts long")  # at most 2 * 64 cells
-        light = light.drop("_part").join(F.broadcast(heavy), "_cell", "left").withColumn("_part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod("_id", F.col("_parts"))).cast("long")).drop("_parts")
-        split = light.where(F.col("_cell").isin(list(parts))).groupBy("_cell", "_part").agg(F.sum("_load").alias("load"), F.count("*").alias("n")).collect()
-        fine = {k: v for k, v in fine.items() if k[0] not in parts} | {(r["_cell"], r["_part"]): (r.load, r.n) for r in split}
-    whole: dict[int, int] = {r["_cell"]: r.load for r in by_cell}
-    torn = {c for c in parts if whole[c] > mean / 2}
-    units = [(c, -1, w) for c, w in whole.items() if c not in torn] + [(c, p, w) for (c, p), (w, _) in fine.items() if c in torn]
+        known = spark.createDataFrame(list(parts.items()), f"{cell} long, {parts_} long")  # at most 2 * cells / 64
+        light = light.drop(part).join(F.broadcast(known), cell, "left").withColumn(part, F.when(F.col(parts_).isNull(), F.lit(0)).otherwise(F.pmod(id_, F.col(parts_))).cast("long")).drop(parts_)
+        fine |= sizes(light.where(F.col(cell).isin(list(parts))), cell, part)
+    units = [(c, -1, x) for c, (x, _) in whole.items() if c not in torn or c not in parts] + [(c, p, x) for (c, p), (x, _) in fine.items() if c in torn and c in parts]
     home = place(units, shards, virtual_nodes, slack)
     table_rows, used = [], [0] * shards
     for (c, p), (_, n) in sorted(fine.items()):
-        s = home[(c, p) if c in torn else (c, -1)]
+        s = home[(c, p) if (c, p) in home else (c, -1)]
         table_rows.append((c, p, s, used[s]))
         used[s] += n
-    where = spark.createDataFrame(table_rows, PLACED)
-    placed = light.join(F.broadcast(where), ["_cell", "_part"])
-    rank = F.row_number().over(Window.partitionBy("_cell", "_part").orderBy(row_id, "_load"))
-    return placed.withColumn("slot", F.col("_base") + rank - 1).select(*rows.columns, "shard", "slot")
+    where = spark.createDataFrame(table_rows, f"{cell} long, {part} long, shard int, {base} long")
+    placed = light.join(F.broadcast(where), [cell, part])
+    rank = F.row_number().over(Window.partitionBy(cell, part).orderBy(row_id, load_))
+    return placed.withColumn("slot", F.col(base) + rank - 1).select(*[F.col(f"`{c}`") for c in rows.columns], "shard", "slot")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,23 @@ def test_equal_texts_stay_together(spark):
     assert got.groupBy("key").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
 
 
+def test_only_heavy_keys_are_torn(spark):
+    """A key with 40 % of the rows, amid thousands of light ones in its cell; extra columns come back as they were."""
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 < 2, F.lit(-1)).otherwise(F.col("id") % 9000).alias("key"), F.lit(1).cast("long").alias("size"), *[F.concat(F.lit(f"{c}-"), F.col("id").cast("string")).alias(c) for c in ("_cell", "_load", "_id", "_part", "_key", "_base", "_parts")])
+    out = sharding.shard(rows, F.col("key"), F.col("size"), F.col("doc_id"), cells=4)
+    assert out.columns == [*rows.columns, "shard", "slot"]
+    got = out.collect()
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in got for c in ("_cell", "_load", "_id", "_part", "_key", "_base", "_parts"))
+    homes = defaultdict(set)
+    for r in got:
+        homes[r.key].add(r.shard)
+    assert {k for k, s in homes.items() if len(s) > 1} == {-1}
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_one_more_shard_moves_little():
     units = [(c, -1, 100) for c in range(20000)]
     a, b = (sharding.place(units, n, 128, 0.001) for n in (8, 9))
