@@ -16,6 +16,7 @@ from quirework.operators import text as ot
 from quirework.plans.fixtures import ctes, fixture
 from quirework.plans.q_text import ORACLES as TEXT_ORACLES
 from quirework.sources import readers
+from quirework.streaming import jobs as s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +72,20 @@ def _(documents):
     return readers.ingest_files(files, "src1", "2024-01-04 00:00:00").select("original_name", "size", "sha256", "content_type")
 
 
+@query("str10_ingest_stream", "documents", """SELECT 'f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' WHEN 2 THEN '.png' ELSE '.csv' END AS original_name, CASE WHEN doc_id % 50 = 1 THEN 104857601 ELSE strlen(text) + CASE doc_id % 4 WHEN 0 THEN 9 ELSE 0 END END AS size,
+        CASE WHEN doc_id % 50 = 1 OR doc_id % 4 = 2 OR (doc_id % 4 IN (1, 3) AND (strlen(text) > 2097152 OR regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]'))) THEN NULL ELSE CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' ELSE 'text/csv' END END AS content_type,
+        CASE WHEN doc_id % 50 = 1 THEN 'too large' WHEN doc_id % 4 = 2 OR (doc_id % 4 IN (1, 3) AND (strlen(text) > 2097152 OR regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]'))) THEN 'name and content don''t agree' END AS reason, doc_id * 60 + 86400 AS expires FROM documents WHERE text IS NOT NULL""")
+def _(documents):
+    """Every text lands as a file of some kind; PNG files are none, and one in fifty says that it is too large."""
+    spark, where, k = documents.sparkSession, folder(documents.sparkSession, "landing"), F.col("doc_id") % 4
+    ending = F.when(k == 0, ".pdf").when(k == 1, ".txt").when(k == 2, ".png").otherwise(".csv")
+    content = F.concat(F.when(k == 0, F.unhex(F.lit("255044462D312E370A"))).otherwise(F.unhex(F.lit(""))), F.col("text").cast("binary"))
+    files = documents.where("text IS NOT NULL").select(F.concat(F.lit("landing/f"), F.col("doc_id").cast("string"), ending).alias("path"), F.timestamp_seconds(F.col("doc_id") * 60).alias("modificationTime"), F.when(F.col("doc_id") % 50 == 1, 104857601).otherwise(F.octet_length(content)).cast("long").alias("length"), content.alias("content"))
+    files.write.parquet(f"{where}/in")
+    landed = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").parquet(f"{where}/in")
+    return s.run_once(s.ingest_landed(landed, "src1"), where).select("original_name", "size", "content_type", "reason", F.unix_timestamp("expires_at").alias("expires"))
+
+
 @query("src6_csv_lines", "spans rules", "")
 def _(spans, rules):
     cells = layout.assign_cells(spans, rules.select("page_id", "axis", *[F.col(c).cast("double").alias(c) for c in ("pos", "lo", "hi")]))

@@ -17,10 +17,19 @@ MOST_BYTES = 100 * 1024 * 1024
 def read_audit(spark: SparkSession, path: str, limit: int = 200) -> DataFrame:
     """SRC1: the last lines of an audit log that aren't blank; the limit counts lines before malformed ones are dropped.
 
-    Lines stand in the order of their files' names, then of their place in the file, as write_audit() leaves them.
+    Lines stand in the order of their files' names, then of their place in the file, as write_audit() leaves them. Files
+    are read from the newest backwards, four times as many until there are enough lines, so what is read doesn't grow
+    with the log (but is whole files).
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
-    rows = lines.where(F.btrim("value") != "")
+    def lines_of(*paths: str) -> DataFrame:
+        read = spark.read.option("recursiveFileLookup", "true").text(list(paths))
+        return read.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).where(F.btrim("value") != "")
+
+    files = sorted(spark.read.option("recursiveFileLookup", "true").text(path).inputFiles(), reverse=True)
+    take = 4
+    while take < len(files) and lines_of(*files[:take]).limit(limit).count() < limit:
+        take *= 4
+    rows = lines_of(*files[:take]) if files else lines_of(path)
     last = rows.orderBy(F.desc("file_path"), F.desc("file_block_start"), F.desc("n")).limit(limit)
     return last.select(F.from_json("value", AUDIT).alias("e")).where(F.col("e.event").isNotNull()).select("e.*")
 
@@ -92,9 +101,8 @@ def sniff_type(files: DataFrame, name: str = "path") -> DataFrame:
     return files.withColumn("content_type", kind).withColumn("reason", F.when(kind.isNull(), "name and content don't agree"))
 
 
-def ingest_files(files: DataFrame, owner: str, now, hours: int = 24) -> DataFrame:
-    """SRC5: records of landed files (binaryFile rows); too large or mistyped ones have a reason and no type."""
-    at = F.lit(now).cast("timestamp")
+def file_records(files: DataFrame, owner: str, at: Column, hours: int = 24) -> DataFrame:
+    """Records of landed files (binaryFile rows), without their content; too large or mistyped ones have a reason and no type."""
     typed = sniff_type(files)
     reason = F.when(F.col("length") > MOST_BYTES, "too large").otherwise(F.col("reason"))
     return typed.select(
@@ -103,6 +111,11 @@ def ingest_files(files: DataFrame, owner: str, now, hours: int = 24) -> DataFram
     )
 
 
+def ingest_files(files: DataFrame, owner: str, now, hours: int = 24) -> DataFrame:
+    """SRC5: file_records() of files that land now."""
+    return file_records(files, owner, F.lit(now).cast("timestamp"), hours)
+
+
 def csv_lines(cells: DataFrame) -> DataFrame:
     r"""SRC6: one line per table row, in grid order, minimally quoted, ended by \r\n; the first has a byte order mark."""
     value = F.coalesce("text", F.lit(""))

@@ -11,10 +11,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.text import safe_filename
 from quirework.operators.catalog import DEFAULT_POLICY
 from quirework.operators.ranked import admit_greedily
 from quirework.operators.telemetry import BOUNDS, class_limit, quantile_of_counts
+from quirework.sources.readers import file_records
 from quirework.streaming.ordered import ordered_fold, rocksdb
 
 LATENESS = "120 seconds"
@@ -283,9 +283,14 @@ def admit_storage(uploads: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, folder: str, owner: str, hours: int = 24) -> DataFrame:
-    """STR10: landed files as file records, without their content."""
+    """STR10: files that land in a folder as file records, checked like those of a batch (size, media type)."""
     landed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return landed.select(safe_filename("path").alias("original_name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.lit(owner).alias("source_system"), F.col("modificationTime").alias("created_at"), (F.col("modificationTime") + F.expr(f"INTERVAL {hours} HOURS")).alias("expires_at"))
+    return ingest_landed(landed, owner, hours)
+
+
+def ingest_landed(landed: DataFrame, owner: str, hours: int = 24) -> DataFrame:
+    """STR10: the same of any stream of binaryFile rows; they are kept for some hours from when they landed."""
+    return file_records(landed, owner, F.col("modificationTime"), hours)
 
 
 def maintenance_batch(plan: Callable[[DataFrame], DataFrame], target: str) -> Callable[[DataFrame, int], None]:

@@ -76,6 +76,16 @@ def test_audit_lines(spark, tmp_path):
     assert [r.actor for r in got] == ["later", "a2", "a1", "a0"] and got[3].details == {} and got[0].event == "job.é"
 
 
+def test_only_the_newest_audit_files_are_read(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    for i in range(60):
+        (tmp_path / "log" / f"batch-{i:03d}.json").write_text("".join(f'{{"event": "e{i}.{k}"}}\n\n' for k in range(3)))
+    read = readers.read_audit(spark, str(tmp_path / "log"), 10)
+    assert [r.event for r in read.collect()] == [f"e{59 - k // 3}.{2 - k % 3}" for k in range(10)]
+    assert len(read.inputFiles()) == 4
+    assert readers.read_audit(spark, str(tmp_path / "log"), 1000).count() == 180
+
+
 def test_storage_and_landing(spark, tmp_path):
     for p, b in (("originals/a.pdf", b"%PDF-1"), ("processed/b.png", b"x"), ("previews/c", b"x"), ("originals/deep/d", b"x")):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
@@ -83,7 +93,7 @@ def test_storage_and_landing(spark, tmp_path):
     got = {(r.area, r.stored_name, r.size) for r in readers.list_storage(spark, str(tmp_path)).collect()}
     assert got == {("originals", "a.pdf", 6), ("processed", "b.png", 1)}
     rows = s.run_once(s.ingest_stream(spark, str(tmp_path / "originals" / "*.pdf"), "o"), str(tmp_path / "run")).collect()
-    assert [(r.original_name, r.size, r.source_system) for r in rows] == [("a.pdf", 6, "o")]
+    assert [(r.original_name, r.size, r.source_system, r.content_type, r.reason) for r in rows] == [("a.pdf", 6, "o", "application/pdf", None)]
 
 
 @pytest.mark.parametrize(("name", "head", "kind"), [("a.pdf", b"%PDF-1.7", "application/pdf"), ("a.pdf", b"PK", None), ("a.PNG", b"\x89PNG\r\n\x1a\n1", "image/png"), ("a.webp", b"RIFF1234WEBP", "image/webp"), ("a.webp", b"RIFF1234WAVE", None), ("a.txt", "é\n".encode(), "text/plain"), ("a.txt", b"\xff\xfe", None), ("a.txt", b"\x01", None), ("a.gif", b"GIF89a", "image/gif"), ("pdf", b"%PDF-", None)])
