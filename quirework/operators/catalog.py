@@ -360,19 +360,21 @@ def archive_upserts(jobs: DataFrame, files: DataFrame, archives: DataFrame, inte
 
 
 def file_delete_plan(ids: DataFrame, files: DataFrame, artifacts: DataFrame, jobs: DataFrame, archives: DataFrame) -> DataFrame:
-    """JOIN13: what goes with the chosen files; a file in use is blocked and nothing of it is touched."""
-    chosen = files.join(ids.select(F.col("file_id").alias("id")).distinct(), "id", "left_semi")
-    used = in_use(chosen, jobs).select(F.col("id").alias("file_id"), F.lit(True).alias("used"))
-    verdict = chosen.select(F.col("id").alias("file_id"), "size").join(used, "file_id", "left")
-    free, none = F.col("used").isNull(), F.lit(0).cast("long")
-    own = verdict.select(F.when(free, "delete_file").otherwise("blocked").alias("action"), "file_id", F.when(free, F.col("file_id")).alias("target"), F.when(free, F.col("size")).otherwise(none).alias("bytes"))
-    related = [
-        artifacts.select(F.lit("drop_artifact").alias("action"), "file_id", F.col("job_id").alias("target")),
-        jobs.select(F.lit("clear_output"), F.col("output_file_id"), "id"),
-        archives.select(F.lit("drop_archive"), "file_id", "id"),
+    """JOIN13: what goes with the chosen files; a file in use is blocked and nothing of it is touched.
+
+    Whatever belongs to a file is one list, which meets the choice and the files in use once.
+    """
+    none = F.lit(0).cast("long")
+    everything = [
+        files.select(F.lit("delete_file").alias("action"), F.col("id").alias("file_id"), F.col("id").alias("target"), F.col("size").alias("bytes")),
+        artifacts.select(F.lit("drop_artifact"), "file_id", "job_id", none),
+        jobs.select(F.lit("clear_output"), "output_file_id", "id", none),
+        archives.select(F.lit("drop_archive"), "file_id", "id", none),
     ]
-    more = reduce(DataFrame.union, related).join(verdict.where(free).select("file_id"), "file_id", "left_semi")
-    return own.union(more.select("action", "file_id", "target", none.alias("bytes")))
+    used = active_inputs(jobs).withColumn("used", F.lit(True))
+    rows = reduce(DataFrame.union, everything).join(ids.select("file_id").distinct(), "file_id", "left_semi").join(used, "file_id", "left")
+    free, own = F.col("used").isNull(), F.col("action") == "delete_file"
+    return rows.where(free | own).select(F.when(free, F.col("action")).otherwise("blocked").alias("action"), "file_id", F.when(free, F.col("target")).alias("target"), F.when(free, F.col("bytes")).otherwise(none).alias("bytes"))
 
 
 def history_clear_plan(jobs: DataFrame, known: DataFrame, artifacts: DataFrame, owner: str) -> DataFrame:
