@@ -131,8 +131,9 @@ def default_routes(spark) -> DataFrame:
 
 def route_operations(jobs: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     """FLT8: queue class, time limit and output kind; an unknown operation is refused, never defaulted."""
-    routes = default_routes(jobs.sparkSession) if routes is None else routes
-    out = jobs.join(F.broadcast(routes), "operation", "left")
+    # the caller's routes are broadcast only if Spark finds them small enough
+    routes = F.broadcast(default_routes(jobs.sparkSession)) if routes is None else routes
+    out = jobs.join(routes, "operation", "left")
     return out.withColumn("reject_reason", F.when(F.col("queue_class").isNull(), "unsupported"))
 
 
@@ -338,7 +339,7 @@ def host_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     labels = F.split(host, r"\.")
     above = F.when(F.size(labels) > 1, F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))).otherwise(F.array().cast("array<string>"))
     tries = urls.select("host").distinct().select("host", F.explode(F.concat(F.array(host), above)).alias("rule"))
-    hit = tries.join(F.broadcast(known), "rule", "left_semi").select("host").distinct().withColumn("allowed", F.lit(True))
+    hit = tries.join(known, "rule", "left_semi").select("host").distinct().withColumn("allowed", F.lit(True))
     return urls.join(hit, "host", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 

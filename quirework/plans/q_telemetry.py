@@ -196,7 +196,7 @@ def _(requests):
     SELECT z.delivery_id, status, CAST(attempts AS INTEGER) AS attempts, n.moment + CASE WHEN status = 'retrying' THEN CAST(least(5 * pow(2, attempts - 1), 900) AS BIGINT) ELSE 0 END AS next_at FROM z JOIN n ON n.delivery_id = z.delivery_id AND n.k = z.attempts""")
 def _(events):
     outcomes = events.select(F.col("user_id").alias("delivery_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "ok").otherwise("fail").alias("kind"), F.lit(6).alias("max_attempts"))
-    out = s.fold(outcomes, "delivery_id", {"status": "queued", "attempts": 0, "next_at": 0}, s.delivery_step, "delivery_id long, at long, status string, attempts int, next_at long")
+    out = s.fold(s.telling_outcomes(outcomes), "delivery_id", s.NEW_DELIVERY, s.delivery_step, "delivery_id long, at long, status string, attempts int, next_at long")
     return out.drop("at")
 
 

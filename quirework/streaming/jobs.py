@@ -231,14 +231,18 @@ def delivery_step_ms(state: dict, row) -> dict:
 NEW_DELIVERY = {"status": "queued", "attempts": 0, "next_at": 0}
 
 
+def telling_outcomes(outcomes: DataFrame) -> DataFrame:
+    """outcomes, of deliveries that were never queued anew only the first ones: these settle them."""
+    order = Window.partitionBy("delivery_id").orderBy("at", "seq")
+    again = F.max(F.col("kind") == "requeue").over(Window.partitionBy("delivery_id"))
+    return outcomes.withColumn("n", F.row_number().over(order)).withColumn("again", again).where(F.col("again") | (F.col("n") <= F.col("max_attempts"))).drop("n", "again")
+
+
 def delivery_history(outcomes: DataFrame) -> DataFrame:
     """STR7: every change of each delivery; outcomes: at (ms), seq, delivery_id, kind (ok, fail, requeue), max_attempts.
 
-    A delivery that was never queued anew is settled after its first attempts, so only these are folded.
     """
-    order = Window.partitionBy("delivery_id").orderBy("at", "seq")
-    again = F.max(F.col("kind") == "requeue").over(Window.partitionBy("delivery_id"))
-    rows = outcomes.withColumn("n", F.row_number().over(order)).withColumn("again", again).where(F.col("again") | (F.col("n") <= F.col("max_attempts"))).drop("n", "again")
+    rows = telling_outcomes(outcomes)
     kind = rows.schema["delivery_id"].dataType.simpleString()
     return fold(rows, "delivery_id", NEW_DELIVERY, delivery_step_ms, f"delivery_id {kind}, at long, status string, attempts int, next_at long", every=True, changes=True)
 
