@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from quirework.llm import near_dedup
 
 
@@ -89,7 +91,10 @@ def with_a_passage(rng, holders):
             yield passage + " " + " ".join(f"o{rng.randint(0, 40)}" for _ in range(rng.choice([6, 8, 9, 10, 12])))
 
 
-def test_groups_of_many_kinds(spark):
+@pytest.mark.parametrize("small", [256, 16, 4])
+def test_groups_of_many_kinds(spark, small, monkeypatch):
+    """With a low bound for small stars, cores, differences and further rounds of stars find the links."""
+    monkeypatch.setattr(near_dedup, "SMALL_STAR", small)
     rng = random.Random(1)
     texts = [t for n in (3, 63, 64, 65, 150) for t in without_a_centre(rng, n)] + [t for n in (2, 10, 11) for t in with_a_passage(rng, n)]
     texts += near_copies(rng, 60, 4) + near_copies(rng, 60, 12) + near_copies(rng, 25, 12) + [f"own words {i} only {i * 7} here {i * 3} now {i}" for i in range(30)]
@@ -101,6 +106,14 @@ def test_groups_of_many_kinds(spark):
     assert {r.doc_id: r.n_shingles for r in got} == sizes
 
 
+def test_a_star_beyond_the_bound(spark):
+    rng = random.Random(8)
+    rows = list(enumerate([*without_a_centre(rng, 320), *near_copies(rng, 300, 6)]))
+    got = near_dedup.find_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    want, _ = brute(rows, 4, 80)
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_links_the_core_alone_makes():
     """Against all pairs of (held, n): whether a node may be linked by core shingles alone."""
     rng = random.Random(5)

@@ -66,7 +66,10 @@ def shingles(text, n=5):
     return {" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def test_contained_items(spark, odd_docs, odd_rows, no_docs):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_contained_items(spark, odd_docs, odd_rows, no_docs, most, monkeypatch):
+    """Sketches broadcast, and joined by shuffle as for a large benchmark."""
+    monkeypatch.setattr(decontamination, "MOST_ITEMS", most)
     long_item = " ".join(f"k{i}" for i in range(300))
     items = [(1, "one, two! THREE"), (2, " ".join((odd_rows[13][1]).split()[58:100])), (3, None), (4, ""), (5, odd_rows[5][1]), (5, odd_rows[5][1]), (6, "nothing like it in any of the texts at all"), (7, long_item)]
     extra = spark.createDataFrame([(900, "start " + " ".join(long_item.split()[:260]) + " end"), (901, " ".join(long_item.split()[:200]))], "doc_id long, text string")
