@@ -7,9 +7,10 @@ the conversation is then rendered with such content escaped, and checked again:
 ``s>`` or ``/s>``, one more ``\`` is put in, and the parser takes one out. The escape is reversible for every text,
 and no escaped text holds a mark. `round_trip` says that the parsed turns are the source turns.
 
-Rules: null text or role counts as empty; ``%``, ``[``, ``]`` and ``<`` in a role become %25, %5B, %5D and %3C.
-Turns are ordered by turn (nulls first), ties by role and text; repeated rows stay. A null conv_id is one
-conversation. Extra columns are ignored. The loss mask holds the texts of assistant turns.
+Rules: null text or role counts as empty; ``%``, ``[``, ``]`` and ``<`` in a role become %25, %5B, %5D and %3C. Turns
+are ordered by turn (nulls first), ties by role and text; repeated rows stay. A null conv_id is one conversation.
+Extra columns are ignored. The loss mask holds the texts of assistant turns. An empty table gives an empty one; very
+long texts are escaped and read back whole.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ Words are runs of letters and digits in lower case; a set holds the distinct shi
 shingles counts as contained in a document that has 80 % of them or more. Items are partitioned by size (powers of
 two). In each partition an item's sketch is its k smallest shingle hashes: k is one more than the shingles that a
 containing document may lack, so small items can't be missed, and at most 16 for large ones, of which then four must
-be found (a document that holds 80 % fails this once in 10**8 cases). A document is asked for the sketch values with
+be found (a document that holds 80 % fails this once in 4 million cases). A document is asked for the sketch values with
 all its shingles, since the minima of a long document say nothing about a short part of it, but only in the partitions
 whose items are small enough for it to hold. Pairs that are found are verified on the exact shingle strings of both
 texts.
@@ -15,7 +15,8 @@ by shuffle beyond that.
 Rules: null or wordless texts have no shingles. A text of fewer than five words has its word sequence as its one
 shingle. A null doc_id is a document like others. Rows that repeat a doc_id are searched each; a pair's figures are
 those of the best row. Items that repeat an item_id and text are one; a null item_id is an item like others. Extra
-columns of any name pass through drop_contaminated().
+columns of any name pass through drop_contaminated(). An empty table of documents or items gives no pair and drops
+nothing; a very long text asks with all its shingles.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ equal if and only if their recipes are. From then on only recipes travel, never
 
 Rules: a null text counts as empty; empty texts are equal to each other. Of equal texts the row with the largest
 doc_id stays; a null doc_id is smaller than any other. Rows that repeat doc_id and text share one decision. Extra
-columns are passed through by drop_copies() and may not be named like the added ones (keep_id, group_size, kept).
+columns are passed through by drop_copies() and may not be named like the added ones (keep_id, group_size, kept). An
+empty table gives an empty one; a very long text is as many chunks as it takes.
 """
 
 from __future__ import annotations

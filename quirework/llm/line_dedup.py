@@ -5,9 +5,10 @@ one row per site before anything else. A HyperLogLog sketch of its sites is then
 aggregation. Lines that are clearly at or above min_sites sites are boilerplate; those whose estimate lies within the
 sketch's error of it get an exact distinct count. Boilerplate lines are removed from every document.
 
-Rules: a null text has no lines; an empty one has one blank line. Blank lines count but are never removed. A null
-site is a site of its own. Rows that repeat doc_id and text get the same result. Extra columns are passed through by
-drop_boilerplate(); they may have any name but those of the added ones (n_lines, n_removed, kept_text).
+Rules: a null text has no lines; an empty one has one blank line. Blank lines count but are never removed. A null site
+is a site of its own. Rows that repeat doc_id and text get the same result. Extra columns are passed through by
+drop_boilerplate(); they may have any name but those of the added ones (n_lines, n_removed, kept_text). An empty table
+gives an empty one; a very long text is cut into all its lines.
 """
 
 from __future__ import annotations

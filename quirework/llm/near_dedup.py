@@ -29,7 +29,7 @@
 Rules: a null or wordless text has an empty set and no link. A text with fewer words than a shingle has its word
 sequence as its one shingle. A row with a null doc_id is linked with nothing and kept. Rows that repeat a doc_id are
 documents of their own; of a group, one row stays: one whose doc_id is the smallest. Extra columns of any name pass
-through drop_near_copies().
+through drop_near_copies(). An empty table gives an empty one; a very long text has all its shingles.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ from pyspark.sql import types as T
 from quirework.llm.common import attach_groups, attach_large, by_bytes, cut, fresh, release, small_batches, table, written
 
 BINS, ROWS = 150, 5
-#: Signatures of pairs at the threshold agree in 80 % of the bins, give or take 3.3 %; none this low in 10**8.
+#: Signatures of pairs at the threshold agree in 80 % of the bins, give or take 3.3 % (4.1 % for small sets), so of
+#: those about one in 2 million is this low at worst.
 LEAST_AGREEMENT = 0.6
 #: Nodes and shingles of a star that one task compares.
 SMALL_STAR, SMALL_SIZE = 256, 1 << 22

@@ -13,7 +13,8 @@ are even even if all ids are null, each is packed by one task, and a group that
 pieces. A sequence's id is its group's number times 2**32 plus its number in the group.
 
 Rules: a null or empty text has the end mark alone. Repeated rows are packed each on their own. Extra columns ride
-along; they may not have the names of the added ones, but any other.
+along; they may not have the names of the added ones, but any other. An empty table gives an empty one; a very long
+text is cut into sequences.
 """
 
 from __future__ import annotations

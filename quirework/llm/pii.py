@@ -15,9 +15,9 @@ All counting is by grouped aggregation over (pattern, instance) pairs, which mer
 patterns and instances are joined by attach_groups().
 
 Rules: a null text counts as empty. Offsets are code points, ends exclusive. Kinds are searched for each on its own
-and may overlap; what is discovered never overlaps a base span. A match that fails its test (IP parts over 255,
-digits out of number, wrong check digit) is dropped and what it covers isn't searched again. Rows that repeat doc_id
-and text get equal results. Extra columns are ignored.
+and may overlap; what is discovered never overlaps a base span. A match that fails its test (IP parts over 255, digits
+out of number, wrong check digit) is dropped and what it covers isn't searched again. Rows that repeat doc_id and text
+get equal results. Extra columns are ignored. An empty table gives an empty one; very long texts are searched whole.
 """
 
 from __future__ import annotations

@@ -20,9 +20,10 @@ bits more than the number of words has (40 at least), so one block in a million
 few tries. Extension compares 64 bits among the windows of one range, and a second, independent hash chooses the
 range: at 100 TB (1.5e13 words, 7e6 ranges) that is 86 bits, and about one window is taken for a repeat by chance.
 
-Rules: words are runs of anything but space and the control characters 9 to 13, unchanged. A null text has none.
-Texts shorter than a window are kept. Rows that repeat a text repeat all its windows. Extra columns pass through;
-they may have any name but those of the added ones (n_words, n_removed, kept_text).
+Rules: words are runs of anything but space and the control characters 9 to 13, unchanged. A null text has none. Texts
+shorter than a window are kept. Rows that repeat a text repeat all its windows. Extra columns pass through; they may
+have any name but those of the added ones (n_words, n_removed, kept_text). An empty table gives an empty one; a very
+long text has all its windows.
 """
 
 from __future__ import annotations

@@ -11,9 +11,10 @@ size doesn't depend on the corpus; the driver sees its parameters (3 MB), no tex
 texts.
 
 Rules: a null, empty or wordless text scores as one empty window, which is scored like any other. Only doc_id, text
-and toxic of labelled rows are read, and only text at scoring. Rows with a null doc_id or label aren't learnt from.
-If there are no rows of both labels, all scores are 0.5. Repeated rows get equal scores. Extra columns pass through
-drop_toxic() whatever their names, and through with_scores() if none is named as its score.
+and toxic of labelled rows are read, and only text at scoring. Rows with a null doc_id or label aren't learnt from. If
+there are no rows of both labels, all scores are 0.5. Repeated rows get equal scores. Extra columns pass through
+drop_toxic() whatever their names, and through with_scores() if none is named as its score. An empty table gives an
+empty one; a very long text has as many windows as it takes.
 """
 
 from __future__ import annotations
