@@ -20,6 +20,8 @@ text is cut into sequences.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -38,18 +40,23 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Words whose ids a worker remembers.
 REMEMBERED = 200_000
-#: Marks that the tokenizer always splits from the letters before them.
-MARKS = frozenset(".,;:!?")
+#: Letters of a word that is long: its tokens would be a Python object each.
+LONG = 1000
+#: Latin, Greek and Cyrillic.
+SCRIPTS = range(0x61, 0x530)
+#: Marks (a class) that the tokenizer always splits from the letters before them: all of ASCII but the apostrophe.
+MARKS = r"!-&(-/:-@\[-`{-~"
 
 
 class WordEncoder:
     """Token ids of texts, word by word.
 
-    The tokenizer lowers case, drops white space and never joins what white space parts, so a text's ids are those
-    of its words in order, and a word that comes again need not be encoded again. Texts are split and their distinct
-    words numbered by Arrow; Python sees each distinct word of a batch once. Words of letters only (with one mark
-    after them at most) are encoded many at a time; each ends with the one token that closes a word. All others are
-    encoded one by one. The ids of known words stand one after another in one array.
+    The tokenizer never joins what white space parts, nor letters with the marks after them, so a text's ids are those
+    of its words in order, and a word's are those of its letters and of its tail of marks. Texts are split and their
+    distinct words and parts numbered by Arrow; Python sees each distinct part of a batch once, and what comes again need
+    not be encoded again. Of lower-case letters that the normalizer keeps, only the tokenizer's model is asked: they are
+    one piece already. All others are encoded as they were written, as letters and marks may join when they are lowered.
+    The ids of known parts stand one after another in one array.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,93 +64,92 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab()
-        if max(vocab.values()) >= 1 << 16:
+        self.model = self.tok.model
+        if max(self.tok.get_vocab().values()) >= 1 << 16:
             raise ValueError("16-bit ids can't hold this vocabulary")
-        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        #: The model's spelling of each letter; no two of these scripts' letters compose.
+        self.spelled: dict[int, str] = {}
+        for c in map(chr, SCRIPTS):
+            if c.isalpha() and self.tok.normalizer.normalize_str(c) == c and len(self.tok.pre_tokenizer.pre_tokenize_str(f"a{c}")) == 1:
+                self.spelled[ord(c)] = self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0]
+        letters = "".join(map(chr, self.spelled))
+        self.letters = re.compile(f"[{letters}]+")
+        self.parts = f"^(?P<letters>[{letters}]+)(?P<tail>[{MARKS}]*)$"
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        #: The number of each known part; part 0 is the empty one, part k has the ids from ends[k - 1] to ends[k].
+        self.known: dict[str, int] = {"": 0}
         self.ids, self.used = np.empty(1 << 20, dtype=np.uint16), 0
-        #: Word k has the ids from ends[k - 1] to ends[k]; word 0 is the empty one.
         self.ends = np.zeros(1 << 16, dtype=np.int32)
-        self._add([""], np.empty(0, dtype=np.uint16), np.zeros(1, dtype=np.int64))
 
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, parts: list[str], ids: array, sizes: list[int]) -> None:
         n = len(self.known)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + len(words) > len(self.ends):
+        while n + len(parts) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.known.update(zip(parts, range(n, n + len(parts)), strict=True))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.ends[n : n + len(words)] = self.used + np.cumsum(sizes)
+        self.ends[n : n + len(parts)] = self.used + np.cumsum(sizes)
         self.used += len(ids)
 
-    def _of(self, word: str) -> np.ndarray:
-        k = self.known[word]
-        return self.ids[self.ends[k - 1] if k else 0 : self.ends[k]]
-
-    def _one_by_one(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        self._add(words, np.fromiter(chain.from_iterable(found), dtype=np.uint16), np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
-
-    def learn(self, words: list[str]) -> None:
-        plain: dict[str, None] = {}
-        odd, marked = [], []
-        for w in words:
-            if w.isalpha():
-                plain[w] = None
-            elif w[-1] in MARKS and w[:-1].isalpha():
-                marked.append(w)
-                if w[:-1] not in self.known:
-                    plain[w[:-1]] = None
+    def learn(self, parts: list[str]) -> None:
+        plain, odd, ids, sizes = [], [], array("H"), []
+        for part in parts:
+            if len(part) <= LONG and self.letters.fullmatch(part):
+                found = self.model.tokenize(part if part.isascii() else part.translate(self.spelled))
+                plain.append(part)
+                ids.extend([t.id for t in found])
+                sizes.append(len(found))
             else:
-                odd.append(w)
-        many = list(plain)
-        for i in range(0, len(many), 2000):
-            some = many[i : i + 2000]
-            ids = np.asarray(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint16)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                self._one_by_one(some)
-            else:
-                self._add(some, ids, np.diff(ends, prepend=0))
-        if odd:
-            self._one_by_one(odd)
-        if marked:
-            if lone := [m for m in sorted({w[-1] for w in marked}) if m not in self.known]:
-                self._one_by_one(lone)
-            found = [x for w in marked for x in (self._of(w[:-1]), self._of(w[-1]))]
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            self._add(marked, np.concatenate(found), sizes.reshape(-1, 2).sum(axis=1))
+                odd.append(part)
+        self._add(plain, ids, sizes)
+        for i in range(0, len(odd), 2000):
+            found = [e.ids for e in self.tok.encode_batch_fast(odd[i : i + 2000], add_special_tokens=False)]
+            self._add(odd[i : i + 2000], array("H", chain.from_iterable(found)), list(map(len, found)))
+
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        parts = parts.dictionary_encode()
+        distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if missing := [p for p in distinct if p not in self.known]:
+            self.learn(missing)
+        return np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int32, count=len(distinct))[parts.indices.to_numpy()]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has."""
+        letters, tail = pc.extract_regex(pc.ascii_lower(words), pattern=self.parts).flatten()
+        number = np.empty((len(words), 2), dtype=np.int32)
+        number[:, 0] = self._numbers(pc.coalesce(letters, words))
+        number[:, 1] = self._numbers(pc.fill_null(tail, ""))
+        stop = self.ends[number]
+        start = np.where(number > 0, self.ends[number - 1], np.int32(0))
+        return gather(self.ids, start.ravel(), (stop - start).ravel()), (stop - start).sum(axis=1, dtype=np.int32)
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has; each with the id end after it, if given."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         split = split if isinstance(split, pa.Array) else split.combine_chunks()
         offsets = split.offsets.to_numpy().astype(np.int64)
         words = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if missing := [w for w in distinct if w not in self.known]:
-            self.learn(missing)
-        number = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int32, count=len(distinct))
-        number = number[words.indices.to_numpy()] if len(distinct) else number
-        stop = self.ends[number]
-        start = np.where(number > 0, self.ends[number - 1], np.int32(0))
-        ids, first, last = self.ids, offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        first, last = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        ids, n = self._words(words.dictionary)
+        start, number = np.cumsum(n, dtype=np.int32) - n, words.indices.to_numpy()
         if end is not None:  # one more word after each text's
-            ids = np.append(self.ids[: self.used], np.uint16(end))
-            start, stop = (np.insert(x, last, np.int32(y)) for x, y in ((start, self.used), (stop, self.used + 1)))
+            number = np.insert(number, last, np.int32(len(n)))
+            ids, start, n = np.append(ids, np.uint16(end)), np.append(start, np.int32(len(ids))), np.append(n, np.int32(1))
             first, last = first + np.arange(len(first)), last + np.arange(1, len(last) + 1)
-        n = stop - start
+        n = n[number]
         total = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
-        out = ids[np.repeat(start - total[:-1], n) + np.arange(total[-1], dtype=np.int32)]
-        return out, (total[last] - total[first]).astype(np.int64)
+        return gather(ids, start[number], n), (total[last] - total[first]).astype(np.int64)
+
+
+def gather(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n ids from each start on, one run after another."""
+    at = np.cumsum(n, dtype=np.int32)
+    return ids[np.repeat(start - (at - n), n) + np.arange(at[-1] if len(at) else 0, dtype=np.int32)]
 
 
 @lru_cache(maxsize=2)

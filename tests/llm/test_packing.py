@@ -65,6 +65,34 @@ def test_encoder_on_odd_words():
     assert [len(x) for x in e.encode(pa.array([], pa.string()))] == [0, 0]
 
 
+def test_letters_need_the_model_alone():
+    """The whole tokenizer, which costs three times as much a word, sees only words that are more than letters and marks."""
+
+    class Asked:
+        def __init__(self, tok):
+            self.tok, self.texts = tok, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += texts
+            return self.tok.encode_batch_fast(texts, **options)
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice([*"abcdefghijklmnoprstuüéñßжω"], rng.integers(1, 9))) for _ in range(3000)]
+    texts = [" ".join(w.capitalize() if w[0].isascii() and i % 9 == 0 else w + ["", "", ",", ".%%%"][i % 4] for i, w in enumerate(words)), "x-ray " + "a" * 5000]
+    e = packing.WordEncoder(public_tokenizers.path(packing.TOKENIZER))
+    e.tok = asked = Asked(e.tok)
+    ids, counts = e.encode(pa.array(texts), end=packing.END)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.tolist() for x in plain_ids(texts)]
+    assert sorted(asked.texts) == sorted([",", ".%%%", "x-ray", "a" * 5000])
+
+
+def test_capitals_that_cannot_be_lowered_alone():
+    """H, T, W, Y and J compose with these marks only when small; a control string in capitals is none."""
+    texts = ["H\u0331ello T\u0308 W\u030a, J\u030c Y\u030a", "a <|ENDOFTEXT|> b<|endoftext|>c <|StartOfText|>."]
+    ids, counts = packing.WordEncoder(public_tokenizers.path(packing.TOKENIZER)).encode(pa.array(texts), end=packing.END)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.tolist() for x in plain_ids(texts)]
+
+
 def test_three_limits(spark):
     rng = np.random.default_rng(0)
     tokens = rng.integers(1, 700, 900)
