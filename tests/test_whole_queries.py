@@ -1,7 +1,25 @@
 """Queries that read whole texts and whole tables, against brute force on tables with long and odd rows."""
 
+import duckdb
+
+from quirework.operators import text
 from quirework.plans import registry
 
+
+def test_summaries_of_fragments_without_tokens(spark, tmp_path):
+    rows = ["é é é é é é é é é", *(f"water {w} gates and canals" for w in "abcdefghij"), "ö ö ö ö ö ö ö ö ö"]
+    spark.createDataFrame([(7, "\n".join(rows), "en", "src1", 400)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["win2_extractive_summary"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()["win2_extractive_summary"])
+    at = [want.columns.index(c) for c in got.columns]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+    # unless asked otherwise, such a fragment has only the score of its place
+    pages = spark.createDataFrame([("7", 1, "\n".join(rows))], "doc_id string, page_no int, text string")
+    assert text.extractive_summary(text.fragments(pages), 12).where("idx = 0").first().score == 2.0
+
+
 def test_whole_evidence(spark, tmp_path):
     spark.createDataFrame([(0, "The irrigation controller sends alerts.\nNothing else is written here.", "en", "src1", 70)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     late = "Please be so kind and tell me after all of these idle words about irrigation"
