@@ -23,7 +23,8 @@
    it is at most about half as large, as the core holds what most have. Rounds end when no star is left. So no link
    inside a bucket is lost, without trying all its pairs.
 5. A star of at most SMALL_STAR nodes (and SMALL_SIZE shingles) needs no rounds: one task holds its full sets and
-   compares them, but for nodes that sizes and signatures leave no partner. Both ways find the same links.
+   compares them, but for nodes that sizes and signatures leave no partner. Both ways find the same links. Between tasks
+   go compressed words, a third of the size of a set, which each task makes of them anew.
 6. All counts are on full sets, so each link is exact. Links are joined to components.
 
 Rules: a null or wordless text has an empty set and no link. A text with fewer words than a shingle has its word
@@ -34,7 +35,7 @@ through drop_near_copies(). An empty table gives an empty one; a very long text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,17 @@ def signature(shingles: np.ndarray, bins: int, table_: np.ndarray) -> np.ndarray
     return mix(sig)
 
 
+def pack(words: list[bytes]) -> bytes:
+    """The words, compressed, after their length; unpack() makes the set of them."""
+    text = b" ".join(words)
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, size: int) -> np.ndarray:
+    text = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return shingle_set(text.split(), size)
+
+
 FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("words_hash", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
@@ -150,22 +162,43 @@ def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() < SMALL_IDS else ids, key, "left_semi")
 
 
-def class_sets(docs: DataFrame, classes: DataFrame, size: int, bins: int = BINS) -> DataFrame:
-    """id, size n, signature (16 bits a bin) and set of each class (id, words_hash, smallest), from the texts of the classes' smallest doc_ids."""
+def class_rows(docs: DataFrame, classes: DataFrame, columns: str, make: Callable[[list[bytes]], tuple]) -> DataFrame:
+    """words_hash and the columns that make() gives of the words, of each class (words_hash, smallest; stored).
+
+    They come from the texts of the classes' smallest doc_ids. If these are many, all texts are gone through rather than
+    shuffled by doc_id; so what is shuffled, by words_hash, are the columns alone.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        borrow = donors(bins, 64 * 8)
         for batch in (part for whole in batches for part in by_bytes(whole, "text")):
-            words = [words_of(t.as_py()) for t in batch.column("text")]
-            words = [w for w in words if w]
-            sets = [shingle_set(w, size) for w in words]
-            cols = [pa.array(map(words_hash, words), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([signature(x, bins, borrow).astype("<u2").tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["words_hash", "n", "sig", "set"])
+            words = [w for w in (words_of(t.as_py()) for t in batch.column("text")) if w]
+            made = list(zip(*map(make, words), strict=True)) or [[] for _ in names]
+            kinds = [pa.int64() if c.endswith(" long") else pa.binary() for c in columns.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(map(words_hash, words), pa.binary()), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=["words_hash", *names])
         release()
 
-    rows = among(docs.select(F.col("doc_id").cast("long"), "text"), classes.select(F.col("smallest").alias("doc_id")), "doc_id")
-    hashed = rows.mapInArrow(run, "words_hash binary, n long, sig binary, set binary").dropDuplicates(["words_hash"])
-    return written(hashed.join(classes.select("id", "words_hash"), "words_hash").select("id", "n", "sig", "set"), "near-sets")
+    few = classes.count() < SMALL_IDS
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
+    rows = rows.join(F.broadcast(classes.select(F.col("smallest").alias("doc_id"))), "doc_id", "left_semi") if few else rows.where("doc_id IS NOT NULL")
+    return rows.mapInArrow(run, f"words_hash binary, {columns}").dropDuplicates(["words_hash"])
+
+
+def class_signatures(docs: DataFrame, classes: DataFrame, size: int, bins: int = BINS) -> DataFrame:
+    """id, size n of the set and signature (16 bits a bin) of each class (id, words_hash, smallest)."""
+    borrow = donors(bins, 64 * 8)
+
+    def make(words: list[bytes]) -> tuple:
+        s = shingle_set(words, size)
+        return len(s), signature(s, bins, borrow).astype("<u2").tobytes()
+
+    hashed = class_rows(docs, classes, "n long, sig binary", make)
+    return written(hashed.join(classes.select("id", "words_hash"), "words_hash").select("id", "n", "sig"), "near-signatures")
+
+
+def class_words(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """words_hash and packed words of each class (id, words_hash, smallest)."""
+    return class_rows(docs, classes, "packed binary", lambda words: (pack(words),))
 
 
 def first_stars(buckets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -186,11 +219,11 @@ def is_small() -> Column:
     return (F.col("members") <= SMALL_STAR) & (F.col("weight") <= SMALL_SIZE)
 
 
-def cores(stars: DataFrame, sets: DataFrame) -> DataFrame:
+def cores(stars: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """star, members, core: the shingles that most of about CORE_MEMBERS members hold."""
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        each = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in part.column("set")])
+        each = np.concatenate([unpack(x.as_py(), size) for x in part.column("packed")])
         value, count = np.unique(each, return_counts=True)
         core = value[2 * count > part.num_rows]
         return pa.table({"star": pa.array([key[0].as_py()], pa.int64()), "members": part.column("members")[:1], "core": pa.array([core.tobytes()], pa.binary())})
@@ -207,14 +240,14 @@ def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
 
 
-def differences(stars: DataFrame, sets: DataFrame, core: DataFrame, percent: int) -> DataFrame:
+def differences(stars: DataFrame, sets: DataFrame, core: DataFrame, size: int, percent: int) -> DataFrame:
     """Per star and node: its set's size n, how much of the core it holds, f, and the bound that f goes with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 500):
             sizes, held, fs, bounds = [], [], [], []
-            for x, c in zip(b.column("set"), b.column("core"), strict=True):
-                s, k = (np.frombuffer(y.as_py() or b"", dtype=np.uint64) for y in (x, c))
+            for x, c in zip(b.column("packed"), b.column("core"), strict=True):
+                s, k = unpack(x.as_py(), size), np.frombuffer(c.as_py() or b"", dtype=np.uint64)
                 sizes.append(len(s))
                 held.append(int(within(k, s).sum()))
                 fs.append((100 + percent) * (len(k) - held[-1]) + percent * len(s))
@@ -223,7 +256,7 @@ def differences(stars: DataFrame, sets: DataFrame, core: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays(cols, names=["star", "id", "members", "n", "held", "f", "bound"])
 
     rows = stars.join(sets, "id").withColumn("salt", F.xxhash64("id"))
-    both = attach_large(rows, core, "star", "members", "salt", how="left").select("star", "id", "members", "set", "core")
+    both = attach_large(rows, core, "star", "members", "salt", how="left").select("star", "id", "members", "packed", "core")
     return written(both.mapInArrow(run, "star long, id long, members long, n long, held long, f long, bound long"), "near-differences")
 
 
@@ -250,17 +283,17 @@ def may_share_core(held: int, n: int, open_: bool, limits: tuple[np.ndarray, ...
     return bool(as_smaller or (j >= 0 and most[j] >= n))
 
 
-def against_centre(diffs: DataFrame, sets: DataFrame, core: DataFrame, percent: int) -> DataFrame:
+def against_centre(diffs: DataFrame, sets: DataFrame, core: DataFrame, size: int, percent: int) -> DataFrame:
     """Per star and node: the centre, whether the node is linked with it, and the differences other links would share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, limits = None, None
+        seen, limits, c = None, None, None
         for b in parts(batches, 200):
             linked, elements = [], []
             for row in b.to_pylist():
-                x, c, k = (np.frombuffer(row[y] or b"", dtype=np.uint64) for y in ("set", "c_set", "core"))
+                x, k = unpack(row["packed"], size), np.frombuffer(row["core"] or b"", dtype=np.uint64)
                 if seen != row["star"]:
-                    seen, limits = row["star"], room(row["sizes"] or [], percent)
+                    seen, limits, c = row["star"], room(row["sizes"] or [], percent), unpack(row["c_packed"], size)
                 n, held = row["n"], row["held"]
                 linked.append((100 + percent) * int(within(x, c).sum()) >= percent * (n + len(c)))
                 some = x[~within(x, k)][: n * (100 - percent) // 100 + 1]
@@ -279,7 +312,7 @@ def against_centre(diffs: DataFrame, sets: DataFrame, core: DataFrame, percent:
     is_open = F.col("f") + F.col("c_f") > F.col("bound")
     sizes = sized.groupBy("star", "held").agg(F.min("n").alias("least"), F.min(F.when(is_open, F.col("n"))).alias("least_open")).groupBy("star").agg(F.collect_list(F.struct("held", "least", "least_open")).alias("sizes"))
     facts = centre.withColumnRenamed("size", "members").join(sizes, "star", "left").join(core.select("star", "core"), "star", "left")
-    facts = written(facts.join(sets.select(F.col("id").alias("centre"), F.col("set").alias("c_set")), "centre"), "near-centres")
+    facts = written(facts.join(sets.select(F.col("id").alias("centre"), F.col("packed").alias("c_packed")), "centre"), "near-centres")
     rows = diffs.drop("members").join(centre.select("star", F.col("size").alias("members")), "star").join(sets, "id").withColumn("salt", F.xxhash64("id"))
     both = attach_large(rows, facts, "star", "members", "salt").where("id <> centre").drop("salt", "members")
     return written(both.mapInArrow(run, "star long, id long, n long, centre long, linked boolean, elements array<long>"), "near-edges")
@@ -298,7 +331,7 @@ def next_stars(edges: DataFrame) -> DataFrame:
     return written(found.select("star", "id", "n", "members", "weight").distinct(), "near-stars")
 
 
-def links_inside(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_inside(stars: DataFrame, docs: DataFrame, classes: DataFrame, signatures: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: edges that join the linked nodes of each small star."""
 
     def like(n: np.ndarray) -> np.ndarray:
@@ -314,7 +347,7 @@ def links_inside(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(key: tuple, part: pa.Table) -> pa.Table:
         part = part.sort_by("id")
-        sets_ = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in part.column("set")]
+        sets_ = [unpack(x.as_py(), size) for x in part.column("packed")]
         ids, head = part.column("id").to_pylist(), list(range(part.num_rows))
         n = np.asarray([len(x) for x in sets_])
         ok, edges = like(n), []
@@ -327,10 +360,12 @@ def links_inside(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([x[0] for x in edges], pa.int64()), "b": pa.array([x[1] for x in edges], pa.int64())})
 
     ids = cut(stars.select("id").distinct())
-    rows = stars.select("star", "id").join(among(sets.select("id", "n", "sig"), ids, "id"), "id")
+    rows = stars.select("star", "id").join(among(signatures, ids, "id"), "id")
     some = written(rows.groupBy("star").applyInArrow(lambda key, part: partners(key, part), "star long, id long"), "near-partners")
-    held = among(sets.select("id", "set"), cut(some.select("id").distinct()), "id")
-    return written(some.join(held, "id").groupBy("star").applyInArrow(lambda key, part: compare(key, part), "a long, b long").distinct(), "near-inside")
+    wanted = cut(among(classes.select("id", "words_hash", "smallest"), cut(some.select("id").distinct()), "id"))
+    named = some.join(wanted.select("id", "words_hash"), "id")
+    held = named.join(class_words(docs, wanted), "words_hash").select("star", "id", "packed")
+    return written(held.groupBy("star").applyInArrow(lambda key, part: compare(key, part), "a long, b long").distinct(), "near-inside")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -356,16 +391,21 @@ def links_of(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
     """a, b: edges of the classes' graph that join all linked classes of a bucket."""
     buckets = written(classes.select("id", F.explode("bands").alias("bucket")), "near-bands")
     stars = first_stars(buckets, classes)
-    sets = class_sets(docs, cut(among(classes.select("id", "words_hash", "smallest"), cut(stars.select("id").distinct()), "id")), size)
-    links = []
+    wanted = cut(among(classes.select("id", "words_hash", "smallest"), cut(stars.select("id").distinct()), "id"))
+    signatures = class_signatures(docs, wanted, size)
+    links, held = [], None
     while True:
-        links.append(links_inside(stars.where(is_small()), sets, percent))
+        links.append(links_inside(stars.where(is_small()), docs, classes, signatures, size, percent))
         stars = stars.where(~is_small()).select("star", "id", "members")
         if not stars.limit(1).count():
             break
-        held = written(among(sets.select("id", "set"), cut(stars.select("id").distinct()), "id"), "near-held")
-        core = cores(stars, held)
-        edges = against_centre(differences(stars, held, core, percent), held, core, percent)
+        ids = cut(stars.select("id").distinct())
+        if held is None:
+            wanted = cut(among(wanted, ids, "id"))
+            held = written(class_words(docs, wanted).join(wanted.select("id", "words_hash"), "words_hash").select("id", "packed"), "near-held")
+        held_now = among(held, ids, "id")
+        core = cores(stars, held_now, size)
+        edges = against_centre(differences(stars, held_now, core, size, percent), held_now, core, size, percent)
         links.append(edges.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
         stars = next_stars(edges)
     out = links[0]

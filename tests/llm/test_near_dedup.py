@@ -1,10 +1,11 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
-from quirework.llm import near_dedup
+from quirework.llm import common, near_dedup
 
 
 def words(t):
@@ -144,3 +145,24 @@ def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want, _ = brute(docs, 4, 80)
     assert {r.doc_id: r.component_id for r in near_dedup.op9_near_dedup(spark, sf_dir).collect()} == want
+
+
+def test_texts_of_stars_are_not_stored_as_sets(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randint(0, 999)) for _ in range(4000)) for _ in range(6)]
+    docs = spark.createDataFrame([(10 * i + k, f"{t} end{k}") for i, t in enumerate(texts) for k in range(4)], "doc_id long, text string")
+    folder = f"{common.shared_folder(spark)}/quirework-{spark.sparkContext.applicationId}"
+
+    def stored():
+        return sum(f.stat().st_size for f in Path(folder).rglob("*.parquet"))
+
+    before = stored()
+    assert near_dedup.find_near_copies(docs, 5, 80).where("kept").count() == 6
+    assert stored() - before < 0.3 * docs.selectExpr("sum(octet_length(text))").first()[0]
+
+
+def test_packed_words():
+    words = near_dedup.words_of("One two  THREE\tone two three é " * 50)
+    packed = near_dedup.pack(words)
+    assert len(packed) < len(b" ".join(words)) / 2
+    assert (near_dedup.unpack(packed, 5) == near_dedup.shingle_set(words, 5)).all()
