@@ -294,16 +294,41 @@ def artifact_manifest(jobs: DataFrame, artifacts: DataFrame, files: DataFrame) -
     return _manifest_code(held)
 
 
+def _sound_rows(jobs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The rows of _output_rows() of jobs that break none of the rules of _manifest_code() that need no file, with their position."""
+    per = Window.partitionBy("job_id")
+    root, part, primary = F.col("role").isin("result", "bundle"), F.coalesce(F.col("role") == "part", F.lit(False)), F.col("file_id") == F.col("primary_id")
+    number = F.coalesce("ordinal", F.lit(0))
+    rows = _output_rows(jobs, artifacts).where("there").withColumn("rank", F.row_number().over(per.orderBy(part.desc(), number)))
+    counts = {
+        "n": F.lit(True),
+        "primaries": primary,
+        "roots": root,
+        "primary_roots": root & primary,
+        "results": F.col("role") == "result",
+        "strange": ~F.coalesce(F.col("role").isin("result", "bundle", "part"), F.lit(False)),
+        "misnumbered": ((F.col("role") != "part") & F.col("ordinal").isNotNull()) | (part & (F.col("rank") != number)),
+    }
+    rows = rows.withColumns({f"_{k}": F.count_if(c).over(per) for k, c in counts.items()})
+    rows = rows.withColumn("position", F.row_number().over(per.orderBy((~primary).cast("int"), number, "file_id")))
+    rows = rows.where((F.coalesce("status", F.lit("completed")) == "completed") & F.col("primary_id").isNotNull() & (F.col("_n") <= MAX_ARTIFACTS))
+    rows = rows.where("_primaries > 0 AND _roots = 1 AND _primary_roots = 1 AND (_results = 0 OR _n = 1) AND _strange = 0 AND _misnumbered = 0")
+    return rows.select("job_id", "requested_by", "position", "file_id", "role", "ordinal")
+
+
 def manifest_rows(jobs: DataFrame, artifacts: DataFrame, files: DataFrame) -> DataFrame:
     """JOIN6: the artifacts of each consistent manifest, the primary one first, then by ordinal; position counts from 1.
 
-    A job has 201 artifacts at most, so all of this is partitioned by job after one join with the files.
+    A job has 201 artifacts at most. What needs no file is settled where jobs and links meet. Then owners and types of files
+    name the jobs that break a rule, and only the rest meet whole file rows, which are shuffled once and stay where they are.
     """
-    facts = files.select(F.col("id").alias("file_id"), F.col("source_system").alias("owner"), F.col("original_name").alias("file_name"), "content_type", "size", "sha256", "expires_at")
-    held = _output_rows(jobs, artifacts).join(facts, "file_id", "left")
-    good = held.join(_manifest_code(held).where("manifest = 'ok'").select("job_id"), "job_id", "left_semi")
-    order = Window.partitionBy("job_id").orderBy((F.col("file_id") != F.col("primary_id")).cast("int"), F.coalesce("ordinal", F.lit(0)), "file_id")
-    return good.select("job_id", F.row_number().over(order).alias("position"), "file_id", "role", "ordinal", "file_name", "content_type", "size", "sha256", F.col("owner").alias("source_system"), "expires_at")
+    rows = _sound_rows(jobs, artifacts)
+    owners = files.select(F.col("id").alias("file_id"), F.col("source_system").alias("owner"), "content_type")
+    met = rows.select("job_id", "requested_by", "file_id", "role").join(owners, "file_id", "left")
+    breaks = F.col("owner").isNull() | (F.col("owner") != F.col("requested_by")) | ((F.col("role") == "bundle") & (F.col("content_type") != ZIP))
+    good = rows.drop("requested_by").join(met.where(breaks).select("job_id").distinct(), "job_id", "left_anti")
+    facts = files.select(F.col("id").alias("file_id"), F.col("original_name").alias("file_name"), "content_type", "size", "sha256", "source_system", "expires_at")
+    return good.join(facts, "file_id").select("job_id", "position", "file_id", "role", "ordinal", "file_name", "content_type", "size", "sha256", "source_system", "expires_at")
 
 
 def effective_policy(services: DataFrame, policies: DataFrame, defaults: dict | None = None) -> DataFrame:

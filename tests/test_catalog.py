@@ -175,3 +175,13 @@ def test_retry_needs_all_inputs(spark, files):
     jobs = table(spark, "jobs", [{"id": "1", "status": "failed", "operation": "merge", "input_file_ids_json": '["Alpha","gone"]'}, {"id": "2", "status": "cancelled", "operation": "merge", "input_file_ids_json": '["Alpha"]'}, {"id": "3", "status": "failed", "operation": "protect", "input_file_ids_json": '["Alpha"]'}])
     assert names(c.retryable(jobs, files)) == ["2"]
     assert c.job_status_counts(jobs).agg(F.sum("n")).first()[0] == 3
+
+
+def test_manifest_rows_move_whole_files_once(spark):
+    jobs = table(spark, "jobs", [{"id": i, "operation": "split-to-zip", "status": "completed", "output_file_id": f"p{i}", "requested_by": "o"} for i in "uvwxyz"])
+    files = table(spark, "files", [{"id": f"{k}{i}", "original_name": f"{k}.bin", "source_system": "s" if k + i == "au" else "o", "content_type": "image/png" if k + i == "pv" else "application/zip", "size": 5, "sha256": "s"} for k in "pab" for i in "uvwxyz" if k + i != "bw"])
+    links = [("u", "p", "bundle", None), ("u", "a", "part", 1), ("v", "p", "bundle", None), ("w", "p", "bundle", None), ("w", "b", "part", 1), ("x", "p", "bundle", None), ("x", "a", "part", 1), ("x", "p", "part", 2), ("y", "p", "bundle", None), ("y", "a", "part", 1), ("y", "b", "part", 1)]
+    rows = c.manifest_rows(jobs, table(spark, "job_output_artifacts", [{"job_id": j, "file_id": f + j, "role": r, "ordinal": n} for j, f, r, n in links]), files)
+    assert sorted((r.job_id, r.position, r.file_id, r.role) for r in rows.collect()) == [("x", 1, "px", "bundle"), ("x", 2, "px", "part"), ("x", 3, "ax", "part"), ("z", 1, "pz", "bundle")]
+    plan = spark._jvm.PythonSQLUtils.explainString(rows.select("*")._jdf.queryExecution(), "formatted")
+    assert len([x for x in plan.split("\n\n") if "Exchange" in x.split("\n")[0] and "sha256" in x]) == 1
